@@ -1,4 +1,4 @@
 """Import every query module so the registry is complete."""
 
-from litfeed.plans import q_search  # noqa: F401
+from litfeed.plans import q_runs, q_search  # noqa: F401
 from litfeed.plans.registry import REGISTRY  # noqa: F401
