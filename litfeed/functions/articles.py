@@ -15,7 +15,7 @@ from litfeed.constants import (
     TITLE_PLACEHOLDERS,
     UID_FIELD_SEPARATOR,
 )
-from litfeed.functions.text import placeholder_key
+from litfeed.functions.text import casefold, placeholder_key
 
 
 def article_type(cleaned: Column) -> Column:
@@ -39,7 +39,7 @@ def candidate_uid(doi: Column, normalized_url: Column, journal_id: Column, title
     """B-8: doi:<doi>, else url:<sha256[:24]>, else hash:<sha256[:24]> of
     journal, case-folded title and the UTC date (inputs already canonical)."""
     ident = F.concat_ws(UID_FIELD_SEPARATOR, F.coalesce(journal_id, F.lit("")),
-                        F.lower(F.coalesce(title, F.lit(""))), F.coalesce(published_date, F.lit("")))
+                        casefold(F.coalesce(title, F.lit(""))), F.coalesce(published_date, F.lit("")))
     return F.coalesce(
         F.concat(F.lit("doi:"), doi),
         F.concat(F.lit("url:"), short_sha256(normalized_url)),
@@ -51,12 +51,12 @@ def distinct_authors(authors: Column) -> Column:
     """B-13: drop blanks, keep the first spelling of each case-insensitive name, in order."""
     cleaned = F.filter(F.transform(authors, lambda a: F.trim(F.regexp_replace(a, r"[\s\p{Z}]+", " "))),
                        lambda a: a.isNotNull() & (a != ""))
-    keys = F.transform(cleaned, lambda a: F.lower(a))
-    return F.filter(cleaned, lambda a, i: F.array_position(keys, F.lower(a)) == i + 1)
+    keys = F.transform(cleaned, lambda a: casefold(a))
+    return F.filter(cleaned, lambda a, i: F.array_position(keys, casefold(a)) == i + 1)
 
 
 def _meaningful_text(col: Column, placeholders) -> Column:
-    key = placeholder_key(col)
+    key = placeholder_key(col)  # casefold + punctuation strip
     return F.coalesce(col.isNotNull() & (key != "") & ~key.isin(*placeholders), F.lit(False))
 
 

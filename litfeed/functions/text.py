@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from litfeed.constants import HIDDEN_TAGS, SEPARATOR_TAGS
 
@@ -32,13 +33,26 @@ def collapse_ws(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, f"[{WS_CLASS}]+", " "))
 
 
+# --- fixed values: full case-folding pairs where casefold differs from lower ---
+CASEFOLD_EXTRA = (("ß", "ss"), ("ẞ", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"),
+                  ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def casefold(col: Column) -> Column:
+    """``lower`` plus the common full-folding pairs (sharp s, final sigma, ligatures)."""
+    out = F.lower(col)
+    for a, b in CASEFOLD_EXTRA:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 def match_normalize(col: Column) -> Column:
     """B-16: fold case, turn any dash or whitespace run into one space, trim.
 
     ``lower`` stands in for casefold; they differ only on a few letters (sharp s,
     final sigma, dotted I), which the exact path ``match_normalize_exact`` covers.
     """
-    return F.trim(F.regexp_replace(F.lower(col), rf"[{WS_CLASS}\p{{Pd}}]+", " "))
+    return F.trim(F.regexp_replace(casefold(col), rf"[{WS_CLASS}\p{{Pd}}]+", " "))
 
 
 def _hidden_body_pattern() -> str:
@@ -129,7 +143,7 @@ def clean_text_py(value):
     return unicodedata.normalize("NFC", flat) or None
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def clean_text(values: pd.Series) -> pd.Series:
     """B-1 exact path: Arrow-batched, one parser per value."""
     return values.map(clean_text_py, na_action="ignore")
@@ -141,7 +155,7 @@ def match_normalize_py(value: str) -> str:
     return " ".join("".join(chars).split())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def match_normalize_exact(values: pd.Series) -> pd.Series:
     """B-16 exact path (NFC + casefold)."""
     return values.map(match_normalize_py, na_action="ignore")
@@ -149,4 +163,4 @@ def match_normalize_exact(values: pd.Series) -> pd.Series:
 
 def placeholder_key(col: Column) -> Column:
     """Lower-case, drop punctuation, collapse whitespace (B-17 key)."""
-    return collapse_ws(F.regexp_replace(F.lower(col), r"\p{P}", ""))
+    return collapse_ws(F.regexp_replace(casefold(col), r"\p{P}", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litfeed.functions.text import TOKEN_CLASS
+from litfeed.functions.text import CASEFOLD_EXTRA, TOKEN_CLASS
 from litfeed.operators import classify as C
 from litfeed.session import ensure_utc
 from litfeed.sources import catalog, standins
@@ -67,9 +67,17 @@ class Ctx:
 _WS = r"\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}"
 
 
+def sql_casefold(expr: str) -> str:
+    out = f"lower({expr})"
+    for a, b in CASEFOLD_EXTRA:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
 def sql_norm(expr: str) -> str:
     """clean (whitespace collapse) + match normalisation, DuckDB form."""
-    return f"trim(regexp_replace(lower(trim(regexp_replace({expr}, '[{_WS}]+', ' ', 'g'))), '[{_WS}\\p{{Pd}}]+', ' ', 'g'))"
+    folded = sql_casefold(f"trim(regexp_replace({expr}, '[{_WS}]+', ' ', 'g'))")
+    return f"trim(regexp_replace({folded}, '[{_WS}\\p{{Pd}}]+', ' ', 'g'))"
 
 
 SQL_CLASSIFY = {

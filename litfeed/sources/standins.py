@@ -115,3 +115,49 @@ def items(spark: SparkSession, sf_dir: str, conflict: bool = False) -> DataFrame
         F.when(has_doi & (d % 4 == 0), "enriched").when(has_doi & (d % 6 == 1), "partial").otherwise("rss_only").alias("metadata_status"),
         (has_doi & (d % 4 == 0)).alias("enriched"),
     )
+
+
+def raw_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs plus one rule-based variant of each (case, ports, escapes,
+    tracking parameters, userinfo, other schemes) for URL canonicalisation."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    u = F.col("url")
+    sep = F.when(u.contains("?"), F.lit("&")).otherwise(F.lit("?"))
+    k = F.col("page_id") % 5
+    variant = (
+        F.when(k == 0, F.replace(F.replace(F.replace(u, F.lit("https://"), F.lit("HTTPS://")), F.lit(".example."), F.lit(".EXAMPLE.")),
+                                 F.lit(".com/"), F.lit(".com:443/")))
+        .when(k == 1, F.concat(u, sep, F.lit("Gclid=1&keep=%7e%2f&utm_Medium=x&UTM%5Fterm=y&spm=q")))
+        .when(k == 2, F.replace(F.replace(u, F.lit("/en/"), F.lit("/en/%61%2f%7E/")), F.lit(".org/"), F.lit(".org.:8080/")))
+        .when(k == 3, F.replace(u, F.lit("://"), F.lit("://user@")))
+        .otherwise(F.replace(F.replace(u, F.lit("https://"), F.lit("ftp://")), F.lit("http://"), F.lit("http://a..b.")))
+    )
+    return p.select("page_id", u.alias("raw_url")).unionByName(
+        p.select((F.col("page_id") + 1_000_000_000).alias("page_id"), variant.alias("raw_url")))
+
+
+def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times written as feed date strings in several layouts."""
+    ev = read(spark, sf_dir, "events").select("event_id", "ts")
+    e = F.col("event_id")
+    ts = F.col("ts")
+    txt = (
+        F.when(e % 6 == 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+        .when(e % 6 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+        .when(e % 6 == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(e % 6 == 3, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" -0500")))
+        .when(e % 6 == 4, F.date_format(ts, "yyyy-MM-dd"))
+        .otherwise(F.concat(F.lit("week "), e.cast("string")))
+    )
+    txt = F.when(e % 17 == 0, F.replace(txt, F.lit("2024"), F.lit("1899"))).otherwise(txt)
+    return ev.select("event_id", txt.alias("raw_date"))
+
+
+def raw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw article-type strings: a type phrase chosen by rule plus words of the document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    phrases = ("Research Article", "News Article", "Review article", "Correction to a News Article",
+               "Letter to the Editor", "Preview", "Commentary", "Erratum", "letter", "Perspective piece")
+    d = F.col("doc_id")
+    phrase = _choose(d % len(phrases), phrases)
+    return docs.select(d.alias("doc_id"), F.concat(phrase, F.lit(" "), F.substring("text", 1, 30)).alias("raw_type"))
