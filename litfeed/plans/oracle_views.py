@@ -48,9 +48,9 @@ def _items_sql(conflict: bool) -> str:
     doi = "CASE WHEN doc_id % 3 <> 0 AND doi_no % 8 <> 7 THEN '10.5555/' || CAST(doi_no AS VARCHAR) END"
     journal = "'src' || CAST(doi_no % 20 AS VARCHAR)"
     if conflict:
-        doi = (f"CASE WHEN url_no % 50 = 0 AND doc_id % 2 = 1 AND ({doi}) IS NOT NULL "
+        doi = (f"CASE WHEN url_no % 50 = 0 AND doc_id % 3 = 1 AND ({doi}) IS NOT NULL "
                f"THEN '10.6666/' || CAST(doi_no AS VARCHAR) ELSE {doi} END")
-        journal = f"CASE WHEN doi_no % 40 = 0 AND doc_id % 2 = 0 THEN 'src99' ELSE {journal} END"
+        journal = f"CASE WHEN doi_no % 40 = 0 AND doc_id % 3 = 2 THEN 'src99' ELSE {journal} END"
     return f"""
 SELECT seq, url, doi, journal_id, title, abstract, published_at, article_type, oa_status,
   CASE WHEN doi IS NOT NULL AND seq % 4 = 0 THEN 'enriched' WHEN doi IS NOT NULL AND seq % 6 = 1 THEN 'partial' ELSE 'rss_only' END AS metadata_status,

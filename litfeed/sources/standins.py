@@ -94,9 +94,9 @@ def items(spark: SparkSession, sf_dir: str, conflict: bool = False) -> DataFrame
     doi = F.when((d % 3 != 0) & (doi_no % 8 != 7), F.concat(F.lit("10.5555/"), doi_no.cast("string")))
     journal = F.concat(F.lit("src"), (doi_no % 20).cast("string"))
     if conflict:
-        doi = F.when((url_no % 50 == 0) & (d % 2 == 1) & doi.isNotNull(),
+        doi = F.when((url_no % 50 == 0) & (d % 3 == 1) & doi.isNotNull(),
                      F.concat(F.lit("10.6666/"), doi_no.cast("string"))).otherwise(doi)
-        journal = F.when((doi_no % 40 == 0) & (d % 2 == 0), F.lit("src99")).otherwise(journal)
+        journal = F.when((doi_no % 40 == 0) & (d % 3 == 2), F.lit("src99")).otherwise(journal)
     title = F.when(d % 5 == 0, F.lit("N/A")).otherwise(F.substring("text", 1, 40))
     abstract = F.when(d % 7 == 0, F.lit("No abstract")).otherwise(F.substring("text", 1, 200))
     atype = _choose(d % 6, ("research", "other", "review", "other", "editorial", "correction"))
