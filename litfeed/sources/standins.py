@@ -161,3 +161,58 @@ def raw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     phrase = _choose(d % len(phrases), phrases)
     return docs.select(d.alias("doc_id"), F.concat(phrase, F.lit(" "), F.substring("text", 1, 30)).alias("raw_type"))
+
+
+def _doi_no(d: Column) -> Column:
+    return ((d * 7) % 200) % 80
+
+
+def _payload_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest document per item DOI number, as the basis of landed service responses."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.groupBy(_doi_no(F.col("doc_id")).alias("doi_no")).agg(
+        F.max_by("text", "doc_id").alias("text"), F.max("doc_id").alias("doc_id"))
+
+
+def crossref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed bibliographic responses ``(doi, http_status, payload)``, one per DOI."""
+    p = _payload_source(spark, sf_dir)
+    n = F.col("doi_no")
+    words = F.split(F.substring("text", 1, 40), " ", -1)
+    title = F.substring("text", 1, 30)
+    author = F.struct(F.try_element_at(words, F.lit(1)).alias("given"), F.try_element_at(words, F.lit(2)).alias("family"),
+                      F.lit(None).cast("string").alias("name"))
+    org = F.struct(F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("family"),
+                   F.lit("Anonymous").alias("name"))
+    msg_even = F.struct(F.array(F.lit("N/A"), title).alias("title"), F.array(author, org, author).alias("author"),
+                        F.concat(F.lit("<p>"), F.substring("text", 1, 80), F.lit("</p>")).alias("abstract"),
+                        _choose(n % 3, ("journal-article", "review-article", "other")).alias("type"))
+    msg_odd = F.struct(title.alias("title"), F.array(org).alias("author"),
+                       F.lit("Abstract unavailable").alias("abstract"),
+                       _choose(n % 3, ("journal-article", "review-article", "other")).alias("type"))
+    payload = (F.when(n % 10 == 3, F.lit("not json"))
+               .when(n % 10 == 6, F.lit('{"message": "x"}'))
+               .when(n % 2 == 0, F.to_json(F.struct(msg_even.alias("message"))))
+               .otherwise(F.to_json(F.struct(msg_odd.alias("message")))))
+    return p.select(F.concat(F.lit("10.5555/"), n.cast("string")).alias("doi"),
+                    F.when(n % 9 == 4, 404).otherwise(200).alias("http_status"), payload.alias("payload"))
+
+
+def unpaywall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed open-access responses; one DOI in four has none, one answers a string."""
+    p = _payload_source(spark, sf_dir).where(F.col("doi_no") % 4 != 3)
+    n = F.col("doi_no")
+    payload = (F.when(n % 4 == 0, F.lit('{"is_oa": true}')).when(n % 4 == 1, F.lit('{"is_oa": false}'))
+               .otherwise(F.lit('{"is_oa": "yes"}')))
+    return p.select(F.concat(F.lit("10.5555/"), n.cast("string")).alias("doi"), F.lit(200).alias("http_status"),
+                    payload.alias("payload"))
+
+
+def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as article records before enrichment (with authors and provenance)."""
+    i = items(spark, sf_dir)
+    s = F.col("seq")
+    authors = F.when(s % 2 == 0, F.array(F.lit("et al."))).otherwise(F.array(F.substring("title", 1, 8)))
+    return i.withColumn("authors", authors).withColumn(
+        "enriched_fields", F.when(F.col("enriched") & (F.col("title") != "N/A"), F.array(F.lit("title")))
+        .otherwise(F.array().cast("array<string>")))
