@@ -216,3 +216,67 @@ def item_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("authors", authors).withColumn(
         "enriched_fields", F.when(F.col("enriched") & (F.col("title") != "N/A"), F.array(F.lit("title")))
         .otherwise(F.array().cast("array<string>")))
+
+
+def _xml_escape(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+FEED_GROUP = 8  # entries per landed body: bodies stay small however large the corpus
+
+
+def raw_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed feed bodies built from ``documents``: one body per (source, block of
+    8 documents), alternating RSS 2.0 / RSS 1.0 / Atom; some bodies are
+    truncated (malformed) and some answer 304 (not modified)."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d = F.col("doc_id")
+    grp = F.floor(d / FEED_GROUP)
+    title = _xml_escape(F.substring("text", 1, 50))
+    summary = _xml_escape(F.concat(
+        F.lit("<p>"), F.substring("text", 1, 120),
+        F.when(d % 4 == 1, F.concat(F.lit(" See doi: 10.5555/S"), d.cast("string"), F.lit(".)"))).otherwise(F.lit("")),
+        F.lit("</p>")))
+    link = F.when(d % 3 == 0, F.concat(F.lit("/a/"), d.cast("string"), F.lit("?utm_source=feed")))\
+        .otherwise(F.concat(F.lit("https://ex.org/a/"), d.cast("string")))
+    no_title = d % 29 == 0
+    date_rfc = F.date_format(F.timestamp_seconds(F.lit(EPOCH_2024) + d * 3600), "EEE, dd MMM yyyy HH:mm:ss")
+    date_iso = F.concat(F.date_format(F.timestamp_seconds(F.lit(EPOCH_2024) + d * 3600), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    doi_el = F.when(d % 5 == 0, F.concat(F.lit("<prism:doi>10.5555/P"), d.cast("string"), F.lit("</prism:doi>"))).otherwise(F.lit(""))
+    fmt = F.col("fmt")
+    rss2 = F.concat(F.lit("<item>"), F.when(no_title, F.lit("")).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"))),
+                    F.lit("<link>"), link, F.lit("</link><guid>g"), d.cast("string"), F.lit("</guid><pubDate>"), date_rfc,
+                    F.lit(" GMT</pubDate><description>"), summary, F.lit("</description><author>A. Writer</author>"),
+                    doi_el, F.lit("<category>Research Article</category></item>"))
+    rss1 = F.concat(F.lit('<item rdf:about="https://ex.org/a/'), d.cast("string"), F.lit('">'),
+                    F.when(no_title, F.lit("")).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"))),
+                    F.lit("<link>"), link, F.lit("</link><dc:date>"), date_iso, F.lit("</dc:date><dc:creator>B. One</dc:creator>"),
+                    F.lit("<dc:creator>b. one</dc:creator><description>"), summary, F.lit("</description>"), doi_el,
+                    F.lit("<prism:section>Review</prism:section></item>"))
+    atom = F.concat(F.lit("<entry>"), F.when(no_title, F.lit("")).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"))),
+                    F.lit('<link rel="alternate" href="'), link, F.lit('"/><id>urn:doc:'), d.cast("string"),
+                    F.lit("</id><updated>"), date_iso, F.lit("</updated><summary>"), summary,
+                    F.lit("</summary><author><name>C. Two</name></author>"), doi_el, F.lit("</entry>"))
+    per = docs.withColumn("grp", grp).withColumn("fmt", F.col("grp") % 3).withColumn(
+        "xml", F.when(fmt == 0, rss2).when(fmt == 1, rss1).otherwise(atom))
+    bodies = per.groupBy("source", "grp", "fmt").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "xml"))), lambda x: x["xml"]), "").alias("inner"))
+    ns = (' xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:prism="http://prismstandard.org/namespaces/basic/2.0/"')
+    head2 = F.lit(f'<?xml version="1.0"?><rss version="2.0"{ns}><channel><title>T</title><link>https://ex.org/</link><description>D</description>')
+    head1 = F.lit(f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/"{ns}>'
+                  '<channel rdf:about="https://ex.org/"><title>T</title><link>https://ex.org/</link><description>D</description></channel>')
+    heada = F.lit(f'<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"{ns}><title>T</title><id>urn:f</id><updated>2024-01-01T00:00:00Z</updated>')
+    body = (F.when(fmt == 0, F.concat(head2, F.col("inner"), F.lit("</channel></rss>")))
+            .when(fmt == 1, F.concat(head1, F.col("inner"), F.lit("</rdf:RDF>")))
+            .otherwise(F.concat(heada, F.col("inner"), F.lit("</feed>"))))
+    body = F.when(F.col("grp") % 11 == 5, F.substring(body, 1, 200)).otherwise(body)
+    g = F.col("grp")
+    return bodies.select(
+        F.col("source").alias("feed_id"),
+        F.concat(F.lit("https://feeds.example.org/"), "source", F.lit(".xml")).alias("feed_url"),
+        F.when(g % 2 == 0, F.concat(F.lit("https://mirror.example.org/"), "source", F.lit("/feed.xml"))).alias("effective_url"),
+        F.encode(body, "UTF-8").alias("content"),
+        F.concat(F.lit('W/"'), g.cast("string"), F.lit('"')).alias("etag"),
+        F.lit(None).cast("string").alias("last_modified"),
+        (g % 13 == 7).alias("not_modified"),
+        g.cast("bigint").alias("seq"))
