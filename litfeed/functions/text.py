@@ -39,10 +39,14 @@ CASEFOLD_EXTRA = (("ß", "ss"), ("ẞ", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ"
 
 
 def casefold(col: Column) -> Column:
-    """``lower`` plus the common full-folding pairs (sharp s, final sigma, ligatures)."""
-    out = F.lower(col)
+    """``lower`` plus the common full-folding pairs (sharp s, final sigma, ligatures).
+
+    """
+    one_to_one = [(a, b) for a, b in CASEFOLD_EXTRA if len(b) == 1]
+    out = F.translate(F.lower(col), "".join(a for a, _ in one_to_one), "".join(b for _, b in one_to_one))
     for a, b in CASEFOLD_EXTRA:
-        out = F.replace(out, F.lit(a), F.lit(b))
+        if len(b) > 1:
+            out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
 
@@ -81,12 +85,12 @@ def clean_text_fast(col: Column) -> Column:
     Unescape twice, drop hidden bodies, space at separator tags, drop other
     tags, collapse whitespace, empty -> NULL.
     """
+    # every step references the previous one once: the generated code stays linear
     c = _unescape_basic(_unescape_basic(col))
     c = F.regexp_replace(c, _hidden_body_pattern(), "")
     c = F.regexp_replace(c, _separator_tag_pattern(), " ")
     c = F.regexp_replace(c, r"<\s*/?\s*[A-Za-z][^>]*>", "")
-    c = collapse_ws(c)
-    return F.when(c != "", c)
+    return F.nullif(collapse_ws(c), F.lit(""))
 
 
 class _VisibleText(HTMLParser):

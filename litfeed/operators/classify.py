@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.functions.text import TOKEN_CLASS, clean_text, clean_text_fast, match_normalize, match_normalize_exact
-from litfeed.operators.util import bounded_broadcast, single_row
+from litfeed.operators.util import bounded_broadcast, ensure_parallel, single_row
 
 MAX_BROADCAST_RULES = 50_000
 
@@ -31,15 +31,16 @@ def match_fields(articles: DataFrame, exact: bool = False) -> DataFrame:
     """(uid, field, text): cleaned, match-normalised title and abstract, NULLs dropped."""
     clean = clean_text if exact else clean_text_fast
     norm = match_normalize_exact if exact else match_normalize
-    stacked = articles.select(
+    stacked = ensure_parallel(articles.select("uid", "title", "abstract"), "uid").select(
         "uid",
         F.explode(F.array(
             F.struct(F.lit("title").alias("field"), F.col("title").alias("raw")),
             F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("raw")),
         )).alias("f"),
     ).select("uid", "f.field", "f.raw")
-    return stacked.select("uid", "field", norm(clean(F.col("raw"))).alias("text")).where(
-        F.col("text").isNotNull() & (F.col("text") != ""))
+    # NULL texts simply never match; no filter here, so the cleaning chain is
+    # evaluated once per field (a filter would be pushed below and recompute it)
+    return stacked.select("uid", "field", norm(clean(F.col("raw"))).alias("text"))
 
 
 def _escape(col):

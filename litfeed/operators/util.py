@@ -33,3 +33,16 @@ def single_row(*aggs: DataFrame) -> DataFrame:
     for p in parts[1:]:
         u = u.unionByName(p)
     return u.agg(*[F.max(n).alias(n) for n in names])
+
+
+def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a CPU-heavy input that arrives in fewer partitions than the cluster
+    has cores (e.g. one large row group) by hashing on ``keys``.
+
+    Decided at plan time from the partition count; a wide input at scale is left
+    as it is, so no shuffle is added there.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)

@@ -22,6 +22,7 @@ from litfeed.functions.dates import normalize_date
 from litfeed.functions.doi import extract_doi
 from litfeed.functions.text import clean_text, clean_text_fast
 from litfeed.functions.url import normalize_url
+from litfeed.operators.util import ensure_parallel
 
 RAW_FEEDS_SCHEMA = ("feed_id string, feed_url string, effective_url string, content binary, etag string, "
                     "last_modified string, not_modified boolean, seq bigint")
@@ -142,8 +143,8 @@ def _parse_batches(batches):
 
 def parse_feeds(raw_feeds: DataFrame) -> DataFrame:
     """A-2/A-3: items (``error_class`` NULL) and unusable bodies (``error_class`` set)."""
-    return raw_feeds.select("feed_id", "feed_url", "effective_url", "content", "not_modified", "seq") \
-        .mapInPandas(_parse_batches, ITEM_SCHEMA)
+    bodies = raw_feeds.select("feed_id", "feed_url", "effective_url", "content", "not_modified", "seq")
+    return ensure_parallel(bodies, "feed_id", "seq").mapInPandas(_parse_batches, ITEM_SCHEMA)
 
 
 def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
