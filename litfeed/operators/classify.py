@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from litfeed.functions.text import TOKEN_CLASS, clean_text, clean_text_fast, match_normalize, match_normalize_exact
 from litfeed.operators.util import bounded_broadcast, ensure_parallel, single_row
@@ -84,14 +85,21 @@ def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "auto") -> D
 
 
 def apply_gates(hits: DataFrame, topics: DataFrame, gates: DataFrame) -> DataFrame:
-    """D-8: keep ungated hits; keep a gated hit when a required group has an ungated hit."""
-    t = bounded_broadcast(topics.select("topic_id", "group_id", "gated"))
+    """D-8: keep ungated hits; keep a gated hit when a required group has an ungated hit.
+
+    One pass: the (bounded) topic catalogue with its required groups is
+    broadcast, and the groups opened on each article come from a window over
+    that article's own hits (at most one row per topic), so the hit set is
+    computed once and no article's rows can grow unbounded.
+    """
+    req = gates.groupBy("topic_id").agg(F.collect_set("required_group").alias("required"))
+    t = bounded_broadcast(topics.select("topic_id", "group_id", "gated").join(req, "topic_id", "left"))
     h = hits.join(t, "topic_id")
-    ungated = h.where(~F.col("gated"))
-    open_groups = ungated.select("uid", F.col("group_id").alias("required_group")).distinct()
-    gated = h.where(F.col("gated")).join(bounded_broadcast(gates), "topic_id") \
-        .join(open_groups, ["uid", "required_group"], "left_semi").select("uid", "topic_id")
-    return ungated.select("uid", "topic_id").unionByName(gated).distinct()
+    opened = F.collect_set(F.when(~F.col("gated"), F.col("group_id"))).over(Window.partitionBy("uid"))
+    h = h.withColumn("opened", opened)
+    keep = ~F.col("gated") | F.exists(F.coalesce("required", F.array().cast("array<string>")),
+                                      lambda g: F.array_contains(F.col("opened"), g))
+    return h.where(keep).select("uid", "topic_id")
 
 
 def classify(articles: DataFrame, rules: DataFrame, topics: DataFrame, gates: DataFrame,

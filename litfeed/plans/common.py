@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litfeed.functions.text import CASEFOLD_EXTRA, TOKEN_CLASS
 from litfeed.operators import classify as C
-from litfeed.session import ensure_utc
+from litfeed.session import checkpoint_dir, ensure_utc
 from litfeed.sources import catalog, standins
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -28,6 +28,7 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         ensure_utc(spark)
         self.spark, self.sf_dir = spark, sf_dir
+        self._memo: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return standins.read(self.spark, self.sf_dir, name)
@@ -54,7 +55,15 @@ class Ctx:
         return catalog.tags_df(self.spark)
 
     def article_tags(self, method: str = "auto") -> DataFrame:
-        return C.classify(self.articles(), self.rules(), self.topics(), self.gates(), method=method)
+        """The link table, computed once per query and written to the shared
+        checkpoint folder (``spark.checkpoint.dir``) so every consumer reads it
+        back instead of re-running the classifier."""
+        key = f"tags:{method}"
+        if key not in self._memo:
+            checkpoint_dir(self.spark)
+            tags = C.classify(self.articles(), self.rules(), self.topics(), self.gates(), method=method)
+            self._memo[key] = tags.checkpoint(eager=True)
+        return self._memo[key]
 
     def fetches(self) -> DataFrame:
         return standins.fetches(self.spark, self.sf_dir)

@@ -176,13 +176,15 @@ def classify_ungated(spark, sf_dir):
 @query("classify_gated", "D-8", with_views("SELECT article_uid, tag_id FROM q_article_tags",
                                           *CLASSIFY_VIEWS, extra=SQL_CLASSIFY))
 def classify_gated(spark, sf_dir):
-    return Ctx(spark, sf_dir).article_tags(method="broadcast")
+    c = Ctx(spark, sf_dir)
+    return C.classify(c.articles(), c.rules(), c.topics(), c.gates(), method="broadcast")
 
 
 @query("classify_ngram_join", "D-7 (token-anchor equi-join)", with_views(
     "SELECT article_uid, tag_id FROM q_article_tags", *CLASSIFY_VIEWS, extra=SQL_CLASSIFY))
 def classify_ngram_join(spark, sf_dir):
-    return Ctx(spark, sf_dir).article_tags(method="tokens")
+    c = Ctx(spark, sf_dir)
+    return C.classify(c.articles(), c.rules(), c.topics(), c.gates(), method="tokens")
 
 
 @query("classification_summary", "E-7", with_views("""

@@ -40,7 +40,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it; we only pick our own when it is unset (tests, local
     bench), and then register it so ``DataFrame.checkpoint`` works.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
