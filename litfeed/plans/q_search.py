@@ -95,7 +95,9 @@ WHERE r.rn > {size} * (p.page - 1) AND r.rn <= {size} * p.page"""
 
 def _page(spark, sf_dir, req):
     c = Ctx(spark, sf_dir)
-    df = S.page_rows(c.articles(), c.journals(), c.article_tags(), c.tags(), req)
+    links = c.article_tags() if S.wanted_tags(req.tags) else None
+    tagger = lambda rows: C.classify(rows, c.rules(), c.topics(), c.gates(), method="broadcast")
+    df = S.page_rows(c.articles(), c.journals(), links, c.tags(), req, tagger=tagger)
     return df.select("uid", "doi", "journal_id", "title", "abstract", "article_type", "oa_status", "journal_name",
                      "publisher", ts_text("published_at").alias("published"), "tag_ids", "tag_labels", "safe_url", "page")
 
