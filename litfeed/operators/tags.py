@@ -44,3 +44,9 @@ def assignment_set_diff(stored: DataFrame, assigned: DataFrame) -> DataFrame:
     j = s.join(a, s.s_uid == a.a_uid, "full_outer").where(F.col("s_uid").isNull() | F.col("a_uid").isNull())
     return j.select(F.coalesce("s_uid", "a_uid").alias("uid"),
                     F.when(F.col("s_uid").isNull(), "unknown").otherwise("omitted").alias("side"))
+
+
+def replace_one(links: DataFrame, uids: DataFrame, new_links: DataFrame) -> DataFrame:
+    """H-7 for a set of articles: their links become exactly ``new_links``."""
+    keep = links.join(uids.select(F.col("uid").alias("article_uid")), "article_uid", "left_anti")
+    return keep.unionByName(new_links.select("article_uid", "tag_id")).distinct()
