@@ -133,3 +133,39 @@ def run_ledger(spark, sf_dir):
     runs = R.run_summary(f)
     led = RC.run_ledger(runs.unionByName(runs), f)  # a replayed run id is kept once
     return led.withColumn("started_at", ts_text("started_at")).withColumn("finished_at", ts_text("finished_at"))
+
+
+@query("catalog_checks", "A-5, A-6, Q-7, Q-8", with_views("""
+SELECT 'feed_duplicate_id' AS "check", count(*) AS violations FROM (SELECT id FROM q_feeds GROUP BY id HAVING count(*) > 1)
+UNION ALL SELECT 'feed_duplicate_url', count(*) FROM (SELECT lower(feed_url) FROM q_feeds GROUP BY lower(feed_url) HAVING count(*) > 1)
+UNION ALL SELECT 'feed_not_https', count(*) FROM q_feeds WHERE NOT starts_with(lower(trim(feed_url)), 'https://')
+UNION ALL SELECT 'feed_bad_url', count(*) FROM q_feeds WHERE NOT regexp_matches(feed_url, '^https?://[a-z0-9.-]+/')
+UNION ALL SELECT 'feed_unknown_publisher', count(*) FROM q_feeds WHERE lower(publisher) NOT IN ('aaas', 'aip', 'aps', 'elsevier', 'ieee', 'nature', 'springer', 'wiley')
+UNION ALL SELECT 'feed_enabled_not_boolean', count(*) FROM q_feeds WHERE enabled IS NULL
+UNION ALL SELECT 'group_order_not_continuous', count(*) FROM (SELECT min(ord) AS lo, max(ord) AS hi, count(*) AS n, count(DISTINCT ord) AS d FROM v_groups) WHERE lo <> 1 OR hi <> n OR d <> n
+UNION ALL SELECT 'group_empty', count(*) FROM v_groups g WHERE NOT EXISTS (SELECT 1 FROM v_topics t WHERE t.group_id = g.id)
+UNION ALL SELECT 'topic_unknown_group', count(*) FROM v_topics t WHERE NOT EXISTS (SELECT 1 FROM v_groups g WHERE g.id = t.group_id)
+UNION ALL SELECT 'topic_without_keyword', count(*) FROM v_topics t WHERE NOT EXISTS (SELECT 1 FROM v_rules r WHERE r.topic_id = t.topic_id)
+UNION ALL SELECT 'keyword_duplicate', count(*) FROM (SELECT lower(keyword) FROM v_rules GROUP BY lower(keyword) HAVING count(*) > 1)
+UNION ALL SELECT 'gate_unknown_group', count(*) FROM v_gates g WHERE NOT EXISTS (SELECT 1 FROM v_groups x WHERE x.id = g.required_group)
+UNION ALL SELECT 'gate_own_group', count(*) FROM v_gates g JOIN v_topics t USING (topic_id) WHERE g.required_group = t.group_id""",
+    "v_journals", "v_groups", "v_topics", "v_rules", "v_gates", extra={"q_feeds": """
+SELECT id, name, publisher, feed_url, enabled FROM v_journals
+UNION ALL SELECT id, name, publisher, replace(feed_url, 'https://', 'http://'), enabled FROM v_journals WHERE id IN ('src3', 'src4')
+UNION ALL SELECT id || '-copy', name, 'acme', feed_url, enabled FROM v_journals WHERE id = 'src5'"""}))
+def catalog_checks(spark, sf_dir):
+    """Feed catalogue = journals plus rule-based bad entries (http duplicates, a copied URL, unknown publisher)."""
+    from litfeed.operators import catalogs as K
+    c = Ctx(spark, sf_dir)
+    j = c.journals().select("id", "name", "publisher", "feed_url", "enabled")
+    bad = (j.where(F.col("id").isin("src3", "src4")).withColumn("feed_url", F.replace("feed_url", F.lit("https://"), F.lit("http://")))
+           .unionByName(j.where(F.col("id") == "src5").withColumn("id", F.concat("id", F.lit("-copy"))).withColumn("publisher", F.lit("acme"))))
+    feeds = j.unionByName(bad)
+    return K.feed_checks(feeds).unionByName(K.topic_checks(c.groups(), c.topics(), c.rules(), c.gates()))
+
+
+@query("article_lookup", "A-7, A-8", with_views(f"""
+SELECT uid, journal_id, title, {sql_ts('published_at')} AS published_at FROM v_articles WHERE uid = 'doc:42'""", "v_articles"))
+def article_lookup(spark, sf_dir):
+    a = Ctx(spark, sf_dir).articles()
+    return a.where(F.col("uid") == F.lit("doc:42")).select("uid", "journal_id", "title", ts_text("published_at").alias("published_at"))
