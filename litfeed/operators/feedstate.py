@@ -37,7 +37,8 @@ def final_state(checks: DataFrame) -> DataFrame:
     )
 
 
-def carry_last(df: DataFrame, key: str, order: str, carries: dict[str, tuple], chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def carry_last(df: DataFrame, key: str, order: str, carries: dict[str, tuple], chunk: int = DEFAULT_CHUNK,
+               exclusive: bool = False) -> DataFrame:
     """Running "last value where condition" per key, split so no key lands in one task.
 
     ``carries`` maps output name -> (condition Column, value Column). Step 1
@@ -45,14 +46,17 @@ def carry_last(df: DataFrame, key: str, order: str, carries: dict[str, tuple], c
     value into one small row per chunk and carries it across chunks; step 3
     fills rows that had no set value inside their own chunk from the chunk
     carry. Equivalent to one window over the whole key, but a hot key spreads
-    over ``rows / chunk`` tasks.
+    over ``rows / chunk`` tasks. ``exclusive=True`` carries over the rows strictly
+    before each row (the state a row starts from).
     """
     c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-    w_in = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = -1 if exclusive else Window.currentRow
+    w_in = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     for name, (cond, val) in carries.items():
         c = c.withColumn(f"_{name}", F.last(F.when(cond, F.struct(val.alias("v"))), ignorenulls=True).over(w_in))
-    ends = c.groupBy(key, "_chunk").agg(*[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(order))).alias(f"_{n}_end")
-                                         for n in carries])
+    ends = c.groupBy(key, "_chunk").agg(*[
+        F.max_by(F.when(cond, F.struct(val.alias("v"))), F.when(cond, F.col(order))).alias(f"_{n}_end")
+        for n, (cond, val) in carries.items()])
     w_x = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     for n in carries:
         ends = ends.withColumn(f"_{n}_before", F.last(f"_{n}_end", ignorenulls=True).over(w_x))

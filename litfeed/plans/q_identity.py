@@ -104,3 +104,65 @@ UNION ALL SELECT 'url_journals', url, count(DISTINCT journal_id) FROM v_items_co
     "v_items_conflict"))
 def conflict_keys(spark, sf_dir):
     return I.conflict_keys(Ctx(spark, sf_dir).items(conflict=True))
+
+
+def _outcome_sql():
+    fields = M.MERGED_FIELDS
+    kn = {f: _KNOWN_SQL[f].format(k=_key(f)) for f in fields}
+    val = {f: (sql_ts(f) if f == "published_at" else f) for f in fields}
+    base_cols = ", ".join(f"{kn[f]} AS k_{f}, enriched AND {kn[f]} AS e_{f}, {val[f]} AS v_{f}" for f in fields)
+    fin = ", ".join(
+        f"coalesce((arg_max({{'v': v_{f}}}, seq) FILTER (WHERE e_{f})).v, (arg_max({{'v': v_{f}}}, seq) FILTER (WHERE k_{f})).v, "
+        f"(arg_min({{'v': v_{f}}}, seq)).v) AS fin_{f}, bool_or(e_{f}) AS fenr_{f}" for f in fields)
+    ent = ", ".join(
+        f"arg_min({{'t': link, 'v': fin_{f}}}, link) FILTER (WHERE fenr_{f}) AS a_e_{f}, "
+        f"arg_min({{'t': link, 'v': fin_{f}}}, link) FILTER (WHERE {_KNOWN_SQL[f].format(k=_key('fin_' + f)).replace(f + ' IS NOT NULL', 'fin_' + f + ' IS NOT NULL').replace('trim(' + f + ')', 'trim(fin_' + f + ')').replace('lower(' + f + ')', 'lower(fin_' + f + ')').replace(f + ' IN', 'fin_' + f + ' IN')}) AS a_k_{f}, "
+        f"min(link) FILTER (WHERE fenr_{f}) AS a_flag_{f}" for f in fields)
+    w = "OVER (PARTITION BY lifetime ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    carries = ", ".join(
+        f"last_value(CASE WHEN e_{f} THEN {{'v': v_{f}}} END IGNORE NULLS) {w} AS c_le_{f}, "
+        f"last_value(CASE WHEN k_{f} THEN {{'v': v_{f}}} END IGNORE NULLS) {w} AS c_lk_{f}" for f in fields)
+    vis = lambda c: f"(phase = 0 AND {c} IS NOT NULL AND {c} <= seq)"
+    state_parts = ["'doi': c_doi", "'journal_id': journal_id", "'url': url",
+                   f"'rank': CASE WHEN c_r2 OR {vis('a_r2')} THEN 2 WHEN c_r1 OR {vis('a_r1')} THEN 1 ELSE 0 END"]
+    for f in fields:
+        state_parts.append(
+            f"'{f}': coalesce(c_le_{f}.v, CASE WHEN {vis(f'a_e_{f}.t')} THEN a_e_{f}.v END, c_lk_{f}.v, "
+            f"CASE WHEN {vis(f'a_k_{f}.t')} THEN a_k_{f}.v END, f_{f})")
+        state_parts.append(f"'{f}_enr': (c_le_{f} IS NOT NULL OR {vis(f'a_flag_{f}')})")
+    firsts = ", ".join(f"(arg_min({{'v': v_{f}}}, seq)).v AS f_{f}" for f in fields)
+    extra = dict(_PH)
+    extra["q_b"] = f"""
+SELECT *, entity || '|' || CASE WHEN phase = 0 THEN 'own' ELSE url END AS lifetime,
+  CASE metadata_status WHEN 'rss_only' THEN 0 WHEN 'partial' THEN 1 WHEN 'enriched' THEN 2 END AS rnk, {base_cols}
+FROM q_ph"""
+    extra["q_fin"] = f"SELECT entity, lifetime, max(-phase) AS link, max(rnk) AS rnk, {fin} FROM q_b WHERE phase < 0 GROUP BY entity, lifetime"
+    extra["q_abs"] = f"""
+SELECT entity, min(link) FILTER (WHERE rnk >= 2) AS a_r2, min(link) FILTER (WHERE rnk >= 1) AS a_r1, {ent}
+FROM q_fin GROUP BY entity"""
+    extra["q_first"] = f"SELECT lifetime, min(seq) AS first_seq, {firsts} FROM q_b GROUP BY lifetime"
+    extra["q_c"] = f"""
+SELECT b.*, {carries},
+  last_value(doi IGNORE NULLS) {w} AS c_doi,
+  bool_or(rnk >= 2) {w} AS c_r2, bool_or(rnk >= 1) {w} AS c_r1
+FROM q_b b"""
+    extra["q_s"] = f"""
+SELECT c.seq, c.entity, c.lifetime, c.phase, c.url, c.link_seq, c.url_first_seq, s.f_url, fi.first_seq,
+  {{{', '.join(state_parts)}}} AS state
+FROM q_c c JOIN q_first fi ON fi.lifetime = c.lifetime LEFT JOIN q_abs a ON a.entity = c.entity
+JOIN q_surv s ON s.entity = c.entity"""
+    body = """
+SELECT seq, entity, lifetime, CASE WHEN seq = first_seq THEN 'inserted'
+  WHEN phase = 0 AND seq = link_seq AND url <> f_url AND url_first_seq < link_seq THEN 'updated'
+  WHEN state IS NOT DISTINCT FROM lag(state) OVER (PARTITION BY lifetime ORDER BY seq) THEN 'skipped'
+  ELSE 'updated' END AS outcome
+FROM q_s"""
+    return with_views(body, "v_items", extra=extra)
+
+
+@query("upsert_outcomes", "F-1, H-5", _outcome_sql())
+def upsert_outcomes(spark, sf_dir):
+    from litfeed.operators.outcomes import outcomes
+    r = I.resolve(Ctx(spark, sf_dir).items())
+    r = r.withColumn("published_at", ts_text("published_at"))
+    return outcomes(r, chunk=256)
