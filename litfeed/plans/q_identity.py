@@ -166,3 +166,15 @@ def upsert_outcomes(spark, sf_dir):
     r = I.resolve(Ctx(spark, sf_dir).items())
     r = r.withColumn("published_at", ts_text("published_at"))
     return outcomes(r, chunk=256)
+
+
+@query("conflict_resolution", "H-9, §2.3 (tainted components replayed, rest aggregated)")
+def conflict_resolution(spark, sf_dir):
+    from litfeed.operators.conflicts import resolve_with_conflicts
+    arts, quarantine = resolve_with_conflicts(Ctx(spark, sf_dir).items(conflict=True))
+    q = quarantine.select(F.lit("quarantine").alias("kind"), F.col("seq"), F.lit(None).cast("string").alias("uid"),
+                          F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("journal_id"),
+                          F.lit(None).cast("string").alias("title"), "error_class")
+    a = arts.select(F.lit("article").alias("kind"), F.lit(None).cast("long").alias("seq"), "uid", "doi", "journal_id",
+                    "title", F.lit(None).cast("string").alias("error_class"))
+    return a.unionByName(q)
