@@ -20,7 +20,7 @@ def replay_run(spark, sf_dir, split: bool = True):
     c = Ctx(spark, sf_dir)
     work = f"{checkpoint_dir(spark).rstrip('/')}/litfeed-stream-{uuid.uuid4().hex}"
     landing, root, ckpt = f"{work}/landing", f"{work}/snapshots", f"{work}/stream-checkpoint"
-    raw = standins.raw_feeds(spark, sf_dir)
+    raw = standins.raw_feeds(spark, sf_dir).checkpoint(eager=True)  # landed once, reused for every part
     cut = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first().m if split else None
     parts = [raw.where(F.col("seq") <= cut), raw.where(F.col("seq") > cut), raw.where(F.col("seq") <= cut)] if split else [raw]
     reports = []

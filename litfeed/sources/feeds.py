@@ -141,10 +141,38 @@ def _parse_batches(batches):
             yield out
 
 
+def read_body_files(spark, path: str, catalogue: DataFrame) -> DataFrame:
+    """A-1: landed body files ``<feed_id>/<seq>.xml`` read with the ``binaryFile``
+    source and shaped as ``raw_feeds`` (feed URL from the catalogue)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path)
+    parts = F.split(F.col("path"), "/")
+    shaped = files.select(
+        F.element_at(parts, -2).alias("feed_id"),
+        F.regexp_extract(F.element_at(parts, -1), r"^([0-9]+)", 1).cast("bigint").alias("seq"),
+        F.col("content"))
+    cat = catalogue.select(F.col("id").alias("feed_id"), "feed_url")
+    return shaped.join(F.broadcast(cat), "feed_id", "left").select(
+        "feed_id", "feed_url", F.lit(None).cast("string").alias("effective_url"), "content",
+        F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.lit(False).alias("not_modified"), "seq")
+
+
 def parse_feeds(raw_feeds: DataFrame) -> DataFrame:
-    """A-2/A-3: items (``error_class`` NULL) and unusable bodies (``error_class`` set)."""
+    """A-2/A-3/A-4: items (``error_class`` NULL) and unusable bodies (``error_class`` set).
+
+    Oversized bodies are rejected in the JVM (``octet_length``) and never shipped
+    to Python; 304 answers carry no body to parse.
+    """
     bodies = raw_feeds.select("feed_id", "feed_url", "effective_url", "content", "not_modified", "seq")
-    return ensure_parallel(bodies, "feed_id", "seq").mapInPandas(_parse_batches, ITEM_SCHEMA)
+    oversize = F.octet_length("content") > MAX_FEED_BYTES
+    too_big = bodies.where(oversize & ~F.col("not_modified")).select(
+        "feed_id", "feed_url", "seq", F.lit(None).cast("int").alias("item_index"),
+        *[F.lit(None).cast("string").alias(c) for c in ("title", "link", "published", "prism_doi", "dc_identifier",
+                                                        "entry_id", "guid")],
+        F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("summary"),
+        F.lit(None).cast("string").alias("raw_type"), F.lit("FeedTooLargeError").alias("error_class"))
+    ok = bodies.where(~F.coalesce(oversize, F.lit(False)) & ~F.col("not_modified"))
+    return ensure_parallel(ok, "feed_id", "seq").mapInPandas(_parse_batches, ITEM_SCHEMA).unionByName(too_big)
 
 
 def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:

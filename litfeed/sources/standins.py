@@ -229,7 +229,8 @@ def raw_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed feed bodies built from ``documents``: one body per (source, block of
     8 documents), alternating RSS 2.0 / RSS 1.0 / Atom; some bodies are
     truncated (malformed) and some answer 304 (not modified)."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    from litfeed.operators.util import ensure_parallel
+    docs = ensure_parallel(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     d = F.col("doc_id")
     grp = F.floor(d / FEED_GROUP)
     title = _xml_escape(F.substring("text", 1, 50))

@@ -25,6 +25,7 @@ from litfeed.operators import classify as C
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
 from litfeed.operators import snapshot as SN
+from litfeed.session import checkpoint_dir
 from litfeed.sources import feeds as FD
 
 ITEM_KEY = ("journal_id", "seq", "item_index")
@@ -51,22 +52,30 @@ def build_articles(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
-                rules: DataFrame, topics: DataFrame, gates: DataFrame) -> dict:
+                rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None) -> dict:
+    """One micro-batch. ``enricher`` (K-2) is any ``DataFrame -> DataFrame`` applied
+    to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``."""
     base_prev = SN.current(spark, root)
     target = SN.snapshot_path(root, batch_id + 1)
     if base_prev == target:  # this micro-batch was already published (replayed batch id)
         return {"batch_id": batch_id, "skipped": True}
+    checkpoint_dir(spark)
     parsed = FD.parse_feeds(batch)
     events = FD.canonicalize(parsed, journals)
-    good = events.where(F.col("error_class").isNull()).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    good = good.select(*EVENT_COLUMNS)
+    if enricher is not None:
+        events = events.transform(enricher)
+    # the Arrow-heavy canonical events are computed once and read back by every consumer
+    good = (events.where(F.col("error_class").isNull()).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .select(*EVENT_COLUMNS).checkpoint(eager=True))
     if base_prev is not None:
         log = SN.read_table(spark, base_prev, "events").select(*EVENT_COLUMNS)
         fresh = good.join(log.select(*ITEM_KEY), list(ITEM_KEY), "left_anti")
         log = log.unionByName(fresh)
     else:
         log = good.dropDuplicates(list(ITEM_KEY))
+    log = log.checkpoint(eager=True)
     articles, aliases = build_articles(log)
+    articles = articles.checkpoint(eager=True)
     links = C.classify(articles, rules, topics, gates)
     tags = topics.select(F.col("topic_id").alias("id"), "label").join(
         links.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
@@ -79,13 +88,17 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
 
 
 def run_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, journals: DataFrame,
-               rules: DataFrame, topics: DataFrame, gates: DataFrame) -> list[dict]:
-    """J-1: process everything landed so far, each body once, then stop."""
+               rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None, source=None) -> list[dict]:
+    """J-1: process everything landed so far, each body once, then stop.
+
+    ``source`` (K-1) replaces the landing-folder stream with any streaming
+    DataFrame of the ``raw_feeds`` shape.
+    """
     reports: list[dict] = []
-    stream = spark.readStream.schema(FD.RAW_FEEDS_SCHEMA).parquet(landing)
+    stream = source if source is not None else spark.readStream.schema(FD.RAW_FEEDS_SCHEMA).parquet(landing)
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        reports.append(apply_batch(spark, batch_df, batch_id, root, journals, rules, topics, gates))
+        reports.append(apply_batch(spark, batch_df, batch_id, root, journals, rules, topics, gates, enricher))
 
     q = (stream.writeStream.foreachBatch(each).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start())
