@@ -6,7 +6,11 @@ punctuation) nor any punctuation character that the keyword itself contains.
 Title and abstract are tested separately. A gated topic survives only if one of
 its required groups has an *ungated* hit on the same article (one pass).
 
-Two physical strategies give the same rows:
+Three physical strategies give the same rows:
+
+* ``literal`` (catalogues up to 512 rules, checked): the compiled rules are
+  embedded in the plan, so every regex is compiled once per task and the
+  test is a narrow projection: no join, no shuffle of the corpus.
 
 * ``broadcast``: the rule catalogue (bounded, checked) is broadcast and each
   field row is tested against each rule (`contains` prefilter, then the
@@ -26,6 +30,8 @@ from litfeed.functions.text import TOKEN_CLASS, clean_text, clean_text_fast, mat
 from litfeed.operators.util import bounded_broadcast, ensure_parallel, single_row
 
 MAX_BROADCAST_RULES = 50_000
+# Up to this many rules the catalogue is embedded in the plan as literals.
+MAX_LITERAL_RULES = 512
 
 
 def match_fields(articles: DataFrame, exact: bool = False) -> DataFrame:
@@ -64,7 +70,19 @@ def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "auto") -> D
     """Distinct (uid, topic_id) pairs whose keyword hits title or abstract."""
     compiled = compile_rules(rules).select("topic_id", "kw", "pattern", "anchor")
     if method == "auto":
-        method = "broadcast" if compiled.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES else "tokens"
+        n = compiled.limit(MAX_BROADCAST_RULES + 1).count()
+        method = "literal" if n <= MAX_LITERAL_RULES else "broadcast" if n <= MAX_BROADCAST_RULES else "tokens"
+    if method == "literal":
+        # catalogue-sized (checked): each pattern becomes a literal, compiled once per task
+        rows = compiled.limit(MAX_LITERAL_RULES + 1).collect()
+        if len(rows) > MAX_LITERAL_RULES:
+            raise ValueError("rule catalogue too large for the literal strategy")
+        text = F.col("text")
+        hits = [F.when(text.contains(r.kw) & text.rlike(r.pattern), F.lit(r.topic_id)) for r in rows]
+        if not hits:
+            return fields.select("uid", F.lit(None).cast("string").alias("topic_id")).where("false")
+        found = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+        return fields.select("uid", F.explode(found).alias("topic_id")).distinct()
     if method == "broadcast":
         cond = F.expr("contains(text, kw) AND text RLIKE pattern")
         pairs = fields.join(F.broadcast(compiled), cond, "inner")

@@ -179,7 +179,7 @@ def classify_ungated(spark, sf_dir):
                                           *CLASSIFY_VIEWS, extra=SQL_CLASSIFY))
 def classify_gated(spark, sf_dir):
     c = Ctx(spark, sf_dir)
-    return C.classify(c.articles(), c.rules(), c.topics(), c.gates(), method="broadcast")
+    return C.classify(c.articles(), c.rules(), c.topics(), c.gates(), method="literal")
 
 
 @query("classify_ngram_join", "D-7 (token-anchor equi-join)", with_views(

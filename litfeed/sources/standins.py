@@ -15,7 +15,19 @@ EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a driver table. ``<dir>?replicate=<k>`` replicates keyed tables k times
+    (bench only): each row becomes k rows with ``doc_id*k + r`` (a generator, no join),
+    so every derived view grows k-fold, hot keys included."""
+    base, _, opt = sf_dir.partition("?replicate=")
+    df = spark.read.parquet(f"{base}/{name}.parquet")
+    k = int(opt) if opt else 1
+    if k > 1 and "doc_id" in df.columns:
+        cols = [c for c in df.columns if c != "doc_id"]
+        # spread the 1x rows first (a small shuffle), then generate the copies in parallel
+        df = df.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id")
+        df = df.select(F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_r"), *df.columns).select(
+            (F.col("doc_id") * k + F.col("_r")).alias("doc_id"), *cols)
+    return df
 
 
 def _choose(key: Column, values) -> Column:

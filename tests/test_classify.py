@@ -26,7 +26,7 @@ CPP = ("cpp", "g", (), ("C++",))
 DOT = ("dot", "g", (), ("A.B",))
 
 
-@pytest.mark.parametrize("method", ["broadcast", "tokens"])
+@pytest.mark.parametrize("method", ["literal", "broadcast", "tokens"])
 def test_boundaries(spark, method):
     titles = ["High-performance device", "An RF-MEMS filter", "The RF response", "RF2 and RF_filter",
               "Surface\n acoustic   wave resonator", "A surface-acoustic-wave resonator", "A subsurface acoustic waveform",
