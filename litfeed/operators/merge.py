@@ -25,26 +25,34 @@ from litfeed.functions.articles import KNOWN, rank_status, status_rank
 MERGED_FIELDS = ("title", "abstract", "published_at", "article_type", "oa_status")
 
 
-def _field_aggs(f: str, enr: Column) -> list[Column]:
+def _field_aggs(f: str, enr: Column, real: Column) -> list[Column]:
     v = F.col(f)
-    known = KNOWN[f](v)
+    known = KNOWN[f](v) & real
     e = enr & known
     key = F.struct("phase", "seq")
     best_enr = F.max_by(F.when(e, F.struct(v.alias("v"))), F.when(e, key))
     best_known = F.max_by(F.when(known, F.struct(v.alias("v"))), F.when(known, key))
-    first_own = F.min_by(F.when(F.col("phase") == 0, F.struct(v.alias("v"))), F.when(F.col("phase") == 0, F.col("seq")))
+    own = (F.col("phase") == 0) & real
+    first_own = F.min_by(F.when(own, F.struct(v.alias("v"))), F.when(own, F.col("seq")))
     return [F.coalesce(best_enr, best_known, first_own)["v"].alias(f), F.bool_or(e).alias(f"{f}_enriched")]
 
 
 def merge(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enriched") -> DataFrame:
-    """One row per entity from resolved items (``entity, uid, phase, seq`` + fields)."""
-    enr = F.coalesce(F.col(enriched_col), F.lit(False))
+    """One row per entity from resolved items (``entity, uid, phase, seq`` + fields).
+
+    Optional columns: ``<field>_enr`` (per-field provenance flag, else
+    ``enriched_col`` applies to every field) and ``is_alias`` (pseudo-items that
+    only carry a URL -> DOI link; they take part in identity, not in values).
+    """
+    cols = set(resolved.columns)
+    real = ~F.coalesce(F.col("is_alias"), F.lit(False)) if "is_alias" in cols else F.lit(True)
     aggs = [F.max("uid").alias("uid"), F.max("doi").alias("doi")]
     for f in fields:
-        aggs += _field_aggs(f, enr)
+        enr = F.coalesce(F.col(f"{f}_enr") if f"{f}_enr" in cols else F.col(enriched_col), F.lit(False))
+        aggs += _field_aggs(f, enr, real)
     aggs += [
-        F.max_by("journal_id", "seq").alias("journal_id"),
-        F.max_by("url", "seq").alias("normalized_url"),
+        F.max_by("journal_id", F.when(real, F.col("seq"))).alias("journal_id"),
+        F.max_by("url", F.when(real, F.col("seq"))).alias("normalized_url"),
         rank_status(F.max(status_rank(F.col("metadata_status")))).alias("metadata_status"),
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),

@@ -15,7 +15,7 @@ from litfeed.constants import ACCEPTED_PREVIOUS_VERSIONS, SCHEMA_VERSION
 from litfeed.operators import gate as G
 
 POINTER = "CURRENT"
-TABLES = ("articles", "article_tags", "tags", "url_aliases", "events", "journals")
+TABLES = ("articles", "article_tags", "tags", "url_aliases", "applied_items", "journals")
 
 
 def _fs(spark: SparkSession, path: str):

@@ -3,17 +3,21 @@
 ``readStream`` over the landing folder of raw feed bodies, ``trigger
 (availableNow)``, and one ``foreachBatch`` per micro-batch that:
 
-1. parses and canonicalises the new bodies (quarantining bad ones);
-2. unions them with the accumulated item log of the published snapshot,
-   dropping items already applied (key: feed, body seq, item index), so a
-   replayed body changes nothing (J-4);
-3. resolves entities and merges fields over the whole log (same result as
-   applying items one by one, independent of how history was split into
-   batches), retags everything (J-5), writes a new snapshot, gates the
-   written data and only then moves the pointer.
-
-The stream checkpoint replaces the per-feed validator bookkeeping; feed
-state itself (F-2) is recomputed from the fetch log by ``feedstate``.
+1. parses and canonicalises the new bodies (quarantining bad ones), drops
+   items already applied (key: feed, body seq, item index; J-4);
+2. finds the stored articles the batch touches: same DOI, or a URL alias of a
+   batch URL (one hop is enough: identities are stars);
+3. folds the batch into just those entities: each touched article enters as
+   one state item carrying its values and provenance flags, its aliases as
+   link-only items, all ordered before the batch, then ``identity.resolve`` +
+   ``merge.merge`` (stored UIDs survive). Untouched articles, their aliases
+   and their tag links are carried over unchanged; only touched entities are
+   retagged (same result as retagging all, J-5);
+4. writes the new snapshot, gates the written data, then moves the pointer.
+
+Work per batch is proportional to the batch and the entities it touches, not
+to the whole history. Any time-ordered split of the history gives the same
+snapshot as one batch (``tests/test_stream.py``).
 """
 
 from __future__ import annotations
@@ -21,34 +25,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litfeed.constants import ENRICHABLE_FIELD_ORDER
+from litfeed.functions.articles import short_sha256
 from litfeed.operators import classify as C
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
 from litfeed.operators import snapshot as SN
+from litfeed.operators.util import bounded_broadcast
 from litfeed.session import checkpoint_dir
 from litfeed.sources import feeds as FD
 
 ITEM_KEY = ("journal_id", "seq", "item_index")
-EVENT_COLUMNS = ("seq", "item_index", "journal_id", "feed_url", "source_feed_url", "doi", "title", "abstract",
-                 "authors", "published_at", "article_type", "article_url", "normalized_url", "oa_status",
-                 "metadata_status", "enriched_fields", "uid", "batch_id")
-
-
-def build_articles(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Item log -> (articles, url_aliases). Items are ordered by (batch, body seq, index)."""
-    ordered = events.withColumn("ord", F.col("batch_id") * F.lit(1 << 40) + F.col("seq") * F.lit(1 << 16) + F.col("item_index"))
-    items = ordered.select(F.col("ord").alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id",
-                           "title", "abstract", "published_at", "article_type", "oa_status", "metadata_status",
-                           F.lit(False).alias("enriched"), "article_url", "source_feed_url", "authors")
+FIELDS = ENRICHABLE_FIELD_ORDER
+ARTICLE_COLUMNS = ("uid", "doi", "journal_id", "title", "abstract", "authors", "published_at", "article_type",
+                   "article_url", "normalized_url", "oa_status", "source_feed_url", "metadata_status", "enriched_fields")
+BATCH_SPAN = 1 << 40
+
+
+def _batch_items(events: DataFrame, batch_id: int) -> DataFrame:
+    ordk = F.lit(batch_id).cast("bigint") * F.lit(BATCH_SPAN) + F.col("seq") * F.lit(1 << 16) + F.col("item_index")
+    ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
+    return events.select(
+        ordk.alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
+        *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
+        "metadata_status", "article_url", "source_feed_url",
+        F.lit(False).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"))
+
+
+def _state_items(articles: DataFrame, aliases: DataFrame, base: int) -> DataFrame:
+    ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
+    st = articles.select(
+        F.lit(base - 2).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
+        *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
+        "metadata_status", "article_url", "source_feed_url",
+        F.lit(False).alias("is_alias"), F.col("uid").alias("stored_uid"))
+    al = aliases.join(articles.select(F.col("uid").alias("article_uid"), "doi"), "article_uid").select(
+        F.lit(base - 1).alias("seq"), F.col("normalized_url").alias("url"), "doi",
+        F.lit(None).cast("string").alias("journal_id"), *[F.lit(None).cast(articles.schema[f].dataType).alias(f) for f in FIELDS],
+        *[F.lit(False).alias(f"{f}_enr") for f in FIELDS], F.lit(None).cast("string").alias("metadata_status"),
+        F.lit(None).cast("string").alias("article_url"), F.lit(None).cast("string").alias("source_feed_url"),
+        F.lit(True).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"))
+    return st.unionByName(al)
+
+
+def fold_entities(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """State + batch items of the touched entities -> (articles, url_aliases)."""
     resolved = I.resolve(items)
-    merged = M.merge(resolved)
-    extra = resolved.groupBy("entity").agg(F.max_by("article_url", "seq").alias("article_url"),
-                                           F.max_by("source_feed_url", "seq").alias("source_feed_url"),
-                                           F.max_by("authors", "seq").alias("authors"))
-    articles = merged.join(extra, "entity").select(
-        "uid", "doi", "journal_id", "title", "abstract", "authors", "published_at", "article_type", "article_url",
-        "normalized_url", "oa_status", "source_feed_url", "metadata_status", "enriched_fields")
-    return articles, I.alias_table(items)
+    keep = resolved.groupBy("entity").agg(
+        F.max(F.when(F.col("stored_uid").isNotNull() & F.col("doi").isNotNull(), F.col("stored_uid"))).alias("su_doi"),
+        F.max(F.when(F.col("stored_uid").isNotNull() & (F.col("url") == F.col("f_url")), F.col("stored_uid"))).alias("su_f"),
+        F.max("stored_uid").alias("su_any"), F.max("doi").alias("e_doi"))
+    resolved = resolved.join(keep, "entity").withColumn(
+        "uid", F.coalesce("su_doi", "su_f", F.when(F.col("e_doi").isNull(), F.col("su_any")), F.col("uid")))
+    merged = M.merge(resolved, fields=FIELDS)
+    real = ~F.col("is_alias")
+    extra = resolved.groupBy("entity").agg(
+        F.max_by("article_url", F.when(real, F.col("seq"))).alias("article_url"),
+        F.max_by("source_feed_url", F.when(real, F.col("seq"))).alias("source_feed_url"))
+    articles = merged.join(extra, "entity").select(*ARTICLE_COLUMNS)
+    aliases = resolved.select(F.col("url").alias("normalized_url"), F.col("uid").alias("article_uid")).distinct()
+    return articles, aliases
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
@@ -57,30 +93,49 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``."""
     base_prev = SN.current(spark, root)
     target = SN.snapshot_path(root, batch_id + 1)
-    if base_prev == target:  # this micro-batch was already published (replayed batch id)
+    if base_prev == target:  # this micro-batch was already published (re-executed batch id)
         return {"batch_id": batch_id, "skipped": True}
     checkpoint_dir(spark)
-    parsed = FD.parse_feeds(batch)
-    events = FD.canonicalize(parsed, journals)
+    events = FD.canonicalize(FD.parse_feeds(batch), journals)
     if enricher is not None:
         events = events.transform(enricher)
-    # the Arrow-heavy canonical events are computed once and read back by every consumer
-    good = (events.where(F.col("error_class").isNull()).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .select(*EVENT_COLUMNS).checkpoint(eager=True))
+    good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY))
+    if base_prev is not None:
+        applied = SN.read_table(spark, base_prev, "applied_items")
+        good = good.join(applied, list(ITEM_KEY), "left_anti")
+    good = good.checkpoint(eager=True)  # Arrow-heavy canonical events: computed once
+    new_items = _batch_items(good, batch_id)
+    keys = good.select(*ITEM_KEY)
+
     if base_prev is not None:
-        log = SN.read_table(spark, base_prev, "events").select(*EVENT_COLUMNS)
-        fresh = good.join(log.select(*ITEM_KEY), list(ITEM_KEY), "left_anti")
-        log = log.unionByName(fresh)
+        old_arts = SN.read_table(spark, base_prev, "articles")
+        old_alias = SN.read_table(spark, base_prev, "url_aliases")
+        old_links = SN.read_table(spark, base_prev, "article_tags")
+        b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
+        b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
+        touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
+                   .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
+        t_arts = old_arts.join(touched, "uid", "left_semi")
+        t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
+        items = _state_items(t_arts, t_alias, batch_id * BATCH_SPAN).unionByName(new_items)
+        folded, f_alias = fold_entities(items)
+        folded = folded.checkpoint(eager=True)
+        articles = old_arts.join(touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(folded)
+        aliases = (old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
+                   .select("normalized_url", "article_uid").unionByName(f_alias))
+        links = (old_links.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
+                 .select("article_uid", "tag_id").unionByName(C.classify(folded, rules, topics, gates)))
+        applied = applied.unionByName(keys)
     else:
-        log = good.dropDuplicates(list(ITEM_KEY))
-    log = log.checkpoint(eager=True)
-    articles, aliases = build_articles(log)
-    articles = articles.checkpoint(eager=True)
-    links = C.classify(articles, rules, topics, gates)
+        articles, aliases = fold_entities(new_items)
+        articles = articles.checkpoint(eager=True)
+        links = C.classify(articles, rules, topics, gates)
+        applied = keys
+    links = links.checkpoint(eager=True)
     tags = topics.select(F.col("topic_id").alias("id"), "label").join(
         links.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
     SN.write_snapshot({"articles": articles, "article_tags": links, "tags": tags, "url_aliases": aliases,
-                       "events": log, "journals": journals}, root, batch_id + 1)
+                       "applied_items": applied, "journals": journals}, root, batch_id + 1)
     report = SN.gate(spark, target, base_prev)
     if report["publishable"]:
         SN.publish(spark, root, target)
