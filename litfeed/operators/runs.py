@@ -55,7 +55,8 @@ def item_errors(checks: DataFrame) -> DataFrame:
     """F-5: one row per failed item with its index inside the feed body."""
     o = feed_outcome(checks).where(F.col("item_errors") > 0)
     return o.select("run_id", "seq", F.substring("feed_id", 1, MAX_IDENTIFIER_LENGTH).alias("feed_id"),
-                    F.posexplode(F.array_repeat(F.lit("ItemError"), F.col("item_errors").cast("int"))).alias("item_index", "error"))
+                    F.posexplode(F.array_repeat(F.lit("ItemError"), F.col("item_errors").cast("int"))).alias("item_index", "error")) \
+        .withColumn("item_index", F.col("item_index").cast("bigint"))
 
 
 def run_notes(checks: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def run_notes(checks: DataFrame) -> DataFrame:
     """
     e = item_errors(checks)
     w = Window.partitionBy("run_id").orderBy("seq", "item_index")
-    top = e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MAX_ITEM_ERRORS)
+    top = e.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= MAX_ITEM_ERRORS)
     counts = e.groupBy("run_id").agg(F.greatest(F.count(F.lit(1)) - MAX_ITEM_ERRORS, F.lit(0)).alias("omitted_item_errors"))
     return top.join(counts, "run_id").select("run_id", "rn", "feed_id", "item_index", "error", "omitted_item_errors")
 
@@ -75,7 +76,7 @@ def run_feed_lists(checks: DataFrame) -> DataFrame:
     """E-6 feed lists: first 100 successful / failed feeds per run and omitted counts."""
     o = feed_outcome(checks).withColumn("kind", F.when(F.col("outcome") == "error", "failed").otherwise("successful"))
     w = Window.partitionBy("run_id", "kind").orderBy("seq")
-    top = o.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MAX_NOTE_FEEDS)
+    top = o.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= MAX_NOTE_FEEDS)
     counts = o.groupBy("run_id", "kind").agg(F.greatest(F.count(F.lit(1)) - MAX_NOTE_FEEDS, F.lit(0)).alias("omitted"))
     return top.join(counts, ["run_id", "kind"]).select(
         "run_id", "kind", "rn", F.substring("feed_id", 1, MAX_IDENTIFIER_LENGTH).alias("feed_id"), "omitted")

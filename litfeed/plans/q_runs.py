@@ -20,7 +20,7 @@ _O = {"q_o": f"SELECT *, {_OUTCOME} AS outcome FROM v_fetches"}
 @query("feed_status_by_feed", "E-9", with_views("""
 SELECT feed_id, count(*) AS n_checks, count(*) FILTER (WHERE outcome = 'ok') AS n_ok,
   count(*) FILTER (WHERE outcome = 'not_modified') AS n_not_modified, count(*) FILTER (WHERE outcome = 'partial') AS n_partial,
-  count(*) FILTER (WHERE outcome = 'error') AS n_error, sum(item_errors) AS item_errors, arg_max(outcome, seq) AS last_outcome
+  count(*) FILTER (WHERE outcome = 'error') AS n_error, CAST(sum(item_errors) AS BIGINT) AS item_errors, arg_max(outcome, seq) AS last_outcome
 FROM q_o GROUP BY feed_id""", "v_fetches", extra=_O))
 def feed_status_by_feed(spark, sf_dir):
     return R.feed_status_by_feed(Ctx(spark, sf_dir).fetches())
@@ -32,7 +32,7 @@ SELECT run_id, feeds_checked, successful_feeds, failed_feeds, item_failures, ite
        WHEN item_failures + failed_feeds > 0 THEN 'partial' ELSE 'ok' END AS status
 FROM (SELECT run_id, count(*) AS feeds_checked, count(*) FILTER (WHERE outcome <> 'error') AS successful_feeds,
         count(*) FILTER (WHERE outcome = 'error') AS failed_feeds,
-        sum(CASE WHEN outcome <> 'error' THEN item_errors ELSE 0 END) AS item_failures
+        CAST(sum(CASE WHEN outcome <> 'error' THEN item_errors ELSE 0 END) AS BIGINT) AS item_failures
       FROM q_o GROUP BY run_id)"""
 
 

@@ -36,21 +36,21 @@ def search_text_ascii(spark, sf_dir):
     return _listing(S.filtered(c.articles(), c.journals(), None, REQ_TEXT))
 
 
-REQ_DATES = S.SearchRequest(date_from="2024-01-20", date_to="2024-02-10")
+REQ_DATES = S.SearchRequest(date_from="2024-01-05", date_to="2024-01-10")
 
 
 @query("search_date_range", "C-2",
-       _sql_listing("CAST(a.published_at AS DATE) >= DATE '2024-01-20' AND CAST(a.published_at AS DATE) <= DATE '2024-02-10'"))
+       _sql_listing("CAST(a.published_at AS DATE) >= DATE '2024-01-05' AND CAST(a.published_at AS DATE) <= DATE '2024-01-10'"))
 def search_date_range(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return _listing(S.filtered(c.articles(), c.journals(), None, REQ_DATES))
 
 
-REQ_FACETS = S.SearchRequest(publisher="aip", article_type="research", oa_status="open")
+REQ_FACETS = S.SearchRequest(publisher="aaas", article_type="research", oa_status="open")
 
 
 @query("search_facets", "C-3, D-2",
-       _sql_listing("j.publisher = 'aip' AND a.article_type = 'research' AND a.oa_status = 'open'"))
+       _sql_listing("j.publisher = 'aaas' AND a.article_type = 'research' AND a.oa_status = 'open'"))
 def search_facets(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return _listing(S.filtered(c.articles(), c.journals(), None, REQ_FACETS))
@@ -121,11 +121,11 @@ def search_page_oldest(spark, sf_dir):
     return _page(spark, sf_dir, REQ_OLDEST)
 
 
-REQ_LAST_PAGE = S.SearchRequest(query="ZZZ-unlikely", page=7)
+REQ_LAST_PAGE = S.SearchRequest(query="Eaux", page=99)
 
 
-@query("search_page_clamped", "G-3 (empty result -> page 1)",
-       _page_sql(f"contains(translate({_SEARCH_TEXT}, {_ASCII}), 'zzz-unlikely')", _LATEST.replace("a.", ""), 7, 20))
+@query("search_page_clamped", "G-3 (page past the end -> last page)",
+       _page_sql(f"contains(translate({_SEARCH_TEXT}, {_ASCII}), translate('Eaux', {_ASCII}))", _LATEST.replace("a.", ""), 99, 20))
 def search_page_clamped(spark, sf_dir):
     return _page(spark, sf_dir, REQ_LAST_PAGE)
 

@@ -202,7 +202,7 @@ SELECT doc_id, array_to_string(kept, '|') AS authors, len(kept) AS n_authors FRO
 def authors_distinct(spark, sf_dir):
     d = Ctx(spark, sf_dir).table("documents")
     kept = AF.distinct_authors(F.split(F.substring("text", 1, 60), " ", -1))
-    return d.select("doc_id", F.array_join(kept, "|").alias("authors"), F.size(kept).alias("n_authors"))
+    return d.select("doc_id", F.array_join(kept, "|").alias("authors"), F.size(kept).cast("bigint").alias("n_authors"))
 
 
 # ---------------- provenance (B-19) ----------------
@@ -225,4 +225,4 @@ FROM (SELECT seq, list_filter([CASE WHEN seq % 2 = 1 THEN 'oa_status' END, CASE
 def provenance_order(spark, sf_dir):
     i = Ctx(spark, sf_dir).items().select("seq", _raw_fields_spark().alias("raw"))
     return i.select("seq", F.array_join(AF.provenance_order(F.col("raw")), ",").alias("enriched_fields"),
-                    F.size(F.filter("raw", lambda f: ~f.isin(*ENRICHABLE_FIELD_ORDER))).alias("n_unknown"))
+                    F.size(F.filter("raw", lambda f: ~f.isin(*ENRICHABLE_FIELD_ORDER))).cast("bigint").alias("n_unknown"))

@@ -80,7 +80,7 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", "error")
     return ev.select(
         F.col("event_id").alias("seq"),
-        (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).alias("run_id"),
+        (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).cast("bigint").alias("run_id"),
         F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("feed_id"),
         F.col("ts").alias("checked_at"),
         status.alias("status"),
