@@ -104,6 +104,9 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
         applied = SN.read_table(spark, base_prev, "applied_items")
         good = good.join(applied, list(ITEM_KEY), "left_anti")
     good = good.checkpoint(eager=True)  # Arrow-heavy canonical events: computed once
+    if base_prev is not None and good.limit(1).count() == 0:
+        # nothing new (e.g. replayed bodies): the published snapshot already is the answer
+        return {"batch_id": batch_id, "published": False, "no_change": True}
     new_items = _batch_items(good, batch_id)
     keys = good.select(*ITEM_KEY)
 
