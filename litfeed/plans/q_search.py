@@ -197,3 +197,16 @@ SELECT (SELECT count(*) FROM v_articles) AS articles_scanned,
 def classification_summary(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return C.classification_summary(c.articles(), c.article_tags())
+
+
+REQ_KEYSET = S.SearchRequest(oa_status="closed", page_size=25)
+
+
+@query("search_keyset_page", "G-1, G-3 (keyset page after a cursor)", _sql_listing(
+    "a.oa_status = 'closed' AND (a.published_at IS NULL OR a.published_at < TIMESTAMP '2024-01-10 00:00:00' "
+    "OR (a.published_at = TIMESTAMP '2024-01-10 00:00:00' AND a.uid < 'doc:649')) "
+    "ORDER BY (a.published_at IS NULL) ASC, a.published_at DESC, a.uid DESC LIMIT 25"))
+def search_keyset_page(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    rows = S.page_after(c.articles(), c.journals(), None, REQ_KEYSET, "2024-01-10 00:00:00", "doc:649")
+    return _listing(rows)

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
-from litfeed.functions.articles import short_sha256
 from litfeed.operators import classify as C
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M

@@ -12,7 +12,6 @@ is not.
 import hashlib
 import random
 
-from pyspark.sql import functions as F
 
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
