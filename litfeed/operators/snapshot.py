@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import ACCEPTED_PREVIOUS_VERSIONS, SCHEMA_VERSION
 from litfeed.operators import gate as G
+from litfeed.schemas import SNAPSHOT
 
 POINTER = "CURRENT"
-TABLES = ("articles", "article_tags", "tags", "url_aliases", "applied_items", "journals")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -75,12 +75,32 @@ def current(spark: SparkSession, root: str) -> str | None:
     return _read_text(spark, f"{root.rstrip('/')}/{POINTER}")
 
 
+def missing_columns(spark: SparkSession, base: str) -> list[str]:
+    """Q-2: required tables and columns of a written snapshot (``table.column``)."""
+    out = []
+    for name, schema in SNAPSHOT.items():
+        try:
+            have = set(read_table(spark, base, name).columns)
+        except Exception:  # table directory absent or unreadable
+            out.append(name)
+            continue
+        out += [f"{name}.{f.name}" for f in schema.fields if f.name not in have]
+    return out
+
+
 def open_snapshot(spark: SparkSession, root: str, table: str = "articles") -> DataFrame:
-    """A-15: the published table; fails when nothing is published or it is empty."""
+    """A-15: the published table read with its expected schema; fails when nothing is
+    published, a required column is missing, or the article table is empty."""
     base = current(spark, root)
     if base is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
     df = read_table(spark, base, table)
+    if table in SNAPSHOT:
+        expected = SNAPSHOT[table]
+        lacking = [f.name for f in expected.fields if f.name not in df.columns]
+        if lacking:
+            raise ValueError(f"snapshot table {table} lacks columns {lacking}")
+        df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in expected.fields])
     if table == "articles" and df.limit(1).count() == 0:
         raise ValueError("published snapshot is empty")
     return df
@@ -91,6 +111,7 @@ def gate(spark: SparkSession, base: str, previous: str | None) -> dict:
     arts = read_table(spark, base, "articles")
     journals = read_table(spark, base, "journals")
     report = G.quality_report(arts, journals).first().asDict()
+    report["missing"] = missing_columns(spark, base)
     version = _read_text(spark, f"{base}/_VERSION")
     report["version_ok"] = version is not None and int(version) == SCHEMA_VERSION
     report["count_ok"] = True
@@ -99,7 +120,7 @@ def gate(spark: SparkSession, base: str, previous: str | None) -> dict:
         report["version_ok"] &= prev_version is not None and int(prev_version) in ACCEPTED_PREVIOUS_VERSIONS
         cd = G.count_drop(read_table(spark, previous, "articles"), arts).first()
         report["count_ok"] = bool(cd.passed)
-    report["publishable"] = bool(report["passed"] and report["version_ok"] and report["count_ok"])
+    report["publishable"] = bool(report["passed"] and report["version_ok"] and report["count_ok"] and not report["missing"])
     return report
 
 
