@@ -36,13 +36,17 @@ def single_row(*aggs: DataFrame) -> DataFrame:
 
 
 def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a CPU-heavy input that arrives in fewer partitions than the cluster
-    has cores (e.g. one large row group) by hashing on ``keys``.
+    """Spread a CPU-heavy input that comes from fewer files than the cluster has
+    cores (e.g. one file with a single large row group) by hashing on ``keys``.
 
-    Decided at plan time from the partition count; a wide input at scale is left
-    as it is, so no shuffle is added there.
+    Decided from the plan's input file list (no job is run); a dataset of many
+    files at scale is left as it is, so no shuffle is added there.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        files = len(df.inputFiles())
+    except Exception:  # non-file sources: leave the plan alone
+        return df
+    if files == 0 or files >= want:
         return df
     return df.repartition(want, *keys)

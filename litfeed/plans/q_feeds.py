@@ -32,7 +32,8 @@ def feed_canonical(spark, sf_dir):
 
 @query("html_clean_pages", "B-1")
 def html_clean_pages(spark, sf_dir):
-    p = Ctx(spark, sf_dir).table("pages")
+    from litfeed.operators.util import ensure_parallel
+    p = ensure_parallel(Ctx(spark, sf_dir).table("pages").select("page_id", "html"), "page_id")
     return p.select("page_id", clean_text(F.col("html")).alias("text"))
 
 
