@@ -66,9 +66,9 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int) -> str:
     return base
 
 
-def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, base: str, name: str, keep_partition: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{base}/{name}")
-    return df.drop("published_month") if "published_month" in df.columns else df
+    return df.drop("published_month") if "published_month" in df.columns and not keep_partition else df
 
 
 def current(spark: SparkSession, root: str) -> str | None:
@@ -94,13 +94,15 @@ def open_snapshot(spark: SparkSession, root: str, table: str = "articles") -> Da
     base = current(spark, root)
     if base is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
-    df = read_table(spark, base, table)
+    df = read_table(spark, base, table, keep_partition=True)
     if table in SNAPSHOT:
         expected = SNAPSHOT[table]
         lacking = [f.name for f in expected.fields if f.name not in df.columns]
         if lacking:
             raise ValueError(f"snapshot table {table} lacks columns {lacking}")
-        df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in expected.fields])
+        # the month partition column is kept so date filters prune whole directories
+        extra = [df["published_month"]] if "published_month" in df.columns else []
+        df = df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in expected.fields], *extra)
     if table == "articles" and df.limit(1).count() == 0:
         raise ValueError("published snapshot is empty")
     return df
