@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litfeed.functions.text import CASEFOLD_EXTRA, TOKEN_CLASS
 from litfeed.operators import classify as C
-from litfeed.session import checkpoint_dir, ensure_utc
+from litfeed.session import checkpoint_dir, ensure_utc, ship_package
 from litfeed.sources import catalog, standins
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -27,6 +27,7 @@ class Ctx:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         ensure_utc(spark)
+        ship_package(spark)
         self.spark, self.sf_dir = spark, sf_dir
         self._memo: dict[str, DataFrame] = {}
 

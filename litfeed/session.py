@@ -26,9 +26,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_utc(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``litfeed`` importable in every Python worker (Arrow UDFs, mapInPandas,
+    applyInPandas): zip the package once per SparkContext and add it with
+    ``addPyFile`` so Spark distributes it with the job."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="litfeed-pkg-"), "litfeed.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """All timestamps in the data model are UTC instants; format them in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
