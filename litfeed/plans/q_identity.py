@@ -52,13 +52,23 @@ SELECT k.*, s.uid, CASE WHEN k.link_seq IS NOT NULL AND k.url <> s.f_url AND k.s
 FROM q_keyed k JOIN q_surv s ON s.entity = k.entity""", "q_ord": """
 SELECT *, row_number() OVER (PARTITION BY entity ORDER BY phase, seq) AS ord FROM q_ph"""}
 
-_KNOWN_SQL = {
-    "title": "coalesce(title IS NOT NULL AND {k} <> '' AND {k} NOT IN ('na', 'no title', 'not available', 'title unavailable', 'unknown', 'untitled'), false)",
-    "abstract": "coalesce(abstract IS NOT NULL AND {k} <> '' AND {k} NOT IN ('abstract unavailable', 'na', 'no abstract', 'no abstract available', 'not available', 'unknown', 'unknown abstract'), false)",
-    "published_at": "published_at IS NOT NULL",
-    "article_type": "coalesce(trim(article_type) <> '' AND lower(article_type) <> 'other', false)",
-    "oa_status": "coalesce(oa_status IN ('open', 'closed'), false)",
-}
+_TITLE_NA = "('na', 'no title', 'not available', 'title unavailable', 'unknown', 'untitled')"
+_ABSTRACT_NA = ("('abstract unavailable', 'na', 'no abstract', 'no abstract available', 'not available', 'unknown', "
+                "'unknown abstract')")
+
+
+def _known_sql(f: str, col: str | None = None) -> str:
+    """Meaningful-value predicate of field ``f`` evaluated on column ``col`` (default: the field itself)."""
+    c = col or f
+    if f == "title":
+        return f"coalesce({c} IS NOT NULL AND {_key(c)} <> '' AND {_key(c)} NOT IN {_TITLE_NA}, false)"
+    if f == "abstract":
+        return f"coalesce({c} IS NOT NULL AND {_key(c)} <> '' AND {_key(c)} NOT IN {_ABSTRACT_NA}, false)"
+    if f == "published_at":
+        return f"{c} IS NOT NULL"
+    if f == "article_type":
+        return f"coalesce(trim({c}) <> '' AND lower({c}) <> 'other', false)"
+    return f"coalesce({c} IN ('open', 'closed'), false)"
 
 
 def _key(x):
@@ -68,7 +78,7 @@ def _key(x):
 def _merge_sql():
     cols = []
     for f in M.MERGED_FIELDS:
-        known = _KNOWN_SQL[f].format(k=_key(f))
+        known = _known_sql(f)
         val = sql_ts(f) if f == "published_at" else f
         cols.append(f"""coalesce((arg_max({{'v': {val}}}, ord) FILTER (WHERE enriched AND {known})).v,
   (arg_max({{'v': {val}}}, ord) FILTER (WHERE {known})).v, (arg_min({{'v': {val}}}, seq) FILTER (WHERE phase = 0)).v) AS {f},
@@ -108,7 +118,7 @@ def conflict_keys(spark, sf_dir):
 
 def _outcome_sql():
     fields = M.MERGED_FIELDS
-    kn = {f: _KNOWN_SQL[f].format(k=_key(f)) for f in fields}
+    kn = {f: _known_sql(f) for f in fields}
     val = {f: (sql_ts(f) if f == "published_at" else f) for f in fields}
     base_cols = ", ".join(f"{kn[f]} AS k_{f}, enriched AND {kn[f]} AS e_{f}, {val[f]} AS v_{f}" for f in fields)
     fin = ", ".join(
@@ -116,7 +126,7 @@ def _outcome_sql():
         f"(arg_min({{'v': v_{f}}}, seq)).v) AS fin_{f}, bool_or(e_{f}) AS fenr_{f}" for f in fields)
     ent = ", ".join(
         f"arg_min({{'t': link, 'v': fin_{f}}}, link) FILTER (WHERE fenr_{f}) AS a_e_{f}, "
-        f"arg_min({{'t': link, 'v': fin_{f}}}, link) FILTER (WHERE {_KNOWN_SQL[f].format(k=_key('fin_' + f)).replace(f + ' IS NOT NULL', 'fin_' + f + ' IS NOT NULL').replace('trim(' + f + ')', 'trim(fin_' + f + ')').replace('lower(' + f + ')', 'lower(fin_' + f + ')').replace(f + ' IN', 'fin_' + f + ' IN')}) AS a_k_{f}, "
+        f"arg_min({{'t': link, 'v': fin_{f}}}, link) FILTER (WHERE {_known_sql(f, 'fin_' + f)}) AS a_k_{f}, "
         f"min(link) FILTER (WHERE fenr_{f}) AS a_flag_{f}" for f in fields)
     w = "OVER (PARTITION BY lifetime ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     carries = ", ".join(
