@@ -90,13 +90,19 @@ def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "auto") -> D
         toks = fields.select(
             "uid", "field",
             F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{TOKEN_CLASS}]+"), 0))).alias("token"))
-        anchored = compiled.where(F.col("anchor").isNotNull())
+        anchored = bounded_broadcast(compiled.where(F.col("anchor").isNotNull()))
         cands = toks.join(anchored, toks.token == anchored.anchor).select("uid", "field", "topic_id", "kw", "pattern")
-        pairs = cands.join(fields, ["uid", "field"]).where(F.expr("contains(text, kw) AND text RLIKE pattern"))
+        # one row per (uid, field) with its candidate rules, so the text is joined once, not once per candidate
+        per_field = cands.groupBy("uid", "field").agg(
+            F.collect_set(F.struct("topic_id", "kw", "pattern")).alias("cands"))
+        checked = per_field.join(fields, ["uid", "field"]).select(
+            "uid", F.explode(F.filter("cands", lambda c: F.contains(F.col("text"), c["kw"])
+                                      & F.rlike(F.col("text"), c["pattern"]))).alias("c"))
+        pairs = checked.select("uid", F.col("c.topic_id").alias("topic_id"))
         # keywords without any token character cannot be anchored: test them directly
         loose = compiled.where(F.col("anchor").isNull()).select("topic_id", "kw", "pattern")
         loose_pairs = fields.join(bounded_broadcast(loose), F.expr("contains(text, kw) AND text RLIKE pattern"))
-        pairs = pairs.select("uid", "topic_id").unionByName(loose_pairs.select("uid", "topic_id"))
+        pairs = pairs.unionByName(loose_pairs.select("uid", "topic_id"))
     else:
         raise ValueError(f"unknown method {method!r}")
     return pairs.select("uid", "topic_id").distinct()
