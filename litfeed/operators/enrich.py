@@ -22,7 +22,8 @@ def _kind(v: Column, path: str) -> Column:
 
 def parse_crossref(crossref: DataFrame) -> DataFrame:
     """(doi, cr_ok, cr_titles, cr_authors, cr_abstract, cr_type) — one row per DOI."""
-    v = F.try_parse_json("payload")
+    crossref = crossref.withColumn("_v", F.try_parse_json("payload"))  # parsed once, read by every extractor
+    v = F.col("_v")
     ok = (F.col("http_status").between(200, 299) & (F.octet_length("payload") <= MAX_METADATA_BYTES)
           & _kind(v, "$.message").startswith("OBJECT"))
     tkind = _kind(v, "$.message.title")
@@ -39,7 +40,8 @@ def parse_crossref(crossref: DataFrame) -> DataFrame:
 
 def parse_unpaywall(unpaywall: DataFrame) -> DataFrame:
     """(doi, up_ok, up_is_oa): ``is_oa`` must be a real JSON boolean."""
-    v = F.try_parse_json("payload")
+    unpaywall = unpaywall.withColumn("_v", F.try_parse_json("payload"))
+    v = F.col("_v")
     ok = (F.col("http_status").between(200, 299) & (F.octet_length("payload") <= MAX_METADATA_BYTES)
           & (_kind(v, "$.is_oa") == "BOOLEAN"))
     return unpaywall.select("doi", F.coalesce(ok, F.lit(False)).alias("up_ok"),
