@@ -78,3 +78,52 @@ def state_history(checks: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
                       F.col("state_last_modified").alias("last_modified"),
                       F.col("checked_at").alias("last_checked_at"), "last_success_at",
                       F.col("status").alias("last_status"), F.when(~ok, F.col("error")).alias("last_error"))
+
+
+def batch_checks(raw: DataFrame, parsed: DataFrame, events: DataFrame) -> DataFrame:
+    """One check per landed body: not_modified / error (unusable body) / partial
+    (item errors) / ok, with the validators the response carried."""
+    body_err = parsed.where(F.col("error_class").isNotNull()).select("feed_id", "seq", F.col("error_class").alias("body_error"))
+    item_err = (events.where(F.col("error_class").isNotNull())
+                .groupBy(F.col("journal_id").alias("feed_id"), "seq").agg(F.count(F.lit(1)).alias("n_item_errors")))
+    r = raw.select("feed_id", "seq", "etag", "last_modified", "not_modified") \
+        .join(body_err, ["feed_id", "seq"], "left").join(item_err, ["feed_id", "seq"], "left")
+    status = (F.when(F.col("not_modified"), "not_modified").when(F.col("body_error").isNotNull(), "error")
+              .when(F.coalesce("n_item_errors", F.lit(0)) > 0, "partial").otherwise("ok"))
+    error = F.when(F.col("body_error").isNotNull(), F.col("body_error")) \
+        .when(F.coalesce("n_item_errors", F.lit(0)) > 0, F.concat(F.col("n_item_errors").cast("string"), F.lit(" item error(s)")))
+    # a partial or failed check passes no validators on (they are only stored on ok / not_modified)
+    keep_validators = F.col("not_modified") | (status == "ok")
+    return r.select("feed_id", "seq", status.alias("status"), error.alias("error"),
+                    F.when(keep_validators, F.col("etag")).alias("etag"),
+                    F.when(keep_validators, F.col("last_modified")).alias("last_modified"),
+                    F.current_timestamp().alias("checked_at"))
+
+
+def fold_state(previous: DataFrame | None, checks: DataFrame) -> DataFrame:
+    """J-2: previous feed state + this batch's checks -> new state (same rules as ``final_state``)."""
+    ok = F.col("status").isin(*SUCCESSFUL_FEED_STATUSES)
+    b = checks.groupBy("feed_id").agg(
+        F.bool_or(_sets("etag")).alias("etag_set"),
+        F.max_by(F.when(_sets("etag"), F.struct("etag")), F.when(_sets("etag"), F.col("seq")))["etag"].alias("b_etag"),
+        F.bool_or(_sets("last_modified")).alias("lm_set"),
+        F.max_by(F.when(_sets("last_modified"), F.struct("last_modified")),
+                 F.when(_sets("last_modified"), F.col("seq")))["last_modified"].alias("b_lm"),
+        F.max_by("checked_at", "seq").alias("b_checked"),
+        F.max(F.when(ok, F.col("checked_at"))).alias("b_success"),
+        F.max_by("status", "seq").alias("b_status"),
+        F.max_by(F.when(~ok, F.col("error")), "seq").alias("b_error"))
+    if previous is None:
+        return b.select("feed_id", F.col("b_etag").alias("etag"), F.col("b_lm").alias("last_modified"),
+                        F.col("b_checked").alias("last_checked_at"), F.col("b_success").alias("last_success_at"),
+                        F.col("b_status").alias("last_status"), F.col("b_error").alias("last_error"))
+    j = previous.join(b, "feed_id", "full_outer")
+    seen = F.col("b_status").isNotNull()
+    return j.select(
+        "feed_id",
+        F.when(F.coalesce("etag_set", F.lit(False)), F.col("b_etag")).otherwise(F.col("etag")).alias("etag"),
+        F.when(F.coalesce("lm_set", F.lit(False)), F.col("b_lm")).otherwise(F.col("last_modified")).alias("last_modified"),
+        F.coalesce("b_checked", "last_checked_at").alias("last_checked_at"),
+        F.coalesce("b_success", "last_success_at").alias("last_success_at"),
+        F.coalesce("b_status", "last_status").alias("last_status"),
+        F.when(seen, F.col("b_error")).otherwise(F.col("last_error")).alias("last_error"))

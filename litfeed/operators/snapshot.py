@@ -49,9 +49,10 @@ def snapshot_path(root: str, run_id: int) -> str:
     return f"{root.rstrip('/')}/snapshot={run_id}"
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int) -> str:
-    """Write every table of one run. Articles are clustered by uid within
-    monthly ``published_month`` partitions, so date filters prune files."""
+def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int, parent: str | None = None) -> str:
+    """Write the tables of one run. Articles are clustered by uid within
+    monthly ``published_month`` partitions, so date filters prune files.
+    Tables not given are inherited from ``parent`` (recorded in ``_PARENT``)."""
     base = snapshot_path(root, run_id)
     for name, df in tables.items():
         w = df
@@ -63,11 +64,26 @@ def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int) -> str:
             w.write.mode("overwrite").parquet(f"{base}/{name}")
     spark = next(iter(tables.values())).sparkSession
     _write_text(spark, f"{base}/_VERSION", str(SCHEMA_VERSION))
+    if parent is not None:
+        _write_text(spark, f"{base}/_PARENT", parent)
     return base
 
 
+def _resolve(spark: SparkSession, base: str, name: str) -> str:
+    """Directory holding ``name`` for snapshot ``base``, following ``_PARENT`` links."""
+    seen = 0
+    while True:
+        fs, p, _ = _fs(spark, f"{base}/{name}")
+        if fs.exists(p) or seen > 1000:
+            return f"{base}/{name}"
+        parent = _read_text(spark, f"{base}/_PARENT")
+        if parent is None:
+            return f"{base}/{name}"
+        base, seen = parent, seen + 1
+
+
 def read_table(spark: SparkSession, base: str, name: str, keep_partition: bool = False) -> DataFrame:
-    df = spark.read.parquet(f"{base}/{name}")
+    df = spark.read.parquet(_resolve(spark, base, name))
     return df.drop("published_month") if "published_month" in df.columns and not keep_partition else df
 
 

@@ -21,5 +21,12 @@ APPLIED_ITEMS = StructType([StructField("journal_id", S), StructField("seq", L),
 JOURNALS = StructType([StructField("id", S), StructField("name", S), StructField("publisher", S),
                        StructField("feed_url", S), StructField("enabled", B)])
 
+FEED_STATE = StructType([StructField("feed_id", S), StructField("etag", S), StructField("last_modified", S),
+                         StructField("last_checked_at", T), StructField("last_success_at", T),
+                         StructField("last_status", S), StructField("last_error", S)])
+RUNS = StructType([StructField("run_id", L), StructField("feeds_checked", L), StructField("successful_feeds", L),
+                   StructField("failed_feeds", L), StructField("failed", L), StructField("status", S),
+                   StructField("items_applied", L)])
+
 SNAPSHOT = {"articles": ARTICLES, "article_tags": ARTICLE_TAGS, "tags": TAGS, "url_aliases": URL_ALIASES,
-            "applied_items": APPLIED_ITEMS, "journals": JOURNALS}
+            "applied_items": APPLIED_ITEMS, "journals": JOURNALS, "feed_state": FEED_STATE, "runs": RUNS}

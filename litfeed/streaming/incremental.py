@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
 from litfeed.operators import classify as C
+from litfeed.operators import feedstate as FS
+from litfeed.operators import runs as R
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
 from litfeed.operators import snapshot as SN
@@ -95,17 +97,35 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     if base_prev == target:  # this micro-batch was already published (re-executed batch id)
         return {"batch_id": batch_id, "skipped": True}
     checkpoint_dir(spark)
-    events = FD.canonicalize(FD.parse_feeds(batch), journals)
+    batch = batch.checkpoint(eager=True)
+    parsed = FD.parse_feeds(batch).checkpoint(eager=True)
+    events = FD.canonicalize(parsed, journals)
     if enricher is not None:
         events = events.transform(enricher)
+    events = events.checkpoint(eager=True)
+    # J-2 / F-2: feed validator state, folded batch over batch
+    checks = FS.batch_checks(batch, parsed, events).checkpoint(eager=True)
+    prev_state = SN.read_table(spark, base_prev, "feed_state") if base_prev is not None else None
+    feed_state = FS.fold_state(prev_state, checks)
     good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY))
     if base_prev is not None:
         applied = SN.read_table(spark, base_prev, "applied_items")
         good = good.join(applied, list(ITEM_KEY), "left_anti")
     good = good.checkpoint(eager=True)  # Arrow-heavy canonical events: computed once
+    run = R.run_summary(checks.withColumn("run_id", F.lit(batch_id + 1).cast("bigint"))
+                        .withColumn("item_errors", F.when(F.col("status") == "partial",
+                                                          F.regexp_extract("error", r"^([0-9]+)", 1).cast("bigint"))
+                                    .otherwise(F.lit(0).cast("bigint"))))
+    run = run.withColumn("items_applied", F.lit(good.count()).cast("bigint"))
     if base_prev is not None and good.limit(1).count() == 0:
-        # nothing new (e.g. replayed bodies): the published snapshot already is the answer
-        return {"batch_id": batch_id, "published": False, "no_change": True}
+        # no new items (e.g. replayed bodies): articles, aliases and links are inherited from the
+        # previous snapshot; only the feed state and the run ledger advance
+        runs = SN.read_table(spark, base_prev, "runs").unionByName(run)
+        SN.write_snapshot({"feed_state": feed_state, "runs": runs}, root, batch_id + 1, parent=base_prev)
+        report = SN.gate(spark, target, base_prev)
+        if report["publishable"]:
+            SN.publish(spark, root, target)
+        return {"batch_id": batch_id, "published": report["publishable"], "no_change": True, **report}
     new_items = _batch_items(good, batch_id)
     keys = good.select(*ITEM_KEY)
 
@@ -136,8 +156,10 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     links = links.checkpoint(eager=True)
     tags = topics.select(F.col("topic_id").alias("id"), "label").join(
         links.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
+    runs = run if base_prev is None else SN.read_table(spark, base_prev, "runs").unionByName(run)
     SN.write_snapshot({"articles": articles, "article_tags": links, "tags": tags, "url_aliases": aliases,
-                       "applied_items": applied, "journals": journals}, root, batch_id + 1)
+                       "applied_items": applied, "journals": journals, "feed_state": feed_state, "runs": runs},
+                      root, batch_id + 1)
     report = SN.gate(spark, target, base_prev)
     if report["publishable"]:
         SN.publish(spark, root, target)

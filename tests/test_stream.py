@@ -17,7 +17,11 @@ def _arts(spark, root):
 def test_split_and_replay_equal_single_batch(spark):
     root_split, reps = replay_run(spark, SF_SMALL, split=True)
     root_one, _ = replay_run(spark, SF_SMALL, split=False)
-    assert len(reps) == 3 and reps[0]["published"] and reps[1]["published"] and reps[2].get("no_change")
+    assert len(reps) == 3 and all(r["published"] for r in reps) and reps[2].get("no_change")
+    runs = SN.open_snapshot(spark, root_split, "runs").orderBy("run_id").collect()
+    assert [r.run_id for r in runs] == [1, 2, 3] and runs[2].items_applied == 0 and runs[0].items_applied > 0
+    state = SN.open_snapshot(spark, root_split, "feed_state")
+    assert state.count() == 20 and state.where("last_status IS NULL").count() == 0
     assert _arts(spark, root_split) == _arts(spark, root_one)
     links_a = SN.open_snapshot(spark, root_split, "article_tags").count()
     links_b = SN.open_snapshot(spark, root_one, "article_tags").count()
