@@ -97,7 +97,7 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     if base_prev == target:  # this micro-batch was already published (re-executed batch id)
         return {"batch_id": batch_id, "skipped": True}
     checkpoint_dir(spark)
-    batch = batch.checkpoint(eager=True)
+    batch = batch.checkpoint(eager=True)  # read by the parser and the feed checks; re-reading costs more than this
     parsed = FD.parse_feeds(batch).checkpoint(eager=True)
     events = FD.canonicalize(parsed, journals)
     if enricher is not None:
