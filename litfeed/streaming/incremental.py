@@ -88,6 +88,30 @@ def fold_entities(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return articles, aliases
 
 
+def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int):
+    """H-5 for one batch of items (``_batch_items`` shape) against stored articles/aliases.
+
+    Returns (articles, url_aliases, folded, touched): the new full tables, the
+    re-merged entities and the stored uids they replaced.
+    """
+    if old_arts is None:
+        folded, f_alias = fold_entities(new_items)
+        return folded, f_alias, folded, folded.select("uid").where("false")
+    b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
+    b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
+    touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
+               .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
+    t_arts = old_arts.join(touched, "uid", "left_semi")
+    t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
+    items = _state_items(t_arts, t_alias, batch_id * BATCH_SPAN).unionByName(new_items)
+    folded, f_alias = fold_entities(items)
+    folded = folded.checkpoint(eager=True)
+    articles = old_arts.join(touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(folded)
+    aliases = (old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
+               .select("normalized_url", "article_uid").unionByName(f_alias))
+    return articles, aliases, folded, touched
+
+
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
                 rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None) -> dict:
     """One micro-batch. ``enricher`` (K-2) is any ``DataFrame -> DataFrame`` applied
@@ -133,23 +157,12 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
         old_arts = SN.read_table(spark, base_prev, "articles")
         old_alias = SN.read_table(spark, base_prev, "url_aliases")
         old_links = SN.read_table(spark, base_prev, "article_tags")
-        b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
-        b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
-        touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
-                   .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
-        t_arts = old_arts.join(touched, "uid", "left_semi")
-        t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
-        items = _state_items(t_arts, t_alias, batch_id * BATCH_SPAN).unionByName(new_items)
-        folded, f_alias = fold_entities(items)
-        folded = folded.checkpoint(eager=True)
-        articles = old_arts.join(touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(folded)
-        aliases = (old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
-                   .select("normalized_url", "article_uid").unionByName(f_alias))
+        articles, aliases, folded, touched = upsert(old_arts, old_alias, new_items, batch_id)
         links = (old_links.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
                  .select("article_uid", "tag_id").unionByName(C.classify(folded, rules, topics, gates)))
         applied = applied.unionByName(keys)
     else:
-        articles, aliases = fold_entities(new_items)
+        articles, aliases, _, _ = upsert(None, None, new_items, batch_id)
         articles = articles.checkpoint(eager=True)
         links = C.classify(articles, rules, topics, gates)
         applied = keys
