@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from litfeed.llm import decontam, packing, quality, simhash
 from litfeed.llm.catalogue import VOCABULARY
 from litfeed.llm.common import table, written
+from litfeed.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    ship_package(spark)
     return simhash.deduplicated(docs)
 
 
@@ -31,6 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids, placed in windows."""
     import public_tokenizers
+    ship_package(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
