@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 #: Shares of the largest density sum that a subtree beside the path needs.
 SHARE = 0.2
+#: A subtree with so many links that hold such a share of its characters is a menu, named or not.
+MENU_LINKS, MENU_SHARE = 2, 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
@@ -219,7 +221,7 @@ class Page:
         take[best] = True
         for i in range(1, n):
             p = self.parent[i]
-            if self.noise[i]:
+            if self.noise[i] or i not in on_path and links[i] >= MENU_LINKS and link_chars[i] > MENU_SHARE * chars[i]:
                 continue
             beside = p in on_path and i not in on_path and p != best
             take[i] = take[i] or take[p] and i not in on_path or beside and (

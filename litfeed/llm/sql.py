@@ -68,3 +68,17 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count
 FROM ds JOIN qs USING (s) JOIN n ON n.r = qs.r
 GROUP BY ds.r, doc_id, qs.r, item_id
 HAVING count(*) >= 0.8 * any_value(n_item)"""
+
+
+# base32 digits of a SHA-1: five hex digits are four of them
+_BASE32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', " \
+    "(((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (5 * (3 - i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '')"
+
+ORACLES["op4_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS r FROM pages),
+d AS (SELECT page_id, r, strlen(html) AS n, sha1(html) AS h FROM p),
+t AS (SELECT *, first_value(page_id) OVER w AS top, row_number() OVER w AS k FROM d
+      WINDOW w AS (PARTITION BY h, n ORDER BY page_id DESC NULLS LAST, r))
+SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
+FROM t"""
