@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-from html import unescape
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from litfeed.constants import HIDDEN_TAGS, SEPARATOR_TAGS
+from litfeed.functions.binding import let
+from litfeed.functions.compose import nfc
+from litfeed.functions.entities import unescape
 
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_ASCII = "abcdefghijklmnopqrstuvwxyz"
@@ -53,116 +50,67 @@ def casefold(col: Column) -> Column:
 def match_normalize(col: Column) -> Column:
     """B-16: fold case, turn any dash or whitespace run into one space, trim.
 
-    ``lower`` stands in for casefold; they differ only on a few letters (sharp s,
-    final sigma, dotted I), which the exact path ``match_normalize_exact`` covers.
+    ``casefold`` is ``lower`` and the common full-folding pairs.
     """
     return F.trim(F.regexp_replace(casefold(col), rf"[{WS_CLASS}\p{{Pd}}]+", " "))
 
 
-def _hidden_body_pattern() -> str:
-    names = "|".join(HIDDEN_TAGS)
-    return rf"(?is)<\s*(?:[\w.-]+:)?({names})\b[^>]*>.*?<\s*/\s*(?:[\w.-]+:)?\1\s*>"
+#: A tag, comment or declaration; a name may carry a namespace prefix.
+_MARKUP = r"(?s)<!--.*?(?:-->|\z)|<[!?][^>]*(?:>|\z)|</?[A-Za-z][^>]*>"
+_TAG_NAME = r"^<(/?)(?:[\w.-]+:)?([A-Za-z][\w-]*)"
+#: Hidden elements whose body holds no markup but their end tag.
+_PLAIN_BODY = ("script", "style")
 
 
-def _separator_tag_pattern() -> str:
+def _separated(markup: Column) -> Column:
+    """Separator tags become spaces, all other markup goes."""
     names = "|".join(re.escape(t) for t in SEPARATOR_TAGS)
-    return rf"(?i)<\s*/?\s*(?:[\w.-]+:)?(?:{names})(?=[\s/>])[^>]*>"
-
+    spaced = F.regexp_replace(markup, rf"(?i)</?(?:[\w.-]+:)?(?:{names})(?=[\s/>])[^>]*>", " ")
+    return F.regexp_replace(spaced, _MARKUP, "")
+
+
+def _without_hidden(markup: Column) -> Column:
+    """Bodies of hidden elements cut out, nested ones and unclosed ones too: the markup is cut into tags and text, and a
+    fold over the pieces keeps the names of the hidden elements that are open (an end tag closes the innermost of its name)."""
+    pieces = F.regexp_extract_all(markup, F.lit(rf"{_MARKUP}|[^<]+|<"), 0)
+    name = lambda x: F.lower(F.regexp_extract(x, _TAG_NAME, 2))
+
+    def step(state: Column, piece: Column) -> Column:
+        def by_name(tag: Column) -> Column:
+            inner = F.get(state["open"], 0)
+            plain = F.coalesce(inner.isin(*_PLAIN_BODY), F.lit(False))
+            hidden = tag.isin(*HIDDEN_TAGS) & (~plain | (tag == inner))
+            ends = F.regexp_extract(piece, _TAG_NAME, 1) == "/"
+            place = F.array_position(state["open"], tag).cast("int")
+            closed = F.concat(F.slice(state["open"], F.lit(1), place - 1), F.slice(state["open"], place + 1, F.size(state["open"])))
+            single = piece.rlike(r"/\s*>$")
+            still = (F.when(hidden & ends & (place > 0), closed)
+                     .when(hidden & ~ends & ~single & ~plain, F.concat(F.array(tag), state["open"])).otherwise(state["open"]))
+            shown = F.when((F.size(state["open"]) == 0) & ~tag.isin(*HIDDEN_TAGS), F.concat(state["out"], F.array(piece))).otherwise(state["out"])
+            return F.struct(still.alias("open"), shown.alias("out"))
+        return let(name(piece), by_name)
+
+    none = F.array().cast("array<string>")
+    folded = F.aggregate(pieces, F.struct(none.alias("open"), none.alias("out")), step, lambda s: F.array_join(s["out"], ""))
+    names = "|".join(HIDDEN_TAGS)
+    return F.when(markup.rlike(rf"(?i)</?(?:[\w.-]+:)?(?:{names})\b"), folded).otherwise(markup)
 
-_BASIC_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-                   ("&nbsp;", " "), ("&amp;", "&"))
 
+def visible_text(col: Column) -> Column:
+    """B-1 without composition: references decoded twice, hidden bodies out, separator tags as spaces, other markup out, white
+    space collapsed, empty as NULL."""
+    text = let(unescape(unescape(col)), lambda c: F.when(c.contains("<"), _separated(let(c, _without_hidden))).otherwise(c))
+    return let(collapse_ws(text), lambda t: F.when(t != "", t))
 
-def _unescape_basic(col: Column) -> Column:
-    for ent, ch in _BASIC_ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
 
+def clean_text(col: Column) -> Column:
+    """B-1: the visible text in composed form."""
+    return nfc(visible_text(col))
 
-def clean_text_fast(col: Column) -> Column:
-    """B-1 regex path, JVM-side: good for flat markup (no nested hidden tags).
 
-    Unescape twice, drop hidden bodies, space at separator tags, drop other
-    tags, collapse whitespace, empty -> NULL.
-    """
-    # every step references the previous one once: the generated code stays linear
-    c = _unescape_basic(_unescape_basic(col))
-    c = F.regexp_replace(c, _hidden_body_pattern(), "")
-    c = F.regexp_replace(c, _separator_tag_pattern(), " ")
-    c = F.regexp_replace(c, r"<\s*/?\s*[A-Za-z][^>]*>", "")
-    return F.nullif(collapse_ws(c), F.lit(""))
-
-
-class _VisibleText(HTMLParser):
-    """Collects text outside hidden elements; separator tags become spaces."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.open_hidden: list[str] = []
-
-    @staticmethod
-    def _name(tag: str) -> str:
-        return tag.rsplit(":", 1)[-1].casefold()
-
-    def handle_starttag(self, tag, attrs):
-        name = self._name(tag)
-        if name in HIDDEN_TAGS:
-            self.open_hidden.append(name)
-        elif name in SEPARATOR_TAGS and not self.open_hidden:
-            self.out.append(" ")
-
-    def handle_startendtag(self, tag, attrs):
-        if self._name(tag) in SEPARATOR_TAGS and not self.open_hidden:
-            self.out.append(" ")
-
-    def handle_endtag(self, tag):
-        name = self._name(tag)
-        if name in HIDDEN_TAGS:
-            # close the innermost open element of that name
-            for pos in reversed(range(len(self.open_hidden))):
-                if self.open_hidden[pos] == name:
-                    self.open_hidden.pop(pos)
-                    break
-        elif name in SEPARATOR_TAGS and not self.open_hidden:
-            self.out.append(" ")
-
-    def handle_data(self, data):
-        if not self.open_hidden:
-            self.out.append(data)
-
-
-_SPACES = re.compile(r"\s+")
-
-
-def clean_text_py(value):
-    """Exact B-1 on one value (used inside the Arrow UDF and in tests)."""
-    if value is None:
-        return None
-    text = unescape(unescape(str(value)))
-    parser = _VisibleText()
-    parser.feed(text)
-    parser.close()
-    flat = _SPACES.sub(" ", "".join(parser.out)).strip()
-    return unicodedata.normalize("NFC", flat) or None
-
-
-@pandas_udf(StringType())
-def clean_text(values: pd.Series) -> pd.Series:
-    """B-1 exact path: Arrow-batched, one parser per value."""
-    return values.map(clean_text_py, na_action="ignore")
-
-
-def match_normalize_py(value: str) -> str:
-    folded = unicodedata.normalize("NFC", value).casefold()
-    chars = (" " if (c == "-" or c.isspace() or unicodedata.category(c) == "Pd") else c for c in folded)
-    return " ".join("".join(chars).split())
-
-
-@pandas_udf(StringType())
-def match_normalize_exact(values: pd.Series) -> pd.Series:
-    """B-16 exact path (NFC + casefold)."""
-    return values.map(match_normalize_py, na_action="ignore")
+def match_normalize_exact(col: Column) -> Column:
+    """B-16 on composed text."""
+    return match_normalize(nfc(col))
 
 
 def placeholder_key(col: Column) -> Column:

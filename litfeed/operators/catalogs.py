@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.constants import PUBLISHERS
-from litfeed.functions.text import clean_text_fast, match_normalize
+from litfeed.functions.text import visible_text, match_normalize
 from litfeed.functions.url import normalize_url
 
 
@@ -40,7 +40,7 @@ def topic_checks(groups: DataFrame, topics: DataFrame, rules: DataFrame, gates:
     match normalisation, gates name other known groups."""
     n = groups.agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"),
                    F.count_distinct("ord").alias("d"))
-    kw = rules.withColumn("kw", match_normalize(clean_text_fast(F.col("keyword"))))
+    kw = rules.withColumn("kw", match_normalize(visible_text(F.col("keyword"))))
     tg = topics.select("topic_id", F.col("group_id").alias("own_group"))
     parts = [
         _count("group_order_not_continuous", n.where((F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("d") != F.col("n")))),

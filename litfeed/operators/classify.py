@@ -26,17 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from litfeed.functions.text import TOKEN_CLASS, clean_text, clean_text_fast, match_normalize, match_normalize_exact
+from litfeed.functions.text import TOKEN_CLASS, clean_text, visible_text, match_normalize, match_normalize_exact
 from litfeed.operators.util import bounded_broadcast, ensure_parallel, single_row
 
-MAX_BROADCAST_RULES = 50_000
 # Up to this many rules the catalogue is embedded in the plan as literals.
 MAX_LITERAL_RULES = 512
 
 
 def match_fields(articles: DataFrame, exact: bool = False) -> DataFrame:
     """(uid, field, text): cleaned, match-normalised title and abstract, NULLs dropped."""
-    clean = clean_text if exact else clean_text_fast
+    clean = clean_text if exact else visible_text
     norm = match_normalize_exact if exact else match_normalize
     stacked = ensure_parallel(articles.select("uid", "title", "abstract"), "uid").select(
         "uid",
@@ -54,10 +53,11 @@ def _escape(col):
     return F.regexp_replace(col, rf"([^{TOKEN_CLASS} ])", r"\\$1")
 
 
-def compile_rules(rules: DataFrame) -> DataFrame:
+def compile_rules(rules: DataFrame, exact: bool = False) -> DataFrame:
     """Adds ``kw`` (normalised keyword), ``pattern`` (boundary regex) and ``anchor``
     (first token of the keyword, NULL when it has none)."""
-    kw = match_normalize(clean_text_fast(F.col("keyword")))
+    clean, norm = (clean_text, match_normalize_exact) if exact else (visible_text, match_normalize)
+    kw = norm(clean(F.col("keyword")))  # keywords take the path of the texts
     out = rules.withColumn("kw", kw).where(F.col("kw").isNotNull() & (F.col("kw") != ""))
     punct = F.regexp_replace(F.col("kw"), rf"[\s{TOKEN_CLASS}\p{{Pd}}]", "")
     fence = F.concat(F.lit("[" + TOKEN_CLASS), _escape(punct), F.lit("]"))
@@ -66,23 +66,11 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     return out.withColumn("pattern", pattern).withColumn("anchor", F.when(anchor != "", anchor))
 
 
-def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "auto") -> DataFrame:
+def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "tokens", exact: bool = False) -> DataFrame:
     """Distinct (uid, topic_id) pairs whose keyword hits title or abstract."""
-    compiled = compile_rules(rules).select("topic_id", "kw", "pattern", "anchor")
-    if method == "auto":
-        n = compiled.limit(MAX_BROADCAST_RULES + 1).count()
-        method = "literal" if n <= MAX_LITERAL_RULES else "broadcast" if n <= MAX_BROADCAST_RULES else "tokens"
+    compiled = compile_rules(rules, exact).select("topic_id", "kw", "pattern", "anchor")
     if method == "literal":
-        # catalogue-sized (checked): each pattern becomes a literal, compiled once per task
-        rows = compiled.limit(MAX_LITERAL_RULES + 1).collect()
-        if len(rows) > MAX_LITERAL_RULES:
-            raise ValueError("rule catalogue too large for the literal strategy")
-        text = F.col("text")
-        hits = [F.when(text.contains(r.kw) & text.rlike(r.pattern), F.lit(r.topic_id)) for r in rows]
-        if not hits:
-            return fields.select("uid", F.lit(None).cast("string").alias("topic_id")).where("false")
-        found = F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
-        return fields.select("uid", F.explode(found).alias("topic_id")).distinct()
+        raise ValueError("the literal strategy works on articles, not on fields: use classify")
     if method == "broadcast":
         cond = F.expr("contains(text, kw) AND text RLIKE pattern")
         pairs = fields.join(F.broadcast(compiled), cond, "inner")
@@ -126,10 +114,46 @@ def apply_gates(hits: DataFrame, topics: DataFrame, gates: DataFrame) -> DataFra
     return h.where(keep).select("uid", "topic_id")
 
 
+def _in_row(articles: DataFrame, rules: list, topics: list, required: dict, exact: bool) -> DataFrame:
+    """Hits and gates of each article on its own row (no shuffle): rules, topics and gates are literals."""
+    clean, norm = (clean_text, match_normalize_exact) if exact else (visible_text, match_normalize)
+    d = ensure_parallel(articles.select("uid", "title", "abstract"), "uid")
+    d = d.select("uid", norm(clean(F.col("title"))).alias("title"), norm(clean(F.col("abstract"))).alias("abstract"))
+    hit = lambda text, r: F.coalesce(text.contains(r.kw) & text.rlike(r.pattern), F.lit(False))
+    d = d.select("uid", F.array_distinct(F.array_compact(F.array(*[
+        F.when(hit(F.col("title"), r) | hit(F.col("abstract"), r), F.lit(r.topic_id)) for r in rules]))).alias("hits"))
+    found = lambda t: F.array_contains("hits", t.topic_id)
+    none = F.array().cast("array<string>")
+    opened = F.array_compact(F.array(*[F.when(found(t), F.lit(t.group_id)) for t in topics if not t.gated] or [F.lit(None).cast("string")]))
+    d = d.withColumn("opened", opened)
+    kept = [F.when(found(t) & (F.lit(not t.gated) | F.arrays_overlap("opened", F.array(*map(F.lit, required.get(t.topic_id, ())))
+                                                                     if required.get(t.topic_id) else none)), F.lit(t.topic_id))
+            for t in topics]
+    return d.select(F.col("uid").alias("article_uid"), F.explode(F.array_distinct(F.array_compact(F.array(*kept)))).alias("tag_id"))
+
+
 def classify(articles: DataFrame, rules: DataFrame, topics: DataFrame, gates: DataFrame,
              method: str = "auto", exact: bool = False) -> DataFrame:
-    """Full-corpus retag: returns the article_tags bridge (article_uid, tag_id)."""
-    hits = keyword_hits(match_fields(articles, exact), rules, method)
+    """Full-corpus retag: returns the article_tags bridge (article_uid, tag_id).
+
+    ``literal`` keeps the catalogue in the plan and needs one row per uid; ``auto`` takes it for catalogues of up to
+    ``MAX_LITERAL_RULES`` rules and the token join beyond. All strategies give the same rows.
+    """
+    if method in ("auto", "literal"):
+        compiled = compile_rules(rules, exact).select("topic_id", "kw", "pattern").limit(MAX_LITERAL_RULES + 1).collect()
+        if len(compiled) <= MAX_LITERAL_RULES:
+            names = sorted({r.topic_id for r in compiled})
+            known = [t for t in topics.where(F.col("topic_id").isin(names)).select("topic_id", "group_id", "gated").distinct().collect()] if names else []
+            required: dict = {}
+            for g in gates.where(F.col("topic_id").isin(names)).select("topic_id", "required_group").distinct().collect() if names else ():
+                required.setdefault(g.topic_id, []).append(g.required_group)
+            if not known:
+                return articles.select(F.col("uid").alias("article_uid"), F.lit(None).cast("string").alias("tag_id")).where("false")
+            return _in_row(articles, compiled, known, required, exact)
+        if method == "literal":
+            raise ValueError("rule catalogue too large for the literal strategy")
+        method = "tokens"
+    hits = keyword_hits(match_fields(articles, exact), rules, method, exact)
     return apply_gates(hits, topics, gates).select(F.col("uid").alias("article_uid"), F.col("topic_id").alias("tag_id"))
 
 

@@ -1,171 +1,67 @@
-"""Conflicting identities (H-9, §2.3).
+"""Conflicting identities (H-9, §2.3) by set-based rounds.
 
-Acceptance of an item that contradicts an earlier one (a URL already holding
-another DOI, a DOI or URL already in another journal) depends on which items
-were accepted before it, so it is order-sensitive. Only the few entities that
-touch a *tainted* key take the sequential path:
+Items come in an order (``seq``). The first accepted item of a key fixes what the key stands for: a DOI and a URL belong to one
+journal, a URL to one DOI. A later item that says otherwise is rejected, and fixes nothing. Since items without a contested
+key are never rejected, only those with one take part:
 
-1. tainted keys: URL with several DOIs, DOI or URL with several journals;
-2. their neighbourhood: items sharing any key with a tainted item, grown
-   round by round over that subset only (each round checkpointed);
-3. components: min-label propagation over the neighbourhood's keys;
-4. ``applyInPandas`` per component replays its items in order with the upsert
-   rules and emits final rows plus quarantined items.
+1. contested keys: a URL with several DOIs or journals, a DOI with several journals (aggregates, combined map-side);
+2. rounds: an item that contradicts a fixed key is rejected; one that is the earliest open item of each of its open keys (or
+   has none left) is accepted and fixes its keys; all others wait. The earliest open item is always settled, so rounds end; each
+   is a checkpoint, and their number follows the longest chain of items that wait for one another, not the number of items.
 
-Untainted entities keep the aggregate path (``identity`` + ``merge``).
+No component is gathered anywhere: rounds are joins and ``min`` by key, so a hot key is spread as any other join is.
 """
 
 from __future__ import annotations
 
-import hashlib
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.operators import identity as I
+from litfeed.operators import merge as M
 from litfeed.session import checkpoint_dir
 
-MAX_ROUNDS = 32
-RANK = {"rss_only": 0, "partial": 1, "enriched": 2}
-FOLD_FIELDS = ("title", "oa_status")
-_PLACEHOLDER_TITLES = {"na", "no title", "not available", "title unavailable", "unknown", "untitled"}
-
-
-def tainted_keys(items: DataFrame) -> DataFrame:
-    """(key) as 'u:<url>' / 'd:<doi>'."""
-    t = I.conflict_keys(items)
-    return t.select(F.when(F.col("key_type") == "doi_journals", F.concat(F.lit("d:"), "key"))
-                    .otherwise(F.concat(F.lit("u:"), "key")).alias("key")).distinct()
-
-
-def _keys(items: DataFrame) -> DataFrame:
-    u = items.select("seq", F.concat(F.lit("u:"), "url").alias("key"))
-    d = items.where(F.col("doi").isNotNull()).select("seq", F.concat(F.lit("d:"), "doi").alias("key"))
-    return u.unionByName(d)
-
-
-def components(items: DataFrame) -> DataFrame:
-    """(seq, comp) for items connected to a tainted key; empty when there is none."""
-    checkpoint_dir(items.sparkSession)
-    item_keys = _keys(items).checkpoint(eager=True)
-    keys = tainted_keys(items).checkpoint(eager=True)
-    n = keys.count()
-    for _ in range(MAX_ROUNDS):
-        touched = item_keys.join(keys, "key", "left_semi").select("seq").distinct()
-        grown = item_keys.join(touched, "seq", "left_semi").select("key").distinct().checkpoint(eager=True)
-        m = grown.count()
-        keys = grown
-        if m == n:
-            break
-        n = m
-    sub = item_keys.join(keys, "key", "left_semi").checkpoint(eager=True)
-    label = sub.groupBy("seq").agg(F.min("key").alias("comp"))
-    for _ in range(MAX_ROUNDS):
-        key_label = sub.join(label, "seq").groupBy("key").agg(F.min("comp").alias("kl"))
-        new = sub.join(key_label, "key").groupBy("seq").agg(F.min("kl").alias("comp")).checkpoint(eager=True)
-        changed = new.join(label.withColumnRenamed("comp", "old"), "seq").where(F.col("comp") != F.col("old")).limit(1).count()
-        label = new
-        if changed == 0:
-            break
-    return label
-
-
-def _known(f, v):
-    if v is None or (isinstance(v, float) and v != v):
-        return False
-    if f == "title":
-        key = " ".join("".join(ch for ch in str(v).casefold() if not unicodedata.category(ch).startswith("P")).split())
-        return bool(key) and key not in _PLACEHOLDER_TITLES
-    return v in ("open", "closed")
-
-
-def _uid_for(doi, url):
-    return f"doi:{doi}" if doi else "url:" + hashlib.sha256(url.encode()).hexdigest()[:24]
-
-
-FOLD_SCHEMA = ("comp string, kind string, seq long, uid string, doi string, journal_id string, normalized_url string, "
-               "title string, title_enriched boolean, oa_status string, oa_status_enriched boolean, metadata_status string, "
-               "error_class string")
-
-
-def _fold_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Replay one tainted component in order (small helper; components are few)."""
-    pdf = pdf.sort_values("seq")
-    arts: dict[str, dict] = {}
-    aliases: dict[str, str] = {}
-    out = []
-    comp = pdf["comp"].iloc[0]
-    for it in pdf.to_dict("records"):
-        doi = it["doi"] if isinstance(it["doi"], str) else None
-        url, journal = it["url"], it["journal_id"]
-        cand = _uid_for(doi, url)
-        doi_row = next((u for u, a in arts.items() if doi and a["doi"] == doi), None)
-        url_row = aliases.get(url) or next((u for u, a in arts.items() if a["url"] == url), None)
-        uid_row = cand if cand in arts else None
-        ordered = [r for i, r in enumerate((doi_row, url_row, uid_row)) if r is not None and r not in (doi_row, url_row, uid_row)[:i]]
-        conflict = (
-            (doi_row is not None and arts[doi_row]["journal"] != journal)
-            or (url_row is not None and doi and arts[url_row]["doi"] not in (None, doi))
-            or any(arts[r]["journal"] != journal for r in ordered)
-            or len({arts[r]["doi"] for r in ordered if arts[r]["doi"]} | ({doi} if doi else set())) > 1
-        )
-        if conflict:
-            out.append(dict(comp=comp, kind="quarantine", seq=it["seq"], error_class="RepositoryConflictError"))
-            continue
-        enr = bool(it["enriched"]) and doi is not None
-        inc = {f: (it[f], enr and _known(f, it[f])) for f in FOLD_FIELDS}
-        if not ordered:
-            arts[cand] = dict(doi=doi, url=url, journal=journal, status=it["metadata_status"],
-                              fields={f: [v, e] for f, (v, e) in inc.items()})
-            aliases[url] = cand
-            continue
-        surv, losers = ordered[0], ordered[1:]
-        for u, tgt in list(aliases.items()):
-            if tgt in losers:
-                aliases[u] = surv
-        for r in ordered:
-            aliases[arts[r]["url"]] = surv
-        aliases[url] = surv
-        m = arts[surv]
-        for lu in losers:
-            lo = arts.pop(lu)
-            m["doi"] = m["doi"] or lo["doi"]
-            for f in FOLD_FIELDS:
-                cv, ce = m["fields"][f]
-                lv, le = lo["fields"][f]
-                if _known(f, lv) and (not _known(f, cv) or (le and not ce)):
-                    m["fields"][f][0] = lv
-                m["fields"][f][1] = ce or le
-            m["status"] = max(m["status"], lo["status"], key=RANK.get)
-        for f, (v, e) in inc.items():
-            cv, ce = m["fields"][f]
-            if _known(f, v) and (not _known(f, cv) or e or not ce):
-                m["fields"][f] = [v, e]
-        m["doi"] = doi or m["doi"]
-        m["journal"], m["url"] = journal, url
-        m["status"] = max(m["status"], it["metadata_status"], key=RANK.get)
-    for uid, a in arts.items():
-        out.append(dict(comp=comp, kind="article", uid=uid, doi=a["doi"], journal_id=a["journal"], normalized_url=a["url"],
-                        title=a["fields"]["title"][0], title_enriched=a["fields"]["title"][1],
-                        oa_status=a["fields"]["oa_status"][0], oa_status_enriched=a["fields"]["oa_status"][1],
-                        metadata_status=a["status"]))
-    cols = [c.split()[0] for c in FOLD_SCHEMA.split(", ")]
-    return pd.DataFrame([{c: o.get(c) for c in cols} for o in out], columns=cols)
-
-
-def resolve_with_conflicts(items: DataFrame):
-    """-> (articles, quarantine). Articles: aggregate path for clean entities, replay
-    for tainted components; quarantine: (seq, error_class)."""
-    from litfeed.operators import merge as M
-    comp = components(items)
-    tainted = items.join(comp, "seq")
-    clean = items.join(comp, "seq", "left_anti")
-    merged = M.merge(I.resolve(clean), fields=FOLD_FIELDS).select(
-        "uid", "doi", "journal_id", "normalized_url", "title", "title_enriched", "oa_status", "oa_status_enriched",
-        "metadata_status")
-    folded = tainted.groupBy("comp").applyInPandas(_fold_component, FOLD_SCHEMA)
-    arts = folded.where(F.col("kind") == "article").select(*merged.columns)
-    quarantine = folded.where(F.col("kind") == "quarantine").select("seq", "error_class")
-    return merged.unionByName(arts), quarantine
+CONFLICT = "RepositoryConflictError"
+
+#: What a key may stand for: (kind, key column, value column).
+CLAIMS = (("url_journal", "url", "journal_id"), ("doi_journal", "doi", "journal_id"), ("url_doi", "url", "doi"))
+
+
+def claims(items: DataFrame) -> DataFrame:
+    """(seq, kind, key, value): what each item says about its keys."""
+    parts = [items.where(F.col(k).isNotNull() & F.col(v).isNotNull()).select(
+        "seq", F.lit(kind).alias("kind"), F.col(k).alias("key"), F.col(v).alias("value")) for kind, k, v in CLAIMS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def contradictions(items: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """(seq) of the items that contradict an earlier accepted one. ``fixed``: (kind, key, value) of stored records."""
+    spark = items.sparkSession
+    checkpoint_dir(spark)
+    said = claims(items)
+    known = fixed.distinct() if fixed is not None else spark.createDataFrame([], "kind string, key string, value string")
+    every = said.select("kind", "key", "value").unionByName(known.select("kind", "key", "value"))
+    contested = every.groupBy("kind", "key").agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a <> b").select("kind", "key")
+    pending = said.join(contested, ["kind", "key"], "left_semi").checkpoint(eager=True)
+    known = known.join(contested, ["kind", "key"], "left_semi").checkpoint(eager=True)
+    rejected = None
+    while not pending.isEmpty():
+        seen = pending.join(known.withColumnRenamed("value", "stands"), ["kind", "key"], "left")
+        judged = seen.groupBy("seq").agg(F.bool_or(F.coalesce(F.col("value") != F.col("stands"), F.lit(False))).alias("bad"))
+        bad = judged.where("bad").select("seq").checkpoint(eager=True)
+        rest = seen.join(bad, "seq", "left_anti")
+        first = rest.where(F.col("stands").isNull()).groupBy("kind", "key").agg(F.min("seq").alias("first"))
+        turn = rest.join(first, ["kind", "key"], "left")
+        good = turn.groupBy("seq").agg(F.bool_and(F.col("stands").isNotNull() | (F.col("seq") == F.col("first"))).alias("ok")).where("ok")
+        taken = rest.join(good.select("seq"), "seq", "left_semi").checkpoint(eager=True)
+        known = known.unionByName(taken.where(F.col("stands").isNull()).select("kind", "key", "value")).distinct().checkpoint(eager=True)
+        pending = rest.select("kind", "key", "seq", "value").join(taken.select("seq").distinct(), "seq", "left_anti").checkpoint(eager=True)
+        rejected = bad if rejected is None else rejected.unionByName(bad)
+    return rejected if rejected is not None else said.select("seq").where("false")
+
+
+def resolve_with_conflicts(items: DataFrame, fields=M.MERGED_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(articles, quarantine): the accepted items merged by entity with all ``fields``, and (seq, error_class) of the others."""
+    bad = contradictions(items).checkpoint(eager=True)
+    merged = M.merge(I.resolve(items.join(bad, "seq", "left_anti")), fields=fields)
+    return merged, bad.select("seq", F.lit(CONFLICT).alias("error_class"))

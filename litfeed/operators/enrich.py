@@ -13,16 +13,25 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import MAX_METADATA_BYTES
 from litfeed.functions import articles as AF
-from litfeed.functions.text import casefold, clean_text_fast
+from litfeed.functions.text import casefold, visible_text
 
 
 def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
+def latest(landed: DataFrame) -> DataFrame:
+    """One response per DOI: the last one fetched (``fetched_at``, where landed), a successful one first. Records without a
+    DOI are never asked about, so neither are responses without one kept."""
+    when = [F.col("fetched_at")] if "fetched_at" in landed.columns else []
+    rank = F.struct(F.col("http_status").between(200, 299).alias("ok"), *when, "http_status", "payload")
+    return landed.where(F.col("doi").isNotNull()).groupBy("doi").agg(F.max_by(F.struct("http_status", "payload"), rank).alias("r")).select(
+        "doi", "r.http_status", "r.payload")
+
+
 def parse_crossref(crossref: DataFrame) -> DataFrame:
     """(doi, cr_ok, cr_titles, cr_authors, cr_abstract, cr_type) — one row per DOI."""
-    crossref = crossref.withColumn("_v", F.try_parse_json("payload"))  # parsed once, read by every extractor
+    crossref = latest(crossref).withColumn("_v", F.try_parse_json("payload"))  # parsed once, read by every extractor
     v = F.col("_v")
     ok = (F.col("http_status").between(200, 299) & (F.octet_length("payload") <= MAX_METADATA_BYTES)
           & _kind(v, "$.message").startswith("OBJECT"))
@@ -40,7 +49,7 @@ def parse_crossref(crossref: DataFrame) -> DataFrame:
 
 def parse_unpaywall(unpaywall: DataFrame) -> DataFrame:
     """(doi, up_ok, up_is_oa): ``is_oa`` must be a real JSON boolean."""
-    unpaywall = unpaywall.withColumn("_v", F.try_parse_json("payload"))
+    unpaywall = latest(unpaywall).withColumn("_v", F.try_parse_json("payload"))
     v = F.col("_v")
     ok = (F.col("http_status").between(200, 299) & (F.octet_length("payload") <= MAX_METADATA_BYTES)
           & (_kind(v, "$.is_oa") == "BOOLEAN"))
@@ -50,9 +59,9 @@ def parse_unpaywall(unpaywall: DataFrame) -> DataFrame:
 
 def _crossref_author_names(authors: Column) -> Column:
     names = F.transform(authors, lambda a: F.when(
-        clean_text_fast(a["given"]).isNotNull() | clean_text_fast(a["family"]).isNotNull(),
-        F.concat_ws(" ", clean_text_fast(a["given"]), clean_text_fast(a["family"])))
-        .otherwise(clean_text_fast(a["name"])))
+        visible_text(a["given"]).isNotNull() | visible_text(a["family"]).isNotNull(),
+        F.concat_ws(" ", visible_text(a["given"]), visible_text(a["family"])))
+        .otherwise(visible_text(a["name"])))
     good = F.filter(names, lambda n: n.isNotNull() & AF.authors_known(F.array(n)))
     keys = F.transform(good, lambda n: casefold(n))
     return F.filter(good, lambda n, i: F.array_position(keys, casefold(n)) == i + 1)
@@ -60,23 +69,25 @@ def _crossref_author_names(authors: Column) -> Column:
 
 def enrich(records: DataFrame, crossref: DataFrame, unpaywall: DataFrame | None) -> DataFrame:
     """Apply both sources. ``unpaywall=None`` means the open-access source is not asked."""
+    # cleaned on the side of the payloads, once per DOI
     cr = parse_crossref(crossref)
+    titles = F.filter(F.transform("cr_titles", visible_text), lambda t: t.isNotNull() & AF.title_known(t))
+    cr = cr.select("doi", "cr_ok", F.try_element_at(titles, F.lit(1)).alias("cr_title"), _crossref_author_names(F.col("cr_authors")).alias("cr_names"),
+                   visible_text(F.col("cr_abstract")).alias("cr_abstract"), visible_text(F.col("cr_type")).alias("cr_type"))
     r = records.join(cr, "doi", "left")
     if unpaywall is not None:
         r = r.join(parse_unpaywall(unpaywall), "doi", "left")
     has_doi = F.col("doi").isNotNull() & (F.trim("doi") != "")
     cr_ok = has_doi & F.coalesce(F.col("cr_ok"), F.lit(False))
 
-    title_c = F.filter(F.transform("cr_titles", lambda t: clean_text_fast(t)),
-                       lambda t: t.isNotNull() & AF.title_known(t))
-    new_title = F.when(cr_ok & ~AF.title_known(clean_text_fast(F.col("title"))), F.try_element_at(title_c, F.lit(1)))
-    cr_auth = _crossref_author_names(F.col("cr_authors"))
-    low_auth = ~AF.authors_known(F.transform("authors", lambda a: clean_text_fast(a)))
+    new_title = F.when(cr_ok & ~AF.title_known(visible_text(F.col("title"))), F.col("cr_title"))
+    cr_auth = F.col("cr_names")
+    low_auth = ~AF.authors_known(F.transform("authors", lambda a: visible_text(a)))
     new_auth = F.when(cr_ok & low_auth & (F.size(cr_auth) > 0), cr_auth)
-    cr_abs = clean_text_fast(F.col("cr_abstract"))
-    new_abs = F.when(cr_ok & ~AF.abstract_known(clean_text_fast(F.col("abstract"))) & AF.abstract_known(cr_abs), cr_abs)
-    cr_type = AF.article_type(clean_text_fast(F.col("cr_type")))
-    new_type = F.when(cr_ok & (casefold(F.col("article_type")) == "other") & clean_text_fast(F.col("cr_type")).isNotNull()
+    cr_abs = F.col("cr_abstract")
+    new_abs = F.when(cr_ok & ~AF.abstract_known(visible_text(F.col("abstract"))) & AF.abstract_known(cr_abs), cr_abs)
+    cr_type = AF.article_type(F.col("cr_type"))
+    new_type = F.when(cr_ok & (casefold(F.col("article_type")) == "other") & F.col("cr_type").isNotNull()
                       & (cr_type != "other"), cr_type)
     contributed = [("title", new_title), ("authors", new_auth), ("abstract", new_abs), ("article_type", new_type)]
     out = r

@@ -1,7 +1,7 @@
 """Feed validator state (F-2, J-2).
 
 Rules per check, in ``seq`` order: validators are replaced on ``ok`` (even by
-NULL) and otherwise only when a new one is given on ``not_modified``;
+NULL) and otherwise whenever a new one is given;
 ``last_success_at`` moves on ok / not_modified; ``last_checked_at`` always;
 the error is cleared on success and recorded otherwise.
 """
@@ -19,7 +19,7 @@ DEFAULT_CHUNK = 1 << 16
 
 
 def _sets(col: str):
-    return (F.col("status") == "ok") | ((F.col("status") == "not_modified") & F.col(col).isNotNull())
+    return (F.col("status") == "ok") | F.col(col).isNotNull()
 
 
 def final_state(checks: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def batch_checks(raw: DataFrame, parsed: DataFrame, events: DataFrame) -> DataFr
     body_err = parsed.where(F.col("error_class").isNotNull()).select("feed_id", "seq", F.col("error_class").alias("body_error"))
     item_err = (events.where(F.col("error_class").isNotNull())
                 .groupBy(F.col("journal_id").alias("feed_id"), "seq").agg(F.count(F.lit(1)).alias("n_item_errors")))
-    r = raw.select("feed_id", "seq", "etag", "last_modified", "not_modified") \
+    r = raw.select("feed_id", "seq", "etag", "last_modified", F.coalesce("not_modified", F.lit(False)).alias("not_modified")) \
         .join(body_err, ["feed_id", "seq"], "left").join(item_err, ["feed_id", "seq"], "left")
     status = (F.when(F.col("not_modified"), "not_modified").when(F.col("body_error").isNotNull(), "error")
               .when(F.coalesce("n_item_errors", F.lit(0)) > 0, "partial").otherwise("ok"))

@@ -40,6 +40,16 @@ def count_drop(previous: DataFrame, candidate: DataFrame) -> DataFrame:
                         (F.col("candidate_count") >= F.col("previous_count") * F.lit(MIN_COUNT_RATIO)))
 
 
+def stored_violations(articles: DataFrame, aliases: DataFrame, links: DataFrame, tags: DataFrame) -> DataFrame:
+    """Q-1 / Q-6 over the stored tables: (rule, violations), one row per rule."""
+    fks = orphans([("alias_article", aliases, "article_uid", articles, "uid"), ("link_article", links, "article_uid", articles, "uid"),
+                   ("link_tag", links, "tag_id", tags, "id")])
+    pair = links.select(F.to_json(F.struct("article_uid", "tag_id")).alias("pair"))
+    doubles = duplicate_keys([("alias_url", aliases, "normalized_url"), ("link_pair", pair, "pair"), ("tag_id", tags, "id"),
+                              ("tag_label", tags, "label")]).groupBy("key_type").agg(F.sum("n").alias("violations"))
+    return fks.unionByName(doubles.select(F.col("key_type").alias("fk"), "violations")).withColumnRenamed("fk", "rule")
+
+
 def quality_report(articles: DataFrame, journals: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """E-8 + Q-3/Q-5/Q-6 + Q-1(article->journal) + Q-4 in one row."""
     missing = [c for c in REQUIRED_ARTICLE_COLUMNS if c not in articles.columns]
@@ -51,7 +61,6 @@ def quality_report(articles: DataFrame, journals: DataFrame, runs: DataFrame | N
         bad_enum = bad_enum | ~F.col("metadata_status").isin(*METADATA_STATUSES)
     metrics = a.agg(
         F.count(F.lit(1)).alias("article_count"),
-        F.count_distinct("journal_id").alias("journal_count"),
         F.min("published_at").alias("min_published_at"),
         F.max("published_at").alias("max_published_at"),
         F.count_if(F.coalesce(bad_enum, F.lit(True))).alias("enum_violations"),
@@ -60,7 +69,7 @@ def quality_report(articles: DataFrame, journals: DataFrame, runs: DataFrame | N
     )
     dup = articles.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_uids"))
-    parts = [metrics, dup]
+    parts = [metrics, dup, journals.agg(F.count(F.lit(1)).alias("journal_count"))]
     if "doi" in articles.columns:
         parts.append(articles.where(F.col("doi").isNotNull()).groupBy("doi").agg(F.count(F.lit(1)).alias("n"))
                      .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_dois")))

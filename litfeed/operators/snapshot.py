@@ -2,12 +2,16 @@
 
 A run writes ``<root>/snapshot=<run_id>/<table>`` (Parquet), the quality gate
 reads the *written* data back, and only then the ``CURRENT`` pointer is
-replaced (write temp file, rename). Readers resolve the pointer, so a failed
-run leaves the previous snapshot published.
+replaced (a file renamed over it). Readers resolve the pointer, so a failed
+run leaves the previous snapshot published. ``WORKING`` names the latest
+snapshot written: a batch that the gate refuses is not lost, the next one
+builds on it.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from litfeed.constants import ACCEPTED_PREVIOUS_VERSIONS, SCHEMA_VERSION
 from litfeed.operators import gate as G
 from litfeed.schemas import SNAPSHOT
 
-POINTER = "CURRENT"
+POINTER, WORKING = "CURRENT", "WORKING"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -50,36 +54,49 @@ def snapshot_path(root: str, run_id: int) -> str:
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int, parent: str | None = None) -> str:
-    """Write the tables of one run. Articles are clustered by uid within
-    monthly ``published_month`` partitions, so date filters prune files.
-    Tables not given are inherited from ``parent`` (recorded in ``_PARENT``)."""
+    """Write the tables of one run. Articles are clustered by uid within ``published_month`` partitions, so date filters prune
+    files; a month is cut into files by a hash of the uid, as many as Spark sees fit.
+    Tables not given are inherited from ``parent``: ``_TABLES`` records where each table of the snapshot lies."""
     base = snapshot_path(root, run_id)
+    spark = next(iter(tables.values())).sparkSession
+    places = table_places(spark, parent) if parent is not None else {}
     for name, df in tables.items():
         w = df
         if name == "articles":
             w = (df.withColumn("published_month", F.date_format("published_at", "yyyy-MM"))
-                 .repartition("published_month").sortWithinPartitions("uid"))
+                 .repartition("published_month", F.pmod(F.xxhash64("uid"), F.lit(16))).sortWithinPartitions("uid"))
             w.write.mode("overwrite").partitionBy("published_month").parquet(f"{base}/{name}")
         else:
             w.write.mode("overwrite").parquet(f"{base}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+        places[name] = f"{base}/{name}"
     _write_text(spark, f"{base}/_VERSION", str(SCHEMA_VERSION))
-    if parent is not None:
-        _write_text(spark, f"{base}/_PARENT", parent)
+    _write_text(spark, f"{base}/_TABLES", json.dumps(places))
     return base
 
 
+def table_places(spark: SparkSession, base: str) -> dict[str, str]:
+    """Where the tables of a snapshot lie (its own folder, or that of an earlier one)."""
+    return json.loads(_read_text(spark, f"{base}/_TABLES") or "{}")
+
+
 def _resolve(spark: SparkSession, base: str, name: str) -> str:
-    """Directory holding ``name`` for snapshot ``base``, following ``_PARENT`` links."""
-    seen = 0
-    while True:
-        fs, p, _ = _fs(spark, f"{base}/{name}")
-        if fs.exists(p) or seen > 1000:
-            return f"{base}/{name}"
-        parent = _read_text(spark, f"{base}/_PARENT")
-        if parent is None:
-            return f"{base}/{name}"
-        base, seen = parent, seen + 1
+    return table_places(spark, base).get(name, f"{base}/{name}")
+
+
+def note_catalogue(spark: SparkSession, base: str, value: str) -> None:
+    _write_text(spark, f"{base}/_CATALOGUE", value)
+
+
+def catalogue(spark: SparkSession, base: str) -> str | None:
+    """Fingerprint of the rules, topics, gates and feeds that a snapshot was made with."""
+    return _read_text(spark, f"{base}/_CATALOGUE")
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """A value that changes with the rows of small tables, in whatever order."""
+    sums = [tuple(t.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64(F.to_json(F.struct(*sorted(t.columns)))), F.lit(1 << 40)))).first())
+            for t in tables]
+    return json.dumps(sums)
 
 
 def read_table(spark: SparkSession, base: str, name: str, keep_partition: bool = False) -> DataFrame:
@@ -88,9 +105,15 @@ def read_table(spark: SparkSession, base: str, name: str, keep_partition: bool =
 
 
 def current(spark: SparkSession, root: str) -> str | None:
+    """The published snapshot."""
     return _read_text(spark, f"{root.rstrip('/')}/{POINTER}")
 
 
+def working(spark: SparkSession, root: str) -> str | None:
+    """The snapshot that the next batch starts from: the latest one written, published or not."""
+    return _read_text(spark, f"{root.rstrip('/')}/{WORKING}")
+
+
 def missing_columns(spark: SparkSession, base: str) -> list[str]:
     """Q-2: required tables and columns of a written snapshot (``table.column``)."""
     out = []
@@ -128,7 +151,9 @@ def gate(spark: SparkSession, base: str, previous: str | None) -> dict:
     """Q-3..Q-6, Q-10, Q-11 on the written data; one small row collected."""
     arts = read_table(spark, base, "articles")
     journals = read_table(spark, base, "journals")
-    report = G.quality_report(arts, journals).first().asDict()
+    report = G.quality_report(arts, journals, read_table(spark, base, "runs")).first().asDict()
+    stored = [read_table(spark, base, t) for t in ("url_aliases", "article_tags", "tags")]
+    report["violations"] = {r.rule: r.violations for r in G.stored_violations(arts, *stored).where("violations > 0").collect()}
     report["missing"] = missing_columns(spark, base)
     version = _read_text(spark, f"{base}/_VERSION")
     report["version_ok"] = version is not None and int(version) == SCHEMA_VERSION
@@ -138,16 +163,29 @@ def gate(spark: SparkSession, base: str, previous: str | None) -> dict:
         report["version_ok"] &= prev_version is not None and int(prev_version) in ACCEPTED_PREVIOUS_VERSIONS
         cd = G.count_drop(read_table(spark, previous, "articles"), arts).first()
         report["count_ok"] = bool(cd.passed)
-    report["publishable"] = bool(report["passed"] and report["version_ok"] and report["count_ok"] and not report["missing"])
+    report["publishable"] = bool(report["passed"] and report["version_ok"] and report["count_ok"] and not report["missing"]
+                                 and not report["violations"])
     return report
 
 
+def _point(spark: SparkSession, root: str, pointer: str, base: str) -> None:
+    """Replace a pointer in one step: a new file is renamed over the old one, so readers see either."""
+    jvm = spark.sparkContext._jvm
+    top = root.rstrip("/")
+    _write_text(spark, f"{top}/_{pointer}.tmp", base)
+    _, new, _ = _fs(spark, f"{top}/_{pointer}.tmp")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.getFileSystem(conf).makeQualified(new).toUri(), conf)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    context.rename(context.makeQualified(new), context.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{top}/{pointer}")), options)
+
+
 def publish(spark: SparkSession, root: str, base: str) -> None:
-    """A-16: replace the pointer (temp file + rename)."""
-    fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_{POINTER}.tmp")
-    dst = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}")
-    _write_text(spark, str(tmp), base)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    fs.rename(tmp, dst)
+    """A-16: the snapshot becomes the published one."""
+    _point(spark, root, POINTER, base)
+
+
+def keep_working(spark: SparkSession, root: str, base: str) -> None:
+    """The snapshot becomes the one that the next batch starts from."""
+    _point(spark, root, WORKING, base)

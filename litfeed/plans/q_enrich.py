@@ -144,8 +144,8 @@ FROM v_journals n FULL OUTER JOIN (
     'https://old.example.org/' || s.feed_id AS feed_url, false AS enabled, s.etag, s.last_modified,
     {sql_ts('s.last_checked_at')} AS last_checked_at, {sql_ts('s.last_success_at')} AS last_success_at, s.last_status, s.last_error
   FROM (SELECT feed_id,
-      (arg_max({{'v': etag}}, seq) FILTER (WHERE status = 'ok' OR (status = 'not_modified' AND etag IS NOT NULL))).v AS etag,
-      (arg_max({{'v': last_modified}}, seq) FILTER (WHERE status = 'ok' OR (status = 'not_modified' AND last_modified IS NOT NULL))).v AS last_modified,
+      (arg_max({{'v': etag}}, seq) FILTER (WHERE status = 'ok' OR etag IS NOT NULL)).v AS etag,
+      (arg_max({{'v': last_modified}}, seq) FILTER (WHERE status = 'ok' OR last_modified IS NOT NULL)).v AS last_modified,
       arg_max(checked_at, seq) AS last_checked_at, max(checked_at) FILTER (WHERE status IN ('ok', 'not_modified')) AS last_success_at,
       arg_max(status, seq) AS last_status, (arg_max({{'v': CASE WHEN status IN ('ok', 'not_modified') THEN NULL ELSE error END}}, seq)).v AS last_error
     FROM v_fetches GROUP BY feed_id) s WHERE CAST(substring(s.feed_id, 2) AS INTEGER) % 2 = 0) o ON o.id = n.id""",

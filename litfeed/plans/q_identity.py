@@ -178,13 +178,33 @@ def upsert_outcomes(spark, sf_dir):
     return outcomes(r, chunk=256)
 
 
-@query("conflict_resolution", "H-9, §2.3 (tainted components replayed, rest aggregated)")
+def _conflict_sql() -> str:
+    """Item after item: what its keys stand for is looked up in two lists, and an accepted item adds its new keys."""
+    walk = {"q_said": """
+SELECT row_number() OVER (ORDER BY seq) AS n, seq, list_filter([{'k': 'uj:' || url, 'v': journal_id}, {'k': 'dj:' || doi, 'v': journal_id},
+  {'k': 'ud:' || url, 'v': doi}], lambda c: c.k IS NOT NULL AND c.v IS NOT NULL) AS cs FROM v_items_conflict""", "q_walk": """
+SELECT 0::BIGINT AS n, NULL::BIGINT AS seq, []::VARCHAR[] AS ks, []::VARCHAR[] AS vs, false AS bad
+UNION ALL
+SELECT n, seq, CASE WHEN bad THEN ks ELSE list_concat(ks, list_transform(fresh, lambda c: c.k)) END,
+  CASE WHEN bad THEN vs ELSE list_concat(vs, list_transform(fresh, lambda c: c.v)) END, bad
+FROM (SELECT t.n, t.seq, w.ks, w.vs, list_filter(t.cs, lambda c: NOT list_contains(w.ks, c.k)) AS fresh,
+        len(list_filter(t.cs, lambda c: list_contains(w.ks, c.k) AND w.vs[list_position(w.ks, c.k)] <> c.v)) > 0 AS bad
+      FROM q_walk w JOIN q_said t ON t.n = w.n + 1)""",
+            "v_items": "SELECT * FROM v_items_conflict WHERE seq NOT IN (SELECT seq FROM q_walk WHERE bad)"}
+    sql = with_views(f"""
+SELECT 'article' AS kind, NULL::BIGINT AS seq, uid, doi, journal_id, title, abstract, published_at, article_type, oa_status, NULL AS error_class
+FROM ({_merge_sql()})
+UNION ALL SELECT 'quarantine', seq, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'RepositoryConflictError' FROM q_walk WHERE bad""",
+                     "v_items_conflict", extra={**walk, **_PH})
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("conflict_resolution", "H-9, §2.3", _conflict_sql())
 def conflict_resolution(spark, sf_dir):
     from litfeed.operators.conflicts import resolve_with_conflicts
     arts, quarantine = resolve_with_conflicts(Ctx(spark, sf_dir).items(conflict=True))
-    q = quarantine.select(F.lit("quarantine").alias("kind"), F.col("seq"), F.lit(None).cast("string").alias("uid"),
-                          F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("journal_id"),
-                          F.lit(None).cast("string").alias("title"), "error_class")
-    a = arts.select(F.lit("article").alias("kind"), F.lit(None).cast("long").alias("seq"), "uid", "doi", "journal_id",
-                    "title", F.lit(None).cast("string").alias("error_class"))
+    fields = ("uid", "doi", "journal_id", "title", "abstract", "published_at", "article_type", "oa_status")
+    q = quarantine.select(F.lit("quarantine").alias("kind"), "seq", *[F.lit(None).cast("string").alias(f) for f in fields], "error_class")
+    a = arts.withColumn("published_at", ts_text("published_at")).select(
+        F.lit("article").alias("kind"), F.lit(None).cast("long").alias("seq"), *fields, F.lit(None).cast("string").alias("error_class"))
     return a.unionByName(q)

@@ -71,8 +71,8 @@ def run_feed_lists(spark, sf_dir):
     return R.run_feed_lists(Ctx(spark, sf_dir).fetches())
 
 
-_SETS_E = "(status = 'ok' OR (status = 'not_modified' AND etag IS NOT NULL))"
-_SETS_L = "(status = 'ok' OR (status = 'not_modified' AND last_modified IS NOT NULL))"
+_SETS_E = "(status = 'ok' OR etag IS NOT NULL)"
+_SETS_L = "(status = 'ok' OR last_modified IS NOT NULL)"
 _OK = "status IN ('ok', 'not_modified')"
 
 
@@ -106,7 +106,7 @@ def feed_state_history(spark, sf_dir):
 
 
 @query("quality_report", "E-8, Q-1, Q-3..Q-6", with_views(f"""
-SELECT count(*) AS article_count, count(DISTINCT a.journal_id) AS journal_count,
+SELECT count(*) AS article_count, (SELECT count(*) FROM v_journals) AS journal_count,
   {sql_ts('min(a.published_at)')} AS min_published_at, {sql_ts('max(a.published_at)')} AS max_published_at,
   count(*) FILTER (WHERE NOT (a.article_type IN ('research','review','editorial','correction','other')
                    AND a.oa_status IN ('open','closed','unknown'))) AS enum_violations,

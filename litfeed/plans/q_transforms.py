@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
 from litfeed.functions import articles as AF
 from litfeed.functions.dates import normalize_date
-from litfeed.functions.text import clean_text_fast
+from litfeed.functions.text import visible_text
 from litfeed.functions.url import normalize_url, strip_tracking
 from litfeed.plans.common import Ctx, sql_casefold, sql_ts, ts_text
 from litfeed.plans.oracle_views import with_views
@@ -144,7 +144,7 @@ FROM (SELECT doc_id, raw_type, trim(regexp_replace(raw_type, '[\\t\\n\\x0B\\f\\r
     extra=SQL_TYPES))
 def article_type_rules(spark, sf_dir):
     t = standins.raw_types(spark, sf_dir)
-    return t.select("doc_id", "raw_type", AF.article_type(clean_text_fast(F.col("raw_type"))).alias("article_type"))
+    return t.select("doc_id", "raw_type", AF.article_type(visible_text(F.col("raw_type"))).alias("article_type"))
 
 
 # ---------------- candidate UID (B-8) ----------------

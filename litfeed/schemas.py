@@ -28,5 +28,8 @@ RUNS = StructType([StructField("run_id", L), StructField("feeds_checked", L), St
                    StructField("failed_feeds", L), StructField("failed", L), StructField("status", S),
                    StructField("items_applied", L)])
 
-SNAPSHOT = {"articles": ARTICLES, "article_tags": ARTICLE_TAGS, "tags": TAGS, "url_aliases": URL_ALIASES,
+QUARANTINE = StructType([StructField("journal_id", S), StructField("seq", L), StructField("item_index", IntegerType()),
+                         StructField("error_class", S), StructField("run_id", L)])
+
+SNAPSHOT = {"quarantine": QUARANTINE, "articles": ARTICLES, "article_tags": ARTICLE_TAGS, "tags": TAGS, "url_aliases": URL_ALIASES,
             "applied_items": APPLIED_ITEMS, "journals": JOURNALS, "feed_state": FEED_STATE, "runs": RUNS}

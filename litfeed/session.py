@@ -69,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="litfeed-ckpt-", dir=os.environ.get("LITFEED_SCRATCH", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)

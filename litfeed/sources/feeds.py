@@ -9,7 +9,9 @@ after parsing is column expressions.
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
+from html.entities import html5
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -20,7 +22,7 @@ from litfeed.constants import MAX_FEED_BYTES
 from litfeed.functions import articles as AF
 from litfeed.functions.dates import normalize_date
 from litfeed.functions.doi import extract_doi
-from litfeed.functions.text import clean_text, clean_text_fast
+from litfeed.functions.text import clean_text, visible_text
 from litfeed.functions.url import normalize_url
 from litfeed.operators.util import ensure_parallel
 
@@ -82,16 +84,45 @@ def _entry_fields(entry, fmt: str) -> dict:
                 raw_type=_first(entry, f"{{{NS_PRISM}}}section", "category"))
 
 
+#: A reference by name that XML does not define itself.
+_NAMED = re.compile(rb"&(?!(?:amp|lt|gt|quot|apos);)([A-Za-z][A-Za-z0-9]*;)")
+
+
+def parsed_root(content: bytes):
+    """The root element. A body that breaks off, or breaks the rules further on, still gives the elements that were complete
+    before: the parser is fed to where it stops, and what is open there is closed. References by HTML name are decoded."""
+    content = _NAMED.sub(lambda m: html5.get(m[1].decode(), m[0].decode()).encode("ascii", "xmlcharrefreplace"), content)
+    parser, open_tags, root = ET.XMLPullParser(("start", "end")), [], None
+    try:
+        parser.feed(content)
+        parser.close()
+    except ET.ParseError:
+        pass
+    try:
+        for event, element in parser.read_events():
+            root = element if root is None else root
+            if event == "start":
+                open_tags.append(element)
+            else:
+                open_tags.pop()
+    except ET.ParseError:
+        pass
+    # an entry that was not complete is no entry
+    for parent, child in zip(open_tags, open_tags[1:], strict=False):
+        if child.tag.rsplit("}", 1)[-1] in ("item", "entry"):
+            parent.remove(child)
+    return root
+
+
 def parse_body(content: bytes, base_url: str):
     """-> (list of entry dicts, error_class or None). Entries without title or link are skipped."""
     if content is None or len(content) > MAX_FEED_BYTES:
         return [], "FeedFetchError"
-    try:
-        root = ET.fromstring(content)
-    except ET.ParseError:
+    root = parsed_root(content)
+    if root is None:
         return [], "FeedParseError"
     tag = root.tag
-    if tag == "rss":
+    if tag == "rss" and (root.get("version") or "").strip() == "2.0":
         fmt, channel = "rss2", root.find("channel")
         entries = channel.findall("item") if channel is not None else []
         meta_ok = channel is not None and all(_t(channel.find(k)) for k in ("title", "link", "description"))
@@ -125,8 +156,6 @@ def _parse_batches(batches):
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
-            if r.not_modified:
-                continue
             base = r.effective_url or r.feed_url
             entries, err = parse_body(r.content, base)
             if err is not None:
@@ -164,14 +193,16 @@ def parse_feeds(raw_feeds: DataFrame) -> DataFrame:
     to Python; 304 answers carry no body to parse.
     """
     bodies = raw_feeds.select("feed_id", "feed_url", "effective_url", "content", "not_modified", "seq")
+    # a missing flag means that a body came
+    bodies = bodies.where(~F.coalesce("not_modified", F.lit(False)))
     oversize = F.octet_length("content") > MAX_FEED_BYTES
-    too_big = bodies.where(oversize & ~F.col("not_modified")).select(
+    too_big = bodies.where(oversize).select(
         "feed_id", "feed_url", "seq", F.lit(None).cast("int").alias("item_index"),
         *[F.lit(None).cast("string").alias(c) for c in ("title", "link", "published", "prism_doi", "dc_identifier",
                                                         "entry_id", "guid")],
         F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("summary"),
         F.lit(None).cast("string").alias("raw_type"), F.lit("FeedTooLargeError").alias("error_class"))
-    ok = bodies.where(~F.coalesce(oversize, F.lit(False)) & ~F.col("not_modified"))
+    ok = bodies.where(~F.coalesce(oversize, F.lit(False)))
     return ensure_parallel(ok, "feed_id", "seq").mapInPandas(_parse_batches, ITEM_SCHEMA).unionByName(too_big)
 
 
@@ -186,7 +217,7 @@ def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
                       F.col("summary"), F.col("link"))
     doi = F.translate(doi, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     published = normalize_date(F.col("published"))
-    authors = AF.distinct_authors(F.transform("authors", lambda a: clean_text_fast(a)))
+    authors = AF.distinct_authors(F.transform("authors", lambda a: visible_text(a)))
     events = x.select(
         "seq", "item_index", "feed_id", "feed_url", "catalog_feed_url",
         doi.alias("doi"), title.alias("title"), clean_text(F.col("summary")).alias("abstract"),

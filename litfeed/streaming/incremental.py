@@ -22,11 +22,14 @@ snapshot as one batch (``tests/test_stream.py``).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
 from litfeed.operators import classify as C
+from litfeed.operators import conflicts as K
 from litfeed.operators import feedstate as FS
 from litfeed.operators import runs as R
 from litfeed.operators import identity as I
@@ -40,28 +43,35 @@ ITEM_KEY = ("journal_id", "seq", "item_index")
 FIELDS = ENRICHABLE_FIELD_ORDER
 ARTICLE_COLUMNS = ("uid", "doi", "journal_id", "title", "abstract", "authors", "published_at", "article_type",
                    "article_url", "normalized_url", "oa_status", "source_feed_url", "metadata_status", "enriched_fields")
-BATCH_SPAN = 1 << 40
+#: Items are ordered by batch, body and place in the body, in one decimal: 20 bits for the place (a body of the allowed
+#: size holds fewer items), 64 for the body.
+WIDE = "decimal(38,0)"
+BODY_SPAN, BATCH_SPAN = Decimal(1 << 20), Decimal(1 << 84)
+
+
+def order_key(batch_id: int):
+    return (F.lit(Decimal(batch_id) * BATCH_SPAN).cast(WIDE) + F.col("seq").cast(WIDE) * F.lit(BODY_SPAN).cast("decimal(18,0)")
+            + F.col("item_index").cast(WIDE)).cast(WIDE)
 
 
 def _batch_items(events: DataFrame, batch_id: int) -> DataFrame:
-    ordk = F.lit(batch_id).cast("bigint") * F.lit(BATCH_SPAN) + F.col("seq") * F.lit(1 << 16) + F.col("item_index")
     ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
     return events.select(
-        ordk.alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
+        order_key(batch_id).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
         *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
         "metadata_status", "article_url", "source_feed_url",
         F.lit(False).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"))
 
 
-def _state_items(articles: DataFrame, aliases: DataFrame, base: int) -> DataFrame:
+def _state_items(articles: DataFrame, aliases: DataFrame, base: Decimal) -> DataFrame:
     ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
     st = articles.select(
-        F.lit(base - 2).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
+        F.lit(base - 2).cast(WIDE).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
         *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
         "metadata_status", "article_url", "source_feed_url",
         F.lit(False).alias("is_alias"), F.col("uid").alias("stored_uid"))
     al = aliases.join(articles.select(F.col("uid").alias("article_uid"), "doi"), "article_uid").select(
-        F.lit(base - 1).alias("seq"), F.col("normalized_url").alias("url"), "doi",
+        F.lit(base - 1).cast(WIDE).alias("seq"), F.col("normalized_url").alias("url"), "doi",
         F.lit(None).cast("string").alias("journal_id"), *[F.lit(None).cast(articles.schema[f].dataType).alias(f) for f in FIELDS],
         *[F.lit(False).alias(f"{f}_enr") for f in FIELDS], F.lit(None).cast("string").alias("metadata_status"),
         F.lit(None).cast("string").alias("article_url"), F.lit(None).cast("string").alias("source_feed_url"),
@@ -91,37 +101,64 @@ def fold_entities(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int):
     """H-5 for one batch of items (``_batch_items`` shape) against stored articles/aliases.
 
-    Returns (articles, url_aliases, folded, touched): the new full tables, the
-    re-merged entities and the stored uids they replaced.
+    Items that contradict a stored record or an earlier item of the batch are rejected (H-9).
+    Returns (articles, url_aliases, folded, touched, rejected): the new full tables, the
+    re-merged entities, the stored uids they replaced, and the order keys of rejected items.
     """
     if old_arts is None:
-        folded, f_alias = fold_entities(new_items)
-        return folded, f_alias, folded, folded.select("uid").where("false")
+        rejected = K.contradictions(new_items).checkpoint(eager=True)
+        folded, f_alias = fold_entities(new_items.join(rejected, "seq", "left_anti"))
+        return folded, f_alias, folded, folded.select("uid").where("false"), rejected
     b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
     b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
     touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
                .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
     t_arts = old_arts.join(touched, "uid", "left_semi")
     t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
-    items = _state_items(t_arts, t_alias, batch_id * BATCH_SPAN).unionByName(new_items)
+    stored = t_alias.join(t_arts.select(F.col("uid").alias("article_uid"), "doi", "journal_id"), "article_uid").select(
+        F.col("normalized_url").alias("url"), "doi", "journal_id")
+    fixed = K.claims(stored.withColumn("seq", F.lit(0))).drop("seq")
+    rejected = K.contradictions(new_items, fixed).checkpoint(eager=True)
+    accepted = new_items.join(rejected, "seq", "left_anti")
+    items = _state_items(t_arts, t_alias, Decimal(batch_id) * BATCH_SPAN).unionByName(accepted)
     folded, f_alias = fold_entities(items)
     folded = folded.checkpoint(eager=True)
     articles = old_arts.join(touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(folded)
     aliases = (old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
                .select("normalized_url", "article_uid").unionByName(f_alias))
-    return articles, aliases, folded, touched
+    return articles, aliases, folded, touched, rejected
+
+
+def _quarantine(spark: SparkSession, previous: str | None, refused: DataFrame, batch_id: int) -> DataFrame:
+    """What was refused so far: bodies (no item_index), unusable items, and items that contradict a record."""
+    new = refused.select(*ITEM_KEY, "error_class", F.lit(batch_id + 1).cast("bigint").alias("run_id"))
+    return new if previous is None else SN.read_table(spark, previous, "quarantine").unionByName(new)
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
                 rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None) -> dict:
     """One micro-batch. ``enricher`` (K-2) is any ``DataFrame -> DataFrame`` applied
     to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``."""
-    base_prev = SN.current(spark, root)
+    base_prev, published = SN.working(spark, root), SN.current(spark, root)
     target = SN.snapshot_path(root, batch_id + 1)
-    if base_prev == target:  # this micro-batch was already published (re-executed batch id)
+    if base_prev == target:  # this micro-batch was already applied (re-executed batch id)
         return {"batch_id": batch_id, "skipped": True}
     checkpoint_dir(spark)
+    # C-7: feeds that are switched off are not taken in
+    batch = batch.join(journals.where(~F.col("enabled")).select(F.col("id").alias("feed_id")), "feed_id", "left_anti").select(*batch.columns)
     batch = batch.checkpoint(eager=True)  # read by the parser and the feed checks; re-reading costs more than this
+
+    def finish(tables: dict, parent: str | None, **more) -> dict:
+        """Writes, makes the snapshot the working one, and publishes it if the gate lets it pass. A refused snapshot keeps its items:
+        the next batch builds on it."""
+        SN.write_snapshot(tables, root, batch_id + 1, parent=parent)
+        SN.note_catalogue(spark, target, catalogue)
+        SN.keep_working(spark, root, target)
+        report = SN.gate(spark, target, published)
+        if report["publishable"]:
+            SN.publish(spark, root, target)
+        return {"batch_id": batch_id, "published": report["publishable"], **more, **report}
+
     parsed = FD.parse_feeds(batch).checkpoint(eager=True)
     events = FD.canonicalize(parsed, journals)
     if enricher is not None:
@@ -141,15 +178,16 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
                                                           F.regexp_extract("error", r"^([0-9]+)", 1).cast("bigint"))
                                     .otherwise(F.lit(0).cast("bigint"))))
     run = run.withColumn("items_applied", F.lit(good.count()).cast("bigint"))
-    if base_prev is not None and good.limit(1).count() == 0:
+    refused = (parsed.where(F.col("error_class").isNotNull()).select(F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
+               .unionByName(events.where(F.col("error_class").isNotNull()).select("journal_id", "seq", "item_index", "error_class")))
+    catalogue = SN.fingerprint(rules, topics, gates, journals)
+    same_catalogue = base_prev is not None and SN.catalogue(spark, base_prev) == catalogue
+    if same_catalogue and good.isEmpty():
         # no new items (e.g. replayed bodies): articles, aliases and links are inherited from the
-        # previous snapshot; only the feed state and the run ledger advance
+        # previous snapshot; only the feed state, the run ledger and the quarantine advance
         runs = SN.read_table(spark, base_prev, "runs").unionByName(run)
-        SN.write_snapshot({"feed_state": feed_state, "runs": runs}, root, batch_id + 1, parent=base_prev)
-        report = SN.gate(spark, target, base_prev)
-        if report["publishable"]:
-            SN.publish(spark, root, target)
-        return {"batch_id": batch_id, "published": report["publishable"], "no_change": True, **report}
+        tables = {"feed_state": feed_state, "runs": runs, "quarantine": _quarantine(spark, base_prev, refused, batch_id)}
+        return finish(tables, base_prev, no_change=True)
     new_items = _batch_items(good, batch_id)
     keys = good.select(*ITEM_KEY)
 
@@ -157,12 +195,15 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
         old_arts = SN.read_table(spark, base_prev, "articles")
         old_alias = SN.read_table(spark, base_prev, "url_aliases")
         old_links = SN.read_table(spark, base_prev, "article_tags")
-        articles, aliases, folded, touched = upsert(old_arts, old_alias, new_items, batch_id)
-        links = (old_links.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
-                 .select("article_uid", "tag_id").unionByName(C.classify(folded, rules, topics, gates)))
+        articles, aliases, folded, touched, rejected = upsert(old_arts, old_alias, new_items, batch_id)
+        if same_catalogue:
+            links = (old_links.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
+                     .select("article_uid", "tag_id").unionByName(C.classify(folded, rules, topics, gates)))
+        else:  # another catalogue: every article is tagged anew
+            links = C.classify(articles, rules, topics, gates)
         applied = applied.unionByName(keys)
     else:
-        articles, aliases, _, _ = upsert(None, None, new_items, batch_id)
+        articles, aliases, _, _, rejected = upsert(None, None, new_items, batch_id)
         articles = articles.checkpoint(eager=True)
         links = C.classify(articles, rules, topics, gates)
         applied = keys
@@ -170,13 +211,11 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     tags = topics.select(F.col("topic_id").alias("id"), "label").join(
         links.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
     runs = run if base_prev is None else SN.read_table(spark, base_prev, "runs").unionByName(run)
-    SN.write_snapshot({"articles": articles, "article_tags": links, "tags": tags, "url_aliases": aliases,
-                       "applied_items": applied, "journals": journals, "feed_state": feed_state, "runs": runs},
-                      root, batch_id + 1)
-    report = SN.gate(spark, target, base_prev)
-    if report["publishable"]:
-        SN.publish(spark, root, target)
-    return {"batch_id": batch_id, "published": report["publishable"], **report}
+    clashes = good.withColumn("_order", order_key(batch_id)).join(rejected.withColumnRenamed("seq", "_order"), "_order", "left_semi").select(
+        *ITEM_KEY, F.lit(K.CONFLICT).alias("error_class"))
+    return finish({"articles": articles, "article_tags": links, "tags": tags, "url_aliases": aliases, "applied_items": applied,
+                   "journals": journals, "feed_state": feed_state, "runs": runs,
+                   "quarantine": _quarantine(spark, base_prev, refused.unionByName(clashes), batch_id)}, None)
 
 
 def run_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, journals: DataFrame,

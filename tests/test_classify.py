@@ -1,60 +1,86 @@
-"""Keyword boundaries and context gates (C-10, D-7, D-8)."""
+"""Keyword boundaries and context gates (C-10, D-7, D-8): every strategy against a plain search, on texts made by rule."""
+
+import random
+import re
 
 import pytest
 
 from litfeed.operators import classify as C
 
+METHODS = ["literal", "broadcast", "tokens"]
+KEYWORDS = {"laser": ("laser",), "spin": ("spin wave", "magnon"), "lang": ("F#",), "dotted": ("v.2",), "greek": ("ωμέγα",)}
+GROUP = {"laser": "optics", "spin": "magnetism", "lang": "software", "dotted": "software", "greek": "letters"}
+NEEDS = {"dotted": ("optics", "letters"), "lang": ("magnetism",)}
+
 
-def _run(spark, titles, topics, gates=(), method="broadcast", exact=False):
-    arts = spark.createDataFrame([(f"a{i}", t, None) for i, t in enumerate(titles)], "uid string, title string, abstract string")
-    rules = spark.createDataFrame([(tid, tid, grp, bool(req), kw) for tid, grp, req, kws in topics for kw in kws],
+def run(spark, texts, method, exact=False, keywords=KEYWORDS, needs=NEEDS):
+    arts = spark.createDataFrame([(f"a{i}", a, b) for i, (a, b) in enumerate(texts)], "uid string, title string, abstract string")
+    rules = spark.createDataFrame([(t, t, GROUP[t], t in needs, k) for t, ks in keywords.items() for k in ks],
                                   "topic_id string, label string, group_id string, gated boolean, keyword string")
-    tops = spark.createDataFrame([(tid, tid, grp, bool(req)) for tid, grp, req, _ in topics],
-                                 "topic_id string, label string, group_id string, gated boolean")
-    g = spark.createDataFrame([(tid, r) for tid, _, req, _ in topics for r in req] or [("none", "none")],
-                              "topic_id string, required_group string")
-    out = C.classify(arts, rules, tops, g, method=method, exact=exact).collect()
-    res = {f"a{i}": set() for i in range(len(titles))}
-    for r in out:
-        res[r.article_uid].add(r.tag_id)
-    return [res[f"a{i}"] for i in range(len(titles))]
-
-
-RF = ("rf", "g", (), ("RF",))
-SAW = ("saw", "g", (), ("surface acoustic wave",))
-CPP = ("cpp", "g", (), ("C++",))
-DOT = ("dot", "g", (), ("A.B",))
-
-
-@pytest.mark.parametrize("method", ["literal", "broadcast", "tokens"])
-def test_boundaries(spark, method):
-    titles = ["High-performance device", "An RF-MEMS filter", "The RF response", "RF2 and RF_filter",
-              "Surface\n acoustic   wave resonator", "A surface-acoustic-wave resonator", "A subsurface acoustic waveform",
-              "A surface–acoustic—wave resonator", "C++ methods for A.B testing", "C methods for AxB testing",
-              "A.B.C notation", "C++++ extensions", "Seesaw performance"]
-    got = _run(spark, titles, [RF, SAW, CPP, DOT], method=method)
-    assert got == [set(), {"rf"}, {"rf"}, set(), {"saw"}, {"saw"}, set(), {"saw"}, {"cpp", "dot"}, set(), set(), set(), set()]
-
-
-def test_unicode_marks_and_case(spark):
-    dev = ("devanagari", "g", (), ("क",))
-    mat = ("material", "g", (), ("älscn", "café"))
-    got = _run(spark, ["कि resonance", "क resonance", "ÄlScN devices", "CAFÉ devices"], [dev, mat], exact=True)
-    assert got == [set(), {"devanagari"}, {"material"}, {"material"}]
-
-
-def test_dash_keywords(spark):
-    rf = ("rf", "g", (), ("radio-frequency",))
-    rfd = ("rfd", "g", (), ("radio–frequency",))
-    got = _run(spark, ["A radio frequency filter", "radio–frequency–response", "radio-frequency-filter design"], [rf, rfd])
-    assert got == [{"rf", "rfd"}, {"rf", "rfd"}, {"rf", "rfd"}]
-
-
-def test_gates(spark):
-    acoustic = ("saw", "acoustic-rf", (), ("surface acoustic wave",))
-    xrd = ("xrd", "characterization", ("acoustic-rf", "materials"), ("XRD",))
-    got = _run(spark, ["XRD analysis of a surface acoustic wave resonator", "XRD analysis"], [acoustic, xrd])
-    assert got == [{"saw", "xrd"}, set()]
-    g1 = ("saw", "acoustic-rf", ("characterization",), ("SAW",))
-    g2 = ("xrd", "characterization", ("acoustic-rf",), ("XRD",))
-    assert _run(spark, ["SAW device characterized by XRD"], [g1, g2]) == [set()]
+    topics = spark.createDataFrame([(t, t, GROUP[t], t in needs) for t in keywords],
+                                   "topic_id string, label string, group_id string, gated boolean")
+    gates = spark.createDataFrame([(t, g) for t, gs in needs.items() for g in gs] or [("-", "-")], "topic_id string, required_group string")
+    found = {f"a{i}": set() for i in range(len(texts))}
+    for r in C.classify(arts, rules, topics, gates, method=method, exact=exact).collect():
+        assert r.tag_id not in found[r.article_uid]
+        found[r.article_uid].add(r.tag_id)
+    return [found[f"a{i}"] for i in range(len(texts))]
+
+
+def plain(text, keyword):
+    """Whether a keyword stands in a text, with no token character or character of its own marks beside it."""
+    if text is None:
+        return False
+    fold = lambda s: " ".join(re.sub(r"[-‐-―\s]+", " ", s.casefold()).split())
+    t, k = fold(text), fold(keyword)
+    marks = set(re.sub(r"[\w\s]", "", k))
+    beside = lambda c: bool(c) and (c.isalnum() or c == "_" or c in marks)
+    return any(not beside(t[max(0, m.start() - 1):m.start()]) and not beside(t[m.start() + len(k):m.start() + len(k) + 1])
+               for m in re.finditer(f"(?={re.escape(k)})", t))
+
+
+def expected(texts):
+    out = []
+    for fields in texts:
+        hits = {t for t, ks in KEYWORDS.items() if any(plain(f, k) for f in fields for k in ks)}
+        opened = {GROUP[t] for t in hits if t not in NEEDS}
+        out.append({t for t in hits if t not in NEEDS or opened & set(NEEDS[t])})
+    return out
+
+
+def made(seed, n):
+    rnd = random.Random(seed)
+    words = ["laser", "LASER", "lasers", "laser2", "spin", "wave", "Magnon", "magnons", "F#", "f##", "F", "v.2", "v.2.1", "v2", "ωμέγα", "ΩΜΈΓΑ", "x", "_"]
+    joins = [" ", "  ", "-", "–", "\n", ", ", ". ", "/", "_", ""]
+    text = lambda: "".join(rnd.choice(words) + rnd.choice(joins) for _ in range(rnd.randint(0, 7)))
+    return [(rnd.choice([text(), None]), rnd.choice([text(), None])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_against_a_plain_search(spark, method):
+    texts = made(1, 250)
+    want = expected(texts)
+    assert run(spark, texts, method) == want and len(set().union(*want)) == len(KEYWORDS)
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_a_combining_mark_belongs_to_its_letter(spark, method):
+    marked = [("laser̄ beam", None), ("लेसर laser", None)]
+    assert run(spark, marked, method) == [set(), {"laser"}]
+
+
+def test_markup_and_references_before_the_search(spark):
+    texts = [("<b>la</b>ser", None), ("spin&#45;wave", None), ("<script>laser</script>", None), (None, "&Omega;&Mu;&#904;&Gamma;&Alpha;")]
+    assert run(spark, texts, "literal") == [{"laser"}, {"spin"}, set(), {"greek"}]
+
+
+def test_exact_path_composes_texts_and_keywords(spark):
+    keys = {"laser": ("Å-laser",)}
+    assert run(spark, [("an Å-laser", None)], "literal", exact=True, keywords=keys, needs={}) == [{"laser"}]
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_gated_topics_do_not_open_each_other(spark, method):
+    needs = {"laser": ("magnetism",), "spin": ("optics",)}
+    keys = {k: KEYWORDS[k] for k in ("laser", "spin", "greek")}
+    assert run(spark, [("laser and magnon", None), ("ωμέγα laser", None)], method, keywords=keys, needs=needs) == [set(), {"greek"}]
