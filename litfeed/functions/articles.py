@@ -15,6 +15,7 @@ from litfeed.constants import (
     TITLE_PLACEHOLDERS,
     UID_FIELD_SEPARATOR,
 )
+from litfeed.functions.binding import let
 from litfeed.functions.text import casefold, placeholder_key
 
 
@@ -51,8 +52,15 @@ def distinct_authors(authors: Column) -> Column:
     """B-13: drop blanks, keep the first spelling of each case-insensitive name, in order."""
     cleaned = F.filter(F.transform(authors, lambda a: F.trim(F.regexp_replace(a, r"[\s\p{Z}]+", " "))),
                        lambda a: a.isNotNull() & (a != ""))
-    keys = F.transform(cleaned, lambda a: casefold(a))
-    return F.filter(cleaned, lambda a, i: F.array_position(keys, casefold(a)) == i + 1)
+    return first_spellings(cleaned)
+
+
+def first_spellings(names: Column) -> Column:
+    """The first of each case-insensitive name, in order."""
+    def kept(given: Column) -> Column:
+        return let(F.transform(given, casefold), lambda keys: F.filter(
+            given, lambda a, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return let(names, kept)
 
 
 def _meaningful_text(col: Column, placeholders) -> Column:

@@ -1,13 +1,11 @@
 """HTML character references as column expressions.
 
-Names come from the standard library's table of HTML5, handed to Spark as one constant map; numbers are decoded from
-their UTF-32 bytes. A text without ``&`` is left alone.
+Names come from the standard library's table of HTML5, handed to Spark as one constant text that is searched for the name;
+numbers are decoded from their UTF-32 bytes. A text without ``&`` is left alone.
 """
 
 from __future__ import annotations
 
-import json
-from functools import lru_cache
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -15,42 +13,44 @@ from pyspark.sql import functions as F
 
 from litfeed.functions.binding import let
 
+_START, _END = "\x01", "\x02"
 #: Numbers 128 to 159 mean the characters of Windows-1252 (where it has one).
-_WINDOWS = {str(b): bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0)}
-_NAMES = {k: v for k, v in html5.items() if k.endswith(";")}
+_WINDOWS = "".join(bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in range(0x80, 0xA0))
 #: Names that also count without a semicolon, longest first.
 _OPEN = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+_TABLE = _START + _START.join(k + _END + v for k, v in html5.items()) + _START
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[str, str]:
-    return json.dumps(_NAMES | {k: html5[k] for k in _OPEN}), json.dumps(_WINDOWS)
+def _named(name: Column) -> Column:
+    """What a name stands for; NULL for an unknown one."""
+    at = F.instr(F.lit(_TABLE), F.concat(F.lit(_START), name, F.lit(_END)))
+    return F.when((name != "") & (at > 0), F.split_part(F.substr(F.lit(_TABLE), at + F.length(name) + 2, F.lit(3)), F.lit(_START), F.lit(1)))
 
 
 def _character(code: Column) -> Column:
     """The character of a code point; an unusable one is dropped or becomes the replacement character."""
-    windows = F.from_json(F.lit(_tables()[1]), "map<string,string>")
     dropped = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (
         code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
     outside = code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-    return (F.when(outside, F.lit("�")).when(code.between(0x80, 0x9F), F.try_element_at(windows, code.cast("string")))
+    return (F.when(outside, F.lit("�")).when(code.between(0x80, 0x9F), F.substr(F.lit(_WINDOWS), (code - 127).cast("int"), F.lit(1)))
             .when(dropped, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
 def _reference(part: Column) -> Column:
     """A text that followed ``&``, with the reference at its start decoded."""
-    names = F.from_json(F.lit(_tables()[0]), "map<string,string>")
     decimal, hexed = F.regexp_extract(part, r"^#([0-9]+);?", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]+);?", 1)
-    number = F.regexp_extract(part, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
     code = F.when(decimal != "", decimal.try_cast("bigint")).when(
         F.length(F.ltrim(hexed, F.lit("0"))) <= 8, F.conv(hexed, 16, 10).cast("bigint"))
-    closed, opened = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(part, f"^(?:{'|'.join(_OPEN)})", 0)
     rest = lambda token: F.substr(part, F.length(token) + 1)
-    named = F.try_element_at(names, closed)
-    return (F.when(number != "", F.concat(let(code, _character), rest(number)))
-            .when(named.isNotNull(), F.concat(named, rest(closed)))
-            .when(opened != "", F.concat(F.try_element_at(names, opened), rest(opened)))
-            .otherwise(F.concat(F.lit("&"), part)))
+
+    def by_name(token: Column) -> Column:
+        opened = F.regexp_extract(part, f"^(?:{'|'.join(_OPEN)})", 0)
+        prefix = let(opened, lambda t: F.when(t != "", F.concat(_named(t), rest(t))).otherwise(F.concat(F.lit("&"), part)))
+        return let(_named(token), lambda v: F.when(v.isNotNull(), F.concat(v, rest(token))).otherwise(prefix))
+
+    number = F.regexp_extract(part, r"^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+    return F.when(number != "", F.concat(let(code, _character), rest(number))).otherwise(
+        let(F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0), by_name))
 
 
 def unescape(col: Column) -> Column:

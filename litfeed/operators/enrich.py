@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import MAX_METADATA_BYTES
 from litfeed.functions import articles as AF
+from litfeed.functions.binding import let
 from litfeed.functions.text import casefold, visible_text
 
 
@@ -58,13 +59,13 @@ def parse_unpaywall(unpaywall: DataFrame) -> DataFrame:
 
 
 def _crossref_author_names(authors: Column) -> Column:
-    names = F.transform(authors, lambda a: F.when(
-        visible_text(a["given"]).isNotNull() | visible_text(a["family"]).isNotNull(),
-        F.concat_ws(" ", visible_text(a["given"]), visible_text(a["family"])))
-        .otherwise(visible_text(a["name"])))
-    good = F.filter(names, lambda n: n.isNotNull() & AF.authors_known(F.array(n)))
-    keys = F.transform(good, lambda n: casefold(n))
-    return F.filter(good, lambda n, i: F.array_position(keys, casefold(n)) == i + 1)
+    def name(a: Column) -> Column:
+        parts = F.struct(visible_text(a["given"]).alias("given"), visible_text(a["family"]).alias("family"))
+        return let(parts, lambda p: F.when(p["given"].isNotNull() | p["family"].isNotNull(), F.concat_ws(" ", p["given"], p["family"]))
+                   .otherwise(visible_text(a["name"])))
+
+    names = F.transform(authors, name)
+    return AF.first_spellings(F.filter(names, lambda n: n.isNotNull() & AF.authors_known(F.array(n))))
 
 
 def enrich(records: DataFrame, crossref: DataFrame, unpaywall: DataFrame | None) -> DataFrame:
@@ -80,19 +81,17 @@ def enrich(records: DataFrame, crossref: DataFrame, unpaywall: DataFrame | None)
     has_doi = F.col("doi").isNotNull() & (F.trim("doi") != "")
     cr_ok = has_doi & F.coalesce(F.col("cr_ok"), F.lit(False))
 
-    new_title = F.when(cr_ok & ~AF.title_known(visible_text(F.col("title"))), F.col("cr_title"))
+    new_title = F.when(cr_ok & ~let(visible_text(F.col("title")), AF.title_known), F.col("cr_title"))
     cr_auth = F.col("cr_names")
-    low_auth = ~AF.authors_known(F.transform("authors", lambda a: visible_text(a)))
+    low_auth = ~let(F.transform("authors", visible_text), AF.authors_known)
     new_auth = F.when(cr_ok & low_auth & (F.size(cr_auth) > 0), cr_auth)
     cr_abs = F.col("cr_abstract")
-    new_abs = F.when(cr_ok & ~AF.abstract_known(visible_text(F.col("abstract"))) & AF.abstract_known(cr_abs), cr_abs)
+    new_abs = F.when(cr_ok & ~let(visible_text(F.col("abstract")), AF.abstract_known) & AF.abstract_known(cr_abs), cr_abs)
     cr_type = AF.article_type(F.col("cr_type"))
     new_type = F.when(cr_ok & (casefold(F.col("article_type")) == "other") & F.col("cr_type").isNotNull()
                       & (cr_type != "other"), cr_type)
     contributed = [("title", new_title), ("authors", new_auth), ("abstract", new_abs), ("article_type", new_type)]
-    out = r
-    for f, newv in contributed:
-        out = out.withColumn(f"_new_{f}", newv)
+    out = r.withColumns({f"_new_{f}": newv for f, newv in contributed})
     flags = [F.when(F.col(f"_new_{f}").isNotNull(), F.lit(f)) for f, _ in contributed]
     statuses = [cr_ok]
     if unpaywall is not None:
@@ -106,12 +105,10 @@ def enrich(records: DataFrame, crossref: DataFrame, unpaywall: DataFrame | None)
         all_ok = all_ok & s
     requested = F.when(all_ok, F.lit("enriched")).otherwise(F.lit("partial"))
     new_fields = F.filter(F.array(*flags), lambda x: x.isNotNull())
-    for f, _ in contributed:
-        out = out.withColumn(f, F.coalesce(F.col(f"_new_{f}"), F.col(f)))
-    out = out.withColumn("metadata_status", F.when(has_doi, AF.higher_status(F.col("metadata_status"), requested))
-                         .otherwise(F.col("metadata_status")))
-    out = out.withColumn("enriched_fields", F.when(has_doi, AF.provenance_order(
+    fields = {f: F.coalesce(F.col(f"_new_{f}"), F.col(f)) for f, _ in contributed}
+    out = out.withColumns(fields | {"metadata_status": F.when(has_doi, AF.higher_status(F.col("metadata_status"), requested))
+                         .otherwise(F.col("metadata_status")), "enriched_fields": F.when(has_doi, AF.provenance_order(
         F.array_union(F.coalesce("enriched_fields", F.array().cast("array<string>")), new_fields)))
-        .otherwise(F.col("enriched_fields")))
+        .otherwise(F.col("enriched_fields"))})
     drop = [c for c in out.columns if c.startswith("_new_") or c.startswith("cr_") or c.startswith("up_")]
     return out.drop(*drop)

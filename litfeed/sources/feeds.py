@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import MAX_FEED_BYTES
 from litfeed.functions import articles as AF
+from litfeed.functions.binding import let
 from litfeed.functions.dates import normalize_date
 from litfeed.functions.doi import extract_doi
 from litfeed.functions.text import clean_text, visible_text
@@ -222,7 +223,7 @@ def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
         "seq", "item_index", "feed_id", "feed_url", "catalog_feed_url",
         doi.alias("doi"), title.alias("title"), clean_text(F.col("summary")).alias("abstract"),
         authors.alias("authors"), published.alias("published_at"),
-        AF.article_type(clean_text(F.col("raw_type"))).alias("article_type"),
+        let(visible_text(F.col("raw_type")), AF.article_type).alias("article_type"),
         F.trim("link").alias("article_url"), url.alias("normalized_url"),
         F.lit("unknown").alias("oa_status"), F.lit("rss_only").alias("metadata_status"),
         F.array().cast("array<string>").alias("enriched_fields"))
