@@ -58,8 +58,10 @@ def distinct_authors(authors: Column) -> Column:
 def first_spellings(names: Column) -> Column:
     """The first of each case-insensitive name, in order."""
     def kept(given: Column) -> Column:
-        return let(F.transform(given, casefold), lambda keys: F.filter(
-            given, lambda a, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+        # sorted by name and place, the first of each run of equal names; then in order of place again
+        by_name = F.sort_array(F.transform(given, lambda a, i: F.struct(casefold(a).alias("k"), i.alias("i"))))
+        first = let(by_name, lambda s: F.filter(s, lambda x, j: ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
+        return F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(given, i))
     return let(names, kept)
 
 

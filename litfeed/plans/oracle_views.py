@@ -56,8 +56,8 @@ SELECT seq, url, doi, journal_id, title, abstract, published_at, article_type, o
   CASE WHEN doi IS NOT NULL AND seq % 4 = 0 THEN 'enriched' WHEN doi IS NOT NULL AND seq % 6 = 1 THEN 'partial' ELSE 'rss_only' END AS metadata_status,
   (doi IS NOT NULL AND seq % 4 = 0) AS enriched
 FROM (SELECT doc_id AS seq, 'https://ex.org/' || CAST(url_no AS VARCHAR) AS url, {doi} AS doi, {journal} AS journal_id,
-        CASE WHEN doc_id % 5 = 0 THEN 'N/A' ELSE substring(text, 1, 40) END AS title,
-        CASE WHEN doc_id % 7 = 0 THEN 'No abstract' ELSE substring(text, 1, 200) END AS abstract,
+        CASE WHEN doc_id % 5 = 0 THEN 'N/A' ELSE split_part(text, chr(10), 1) END AS title,
+        CASE WHEN doc_id % 7 = 0 THEN 'No abstract' ELSE text END AS abstract,
         CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id AS INTEGER)) END AS published_at,
         CASE doc_id % 6 WHEN 0 THEN 'research' WHEN 1 THEN 'other' WHEN 2 THEN 'review' WHEN 3 THEN 'other' WHEN 4 THEN 'editorial' ELSE 'correction' END AS article_type,
         CASE doc_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'unknown' WHEN 2 THEN 'closed' ELSE 'unknown' END AS oa_status

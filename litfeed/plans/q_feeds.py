@@ -37,7 +37,9 @@ def html_clean_pages(spark, sf_dir):
     return p.select("page_id", clean_text(F.col("html")).alias("text"))
 
 
-@query("doi_extract", "B-9, B-10")
+@query("doi_extract", "B-9, B-10", """
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '10.1234/abc(1)x' WHEN 1 THEN '10.5555/q%2fz' WHEN 4 THEN '10.5555/d' || doc_id END AS doi
+FROM documents""")
 def doi_extract(spark, sf_dir):
     """DOIs from prose: each document's text with a DOI-shaped phrase spliced in by rule."""
     d = Ctx(spark, sf_dir).table("documents").select("doc_id", "text")
@@ -48,5 +50,6 @@ def doi_extract(spark, sf_dir):
               .when(k == 3, F.lit(" DOI: 10.12/short "))
               .when(k == 4, F.concat(F.lit(" 10.5555/d"), F.col("doc_id").cast("string"), F.lit("]. ")))
               .otherwise(F.lit(" ")))
-    t = F.concat(F.substring("text", 1, 40), phrase, F.substring("text", 41, 200))
+    at = F.instr("text", "\n")  # after the first line; at the end of a text of one line
+    t = F.when(at > 0, F.concat(F.substr("text", F.lit(1), at - 1), phrase, F.substr("text", at))).otherwise(F.concat("text", phrase))
     return d.select("doc_id", normalize_doi(t, "free_text").alias("doi"))

@@ -130,7 +130,7 @@ def _sql_word(words: str) -> str:
 
 SQL_TYPES = {"q_types": "SELECT doc_id, " + "CASE " + " ".join(
     f"WHEN doc_id % {len(_TYPE_PHRASES)} = {i} THEN '{p}'" for i, p in enumerate(_TYPE_PHRASES))
-    + " END || ' ' || substring(text, 1, 30) AS raw_type FROM documents"}
+    + " END || ' ' || text AS raw_type FROM documents"}
 
 
 @query("article_type_rules", "B-7", with_views(f"""
@@ -196,12 +196,12 @@ def meaningful_fields(spark, sf_dir):
 SELECT doc_id, array_to_string(kept, '|') AS authors, len(kept) AS n_authors FROM (
   SELECT doc_id, list_filter(c, lambda a, i: list_position(k, {sql_casefold('a')}) = i) AS kept FROM (
     SELECT doc_id, c, list_transform(c, lambda a: {sql_casefold('a')}) AS k FROM (
-      SELECT doc_id, list_filter(list_transform(string_split(substring(text, 1, 60), ' '),
+      SELECT doc_id, list_filter(list_transform(string_split(text, ' '),
                lambda a: trim(regexp_replace(a, '[\\s\\p{{Z}}]+', ' ', 'g'))), lambda a: a IS NOT NULL AND a <> '') AS c
       FROM documents)))""", extra={}))
 def authors_distinct(spark, sf_dir):
     d = Ctx(spark, sf_dir).table("documents")
-    kept = AF.distinct_authors(F.split(F.substring("text", 1, 60), " ", -1))
+    kept = AF.distinct_authors(F.split("text", " ", -1))
     return d.select("doc_id", F.array_join(kept, "|").alias("authors"), F.size(kept).cast("bigint").alias("n_authors"))
 
 

@@ -109,8 +109,8 @@ def items(spark: SparkSession, sf_dir: str, conflict: bool = False) -> DataFrame
         doi = F.when((url_no % 50 == 0) & (d % 3 == 1) & doi.isNotNull(),
                      F.concat(F.lit("10.6666/"), doi_no.cast("string"))).otherwise(doi)
         journal = F.when((doi_no % 40 == 0) & (d % 3 == 2), F.lit("src99")).otherwise(journal)
-    title = F.when(d % 5 == 0, F.lit("N/A")).otherwise(F.substring("text", 1, 40))
-    abstract = F.when(d % 7 == 0, F.lit("No abstract")).otherwise(F.substring("text", 1, 200))
+    title = F.when(d % 5 == 0, F.lit("N/A")).otherwise(F.split_part("text", F.lit("\n"), F.lit(1)))
+    abstract = F.when(d % 7 == 0, F.lit("No abstract")).otherwise(F.col("text"))
     atype = _choose(d % 6, ("research", "other", "review", "other", "editorial", "correction"))
     oa = _choose(d % 4, ("open", "unknown", "closed", "unknown"))
     has_doi = doi.isNotNull()
@@ -172,7 +172,7 @@ def raw_types(spark: SparkSession, sf_dir: str) -> DataFrame:
                "Letter to the Editor", "Preview", "Commentary", "Erratum", "letter", "Perspective piece")
     d = F.col("doc_id")
     phrase = _choose(d % len(phrases), phrases)
-    return docs.select(d.alias("doc_id"), F.concat(phrase, F.lit(" "), F.substring("text", 1, 30)).alias("raw_type"))
+    return docs.select(d.alias("doc_id"), F.concat(phrase, F.lit(" "), F.col("text")).alias("raw_type"))
 
 
 def _doi_no(d: Column) -> Column:
@@ -245,9 +245,9 @@ def raw_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = ensure_parallel(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     d = F.col("doc_id")
     grp = F.floor(d / FEED_GROUP)
-    title = _xml_escape(F.substring("text", 1, 50))
+    title = _xml_escape(F.split_part("text", F.lit("\n"), F.lit(1)))
     summary = _xml_escape(F.concat(
-        F.lit("<p>"), F.substring("text", 1, 120),
+        F.lit("<p>"), F.col("text"),
         F.when(d % 4 == 1, F.concat(F.lit(" See doi: 10.5555/S"), d.cast("string"), F.lit(".)"))).otherwise(F.lit("")),
         F.lit("</p>")))
     link = F.when(d % 3 == 0, F.concat(F.lit("/a/"), d.cast("string"), F.lit("?utm_source=feed")))\
