@@ -21,7 +21,8 @@ def test_split_and_replay_equal_single_batch(spark):
     runs = SN.open_snapshot(spark, root_split, "runs").orderBy("run_id").collect()
     assert [r.run_id for r in runs] == [1, 2, 3] and runs[2].items_applied == 0 and runs[0].items_applied > 0
     state = SN.open_snapshot(spark, root_split, "feed_state")
-    assert state.count() == 20 and state.where("last_status IS NULL").count() == 0
+    # three of the twenty feeds are switched off
+    assert state.count() == 17 and state.where("last_status IS NULL").count() == 0
     assert _arts(spark, root_split) == _arts(spark, root_one)
     links_a = SN.open_snapshot(spark, root_split, "article_tags").count()
     links_b = SN.open_snapshot(spark, root_one, "article_tags").count()
