@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor is lost. A frame without columns in Parquet's sense (no rows) keeps its schema."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
