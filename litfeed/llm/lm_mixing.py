@@ -8,7 +8,7 @@ cost, on counts without the occurrence that is coded. Refinement: an adaptive ma
 frequency that was seen, averaged with the mixed probability. The product over bits is a proper distribution over texts;
 ``score`` is its log10, ``bits_per_byte`` the cost.
 
-Distribution. Documents are packed into chunks of about 8 MB, one row each, written once; every pass is a map over chunks.
+Distribution. Documents are packed into chunks of about 4 MB, one row each, written once; every pass is a map over chunks.
   1. Vocabulary: each chunk sends its distinct tokens with training counts; sums come back by (chunk, place of the token),
      so a task holds the counts of its own chunk's tokens only and the vocabulary may grow without bound.
   2. Bit counts: each task sums its tables; they are merged by slot range. Fixed size (``SLOT_BITS``), broadcast.
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from litfeed.llm.common import written
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
+#: Documents in a chunk at most: a number of 16 bits.
+CHUNK_DOCS = 1 << 16
 ORDERS = (1, 2, 3, 5)
 #: Table sizes: the whole model has 2 counts of 16 bits in each slot.
 SLOT_BITS = (16, 18, 20, 22)
@@ -80,7 +82,7 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
                 held.append(h)
                 texts.append(t.as_py().translate(_LOWER))
                 size += len(texts[-1])
-                if size >= CHUNK or len(ids) >= CHUNK // 64:
+                if size >= CHUNK or len(ids) >= CHUNK_DOCS:
                     yield row(ids, held, texts)
                     ids, held, texts, size = [], [], [], 0
         if ids:
@@ -314,21 +316,32 @@ def mixing(chunks: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
+_INPUTS: dict = {}
+
+
+def prepared(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table the stretched probability of a slot, and whether it was seen: made once a process."""
+    if _INPUTS.get("of") is not tables:
+        made = [(stretched(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)), t.any(axis=1)) for t in tables]
+        _INPUTS.update({"of": tables, "made": made})
+    return _INPUTS["made"]
+
+
 def coded(keys: np.ndarray, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """The log2 probability of each key's byte after its context."""
+    ready = prepared(tables)
     out = np.zeros(len(keys))
     for at in range(0, len(keys), BATCH):
         part = keys[at:at + BATCH]
         for pos, node, bit, slots in lanes(part):
             inputs, seen = [], []
-            for t, s in zip(tables, slots, strict=True):
-                pair = t[s].astype(np.float32)
-                inputs.append(stretched(pair[:, 0], pair[:, 1]))
-                seen.append(pair.sum(axis=1) > 0)
-            w = weights[gates(pos, seen)]
-            mixed = w[:, -1] * np.float32(0.3)
+            for (values, known), s in zip(ready, slots, strict=True):
+                inputs.append(values[s])
+                seen.append(known[s])
+            gate = gates(pos, seen)
+            mixed = weights[:, -1][gate] * np.float32(0.3)
             for k, x in enumerate(inputs):
-                mixed += w[:, k] * x
+                mixed += weights[:, k][gate] * x
             p = 0.5 * (squash(np.clip(mixed, -CLIP, CLIP)) + refined[node, bucket(mixed)])
             p = np.clip(p, 1e-5, 1 - 1e-5)
             out[at:at + BATCH] += np.log2(np.where(bit, p, 1 - p))
@@ -355,11 +368,16 @@ def scored(docs: DataFrame) -> DataFrame:
             cost = np.log10(counts + SMOOTH) - below
             end = math.log10(train_docs + SMOOTH) - below
             keys, of = occurrences(texts)
-            order = np.argsort(keys)
-            ordered = keys[order]
-            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-            logs = coded(ordered[new], tables.value, weights, refined)
-            bits = np.bincount(of[order], logs[np.cumsum(new) - 1], len(texts))
+            # key and text's number in one word: sorted in place, equal keys side by side
+            packed = (keys << np.uint64(16)) | of.astype(np.uint64)
+            del keys, of
+            packed.sort()
+            of = (packed & np.uint64(0xFFFF)).astype(np.int32)
+            packed >>= np.uint64(16)
+            new = np.concatenate(([True], packed[1:] != packed[:-1]))
+            logs = coded(packed[new], tables.value, weights, refined)
+            bits = np.bincount(of, logs[np.cumsum(new, dtype=np.int32) - 1], len(texts))
+            del packed, of, new, logs
             for i, (doc, held, text) in enumerate(zip(r["ids"], r["held"], texts, strict=True)):
                 places = np.fromiter(map(index.__getitem__, text.split()), np.int64)
                 found.append((doc, held, len(places) + 1, int((counts[places] > 0).sum()) + (train_docs > 0), n_train,
