@@ -1,18 +1,21 @@
 """Language-model scoring by logistic context mixing over bits, and the unigram base.
 
 Text: UTF-8 with A-Z in lower case, then an end symbol (byte 0xFF, which UTF-8 does not have); a byte is eight binary
-decisions, most significant bit first. Predictors: for the last 1, 2, 3 and 5 bytes, a table of bit counts hashed by context
-and the bits of the byte so far. Mixing: the predictors' stretched probabilities (ln p/(1-p)) are weighted and summed; the
-weights are chosen by a gate (bit position and the longest context that was seen) and learned online by gradient steps on coding
-cost, on counts without the occurrence that is coded. Refinement: an adaptive map from (bits so far, mixed probability) to the
-frequency that was seen, averaged with the mixed probability. The product over bits is a proper distribution over texts;
-``score`` is its log10, ``bits_per_byte`` the cost.
+decisions, most significant bit first. Predictors: for the last 1, 2, 3 and 5 bytes, the bit counts after that context and the
+bits of the byte so far, kept for every context of the corpus under its own bytes (nothing is shared or dropped). Mixing: the
+predictors' stretched probabilities (ln p/(1-p)) are weighted and summed; the weights are chosen by a gate (bit position and the
+longest context that was seen) and learned online by gradient steps on coding cost, on counts without the occurrence that is
+coded. Refinement: an adaptive map from (bits so far, mixed probability) to the frequency that was seen, averaged with the mixed
+probability. The product over bits is a proper distribution over texts; ``score`` is its log10, ``bits_per_byte`` the cost.
 
 Distribution. Documents are packed into chunks of about 4 MB, one row each, written once; every pass is a map over chunks.
   1. Vocabulary: each chunk sends its distinct tokens with training counts; sums come back by (chunk, place of the token),
      so a task holds the counts of its own chunk's tokens only and the vocabulary may grow without bound.
-  2. Bit counts: each task sums its tables; they are merged by slot range. Fixed size (``SLOT_BITS``), broadcast.
-  3. Weights and refinement: each task runs its own online pass; results are averaged by coded bits (fixed size).
+  2. Bit counts: each chunk sends its distinct (context, byte) pairs of every order with training counts, sorted and packed, to
+     shards by hash of the context; a shard sums them and answers each chunk with the counts along the byte's bits. The number of
+     shards follows the pairs, so the contexts may grow without bound as well. Packets: chunks times shards.
+  3. Chunks and their answers are written side by side. Weights and refinement: each task runs its own online pass; results are
+     averaged by coded bits (fixed size).
   4. Scores, chunk by chunk. Equal (context, byte) occurrences in a chunk are computed once.
 All documents whose crc32 is not divisible by ten train every part. Scores depend a little on how documents were dealt to
 tasks (steps 2 to 4 of a given written table are repeatable).
@@ -39,10 +42,12 @@ CHUNK = 4 << 20
 #: Documents in a chunk at most: a number of 16 bits.
 CHUNK_DOCS = 1 << 16
 ORDERS = (1, 2, 3, 5)
-#: Table sizes: the whole model has 2 counts of 16 bits in each slot.
+#: Table sizes of a small model in memory (``Hashed``): 2 counts of 16 bits in each slot.
 SLOT_BITS = (16, 18, 20, 22)
-#: Slots in one merged row.
-RANGE = 1 << 14
+#: (context, byte) pairs that one shard gets from all chunks, about; shards at most (a number of 16 bits).
+SHARD, SHARDS = 2 << 20, (1 << 16) - 1
+#: One of so many pairs is counted to tell the number of shards.
+SAMPLE = 64
 SMOOTH = 0.1
 PRIOR = 0.4
 CLIP = 8.0
@@ -61,7 +66,8 @@ _NODE, _FINAL = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 # -- chunks
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk, ids, held, sizes, blob): rows of about ``CHUNK`` bytes of lower-cased text, compressed."""
+    """(chunk, ids, held, sizes, blob, pairs): rows of about ``CHUNK`` bytes of lower-cased text, compressed, and about how many
+    distinct (context, byte) pairs they have."""
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 10 == 0).alias("held"),
@@ -73,7 +79,8 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def row(ids, held, texts):
             sizes = [len(t) for t in texts]
-            return pa.RecordBatch.from_pylist([{"ids": ids, "held": held, "sizes": sizes, "blob": pack(b"".join(texts))}], _CHUNK)
+            return pa.RecordBatch.from_pylist([{"ids": ids, "held": held, "sizes": sizes, "blob": pack(b"".join(texts)),
+                                                "pairs": estimated(texts)}], _CHUNK)
 
         ids, held, texts, size = [], [], [], 0
         for b in batches:
@@ -88,12 +95,12 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         if ids:
             yield row(ids, held, texts)
 
-    rows = given.mapInArrow(run, "ids array<long>, held array<boolean>, sizes array<long>, blob binary")
+    rows = given.mapInArrow(run, "ids array<long>, held array<boolean>, sizes array<long>, blob binary, pairs long")
     return written(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
 
 
 _CHUNK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
-                    ("blob", pa.binary())])
+                    ("blob", pa.binary()), ("pairs", pa.int64())])
 
 
 def _texts(row: dict) -> list[bytes]:
@@ -160,71 +167,218 @@ def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real[PAD:]], np.repeat(np.arange(len(texts)), sizes - PAD)
 
 
+def nodes(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bit position, last first: (position, bits so far, bit) of the keys."""
+    byte = (keys & np.uint64(255)).astype(np.int32)
+    for pos in range(7, -1, -1):
+        yield pos, (byte | 256) >> (8 - pos), ((byte >> (7 - pos)) & 1).astype(np.uint8)
+
+
 def lanes(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each bit position: (position, bits so far, bit, slot in each table) of the keys."""
-    byte, before = keys & np.uint64(255), keys >> np.uint64(8)
+    """For each bit position: (position, bits so far, bit, slot in each table of a small model) of the keys."""
+    before = keys >> np.uint64(8)
     bases = [((before & np.uint64((1 << 8 * o) - 1)) + np.uint64(1)) * c for o, c in zip(ORDERS, _CONTEXT, strict=True)]
-    for pos in range(8):
-        node = (byte | np.uint64(256)) >> np.uint64(8 - pos)
-        bit = ((byte >> np.uint64(7 - pos)) & np.uint64(1)).astype(np.uint8)
-        mixed = node * _NODE
-        yield pos, node.astype(np.int32), bit, [((b ^ mixed) * _FINAL >> np.uint64(64 - s)).astype(np.int64)
-                                                for b, s in zip(bases, SLOT_BITS, strict=True)]
+    for pos, node, bit in nodes(keys):
+        mixed = node.astype(np.uint64) * _NODE
+        yield pos, node, bit, [((b ^ mixed) * _FINAL >> np.uint64(64 - s)).astype(np.int64)
+                               for b, s in zip(bases, SLOT_BITS, strict=True)]
 
 
 def unique_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(occurrences(texts)[0], return_counts=True) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def _training(r: dict) -> list[bytes]:
-    return [t for t, h in zip(_texts(r), r["held"], strict=True) if not h]
-
-
 # -- bit counts
 
-def bit_counts(chunks: DataFrame) -> list[np.ndarray]:
-    """The merged tables (slots x 2, 16 bits): summed over tasks by slot range; large pairs are halved to fit."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def estimated(texts: list[bytes]) -> int:
+    """About how many distinct (context, byte) pairs of the longest order the texts have, from a sample by hash."""
+    keys = occurrences(texts)[0]
+    return SAMPLE * len(np.unique(keys[(keys * _FINAL) >> np.uint64(58) == 0])) + 1
+
+
+def trained(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk in order, and how often they occur in training documents."""
+    keys, of = occurrences(texts)
+    packed = (keys << np.uint64(1)) | np.array(held, np.uint64)[of]
+    del keys, of
+    packed.sort()
+    keys = packed >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[starts], np.add.reduceat((packed & np.uint64(1)) ^ np.uint64(1), starts).astype(np.int64)
+
+
+def pairs(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct (order, context, byte) of distinct sorted keys, in order, and each key's place among them by order."""
+    found, places, part, at = [keys], [np.arange(len(keys))], keys, None
+    for o in ORDERS[-2::-1]:  # each order's pairs from those of the longer one
+        part, back = np.unique(part & np.uint64((1 << 8 * (o + 1)) - 1), return_inverse=True)
+        at = back if at is None else back[at]
+        found.insert(0, part)
+        places.insert(0, at)
+    starts = np.cumsum([0, *map(len, found[:-1])])
+    return (np.concatenate([x | np.uint64(k << 56) for k, x in enumerate(found)]),
+            [p + s for p, s in zip(places, starts, strict=True)])
+
+
+def dealt(tagged: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by shard, shard's bounds in it) of a chunk's pairs; a context goes to one shard."""
+    shard = (((tagged >> np.uint64(8)) + np.uint64(1)) * _FINAL >> np.uint64(32)) % np.uint64(shards)
+    order = np.argsort(shard.astype(np.uint16), kind="stable")
+    return order, np.concatenate(([0], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first ones, all second ones ...: packs well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _numbers(planes: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one shard (equal ones from many chunks) -> (counts, place of each pair): row 8 has the count of the pair,
+    row b < 8 how often its context and first b bits were followed by the other bit."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    keys, total = keys[starts], np.add.reduceat(n[order], starts)
+    ends, below = np.concatenate(([0], np.cumsum(total))), total
+    counts = np.empty((9, len(keys)), np.float32)
+    counts[8] = total
+    for pos in range(7, -1, -1):
+        prefix = keys >> np.uint64(8 - pos)
+        new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
+        starts = np.flatnonzero(new)
+        above = np.diff(ends[np.concatenate((starts, [len(keys)]))])[np.cumsum(new) - 1]
+        counts[pos] = above - below
+        below = above
+    return counts, place
+
+
+def bit_counts(chunks: DataFrame) -> tuple[DataFrame, int]:
+    """(chunk, shard, blob), for each chunk's pairs in its own order the counts of the whole corpus; and the number of shards."""
+    total = chunks.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    shards = max(1, min(SHARDS, -(-total // SHARD)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        tables = [np.zeros(2 << s, np.uint32) for s in SLOT_BITS]
+        pack = zstandard.ZstdCompressor(level=1).compress
         for r in _rows(batches):
-            keys, n = unique_keys(_training(r))
-            n = n.astype(np.uint32)
-            for at in range(0, len(keys), 1 << 18):
-                part = slice(at, at + (1 << 18))
-                for _, _, bit, slots in lanes(keys[part]):
-                    for t, s in zip(tables, slots, strict=True):
-                        np.add.at(t, 2 * s + bit, n[part])
-        pack, names = zstandard.ZstdCompressor(level=1).compress, ["range", "blob"]
-        first = 0
-        for t in tables:
-            for k, part in enumerate(t.reshape(-1, 2 * RANGE)):
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([first + k], pa.int32()), pa.array([pack(part.tobytes())])], names)
-            first += len(t) // (2 * RANGE)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, n = trained(_texts(r), r["held"])
+            tagged, places = pairs(keys)
+            sums = np.zeros(len(tagged))
+            for at in places:
+                sums += np.bincount(at, n, len(tagged))
+            order, bounds = dealt(tagged, shards)
+            tagged, sums = tagged[order], sums[order].astype(np.uint32)
+            full = np.flatnonzero(np.diff(bounds)).tolist()
+            blobs = [pack(_planes(np.diff(tagged[bounds[s]:bounds[s + 1]], prepend=np.uint64(0))) + _planes(sums[bounds[s]:bounds[s + 1]]))
+                     for s in full]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), r["chunk"], np.int64)), pa.array(full, pa.int32()),
+                                              pa.array(blobs, pa.binary())], ["chunk", "shard", "blob"])
+
+    def merge(sent: pa.Table) -> pa.Table:
         import zstandard
-        sums: dict[int, np.ndarray] = {}
-        for r in _rows(batches):
-            got = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["blob"]), np.uint32)
-            sums[r["range"]] = sums[r["range"]] + got if r["range"] in sums else got.astype(np.uint64)
-        for k, total in sums.items():
-            pair = total.reshape(-1, 2)
-            most = pair.max(axis=1)
-            shift = np.maximum(0, np.ceil(np.log2(np.maximum(most, 1) / 65535))).astype(np.uint64)
-            small = (pair >> shift[:, None]).astype(np.uint16)
-            small[(pair > 0) & (small == 0)] = 1  # what was seen stays seen
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.compress(small.tobytes(), 1)])],
-                                             ["range", "blob"])
-
-    schema = "range int, blob binary"
-    merged = chunks.mapInArrow(count, schema).repartition("range").mapInArrow(merge, schema)
-    import zstandard
-    flat = np.zeros((sum(1 << s for s in SLOT_BITS), 2), np.uint16)
-    for r in merged.collect():  # the tables' fixed size at most
-        flat[r["range"] * RANGE:(r["range"] + 1) * RANGE] = np.frombuffer(zstandard.decompress(r["blob"]), np.uint16).reshape(-1, 2)
-    return np.split(flat, np.cumsum([1 << s for s in SLOT_BITS])[:-1])
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        keys, n = [], []
+        for b in sent.column("blob"):
+            got = unpack(b.as_py())
+            cut = len(got) // 12 * 8
+            keys.append(np.cumsum(_numbers(got[:cut], np.uint64), dtype=np.uint64))
+            n.append(_numbers(got[cut:], np.uint32))
+        ends = np.cumsum([len(k) for k in keys])
+        counts, place = summed(np.concatenate(keys), np.concatenate(n).astype(np.int64))
+        blobs = [pack(_planes(counts[:, p].ravel())) for p in np.split(place, ends[:-1])]
+        return pa.table([sent.column("chunk"), sent.column("shard"), pa.array(blobs, pa.binary())], names=["chunk", "shard", "blob"])
+
+    schema = "chunk long, shard int, blob binary"
+    return chunks.mapInArrow(send, schema).groupBy("shard").applyInArrow(merge, schema), shards
+
+
+def answered(chunks: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``chunks`` with the answers to each: the counts of its words by place, and of its pairs by shard; written once."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = right.filter(right.column("c").is_valid())
+        c = np.zeros(len(words), np.int64)
+        c[words.column("place").to_numpy()] = words.column("c").to_numpy()
+        shards = right.filter(right.column("blob").is_valid()).sort_by("place")
+        answers = pa.array([shards.column("blob").to_pylist()] * left.num_rows, pa.list_(pa.binary()))
+        return left.append_column("c", pa.array([c.tobytes()] * left.num_rows, pa.binary())).append_column("answers", answers)
+
+    given = vocabulary.select("chunk", "place", "c", F.lit(None).cast("binary").alias("blob")).unionByName(
+        counts.select("chunk", F.col("shard").alias("place"), F.lit(None).cast("long").alias("c"), "blob"))
+    both = chunks.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(
+        run, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, blob binary, pairs long, c binary, "
+             "answers array<binary>")
+    return written(both, "answered")
+
+
+class Hashed:
+    """A small model in memory: tables of hashed slots."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return keys
+
+    def inputs(self, keys: np.ndarray, places: np.ndarray, without: bool) -> Iterator[tuple]:
+        for pos, node, bit, slots in lanes(keys):
+            x, seen = [], []
+            for t, s in zip(self.tables, slots, strict=True):
+                n0, n1 = t[s, 0].astype(np.float32), t[s, 1].astype(np.float32)
+                if without:
+                    n1 -= (bit == 1) & (n1 > 0)
+                    n0 -= (bit == 0) & (n0 > 0)
+                x.append(stretched(n0, n1))
+                seen.append(n0 + n1 > 0)
+            yield pos, node, bit, x, seen
+
+
+class Answered:
+    """The counts of one chunk's pairs, as the shards gave them; ``without`` the occurrence that is coded, or with it."""
+
+    def __init__(self, keys: np.ndarray, blobs: list[bytes], shards: int):
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
+        self.keys = keys
+        tagged, self.at = pairs(keys)
+        self.counts = np.empty((9, len(tagged)), np.float32)
+        order, bounds = dealt(tagged, shards)
+        full = np.flatnonzero(np.diff(bounds))
+        for s, b in zip(full, blobs, strict=True):
+            self.counts[:, order[bounds[s]:bounds[s + 1]]] = _numbers(unpack(b), np.float32).reshape(9, -1)
+        byte = (tagged & np.uint64(255)).astype(np.int32)
+        self.bits = [((byte >> (7 - pos)) & 1).astype(bool) for pos in range(8)]
+        self.made: dict[bool, tuple] = {}
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
+
+    def _ready(self, without: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if without not in self.made:
+            x, seen, same = [None] * 8, [None] * 8, self.counts[8]
+            for pos in range(7, -1, -1):
+                other, less = self.counts[pos], same - (same > 0) if without else same
+                up = stretched(other, less)
+                x[pos], seen[pos] = np.where(self.bits[pos], up, -up), less + other > 0
+                same = same + other
+            self.made[without] = x, seen
+        return self.made[without]
+
+    def inputs(self, keys: np.ndarray, places: np.ndarray, without: bool) -> Iterator[tuple]:
+        x, seen = self._ready(without)
+        at = [a[places] for a in self.at]
+        for pos, node, bit in nodes(keys):
+            yield pos, node, bit, [x[pos][a] for a in at], [seen[pos][a] for a in at]
+
+
+def _model(tables) -> Hashed | Answered:
+    return Hashed(tables) if isinstance(tables, list) else tables
 
 
 # -- mixing
@@ -252,28 +406,23 @@ def bucket(x: np.ndarray) -> np.ndarray:
 class Trainer:
     """One task's online pass: weights by gate, and the counts of the refinement map."""
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables, self.steps, self.mass = tables, 0, 0.0
+    def __init__(self, tables=None):
+        self.tables, self.steps = tables, 0
         self.weights = np.full((GATES, INPUTS), 1.2 / len(ORDERS))
         self.weights[:, -1] = 0
         self.seen = np.zeros(GATES)
         self.refined = np.zeros((256 * BUCKETS, 2))
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray) -> None:
+    def learn(self, keys: np.ndarray, counts: np.ndarray, tables=None) -> None:
+        model = _model(self.tables if tables is None else tables)
         # mixed order, else neighbouring contexts make up a step
         order = np.random.default_rng(len(keys)).permutation(len(keys))
-        keys, counts = keys[order], counts[order].astype(np.float64)
+        places, keys, counts = model.places(keys)[order], keys[order], counts[order].astype(np.float64)
         for at in range(0, len(keys), BATCH):
             part, n = keys[at:at + BATCH], counts[at:at + BATCH]
             rate = max(LAST_RATE, RATE / (1 + self.steps / DECAY))
-            for pos, node, bit, slots in lanes(part):
-                inputs, seen = [], []
-                for t, s in zip(self.tables, slots, strict=True):
-                    n0, n1 = t[s, 0].astype(np.float32), t[s, 1].astype(np.float32)
-                    n1 -= (bit == 1) & (n1 > 0)  # without the occurrence that is coded
-                    n0 -= (bit == 0) & (n0 > 0)
-                    inputs.append(stretched(n0, n1))
-                    seen.append(n0 + n1 > 0)
+            # without the occurrence that is coded
+            for pos, node, bit, inputs, seen in model.inputs(part, places[at:at + BATCH], True):
                 gate = gates(pos, seen)
                 x = np.stack([*inputs, np.full(len(part), 0.3, np.float32)], axis=1)
                 mixed = np.einsum("ij,ij->i", x, self.weights[gate])
@@ -288,12 +437,13 @@ class Trainer:
             self.steps += 1
 
 
-def mixing(chunks: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by gate, refinement map): averages over tasks, weighted by what each has coded."""
+def mixing(chunks: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by gate, refinement map) from answered chunks: averages over tasks, weighted by what each has coded."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(tables.value)
+        trainer = Trainer()
         for r in _rows(batches):
-            trainer.learn(*unique_keys(_training(r)))
+            keys, n = trained(_texts(r), r["held"])
+            trainer.learn(keys[n > 0], n[n > 0], Answered(keys, r["answers"], shards))
         w, seen, cells = trainer.weights, trainer.seen, trainer.refined
         out = [("w", g * INPUTS + k, w[g, k] * seen[g], seen[g]) for g in range(GATES) for k in range(INPUTS) if seen[g]]
         out += [("r", int(i), cells[i, 1], cells[i].sum()) for i in np.flatnonzero(cells.sum(axis=1))]
@@ -316,28 +466,13 @@ def mixing(chunks: DataFrame, tables) -> tuple[np.ndarray, np.ndarray]:
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
-_INPUTS: dict = {}
-
-
-def prepared(tables: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each table the stretched probability of a slot, and whether it was seen: made once a process."""
-    if _INPUTS.get("of") is not tables:
-        made = [(stretched(t[:, 0].astype(np.float32), t[:, 1].astype(np.float32)), t.any(axis=1)) for t in tables]
-        _INPUTS.update({"of": tables, "made": made})
-    return _INPUTS["made"]
-
-
-def coded(keys: np.ndarray, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+def coded(keys: np.ndarray, tables, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """The log2 probability of each key's byte after its context."""
-    ready = prepared(tables)
-    out = np.zeros(len(keys))
+    model = _model(tables)
+    places, out = model.places(keys), np.zeros(len(keys))
     for at in range(0, len(keys), BATCH):
         part = keys[at:at + BATCH]
-        for pos, node, bit, slots in lanes(part):
-            inputs, seen = [], []
-            for (values, known), s in zip(ready, slots, strict=True):
-                inputs.append(values[s])
-                seen.append(known[s])
+        for pos, node, bit, inputs, seen in model.inputs(part, places[at:at + BATCH], False):
             gate = gates(pos, seen)
             mixed = weights[:, -1][gate] * np.float32(0.3)
             for k, x in enumerate(inputs):
@@ -353,18 +488,17 @@ def scored(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     chunks = chunked(docs)
     back, train_docs, n_train, distinct = vocabulary(chunks)
-    tables = spark.sparkContext.broadcast(bit_counts(chunks) if train_docs else [np.zeros((1 << s, 2), np.uint16) for s in SLOT_BITS])
-    model = spark.sparkContext.broadcast(mixing(chunks, tables))
+    counts, shards = bit_counts(chunks)
+    ready = answered(chunks, counts, back)
+    model = spark.sparkContext.broadcast(mixing(ready, shards))
     below = math.log10(n_train + SMOOTH * (distinct + 1)) if n_train else math.log10(SMOOTH)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined = model.value
-        found = []
-        for r in (x for b in left.to_batches() for x in _rows([b])):
-            texts = _texts(r)
+        for r in _rows(batches):
+            found, texts = [], _texts(r)
             index = {w: i for i, w in enumerate(_vocabulary(texts, r["held"]))}
-            counts = np.zeros(len(index), np.int64)
-            counts[right.column("place").to_numpy()] = right.column("c").to_numpy()
+            counts = np.frombuffer(r["c"], np.int64)
             cost = np.log10(counts + SMOOTH) - below
             end = math.log10(train_docs + SMOOTH) - below
             keys, of = occurrences(texts)
@@ -375,19 +509,18 @@ def scored(docs: DataFrame) -> DataFrame:
             of = (packed & np.uint64(0xFFFF)).astype(np.int32)
             packed >>= np.uint64(16)
             new = np.concatenate(([True], packed[1:] != packed[:-1]))
-            logs = coded(packed[new], tables.value, weights, refined)
+            keys = packed[new]
+            logs = coded(keys, Answered(keys, r["answers"], shards), weights, refined)
             bits = np.bincount(of, logs[np.cumsum(new, dtype=np.int32) - 1], len(texts))
-            del packed, of, new, logs
+            del packed, of, new, logs, keys
             for i, (doc, held, text) in enumerate(zip(r["ids"], r["held"], texts, strict=True)):
                 places = np.fromiter(map(index.__getitem__, text.split()), np.int64)
                 found.append((doc, held, len(places) + 1, int((counts[places] > 0).sum()) + (train_docs > 0), n_train,
                               float(cost[places].sum()) + end, float(bits[i]) * math.log10(2), -float(bits[i]) / max(1, len(text))))
-        cols = list(zip(*found, strict=True)) if found else [()] * len(_SCORED)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCORED, strict=True)], schema=_SCORED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
-             "bits_per_byte double")
+    return ready.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
+                                 "score double, bits_per_byte double")
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),

@@ -96,6 +96,60 @@ def test_more_text_is_gathered_from_more_documents(spark):
     assert b > 1.5 * a
 
 
+def test_bit_counts_are_those_of_every_context_apart(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
+    chunks = M.chunked(docs.repartition(3))
+    back = M.vocabulary(chunks)[0]
+    counts, shards = M.bit_counts(chunks)
+    rows = M.answered(chunks, counts, back).collect()
+    assert len(rows) == 3
+    seen = Counter()  # (order, context, bits so far, bit)
+    texts = [(h, t) for r in rows for h, t in zip(r["held"], M._texts(r))]
+    for held, t in texts:
+        data = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(data)) if not held else ():
+            for o in M.ORDERS:
+                for pos in range(8):
+                    node = (data[i] | 256) >> (8 - pos)
+                    seen[o, data[i - o:i], node, data[i] >> (7 - pos) & 1] += 1
+    for r in rows:
+        keys, _ = M.trained(M._texts(r), r["held"])
+        model = M.Answered(keys, r["answers"], shards)
+        pick = np.arange(0, len(keys), 97)
+        for pos, node, bit, x, known in model.inputs(keys[pick], pick, False):
+            for k, o in enumerate(M.ORDERS):
+                for j, key in enumerate(keys[pick]):
+                    context = int(key).to_bytes(6, "big")[5 - o:5]
+                    n0, n1 = (seen[o, context, int(node[j]), b] for b in (0, 1))
+                    assert known[k][j] == (n0 + n1 > 0)
+                    assert x[k][j] == pytest.approx(float(M.stretched(np.float32(n0), np.float32(n1))), abs=1e-4)
+
+
+def test_gathered_contexts_grow_with_the_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def gathered(d):
+        return len(np.unique(np.concatenate([M.pairs(M.trained(M._texts(r), r["held"])[0])[0] for r in M.chunked(d).collect()])))
+    assert gathered(docs) > 1.4 * gathered(docs.filter("doc_id < 100"))
+    # pairs are counted apart, however many: more of them than any fixed table has slots, none together
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 48, 5 << 20, dtype=np.uint64))
+    counts, place = M.summed(keys, np.ones(len(keys), np.int64))
+    assert counts.shape[1] == len(keys) > 1 << 22 and len(np.unique(place)) == len(keys) and (counts[8] == 1).all()
+
+
+def test_many_shards_answer_like_one():
+    texts = [f"text {i} of {i * 7 % 13} words, on the {i % 5}th day".encode() for i in range(300)]
+    keys, n = M.trained(texts, [False] * len(texts))
+    tagged, places = M.pairs(keys)
+    sums = sum(np.bincount(at, n, len(tagged)) for at in places).astype(np.int64)
+    whole, place = M.summed(tagged, sums)
+    order, bounds = M.dealt(tagged, 5)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        part, at = M.summed(tagged[order[a:b]], sums[order[a:b]])
+        assert b > a and (part[:, at] == whole[:, place][:, order[a:b]]).all()
+
+
 def test_edge_cases(spark):
     given = [(1, None), (2, ""), (3, "A b a"), (3, "A b a"), (None, "x y"), (4, "wörd \x00 \t\n end")] + [(i, "some words here") for i in range(5, 30)]
     df = spark.createDataFrame([(d, t, 1.0) for d, t in given], "doc_id long, text string, score double")
