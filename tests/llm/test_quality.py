@@ -55,6 +55,31 @@ def test_failing_lines_go(spark, line):
     assert len(out) == 1 and out[0]["text"] == PROSE and out[0]["n_chars"] == len(PROSE)
 
 
+@pytest.mark.parametrize("width", [60, 72, 80, 100, 120])
+def test_wrapped_prose_is_kept_unchanged(spark, width):
+    import textwrap
+    words = "the river runs from the old mill over flat land to Bergen and Oslo where it meets another one".split()
+    sentence = lambda k, n: " ".join([f"On day {k}", *(words[(k * 7 + j) % len(words)] + str(k * n + j) for j in range(n))]) + "."
+    capitals = lambda k: " ".join(["Da", *(f"Haus{k}x{j} Wald{j}" for j in range(25))]) + "."
+    paragraphs = [" ".join(sentence(k, 40 + k) for k in range(i, i + 3)) + " " + capitals(i) for i in range(0, 12, 3)]
+    text = "\n\n".join(textwrap.fill(p, width) for p in paragraphs)
+    crlf = text.replace("\n", "\r\n")
+    docs = rows(spark, [text, crlf])
+    assert {r["doc_id"]: r["text"] for r in quality.cleaned(docs).collect()} == {0: text, 1: crlf}
+
+
+@pytest.mark.parametrize("mark", list("\u06d4\u0589\u1362\u061f\u17d4\u104b\u0f0d\u1803\uff61\u0964\u3002"))
+def test_other_scripts_sentences_are_kept(spark, mark):
+    text = "\n".join(" ".join(f"\u0627\u0628{i}\u062c{j}" for j in range(20)) + mark for i in range(5))
+    assert [r["text"] for r in quality.cleaned(rows(spark, [text])).collect()] == [text]
+
+
+@pytest.mark.parametrize("line", [" ".join(f"w{j}" for j in range(14)), " ".join(f"word{j}" for j in range(60))])
+def test_lines_that_no_sentence_goes_on_in_still_fail(spark, line):
+    df = rows(spark, [PROSE + "\n" + line + "\n\n" + PROSE.replace("plain", "other"), PROSE + "\n" + line + "\n" + line.replace("w", "v")])
+    assert [r["n_bad_lines"] for r in quality.report(df).orderBy("doc_id").collect()] == [1, 2]
+
+
 def test_document_that_loses_too_much_is_rejected(spark):
     junk = "\n".join(f"Home{i} | News{i} | Sports{i} | Contact{i} | About{i} | More{i}" for i in range(20))
     assert quality.cleaned(rows(spark, [PROSE + "\n" + junk])).count() == 0
