@@ -57,7 +57,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("table ul ol dl select div article section body html main".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>?|</?[A-Za-z][^<]*\Z""", re.S)
-NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after the other: name and value; a quoted text without a name is passed over.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -66,8 +67,8 @@ def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
         return True
     if not attributes or tag in KEPT:
         return False
-    for m in NAMES.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):

@@ -71,6 +71,13 @@ def test_density_prefers_text_over_links():
     assert page.text() == LONG
 
 
+@pytest.mark.parametrize("attribute", ['href="/en/hidden-costs"', "href=/en/hidden", 'title="the hidden part"', 'data-hidden="false"',
+                                       "data-role=navigation", "data-id='sidebar'", "title='class=footer'"])
+def test_names_of_noise_in_values_or_data_attributes_are_none(attribute):
+    source = f"<body><div><p>{LONG} <a {attribute}>the link</a> ends.</p><div {attribute}><p>{LONG}</p></div></div></body>"
+    assert main_text(source) == f"{LONG} the link ends.\n{LONG}"
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a</p>", "y")],
                                "page_id long, url string, html string, text string")
