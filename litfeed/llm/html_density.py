@@ -3,10 +3,10 @@
 Every element that is not inline is a node. Its composite density is its characters per tag, adjusted by links:
 ``C/T * log_b(C/LC * T/LT)`` with ``b = ln(C/(C-LC) * LC + LCb/Cb * C + e)``, where C counts characters and T tags of the
 subtree, LC and LT those of links, and b marks the body (a count of zero is taken as one). A node's density sum adds up
-the densities of its children and of its own stretches of text. The subtree with the largest sum is the main text; the
-lowest density on its path from the body is the threshold that a subtree beside this path must reach (with a paragraph and
-a fair share of the sum) to be text of the same article. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are known by tag, role, class or id and count as absent throughout.
+the densities of its children and of its own stretches of text. The subtree with the largest sum leads to the main text: the
+article (or main) element around it, else itself, is taken whole. On the path from there to the body, the text directly in an
+element is taken, and a subtree beside it if it is a heading, a block of text (``TEXT``), or at least as dense as the threshold,
+the lowest density on the path from the body. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role, class or id and count as absent throughout.
 
 Text: character references decoded, white space within a block turned into one space, blocks joined by a line break.
 
@@ -27,9 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Shares of the largest density sum that a subtree beside the path needs.
-SHARE = 0.2
-#: A subtree with so many links that hold such a share of its characters is a menu, named or not.
+#: A subtree beside the article with so many links that hold such a share of its characters is a menu, named or not.
 MENU_LINKS, MENU_SHARE = 2, 0.7
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +46,8 @@ FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense b
                       "copyright disclaimer".split())
 ARTICLE = frozenset("article post entry content body main story text".split())
 KEPT = frozenset("html body main article".split())
+#: Blocks that hold text of the page whatever their density.
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre table blockquote figure figcaption details".split())
 #: Which open elements a start tag ends, besides those inside of them.
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody "
@@ -214,19 +214,25 @@ class Page:
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
         threshold = min(dense[i] for i in path)
-        deepest, paragraph = list(total), [t == "p" for t in self.tag]
-        for i in range(n - 1, 0, -1):
-            deepest[self.parent[i]] = max(deepest[self.parent[i]], deepest[i])
-            paragraph[self.parent[i]] |= paragraph[i] and not self.noise[i]
-        on_path, take = set(path), [False] * n
-        take[best] = True
-        for i in range(1, n):
+        # the article is whole: its references, tables and short sections are no menus
+        root = next((i for i in path if self.tag[i] in ("article", "main")), best)
+        on_path, take, beside = set(path[path.index(root) + 1:]), [False] * n, [False] * n
+        take[root] = True
+        beside[root] = self.tag[root] in ("body", "html", "#root")  # the whole page: its menus are beside the text
+        for i in range(n):
+            if i in on_path:
+                take[i] = True
+                continue
             p = self.parent[i]
-            if self.noise[i] or i not in on_path and links[i] >= MENU_LINKS and link_chars[i] > MENU_SHARE * chars[i]:
+            if i == 0 or i == root or self.noise[i]:
                 continue
-            beside = p in on_path and i not in on_path and p != best
-            take[i] = take[i] or take[p] and i not in on_path or beside and (
-                self.tag[i] == "h1" or paragraph[i] and dense[i] >= threshold and deepest[i] >= SHARE * total[best])
+            if p in on_path:
+                menu = links[i] >= MENU_LINKS and link_chars[i] > MENU_SHARE * chars[i]
+                take[i] = not menu and (self.tag[i] in TEXT or chars[i] > 0 and dense[i] >= threshold)
+                beside[i] = take[i]
+            elif take[p]:
+                menu = beside[p] and links[i] >= MENU_LINKS and link_chars[i] > MENU_SHARE * chars[i]
+                take[i], beside[i] = not menu, beside[p]
         return take
 
     def text(self) -> str:

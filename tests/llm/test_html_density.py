@@ -78,6 +78,22 @@ def test_names_of_noise_in_values_or_data_attributes_are_none(attribute):
     assert main_text(source) == f"{LONG} the link ends.\n{LONG}"
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class=c>{}</div>"])
+def test_short_parts_beside_a_long_one_are_kept(wrap):
+    many = "".join(f"<p>{LONG}</p>" for _ in range(20))
+    parts = ["<h1>Title</h1>", "<p>The lead of it.</p>", f"<div>{many}</div>", "<h2>Further</h2>", "<ul><li>One point<li>Another point</ul>",
+             "<pre>a = 1</pre>", "<table><tr><td>cell</table>", "<blockquote>Said so.</blockquote>", "bare text here", "<p>The closing.</p>"]
+    want = ["Title", "The lead of it.", *[LONG] * 20, "Further", "One point", "Another point", "a = 1", "cell", "Said so.",
+            "bare text here", "The closing."]
+    menu = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert main_text(f"<body>{menu}{wrap.format(''.join(parts))}{menu}</body>").split("\n") == want
+
+
+def test_lists_of_references_in_an_article_are_kept():
+    source = f"<article><p>{LONG}</p><p>{LONG}</p><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul></article>"
+    assert main_text(f"<body>{source}</body>") == f"{LONG}\n{LONG}\nFirst source\nSecond source"
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a</p>", "y")],
                                "page_id long, url string, html string, text string")
