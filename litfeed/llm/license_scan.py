@@ -42,7 +42,7 @@ class Family(NamedTuple):
 
 FAMILIES = (
     Family("apache", r"apache(?: software)? license|apache", ("apache",), ("1.0", "1.1", "2.0"), r"apache"),
-    Family("mit", r"mit(?: x11)?(?: license)?|expat license", (" mit license", " mit x11 license", " expat license", "under the mit ", "under mit ", "identifier mit "), (), r"mit"),
+    Family("mit", r"mit(?: x11)?(?: license)?|expat license", (" mit ", " expat license"), (), r"mit"),
     Family("mit-0", r"mit no attribution(?: license)?", ("no attribution",), (), r"mit 0"),
     Family("bsd-2-clause", r"(?:2 clause|simplified|freebsd) bsd(?: license)?|bsd 2 clause(?: license)?", ("bsd",), (), r"bsd 2 clause"),
     Family("bsd-3-clause", r"(?:3 clause|new|modified|revised) bsd(?: license)?|bsd 3 clause(?: license)?", ("bsd",), (), r"bsd 3 clause"),
@@ -82,7 +82,7 @@ FAMILIES = (
     Family("cc0", r"cc0|cc zero|creative commons zero", (" cc0 ", " cc zero ", "creative commons zero"), ("1.0",), r"cc0"),
     *(Family("cc-" + "-".join(terms), r"(?:cc|creative commons) (?:" + " ".join(terms) + "|" + " ".join(
         {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s", "sa": "share ?alike"}[t] for t in terms)
-        + r")(?= )(?! (?:nc|nd|sa|non ?commercial|no ?deriv|share ?alike))", (" cc by", "creative commons "), ("1.0", "2.0", "2.5", "3.0", "4.0"), "cc " + " ".join(terms))
+        + r")(?= )(?! (?:nc|nd|sa|non ?commercial|no ?deriv|share ?alike))", (" cc ", "creative commons "), ("1.0", "2.0", "2.5", "3.0", "4.0"), "cc " + " ".join(terms))
       for terms in (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))),
 )
 

@@ -71,6 +71,48 @@ def test_every_rule_is_opened_by_its_keywords():
                     assert any(k.encode() in text for k in r.keywords), (r.label, text)
 
 
+def spelled(pattern):
+    """All texts of a pattern (an optional part or a character class: each way)."""
+    from itertools import product
+    from re import _parser as P
+
+    def ways(items):
+        parts = []
+        for op, value in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                parts.append([chr(value)])
+            elif kind == "IN":
+                parts.append([chr(v) for k, v in value if str(k) == "LITERAL"] or ["7"])
+            elif kind == "BRANCH":
+                parts.append([w for x in value[1] for w in ways(x)])
+            elif kind == "SUBPATTERN":
+                parts.append(ways(value[3]))
+            elif kind == "MAX_REPEAT":
+                parts.append(sorted({w * k for w in ways(value[2]) for k in {value[0], 1}}))
+            else:
+                assert kind in ("ASSERT", "ASSERT_NOT"), kind
+        return ["".join(x) for x in product(*parts)]
+    return ways(P.parse(pattern))
+
+
+def test_keywords_open_the_rules_of_every_form_and_name():
+    for f in L.FAMILIES:
+        for form, _, _ in L.FORMS:
+            if "{ident}" in form and not f.ident:
+                continue
+            for text in {f" {x} " for x in spelled(form.format(name=f"(?:{f.name})", ident=f"(?:{f.ident})"))}:
+                for r in L.rules():
+                    if r.label.startswith(f.label) and r.pattern.search(text.encode()):
+                        assert any(k in text for k in r.keywords), (r.label, text)
+
+
+def test_short_names_are_found():
+    for text in (b"released under a MIT-style license", b"licensed under the terms of the MIT"):
+        assert L.scan_text(text)["labels"] == "mit" and L.scan_text(text)["score"] > 0.8
+    assert L.scan_text(b"licensed under CC Attribution 4.0 now")["labels"] == "cc-by-4.0"
+
+
 def test_many_detections_in_one_text_are_fast():
     got = L.scan_text(b"cc by " * 50_000)
     assert got["n_base"] == 50_000 and len(got["detections"]) == 50_000 and got["last_word"] == 99_998
