@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litfeed.llm import decontam, html_density, license_scan, lm_mixing, packing, quality, quotes, sharding, simhash, warc
+from litfeed.llm import decontam, html_density, license_scan, lm_mixing, merkle, packing, quality, quotes, sharding, simhash, warc
 from litfeed.llm import sql as S
 from litfeed.llm.common import table
 
@@ -60,8 +60,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The manifest of documents, and its verdict on those of even CRC whose line breaks were deleted."""
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.checked(docs, {"text": F.replace("text", F.lit("\n"), F.lit(""))}, even).withColumnRenamed("id", "doc_id")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_density, op2_simhash, op3_license_scan, op4_warc, op5_lm_mixing, op6_quality_rules, op7_kd_sharding, op8_quotation_linking,
-    op9_decontamination, op10_packing)}
+    op9_decontamination, op10_packing, op11_merkle_manifest)}
 
 SQL: dict[str, str] = {k: v for k, v in S.ORACLES.items() if k in QUERIES}

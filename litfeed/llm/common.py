@@ -55,20 +55,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def positions(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
-    """``df`` with ``name``: the gapless position from 0 of each row within ``key``, in ``order``.
+def positions(df: DataFrame, key: str, order: list, name: str, total: str | None = None, weight: str | None = None) -> DataFrame:
+    """``df`` with ``name``: the gapless position from 0 of each row within ``key``, in ``order`` (``weight``: the sum of that
+    column over the rows before it); ``total``: the key's number of rows (sum of weights), too.
 
     A key may hold any share of the rows: rows are range-partitioned by (key, order), written once, and
     numbered within (partition, key); only the counts of these pieces meet per key.
     """
-    part, before = fresh(df, "_part"), fresh(df, "_before")
+    part, before, whole = fresh(df, "_part"), fresh(df, "_before"), fresh(df, "_whole")
     cut = written(df.repartitionByRange(F.col(key), *order).withColumn(part, F.spark_partition_id()), "ranged")
-    pieces = cut.groupBy(key, part).agg(F.count("*").alias(before))
+    pieces = cut.groupBy(key, part).agg((F.sum(weight) if weight else F.count("*")).alias(before))
     up_to = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn(before, F.coalesce(F.sum(before).over(up_to), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(key, part).orderBy(*order)) - 1
+    pieces = pieces.withColumn(whole, F.sum(before).over(Window.partitionBy(key))).withColumn(
+        before, F.coalesce(F.sum(before).over(up_to), F.lit(0)))
+    rows = Window.partitionBy(key, part).orderBy(*order)
+    within = F.coalesce(F.sum(weight).over(rows.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight \
+        else F.row_number().over(rows) - 1
     left, right = cut.withColumn(name, within.cast("long")).alias("l"), pieces.alias("r")
     same = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}")) & (F.col(f"l.{part}") == F.col(f"r.{part}"))
     joined = left.join(right, same)
-    keep = [F.col(f"l.{c}") for c in df.columns]
-    return joined.select(*keep, (F.col(f"l.{name}") + F.col(f"r.{before}")).alias(name))
+    keep = [F.col(f"l.{c}") for c in df.columns] + [(F.col(f"l.{name}") + F.col(f"r.{before}")).alias(name)]
+    return joined.select(*keep, *([F.col(f"r.{whole}").alias(total)] if total else []))
