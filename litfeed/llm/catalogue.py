@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litfeed.llm import decontam, html_density, license_scan, lm_mixing, merkle, packing, quality, quotes, sharding, simhash, warc
+from litfeed.llm import decontam, html_density, license_scan, lm_mixing, merkle, mixing, packing, quality, quotes, sharding, simhash, variants, warc
 from litfeed.llm import sql as S
 from litfeed.llm.common import table
 
@@ -70,8 +70,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_rows(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.counted(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_density, op2_simhash, op3_license_scan, op4_warc, op5_lm_mixing, op6_quality_rules, op7_kd_sharding, op8_quotation_linking,
-    op9_decontamination, op10_packing, op11_merkle_manifest)}
+    op9_decontamination, op10_packing, op11_merkle_manifest, op12_source_mixing,
+    op13_spelling_variants)}
 
 SQL: dict[str, str] = {k: v for k, v in S.ORACLES.items() if k in QUERIES}
