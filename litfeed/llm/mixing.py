@@ -11,7 +11,8 @@ source's taken words miss its target only by the rounding of the very last docum
 
 A source's documents are numbered from the longest to the shortest. Each of its ``HEAD`` longest meets all that follow it as one
 partner, of one common fraction: it becomes whole or nothing, and the fraction of all others moves the other way. So no
-document left over can be longer than a hundredth of its source's words.
+document left over can be longer than a hundredth of its source's words. A document so long that all others together cannot make
+up for one of the two outcomes gets the other one without a draw (then its expectation is not kept, but the target is).
 
 Reduction tree. Of the others, each ``FAN`` consecutive ones are one node, which pairs them until one is left; these are
 the rows of the next level, until a source has one node, whose last document is rounded by a draw. A task holds one node at a
@@ -97,17 +98,19 @@ def against_rest(size: np.ndarray, part: float, rest: int, draw: np.random.Gener
     after = np.cumsum(size[::-1])[::-1] - size + rest
     luck = draw.random((len(size), 2))
     for i, (w, others) in enumerate(zip(size.tolist(), after.tolist(), strict=True)):
-        up, down = min(w * (1 - part), part * others), min(w * part, (1 - part) * others)
-        mass = w * part
-        if up + down > 0:
-            if luck[i, 0] * (up + down) < down:
-                mass, moved = mass + up, -up / others
-            else:
-                mass, moved = mass - down, down / others
-            part = min(1.0, max(0.0, part + moved))
+        give, take = w * (1 - part), w * part  # words that the others lose if it is taken, and get if it is not
+        fill, empty = give <= part * others, take <= (1 - part) * others
+        if fill and empty:
+            out[i] = luck[i, 0] * (give + take) < take
+        elif others == 0:
+            out[i] = luck[i, 0] < part
+        elif fill or empty:
+            out[i] = fill
+        else:
+            out[i] = abs(w - take - part * others) < abs(others - take - part * others)
+        if others:
+            part = min(1.0, max(0.0, part + (-give if out[i] else take) / others))
             part = 0.0 if part < TINY else 1.0 if part > 1 - TINY else part
-        # whole or nothing, unless the others could not give or take that much
-        out[i] = mass > w * (1 - TINY) or (mass >= w * TINY and luck[i, 1] * w < mass)
     return out, part
 
 

@@ -82,11 +82,11 @@ def test_tiles_of_any_size(spark, tile):
 def test_single_edits_by_prefix_and_suffix():
     words = sorted({"aaaaaa", "aaaaaaa", "aaaaaaaa", "abaaaa", "abcdef", "abcdeg", "xbcdef", "abdef", "bcdefg", "abcxdef", "ßàéîõü", "ßàéîõ"})
     for w in words:
-        for x in words:
+        for x in set(words) - {w}:  # words of a vocabulary are distinct
             size = max(len(w), len(x))
             rows = [pa.array([{"key": f"{size}p", "word": y, "n": 1}]) for y in (w, x)]
             i, _ = V.compared(V.Tile(rows[0]), V.Tile(rows[1]), False)
-            assert (len(i) == 1) == (w != x and one_edit(w, x)), (w, x)
+            assert (len(i) == 1) == one_edit(w, x), (w, x)
 
 
 def test_a_key_of_many_words_is_many_block_pairs(spark):
