@@ -8,17 +8,17 @@ longest context that was seen) and learned online by gradient steps on coding co
 coded. Refinement: an adaptive map from (bits so far, mixed probability) to the frequency that was seen, averaged with the mixed
 probability. The product over bits is a proper distribution over texts; ``score`` is its log10, ``bits_per_byte`` the cost.
 
-Distribution. Documents are packed into chunks of about 4 MB, one row each, written once; every pass is a map over chunks.
-  1. Vocabulary: each chunk sends its distinct tokens with training counts; sums come back by (chunk, place of the token),
-     so a task holds the counts of its own chunk's tokens only and the vocabulary may grow without bound.
-  2. Bit counts: each chunk sends its distinct (context, byte) pairs of every order with training counts, sorted and packed, to
-     shards by hash of the context; a shard sums them and answers each chunk with the counts along the byte's bits. The number of
-     shards follows the pairs, so the contexts may grow without bound as well. Packets: chunks times shards.
-  3. Chunks and their answers are written side by side. Weights and refinement: each task runs its own online pass; results are
-     averaged by coded bits (fixed size).
-  4. Scores, chunk by chunk. Equal (context, byte) occurrences in a chunk are computed once.
-All documents whose crc32 is not divisible by ten train every part. Scores depend a little on how documents were dealt to
-tasks (steps 2 to 4 of a given written table are repeatable).
+Distribution. Documents are packed into chunks of about 4 MB, one row each, written once.
+  1. Keys. A chunk sends its distinct (five bytes, next byte) with training counts to shards by the hash of the last three bytes of
+     the context, so a shard has all that the two longer contexts of its keys need. The two shorter ones have 2^16 + 2^8
+     contexts at most; their counts are summed by Spark and broadcast (2^24 numbers at most, a few hundred thousand in text).
+  2. Shards sum the counts of equal keys, learn weights and refinement online (averaged by coded bits; fixed size), then
+     code each distinct key of the corpus once. A chunk gets one number back for each of its keys, and adds them up by document.
+  3. Words go the same way: distinct words with training counts to shards by hash, sums back.
+The number of shards follows the corpus' bytes, so contexts and words may grow without bound. Sums and answers go through a tree: a task
+joins the packets of one shard and ``FAN`` chunks, so a context or word that every chunk has puts no more on one task.
+All documents whose crc32 is not divisible by ten train every part. Shards, sums and weights do not depend on how documents
+were dealt to chunks, so reruns agree (up to the order in which a few thousand numbers are added).
 
 Edge cases: null text is empty (the end symbol only); a null doc_id counts as the empty text for the crc32, so it is held
 out; repeated rows are documents of their own; without training documents c, N and V are 0 and all bits cost one; other columns
@@ -28,12 +28,13 @@ do not matter; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.llm.common import written
@@ -42,12 +43,10 @@ CHUNK = 4 << 20
 #: Documents in a chunk at most: a number of 16 bits.
 CHUNK_DOCS = 1 << 16
 ORDERS = (1, 2, 3, 5)
-#: Table sizes of a small model in memory (``Hashed``): 2 counts of 16 bits in each slot.
-SLOT_BITS = (16, 18, 20, 22)
-#: (context, byte) pairs that one shard gets from all chunks, about; shards at most (a number of 16 bits).
-SHARD, SHARDS = 2 << 20, (1 << 16) - 1
-#: One of so many pairs is counted to tell the number of shards.
-SAMPLE = 64
+#: Bytes of text that a shard stands for, and chunks whose packets for one shard meet in a task.
+SHARD, FAN = 16 << 20, 256
+#: Bits of the context that chooses the shard, and of the pairs of the orders that are broadcast.
+LOCAL, COMMON = 24, 24
 SMOOTH = 0.1
 PRIOR = 0.4
 CLIP = 8.0
@@ -59,15 +58,13 @@ BATCH, RATE, DECAY, LAST_RATE = 1 << 15, 0.3, 50, 0.02
 PAD = 5
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_CONTEXT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_NODE, _FINAL = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_FINAL = np.uint64(0xE7037ED1A0B428DB)
 
 
 # -- chunks
 
 def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(chunk, ids, held, sizes, blob, pairs): rows of about ``CHUNK`` bytes of lower-cased text, compressed, and about how many
-    distinct (context, byte) pairs they have."""
+    """(chunk, ids, held, sizes, blob): rows of about ``CHUNK`` bytes of lower-cased text, compressed."""
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 10 == 0).alias("held"),
@@ -78,9 +75,8 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         pack = zstandard.ZstdCompressor(level=1).compress
 
         def row(ids, held, texts):
-            sizes = [len(t) for t in texts]
-            return pa.RecordBatch.from_pylist([{"ids": ids, "held": held, "sizes": sizes, "blob": pack(b"".join(texts)),
-                                                "pairs": estimated(texts)}], _CHUNK)
+            return pa.RecordBatch.from_pylist([{"ids": ids, "held": held, "sizes": [len(t) for t in texts], "blob": pack(b"".join(texts))}],
+                                              _CHUNK)
 
         ids, held, texts, size = [], [], [], 0
         for b in batches:
@@ -95,12 +91,11 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
         if ids:
             yield row(ids, held, texts)
 
-    rows = given.mapInArrow(run, "ids array<long>, held array<boolean>, sizes array<long>, blob binary, pairs long")
+    rows = given.mapInArrow(run, "ids array<long>, held array<boolean>, sizes array<long>, blob binary")
     return written(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
 
 
-_CHUNK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())),
-                    ("blob", pa.binary()), ("pairs", pa.int64())])
+_CHUNK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("blob", pa.binary())])
 
 
 def _texts(row: dict) -> list[bytes]:
@@ -115,42 +110,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-# -- base: unigram counts
-
-def _vocabulary(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
-    """The distinct words of a chunk, always in the same order, with their training counts."""
-    counts: Counter = Counter()
-    for t, h in zip(texts, held, strict=True):
-        if not h:
-            counts.update(t.split())
-    for t, h in zip(texts, held, strict=True):
-        if h:
-            for w in t.split():
-                counts.setdefault(w, 0)
-    return counts
-
-
-def vocabulary(chunks: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """(chunk, place, c) for each chunk's distinct words, and the number of training documents, tokens and distinct tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _rows(batches):
-            counts = _vocabulary(_texts(r), r["held"])
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, r["chunk"], np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(counts), pa.binary()),
-                 pa.array(np.fromiter(counts.values(), np.int64, n))], ["chunk", "place", "token", "n"])
-
-    sent = chunks.mapInArrow(run, "chunk long, place int, token binary, n long")
-    # a token has one row a chunk at most: summed where they meet, one exchange for sum and answer
-    token = Window.partitionBy("token")
-    back = written(sent.withColumn("c", F.sum("n").over(token)).withColumn(
-        "first", F.row_number().over(token.orderBy("chunk")) == 1).select("chunk", "place", "c", "first"), "vocabulary")
-    known = back.filter(F.col("first") & (F.col("c") > 0)).agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    docs = chunks.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
-    return back.select("chunk", "place", "c"), docs, known[1] + docs, known[0] + (docs > 0)
-
-
-# -- occurrences and bit lanes
+# -- occurrences and bits
 
 def occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every symbol (bytes and end) of the texts: the key (five bytes before it, itself), and the text's number."""
@@ -174,28 +134,6 @@ def nodes(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield pos, (byte | 256) >> (8 - pos), ((byte >> (7 - pos)) & 1).astype(np.uint8)
 
 
-def lanes(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """For each bit position: (position, bits so far, bit, slot in each table of a small model) of the keys."""
-    before = keys >> np.uint64(8)
-    bases = [((before & np.uint64((1 << 8 * o) - 1)) + np.uint64(1)) * c for o, c in zip(ORDERS, _CONTEXT, strict=True)]
-    for pos, node, bit in nodes(keys):
-        mixed = node.astype(np.uint64) * _NODE
-        yield pos, node, bit, [((b ^ mixed) * _FINAL >> np.uint64(64 - s)).astype(np.int64)
-                               for b, s in zip(bases, SLOT_BITS, strict=True)]
-
-
-def unique_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(occurrences(texts)[0], return_counts=True) if texts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-
-
-# -- bit counts
-
-def estimated(texts: list[bytes]) -> int:
-    """About how many distinct (context, byte) pairs of the longest order the texts have, from a sample by hash."""
-    keys = occurrences(texts)[0]
-    return SAMPLE * len(np.unique(keys[(keys * _FINAL) >> np.uint64(58) == 0])) + 1
-
-
 def trained(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of a chunk in order, and how often they occur in training documents."""
     keys, of = occurrences(texts)
@@ -207,26 +145,6 @@ def trained(texts: list[bytes], held: list[bool]) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat((packed & np.uint64(1)) ^ np.uint64(1), starts).astype(np.int64)
 
 
-def pairs(keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct (order, context, byte) of distinct sorted keys, in order, and each key's place among them by order."""
-    found, places, part, at = [keys], [np.arange(len(keys))], keys, None
-    for o in ORDERS[-2::-1]:  # each order's pairs from those of the longer one
-        part, back = np.unique(part & np.uint64((1 << 8 * (o + 1)) - 1), return_inverse=True)
-        at = back if at is None else back[at]
-        found.insert(0, part)
-        places.insert(0, at)
-    starts = np.cumsum([0, *map(len, found[:-1])])
-    return (np.concatenate([x | np.uint64(k << 56) for k, x in enumerate(found)]),
-            [p + s for p, s in zip(places, starts, strict=True)])
-
-
-def dealt(tagged: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order by shard, shard's bounds in it) of a chunk's pairs; a context goes to one shard."""
-    shard = (((tagged >> np.uint64(8)) + np.uint64(1)) * _FINAL >> np.uint64(32)) % np.uint64(shards)
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
-    return order, np.concatenate(([0], np.cumsum(np.bincount(shard.astype(np.int64), minlength=shards))))
-
-
 def _planes(x: np.ndarray) -> bytes:
     """The bytes of numbers, all first ones, all second ones ...: packs well."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
@@ -237,150 +155,194 @@ def _numbers(planes: bytes, kind) -> np.ndarray:
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one shard (equal ones from many chunks) -> (counts, place of each pair): row 8 has the count of the pair,
-    row b < 8 how often its context and first b bits were followed by the other bit."""
+    """Equal keys as one: (sorted keys, sums of ``n``)."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    keys, total = keys[starts], np.add.reduceat(n[order], starts)
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[starts], np.add.reduceat(n[order], starts) if len(keys) else n
+
+
+def along(keys: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Bit counts of sorted distinct keys (the last eight bits: the byte): row 8 has a key's own count, row b < 8 how often its
+    context and first b bits were followed by the other bit."""
     ends, below = np.concatenate(([0], np.cumsum(total))), total
     counts = np.empty((9, len(keys)), np.float32)
     counts[8] = total
     for pos in range(7, -1, -1):
         prefix = keys >> np.uint64(8 - pos)
-        new = np.concatenate(([True], prefix[1:] != prefix[:-1]))
+        new = np.concatenate(([True], prefix[1:] != prefix[:-1])) if len(keys) else np.empty(0, bool)
         starts = np.flatnonzero(new)
         above = np.diff(ends[np.concatenate((starts, [len(keys)]))])[np.cumsum(new) - 1]
         counts[pos] = above - below
         below = above
-    return counts, place
+    return counts
 
 
-def bit_counts(chunks: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, shard, blob), for each chunk's pairs in its own order the counts of the whole corpus; and the number of shards."""
-    total = chunks.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    shards = max(1, min(SHARDS, -(-total // SHARD)))
+# -- packets: from chunks to shards and back
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-        pack = zstandard.ZstdCompressor(level=1).compress
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the last three bytes of the context."""
+    local = (keys >> np.uint64(8)) & np.uint64((1 << LOCAL) - 1)
+    return (((local + np.uint64(1)) * _FINAL >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by shard, shard's bounds in it) of a chunk's sorted keys."""
+    shard = shard_of(keys, shards)
+    return np.argsort(shard, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+
+
+def _words(texts: list[bytes], held: list[bool]) -> dict[bytes, int]:
+    """The distinct words of a chunk with their training counts."""
+    counts: Counter = Counter()
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            counts.update(t.split())
+    for t, h in zip(texts, held, strict=True):
+        if h:
+            for w in t.split():
+                counts.setdefault(w, 0)
+    return counts
+
+
+def dealt_words(words: dict[bytes, int], shards: int) -> dict[int, list[bytes]]:
+    """shard -> its words of a chunk, in order."""
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        out.setdefault(zlib.crc32(w) % shards, []).append(w)
+    return {s: sorted(out[s]) for s in sorted(out)}
+
+
+def key_blob(keys: np.ndarray, n: np.ndarray) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=3).compress(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(n.astype(np.uint64)))
+
+
+def keys_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+    got = zstandard.ZstdDecompressor().decompress(blob)
+    return np.cumsum(_numbers(got[:len(got) // 2], np.uint64), dtype=np.uint64), _numbers(got[len(got) // 2:], np.uint64).astype(np.int64)
+
+
+def word_blob(words: list[bytes], n: list[int]) -> bytes:
+    import zstandard
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(words) + b"\n" + _planes(np.array(n, np.uint64)) + len(words).to_bytes(8, "big"))
+
+
+def words_of(blob: bytes) -> tuple[list[bytes], list[int]]:
+    import zstandard
+    got = zstandard.ZstdDecompressor().decompress(blob)
+    cut = len(got) - 8 - 8 * int.from_bytes(got[-8:], "big")
+    return got[:cut - 1].split(b"\n"), _numbers(got[cut:-8], np.uint64).tolist()
+
+
+def merged_keys(blobs: list[bytes]) -> bytes:
+    found = [keys_of(b) for b in blobs]
+    return key_blob(*summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])))
+
+
+def merged_words(blobs: list[bytes]) -> bytes:
+    sums: Counter = Counter()
+    for b in blobs:
+        for w, n in zip(*words_of(b), strict=True):
+            sums[w] += n
+    words = sorted(sums)
+    return word_blob(words, [sums[w] for w in words])
+
+
+MERGE = {"k": merged_keys, "w": merged_words}
+PACKET = "kind string, shard long, chunk long, blob binary"
+
+
+def packets(chunks: DataFrame, shards: int) -> DataFrame:
+    """(kind, shard, chunk, blob) of keys (``k``) and words (``w``); written once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            keys, n = trained(_texts(r), r["held"])
-            tagged, places = pairs(keys)
-            sums = np.zeros(len(tagged))
-            for at in places:
-                sums += np.bincount(at, n, len(tagged))
-            order, bounds = dealt(tagged, shards)
-            tagged, sums = tagged[order], sums[order].astype(np.uint32)
-            full = np.flatnonzero(np.diff(bounds)).tolist()
-            blobs = [pack(_planes(np.diff(tagged[bounds[s]:bounds[s + 1]], prepend=np.uint64(0))) + _planes(sums[bounds[s]:bounds[s + 1]]))
-                     for s in full]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), r["chunk"], np.int64)), pa.array(full, pa.int32()),
-                                              pa.array(blobs, pa.binary())], ["chunk", "shard", "blob"])
-
-    def merge(sent: pa.Table) -> pa.Table:
-        import zstandard
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        keys, n = [], []
-        for b in sent.column("blob"):
-            got = unpack(b.as_py())
-            cut = len(got) // 12 * 8
-            keys.append(np.cumsum(_numbers(got[:cut], np.uint64), dtype=np.uint64))
-            n.append(_numbers(got[cut:], np.uint32))
-        ends = np.cumsum([len(k) for k in keys])
-        counts, place = summed(np.concatenate(keys), np.concatenate(n).astype(np.int64))
-        blobs = [pack(_planes(counts[:, p].ravel())) for p in np.split(place, ends[:-1])]
-        return pa.table([sent.column("chunk"), sent.column("shard"), pa.array(blobs, pa.binary())], names=["chunk", "shard", "blob"])
+            texts = _texts(r)
+            keys, n = trained(texts, r["held"])
+            order, bounds = dealt(keys, shards)
+            keys, n = keys[order], n[order]
+            out = [("k", s, key_blob(keys[bounds[s]:bounds[s + 1]], n[bounds[s]:bounds[s + 1]])) for s in np.flatnonzero(np.diff(bounds)).tolist()]
+            del keys, n, order
+            counts = _words(texts, r["held"])
+            out += [("w", s, word_blob(words, [counts[w] for w in words])) for s, words in dealt_words(counts, shards).items()]
+            for at in range(0, len(out), 512):
+                kind, shard, blob = zip(*out[at:at + 512], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(shard, pa.int64()), pa.array([r["chunk"]] * len(kind), pa.int64()),
+                                                  pa.array(blob, pa.binary())], ["kind", "shard", "chunk", "blob"])
+
+    return written(chunks.mapInArrow(run, PACKET), "packets")
+
+
+def gathered(sent: DataFrame, groups: int) -> DataFrame:
+    """(kind, shard, blob): the sums of all packets, by a tree of ``FAN`` packets a task; ``groups``: of the chunks, at first."""
+    def merge(rows: pa.Table) -> pa.Table:
+        kind, shard, group = (rows.column(c)[0] for c in ("kind", "shard", "group"))
+        blob = MERGE[kind.as_py()](rows.column("blob").to_pylist())
+        return pa.table([pa.array([kind]), pa.array([shard]), pa.array([group]), pa.array([blob], pa.binary())],
+                        names=["kind", "shard", "group", "blob"])
+
+    d = sent.select("kind", "shard", F.col("group").cast("long").alias("group"), "blob")
+    while True:
+        d = d.groupBy("kind", "shard", "group").applyInArrow(merge, "kind string, shard long, group long, blob binary")
+        if groups == 1:
+            return written(d.drop("group"), "sums")
+        groups = -(-groups // FAN)
+        d = d.withColumn("group", F.col("group") % groups)
+
+
+def common_pairs(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, training count) of the contexts of two bytes: 2^24 rows at most, summed by Spark, map-side first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            keys, n = keys_of(r["blob"])
+            pair, total = summed(keys & np.uint64((1 << COMMON) - 1), n)
+            yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(total)], ["pair", "n"])
 
-    schema = "chunk long, shard int, blob binary"
-    return chunks.mapInArrow(send, schema).groupBy("shard").applyInArrow(merge, schema), shards
+    rows = sums.filter("kind = 'k'").select("blob").mapInArrow(run, "pair long, n long").groupBy("pair").agg(
+        F.sum("n").alias("n")).toArrow().sort_by("pair")
+    return rows.column("pair").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
 
 
-def answered(chunks: DataFrame, counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``chunks`` with the answers to each: the counts of its words by place, and of its pairs by shard; written once."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.filter(right.column("c").is_valid())
-        c = np.zeros(len(words), np.int64)
-        c[words.column("place").to_numpy()] = words.column("c").to_numpy()
-        shards = right.filter(right.column("blob").is_valid()).sort_by("place")
-        answers = pa.array([shards.column("blob").to_pylist()] * left.num_rows, pa.list_(pa.binary()))
-        return left.append_column("c", pa.array([c.tobytes()] * left.num_rows, pa.binary())).append_column("answers", answers)
-
-    given = vocabulary.select("chunk", "place", "c", F.lit(None).cast("binary").alias("blob")).unionByName(
-        counts.select("chunk", F.col("shard").alias("place"), F.lit(None).cast("long").alias("c"), "blob"))
-    both = chunks.groupBy("chunk").cogroup(given.groupBy("chunk")).applyInArrow(
-        run, "chunk long, ids array<long>, held array<boolean>, sizes array<long>, blob binary, pairs long, c binary, "
-             "answers array<binary>")
-    return written(both, "answered")
-
-
-class Hashed:
-    """A small model in memory: tables of hashed slots."""
-
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
-
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        return keys
-
-    def inputs(self, keys: np.ndarray, places: np.ndarray, without: bool) -> Iterator[tuple]:
-        for pos, node, bit, slots in lanes(keys):
-            x, seen = [], []
-            for t, s in zip(self.tables, slots, strict=True):
-                n0, n1 = t[s, 0].astype(np.float32), t[s, 1].astype(np.float32)
-                if without:
-                    n1 -= (bit == 1) & (n1 > 0)
-                    n0 -= (bit == 0) & (n0 > 0)
-                x.append(stretched(n0, n1))
-                seen.append(n0 + n1 > 0)
-            yield pos, node, bit, x, seen
-
-
-class Answered:
-    """The counts of one chunk's pairs, as the shards gave them; ``without`` the occurrence that is coded, or with it."""
-
-    def __init__(self, keys: np.ndarray, blobs: list[bytes], shards: int):
-        import zstandard
-        unpack = zstandard.ZstdDecompressor().decompress
-        self.keys = keys
-        tagged, self.at = pairs(keys)
-        self.counts = np.empty((9, len(tagged)), np.float32)
-        order, bounds = dealt(tagged, shards)
-        full = np.flatnonzero(np.diff(bounds))
-        for s, b in zip(full, blobs, strict=True):
-            self.counts[:, order[bounds[s]:bounds[s + 1]]] = _numbers(unpack(b), np.float32).reshape(9, -1)
-        byte = (tagged & np.uint64(255)).astype(np.int32)
-        self.bits = [((byte >> (7 - pos)) & 1).astype(bool) for pos in range(8)]
-        self.made: dict[bool, tuple] = {}
+# -- predictors
+
+class Predictors:
+    """The counts of a shard's keys (sorted, distinct) in all orders, ``without`` the occurrence that is coded, or with it.
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, keys)
+    ``n``: training counts of the keys; ``pairs``: (pair, count) of the two shorter orders, of the whole corpus."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]):
+        self.keys, counts, self.at, bits, start = keys, [], [], [], 0
+        for o in ORDERS:
+            mask = np.uint64((1 << 8 * (o + 1)) - 1)
+            own, total = (summed(pairs[0] & mask, pairs[1]) if 8 * (o + 1) <= COMMON else summed(keys & mask, n))
+            counts.append(along(own, total))
+            self.at.append(np.searchsorted(own, keys & mask) + start)
+            bits.append((own & np.uint64(255)).astype(np.int32))
+            start += len(own)
+        self.counts, byte = np.concatenate(counts, axis=1), np.concatenate(bits)
+        self.bits = [((byte >> (7 - pos)) & 1).astype(bool) for pos in range(8)]
+        self.made: tuple | None = None
 
     def _ready(self, without: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        if without not in self.made:
+        if self.made is None or self.made[0] != without:
             x, seen, same = [None] * 8, [None] * 8, self.counts[8]
             for pos in range(7, -1, -1):
                 other, less = self.counts[pos], same - (same > 0) if without else same
                 up = stretched(other, less)
                 x[pos], seen[pos] = np.where(self.bits[pos], up, -up), less + other > 0
                 same = same + other
-            self.made[without] = x, seen
-        return self.made[without]
+            self.made = without, x, seen
+        return self.made[1:]
 
-    def inputs(self, keys: np.ndarray, places: np.ndarray, without: bool) -> Iterator[tuple]:
+    def inputs(self, places: np.ndarray, without: bool) -> Iterator[tuple]:
+        """(bit position, bits so far, bit, stretched probabilities by order, whether the context was seen by order)."""
         x, seen = self._ready(without)
         at = [a[places] for a in self.at]
-        for pos, node, bit in nodes(keys):
+        for pos, node, bit in nodes(self.keys[places]):
             yield pos, node, bit, [x[pos][a] for a in at], [seen[pos][a] for a in at]
 
 
-def _model(tables) -> Hashed | Answered:
-    return Hashed(tables) if isinstance(tables, list) else tables
-
-
 # -- mixing
 
 def stretched(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
@@ -404,25 +366,22 @@ def bucket(x: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """One task's online pass: weights by gate, and the counts of the refinement map."""
+    """One online pass: weights by gate, and the counts of the refinement map."""
 
-    def __init__(self, tables=None):
-        self.tables, self.steps = tables, 0
-        self.weights = np.full((GATES, INPUTS), 1.2 / len(ORDERS))
-        self.weights[:, -1] = 0
-        self.seen = np.zeros(GATES)
+    def __init__(self):
+        self.steps, self.weights, self.seen = 0, first_weights(), np.zeros(GATES)
         self.refined = np.zeros((256 * BUCKETS, 2))
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, tables=None) -> None:
-        model = _model(self.tables if tables is None else tables)
+    def learn(self, model: Predictors, counts: np.ndarray) -> None:
         # mixed order, else neighbouring contexts make up a step
-        order = np.random.default_rng(len(keys)).permutation(len(keys))
-        places, keys, counts = model.places(keys)[order], keys[order], counts[order].astype(np.float64)
-        for at in range(0, len(keys), BATCH):
-            part, n = keys[at:at + BATCH], counts[at:at + BATCH]
+        places = np.flatnonzero(counts)
+        places = places[np.random.default_rng(len(places)).permutation(len(places))]
+        for at in range(0, len(places), BATCH):
+            part = places[at:at + BATCH]
+            n = counts[part].astype(np.float64)
             rate = max(LAST_RATE, RATE / (1 + self.steps / DECAY))
             # without the occurrence that is coded
-            for pos, node, bit, inputs, seen in model.inputs(part, places[at:at + BATCH], True):
+            for pos, node, bit, inputs, seen in model.inputs(part, True):
                 gate = gates(pos, seen)
                 x = np.stack([*inputs, np.full(len(part), 0.3, np.float32)], axis=1)
                 mixed = np.einsum("ij,ij->i", x, self.weights[gate])
@@ -437,27 +396,30 @@ class Trainer:
             self.steps += 1
 
 
-def mixing(chunks: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by gate, refinement map) from answered chunks: averages over tasks, weighted by what each has coded."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer()
-        for r in _rows(batches):
-            keys, n = trained(_texts(r), r["held"])
-            trainer.learn(keys[n > 0], n[n > 0], Answered(keys, r["answers"], shards))
-        w, seen, cells = trainer.weights, trainer.seen, trainer.refined
-        out = [("w", g * INPUTS + k, w[g, k] * seen[g], seen[g]) for g in range(GATES) for k in range(INPUTS) if seen[g]]
-        out += [("r", int(i), cells[i, 1], cells[i].sum()) for i in np.flatnonzero(cells.sum(axis=1))]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)] if out else
-                                         [pa.array([], t) for t in (pa.string(), pa.int64(), pa.float64(), pa.float64())],
-                                         ["kind", "slot", "value", "mass"])
-
-    sums = chunks.mapInArrow(run, "kind string, slot long, value double, mass double").groupBy("kind", "slot").agg(
-        F.sum("value").alias("value"), F.sum("mass").alias("mass"))
+def first_weights() -> np.ndarray:
     weights = np.full((GATES, INPUTS), 1.2 / len(ORDERS))
     weights[:, -1] = 0
+    return weights
+
+
+def mixing(sums: DataFrame, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(weights by gate, refinement map) from the shards' sums: averages over shards, weighted by what each has coded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            trainer, (keys, n) = Trainer(), keys_of(r["blob"])
+            trainer.learn(Predictors(keys, n, pairs.value), n)
+            w, seen, cells = trainer.weights, trainer.seen, trainer.refined
+            out = [("w", g * INPUTS + k, w[g, k] * seen[g], seen[g]) for g in range(GATES) for k in range(INPUTS) if seen[g]]
+            out += [("r", int(i), cells[i, 1], cells[i].sum()) for i in np.flatnonzero(cells.sum(axis=1))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], ["kind", "slot", "value", "mass"])
+
+    total = sums.filter("kind = 'k'").select("blob").mapInArrow(run, "kind string, slot long, value double, mass double").groupBy(
+        "kind", "slot").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass"))
+    weights = first_weights()
     centres = np.linspace(-CLIP, CLIP, BUCKETS)
     refined = np.tile(squash(centres), (256, 1))
-    for r in sums.collect():  # of fixed size: gates x inputs and map cells
+    for r in total.collect():  # of fixed size: gates x inputs and map cells
         if r["kind"] == "w":
             weights[divmod(r["slot"], INPUTS)] = r["value"] / r["mass"]
         else:
@@ -466,41 +428,103 @@ def mixing(chunks: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return weights.astype(np.float32), refined.astype(np.float32)
 
 
-def coded(keys: np.ndarray, tables, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+def coded(model: Predictors, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """The log2 probability of each key's byte after its context."""
-    model = _model(tables)
-    places, out = model.places(keys), np.zeros(len(keys))
-    for at in range(0, len(keys), BATCH):
-        part = keys[at:at + BATCH]
-        for pos, node, bit, inputs, seen in model.inputs(part, places[at:at + BATCH], False):
+    out = np.zeros(len(model.keys))
+    for at in range(0, len(out), BATCH):
+        part = np.arange(at, min(at + BATCH, len(out)))
+        for pos, node, bit, inputs, seen in model.inputs(part, False):
             gate = gates(pos, seen)
             mixed = weights[:, -1][gate] * np.float32(0.3)
             for k, x in enumerate(inputs):
                 mixed += weights[:, k][gate] * x
             p = 0.5 * (squash(np.clip(mixed, -CLIP, CLIP)) + refined[node, bucket(mixed)])
             p = np.clip(p, 1e-5, 1 - 1e-5)
-            out[at:at + BATCH] += np.log2(np.where(bit, p, 1 - p))
+            out[part] += np.log2(np.where(bit, p, 1 - p))
     return out
 
 
+# -- scores
+
+def answered(sent: DataFrame, sums: DataFrame, groups: int, pairs, model) -> DataFrame:
+    """(chunk, kind, shard, blob): for each packet, in its order, the log2 probability of its keys (32 bits) or the counts of its words."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for r in _rows(batches):
+            blob = r["blob"]
+            if r["kind"] == "k":
+                keys, n = keys_of(blob)
+                logs = coded(Predictors(keys, n, pairs.value), *model.value).astype(np.float32)
+                blob = pack(_planes(np.diff(keys, prepend=np.uint64(0))) + _planes(logs))
+            yield pa.RecordBatch.from_arrays([pa.array([r["kind"]]), pa.array([r["shard"]], pa.int64()), pa.array([blob], pa.binary())],
+                                             ["kind", "shard", "blob"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+        if not len(left):  # no chunk of the group has a key of the shard
+            return _ANSWER.empty_table()
+        kind, whole = left.column("kind")[0].as_py(), right.column("blob")[0].as_py()
+        if kind == "k":
+            got = unpack(whole)
+            cut = len(got) // 12 * 8
+            keys, logs = np.cumsum(_numbers(got[:cut], np.uint64), dtype=np.uint64), _numbers(got[cut:], np.float32)
+            blobs = [pack(_planes(logs[np.searchsorted(keys, keys_of(b.as_py())[0])])) for b in left.column("blob")]
+        else:
+            count = dict(zip(*words_of(whole), strict=True))
+            blobs = [pack(_planes(np.array([count[w] for w in words_of(b.as_py())[0]], np.uint64))) for b in left.column("blob")]
+        return pa.table([left.column("chunk"), left.column("kind"), left.column("shard"), pa.array(blobs, pa.binary())], schema=_ANSWER)
+
+    whole = written(sums.mapInArrow(code, "kind string, shard long, blob binary"), "coded")
+    whole = whole.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    by = ("kind", "shard", "group")
+    return sent.groupBy(*by).cogroup(whole.groupBy(*by)).applyInArrow(answer, "chunk long, kind string, shard long, blob binary")
+
+
+_ANSWER = pa.schema([("chunk", pa.int64()), ("kind", pa.string()), ("shard", pa.int64()), ("blob", pa.binary())])
+
+
+def learned(chunks: DataFrame):
+    """All that the corpus gives: (packets, sums, groups, pairs, model, shards, training documents, tokens, distinct tokens)."""
+    spark = chunks.sparkSession
+    n_chunks, size, docs = chunks.agg(
+        F.count("*"), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)),
+        F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()
+    shards, groups = max(1, -(-size // SHARD)), max(1, -(-n_chunks // FAN))
+    sent = packets(chunks, shards).withColumn("group", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    sums = gathered(sent, groups)
+    pairs = spark.sparkContext.broadcast(common_pairs(sums))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            n = words_of(r["blob"])[1]
+            yield pa.RecordBatch.from_pydict({"v": [sum(x > 0 for x in n)], "n": [sum(n)]})
+
+    v, n = sums.filter("kind = 'w'").select("blob").mapInArrow(known, "v long, n long").agg(
+        F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    model = spark.sparkContext.broadcast(mixing(sums, pairs))
+    return sent, sums, groups, pairs, model, shards, docs, n + docs, v + (docs > 0)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per document."""
-    spark = docs.sparkSession
     chunks = chunked(docs)
-    back, train_docs, n_train, distinct = vocabulary(chunks)
-    counts, shards = bit_counts(chunks)
-    ready = answered(chunks, counts, back)
-    model = spark.sparkContext.broadcast(mixing(ready, shards))
+    sent, sums, groups, pairs, model, shards, train_docs, n_train, distinct = learned(chunks)
     below = math.log10(n_train + SMOOTH * (distinct + 1)) if n_train else math.log10(SMOOTH)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, refined = model.value
-        for r in _rows(batches):
-            found, texts = [], _texts(r)
-            index = {w: i for i, w in enumerate(_vocabulary(texts, r["held"]))}
-            counts = np.frombuffer(r["c"], np.int64)
-            cost = np.log10(counts + SMOOTH) - below
-            end = math.log10(train_docs + SMOOTH) - below
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        import zstandard
+        unpack, found = zstandard.ZstdDecompressor().decompress, []
+        back = {k: sorted((s, b) for kk, s, b in zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(),
+                                                     right.column("blob").to_pylist(), strict=True) if kk == k) for k in "kw"}
+        for r in left.to_pylist():
+            texts, c = _texts(r), {}
+            for (_, words), (_, b) in zip(dealt_words(_words(texts, r["held"]), shards).items(), back["w"], strict=True):
+                c.update(zip(words, _numbers(unpack(b), np.uint64).tolist(), strict=True))
+            index = {w: i for i, w in enumerate(c)}
+            counts = np.fromiter(c.values(), np.float64, len(c))
+            cost, end = np.log10(counts + SMOOTH) - below, math.log10(train_docs + SMOOTH) - below
             keys, of = occurrences(texts)
             # key and text's number in one word: sorted in place, equal keys side by side
             packed = (keys << np.uint64(16)) | of.astype(np.uint64)
@@ -509,18 +533,21 @@ def scored(docs: DataFrame) -> DataFrame:
             of = (packed & np.uint64(0xFFFF)).astype(np.int32)
             packed >>= np.uint64(16)
             new = np.concatenate(([True], packed[1:] != packed[:-1]))
-            keys = packed[new]
-            logs = coded(keys, Answered(keys, r["answers"], shards), weights, refined)
+            order, _ = dealt(packed[new], shards)
+            logs = np.empty(len(order), np.float32)
+            logs[order] = np.concatenate([_numbers(unpack(b), np.float32) for _, b in back["k"]])
             bits = np.bincount(of, logs[np.cumsum(new, dtype=np.int32) - 1], len(texts))
-            del packed, of, new, logs, keys
+            del packed, of, new, logs
             for i, (doc, held, text) in enumerate(zip(r["ids"], r["held"], texts, strict=True)):
                 places = np.fromiter(map(index.__getitem__, text.split()), np.int64)
                 found.append((doc, held, len(places) + 1, int((counts[places] > 0).sum()) + (train_docs > 0), n_train,
                               float(cost[places].sum()) + end, float(bits[i]) * math.log10(2), -float(bits[i]) / max(1, len(text))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _SCORED, strict=True)], schema=_SCORED)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
-                                 "score double, bits_per_byte double")
+    answers = answered(sent, sums, groups, pairs, model)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+             "bits_per_byte double")
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),

@@ -53,33 +53,37 @@ def test_documents(spark, monkeypatch):
 @pytest.fixture(scope="module")
 def model():
     texts = [f"the cat number {i} sat on the mat with a hat, and the dog of {i % 7} did not.".encode() for i in range(400)]
-    keys, n = M.unique_keys(texts)
-    tables = [np.zeros((1 << s, 2), np.uint16) for s in M.SLOT_BITS]
-    for _, _, bit, slots in M.lanes(keys):
-        for t, s in zip(tables, slots):
-            np.add.at(t, (s, bit), n.astype(np.uint16))
-    trainer = M.Trainer(tables)
+    keys, n = M.trained(texts, [False] * len(texts))
+    trainer = M.Trainer()
     for _ in range(20):
-        trainer.learn(keys, n)
+        trainer.learn(shard(keys, n), n)
     refined = np.tile(M.squash(np.linspace(-M.CLIP, M.CLIP, M.BUCKETS)), (256, 1))
-    return tables, trainer.weights.astype(np.float32), refined.astype(np.float32), trainer
+    return (keys, n), trainer.weights.astype(np.float32), refined.astype(np.float32), trainer
+
+
+def shard(keys, n, more=()):
+    """All keys in one shard; ``more``: keys without counts."""
+    keys, n = M.summed(np.concatenate([keys, np.array(more, np.uint64)]), np.concatenate([n, np.zeros(len(more), np.int64)]))
+    return M.Predictors(keys, n, M.summed(keys & np.uint64((1 << 24) - 1), n))
+
+
+def logs(given, weights, refined, wanted):
+    got = shard(*given, wanted)
+    return M.coded(got, weights, refined)[np.searchsorted(got.keys, np.array(wanted, np.uint64))]
 
 
 def test_probabilities_of_all_bytes_sum_to_one(model):
-    tables, weights, refined, _ = model
+    given, weights, refined, _ = model
     for context in (b"the c", b" and ", b"\xff\xff\xff\xff\xff", b"qqqqq"):
         base = int.from_bytes(context, "big") << 8
-        keys = np.array([base | b for b in range(256)], np.uint64)
-        assert abs(float(np.exp2(M.coded(keys, tables, weights, refined)).sum()) - 1) < 1e-4
+        assert abs(float(np.exp2(logs(given, weights, refined, [base | b for b in range(256)])).sum()) - 1) < 1e-4
 
 
 def test_learned_weights_beat_the_first_ones(model):
-    tables, weights, refined, trainer = model
+    given, weights, refined, trainer = model
     new = [f"the cat number {i} sat on the mat with a hat, and the dog of {i % 7} did not.".encode() for i in range(400, 440)]
-    keys = M.occurrences(new)[0]
-    plain = np.full_like(weights, 1.2 / len(M.ORDERS))
-    plain[:, -1] = 0
-    assert M.coded(keys, tables, weights, refined).sum() > M.coded(keys, tables, plain, refined).sum()
+    keys = M.occurrences(new)[0].tolist()
+    assert logs(given, weights, refined, keys).sum() > logs(given, M.first_weights().astype(np.float32), refined, keys).sum()
     assert trainer.refined.sum() > 0
 
 
@@ -90,64 +94,89 @@ def test_occurrences_follow_the_texts():
     assert int(keys[3]) == (1 << 48) - 1 and int(keys[1]) == int.from_bytes(b"\xff\xff\xff\xffab", "big")
 
 
-def test_more_text_is_gathered_from_more_documents(spark):
+def test_scores_are_those_of_a_plain_model(spark, monkeypatch):
+    """Counts in dictionaries, one bit after the other; only weights and refinement are the learned ones."""
+    monkeypatch.setattr(M, "CHUNK", 1 << 13)
+    monkeypatch.setattr(M, "SHARD", 1 << 13)
+    monkeypatch.setattr(M, "FAN", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40")
+    weights, refined = M.learned(M.chunked(docs))[4].value
+    texts = {r["doc_id"]: lower(r["text"]) for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
+    seen = Counter()
+
+    def steps(t):
+        data = b"\xff" * 5 + t + b"\xff"
+        for i in range(5, len(data)):
+            for pos in range(8):
+                yield [(o, data[i - o:i], (data[i] | 256) >> (8 - pos)) for o in M.ORDERS], pos, data[i] >> (7 - pos) & 1
+
+    for d, t in texts.items():
+        for nodes, _, bit in steps(t) if not held[d] else ():
+            seen.update((*k, bit) for k in nodes)
+
+    def score(t):
+        total = 0
+        for nodes, pos, bit in steps(t):
+            n = [(seen[*k, 0], seen[*k, 1]) for k in nodes]
+            x = [max(-8, min(8, math.log((b + 0.4) / (a + 0.4)))) for a, b in n]
+            w = weights[pos * 5 + max((i + 1 for i, c in enumerate(n) if sum(c)), default=0)]
+            mixed = sum(a * b for a, b in zip(w, [*x, 0.3]))
+            cell = max(0, min(32, round((mixed + 8) * 2)))
+            p = 0.5 * (1 / (1 + math.exp(-max(-8, min(8, mixed)))) + refined[nodes[0][2], cell])
+            p = max(1e-5, min(1 - 1e-5, p))
+            total += math.log10(p if bit else 1 - p)
+        return total
+    got = {r["doc_id"]: r["score"] for r in M.scored(docs).collect()}
+    for d in list(texts)[:25]:
+        assert got[d] == pytest.approx(score(texts[d]), rel=2e-3), d
+
+
+def test_scores_do_not_depend_on_how_documents_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD", 1 << 17)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    runs = []
+    for d, chunk, fan in ((docs, 4 << 20, 256), (docs.repartition(3, "lang"), 1 << 15, 2)):
+        monkeypatch.setattr(M, "CHUNK", chunk)
+        monkeypatch.setattr(M, "FAN", fan)
+        runs.append({r["doc_id"]: (r["score"], r["base_score"]) for r in M.scored(d).collect()})
+    for k, v in runs[0].items():
+        assert runs[1][k] == pytest.approx(v, rel=1e-5)
+
+
+def test_sums_of_all_packets(spark, monkeypatch):
+    """A tree of many levels, many shards and chunks: every word and every context of the corpus, once."""
+    monkeypatch.setattr(M, "CHUNK", 1 << 14)
+    monkeypatch.setattr(M, "FAN", 3)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    a, b = (M.vocabulary(M.chunked(d))[2] for d in (docs.filter("doc_id < 100"), docs))
-    assert b > 1.5 * a
-
-
-def test_bit_counts_are_those_of_every_context_apart(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60")
-    chunks = M.chunked(docs.repartition(3))
-    back = M.vocabulary(chunks)[0]
-    counts, shards = M.bit_counts(chunks)
-    rows = M.answered(chunks, counts, back).collect()
-    assert len(rows) == 3
-    seen = Counter()  # (order, context, bits so far, bit)
-    texts = [(h, t) for r in rows for h, t in zip(r["held"], M._texts(r))]
+    chunks = M.chunked(docs)
+    sent = M.packets(chunks, 5).withColumn("group", M.F.col("chunk") % 11)
+    sums = M.gathered(sent, 11).collect()
+    words, keys = Counter(), Counter()
+    texts = [(zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0, lower(r["text"])) for r in docs.collect()]
     for held, t in texts:
+        for w in t.split():
+            words[w] += not held
         data = b"\xff" * 5 + t + b"\xff"
-        for i in range(5, len(data)) if not held else ():
-            for o in M.ORDERS:
-                for pos in range(8):
-                    node = (data[i] | 256) >> (8 - pos)
-                    seen[o, data[i - o:i], node, data[i] >> (7 - pos) & 1] += 1
-    for r in rows:
-        keys, _ = M.trained(M._texts(r), r["held"])
-        model = M.Answered(keys, r["answers"], shards)
-        pick = np.arange(0, len(keys), 97)
-        for pos, node, bit, x, known in model.inputs(keys[pick], pick, False):
-            for k, o in enumerate(M.ORDERS):
-                for j, key in enumerate(keys[pick]):
-                    context = int(key).to_bytes(6, "big")[5 - o:5]
-                    n0, n1 = (seen[o, context, int(node[j]), b] for b in (0, 1))
-                    assert known[k][j] == (n0 + n1 > 0)
-                    assert x[k][j] == pytest.approx(float(M.stretched(np.float32(n0), np.float32(n1))), abs=1e-4)
-
-
-def test_gathered_contexts_grow_with_the_documents(spark):
+        for i in range(5, len(data)):
+            keys[int.from_bytes(data[i - 5:i + 1], "big")] += not held
+    got_w = [x for r in sums if r["kind"] == "w" for x in zip(*M.words_of(r["blob"]))]
+    got_k = [x for r in sums if r["kind"] == "k" for x in zip(*(a.tolist() for a in M.keys_of(r["blob"])))]
+    assert len(got_w) == len(words) and dict(got_w) == words and len(got_k) == len(keys) and dict(got_k) == keys
+    # a context's longer ones are in its shard
+    for r in sums:
+        if r["kind"] == "k":
+            assert (M.shard_of(M.keys_of(r["blob"])[0], 5) == r["shard"]).all()
+
+
+def test_gathered_contexts_and_words_grow_with_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
 
     def gathered(d):
-        return len(np.unique(np.concatenate([M.pairs(M.trained(M._texts(r), r["held"])[0])[0] for r in M.chunked(d).collect()])))
-    assert gathered(docs) > 1.4 * gathered(docs.filter("doc_id < 100"))
-    # pairs are counted apart, however many: more of them than any fixed table has slots, none together
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 48, 5 << 20, dtype=np.uint64))
-    counts, place = M.summed(keys, np.ones(len(keys), np.int64))
-    assert counts.shape[1] == len(keys) > 1 << 22 and len(np.unique(place)) == len(keys) and (counts[8] == 1).all()
-
-
-def test_many_shards_answer_like_one():
-    texts = [f"text {i} of {i * 7 % 13} words, on the {i % 5}th day".encode() for i in range(300)]
-    keys, n = M.trained(texts, [False] * len(texts))
-    tagged, places = M.pairs(keys)
-    sums = sum(np.bincount(at, n, len(tagged)) for at in places).astype(np.int64)
-    whole, place = M.summed(tagged, sums)
-    order, bounds = M.dealt(tagged, 5)
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        part, at = M.summed(tagged[order[a:b]], sums[order[a:b]])
-        assert b > a and (part[:, at] == whole[:, place][:, order[a:b]]).all()
+        sums = M.gathered(M.packets(M.chunked(d), 2).withColumn("group", M.F.lit(0)), 1).collect()
+        return [sum(len((M.keys_of if k == "k" else M.words_of)(r["blob"])[0]) for r in sums if r["kind"] == k) for k in "kw"]
+    few, all_ = gathered(docs.filter("doc_id < 100")), gathered(docs)
+    assert all_[0] > 1.4 * few[0] and all_[1] > 1.4 * few[1]
 
 
 def test_edge_cases(spark):
