@@ -7,7 +7,8 @@ has room, a window is opened. Pieces travel without their ids, so a group is bou
 or long documents put no weight on one task.
 
 Tokens: byte-level BPE from a vocabulary file of the tokenizers library. Texts go to the faster of two encoders of that
-vocabulary; only those with the text of a special token go to the tokenizer itself, which knows these.
+vocabulary; those with the text of a special token, which only the tokenizer itself knows, and those with a run of ``LONG_RUN``
+white-space characters, on which the other one's pattern runs out of stack, go to the tokenizer. The ids are the same.
 
 Sequence ids are unique, not gapless: even for full windows, odd for packed ones.
 
@@ -17,6 +18,7 @@ columns do not matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +35,8 @@ WINDOW = 1024
 END = 0
 #: Pieces in one packing group, on average.
 GROUP = 100_000
+#: White space in one run that the faster encoder is not given any more (its time grows with the square, and above 600,000 it fails).
+LONG_RUN = 1000
 #: How byte-level vocabularies write a byte as a character (printable ones as they are, the others from 256 on).
 _PLAIN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 _BYTE_OF = {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
@@ -52,8 +56,10 @@ class Encoder:
                  if k not in self.special}
         self.ranked = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= LONG_RUN and self.long_run.search(text)):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.ranked.encode_ordinary(text)

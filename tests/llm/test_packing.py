@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from litfeed.llm import packing as K
@@ -61,6 +62,15 @@ def test_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("kind", [" ", "\t", "\n", "\r\n", "\u3000"])
+def test_very_long_white_space(kind):
+    """A million and five million characters; runs just below the switch are as fast."""
+    enc, tok = K.Encoder(PATH), Tokenizer.from_file(PATH)
+    for t in (kind * 10**6, "a" + kind * 10**6 + "b", (kind * (K.LONG_RUN // len(kind) - 1) + "a") * 200):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(enc.encode(kind * (5 * 10**6 // len(kind))))
+
+
 def check(rows, docs, window=K.WINDOW):
     """rows of pack() with ids against documents (doc_id, text); returns the share of window places in use."""
     tok, by = Tokenizer.from_file(PATH), {}
@@ -98,6 +108,17 @@ def test_documents(spark):
     assert check(rows, [(r["doc_id"], r["text"]) for r in docs.collect()]) > 0.97
 
 
+def test_very_long_white_space_through_spark(spark):
+    """By pack(), and by the pipeline's last stage."""
+    import corpus_pipeline
+    given = [(1, " " * 10**6), (2, "a" + "\t" * 10**6 + "b"), (3, "plain words")]
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    check(K.pack(df, PATH, with_ids=True).collect(), given)
+    docs = spark.createDataFrame([(*g, "en", "s", 1) for g in given], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3} and sum(r["length"] for r in got if r["doc_id"] == 1) == 10**6 + 1
+
+
 def test_groups_pack_apart(spark, monkeypatch):
     monkeypatch.setattr(K, "GROUP", 40)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
