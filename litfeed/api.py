@@ -6,6 +6,8 @@ answer is a scalar report).
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame
 
 from litfeed.operators import classify as _classify
@@ -14,6 +16,7 @@ from litfeed.operators import runs as _runs
 from litfeed.operators import search as _search
 from litfeed.operators import snapshot as _snapshot
 from litfeed.operators.enrich import enrich  # noqa: F401  (records, crossref, unpaywall) -> records
+from litfeed.session import checkpoint_dir
 from litfeed.sources.feeds import canonicalize  # noqa: F401  (raw_items, journals) -> article events
 from litfeed.sources.feeds import parse_feeds as ingest  # noqa: F401  raw_feeds -> raw items / bad bodies
 from litfeed.streaming import incremental as _inc
@@ -22,11 +25,18 @@ from litfeed.streaming.incremental import run_stream as ingest_stream  # noqa: F
 SearchRequest = _search.SearchRequest
 
 
-def upsert(articles: DataFrame | None, url_aliases: DataFrame | None, article_events: DataFrame, run_id: int = 0):
-    """Apply canonical article events to the stored articles; returns (articles, url_aliases)."""
-    items = _inc._batch_items(article_events, run_id)
-    arts, aliases, _, _ = _inc.upsert(articles, url_aliases, items, run_id)
-    return arts, aliases
+def upsert(articles: DataFrame | None, url_aliases: DataFrame | None, article_events: DataFrame, run_id: int = 0, at: datetime | None = None):
+    """Apply canonical article events to the stored articles; returns (articles, url_aliases). ``upserted`` gives more."""
+    done = upserted(articles, url_aliases, article_events, run_id, at)
+    return done.articles(articles), done.url_aliases(url_aliases)
+
+
+def upserted(articles: DataFrame | None, url_aliases: DataFrame | None, article_events: DataFrame, run_id: int = 0,
+             at: datetime | None = None) -> _inc.Upserted:
+    """As ``upsert``, with the outcome of each item, the rejected ones, and the links of merged rows (``.links(article_tags)``)."""
+    checkpoint_dir(article_events.sparkSession)
+    items = _inc._batch_items(article_events, run_id).checkpoint(eager=True)  # read by every step; canonical events are costly
+    return _inc.upsert(articles, url_aliases, items, run_id, at or datetime.now(UTC))
 
 
 def reclassify(articles: DataFrame, rules: DataFrame, topics: DataFrame, gates: DataFrame,

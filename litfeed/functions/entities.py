@@ -53,9 +53,11 @@ def _reference(part: Column) -> Column:
         let(F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*;", 0), by_name))
 
 
-def unescape(col: Column) -> Column:
-    """Character references decoded once."""
+def unescape(col: Column, times: int = 1) -> Column:
+    """Character references decoded, ``times`` over (the expression is built once)."""
     def fixed(text: Column) -> Column:
         parts = F.transform(F.split(text, "&", -1), lambda part, i: F.when(i == 0, part).otherwise(_reference(part)))
         return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+    if times > 1:
+        return F.aggregate(F.array_repeat(F.lit(0), times), col, lambda text, _: fixed(text))
     return let(col, fixed)

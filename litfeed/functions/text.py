@@ -99,7 +99,7 @@ def _without_hidden(markup: Column) -> Column:
 def visible_text(col: Column) -> Column:
     """B-1 without composition: references decoded twice, hidden bodies out, separator tags as spaces, other markup out, white
     space collapsed, empty as NULL."""
-    text = let(unescape(unescape(col)), lambda c: F.when(c.contains("<"), _separated(let(c, _without_hidden))).otherwise(c))
+    text = let(unescape(col, 2), lambda c: F.when(c.contains("<"), _separated(let(c, _without_hidden))).otherwise(c))
     return let(collapse_ws(text), lambda t: F.when(t != "", t))
 
 

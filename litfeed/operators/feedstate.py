@@ -52,17 +52,16 @@ def carry_last(df: DataFrame, key: str, order: str, carries: dict[str, tuple], c
     c = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
     end = -1 if exclusive else Window.currentRow
     w_in = Window.partitionBy(key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    for name, (cond, val) in carries.items():
-        c = c.withColumn(f"_{name}", F.last(F.when(cond, F.struct(val.alias("v"))), ignorenulls=True).over(w_in))
+    # all columns at once: one by one, the whole plan is analysed again for each
+    c = c.withColumns({f"_{name}": F.last(F.when(cond, F.struct(val.alias("v"))), ignorenulls=True).over(w_in)
+                       for name, (cond, val) in carries.items()})
     ends = c.groupBy(key, "_chunk").agg(*[
         F.max_by(F.when(cond, F.struct(val.alias("v"))), F.when(cond, F.col(order))).alias(f"_{n}_end")
         for n, (cond, val) in carries.items()])
     w_x = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    for n in carries:
-        ends = ends.withColumn(f"_{n}_before", F.last(f"_{n}_end", ignorenulls=True).over(w_x))
+    ends = ends.withColumns({f"_{n}_before": F.last(f"_{n}_end", ignorenulls=True).over(w_x) for n in carries})
     c = c.join(ends.select(key, "_chunk", *[f"_{n}_before" for n in carries]), [key, "_chunk"], "left")
-    for n in carries:
-        c = c.withColumn(n, F.coalesce(F.col(f"_{n}"), F.col(f"_{n}_before"))["v"])
+    c = c.withColumns({n: F.coalesce(F.col(f"_{n}"), F.col(f"_{n}_before"))["v"] for n in carries})
     return c.drop("_chunk", *[f"_{n}" for n in carries], *[f"_{n}_before" for n in carries])
 
 
@@ -80,12 +79,11 @@ def state_history(checks: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
                       F.col("status").alias("last_status"), F.when(~ok, F.col("error")).alias("last_error"))
 
 
-def batch_checks(raw: DataFrame, parsed: DataFrame, events: DataFrame) -> DataFrame:
+def batch_checks(raw: DataFrame, parsed: DataFrame, failed: DataFrame) -> DataFrame:
     """One check per landed body: not_modified / error (unusable body) / partial
-    (item errors) / ok, with the validators the response carried."""
+    (item errors) / ok, with the validators the response carried. ``failed``: (journal_id, seq) of each item that failed."""
     body_err = parsed.where(F.col("error_class").isNotNull()).select("feed_id", "seq", F.col("error_class").alias("body_error"))
-    item_err = (events.where(F.col("error_class").isNotNull())
-                .groupBy(F.col("journal_id").alias("feed_id"), "seq").agg(F.count(F.lit(1)).alias("n_item_errors")))
+    item_err = failed.groupBy(F.col("journal_id").alias("feed_id"), "seq").agg(F.count(F.lit(1)).alias("n_item_errors"))
     r = raw.select("feed_id", "seq", "etag", "last_modified", F.coalesce("not_modified", F.lit(False)).alias("not_modified")) \
         .join(body_err, ["feed_id", "seq"], "left").join(item_err, ["feed_id", "seq"], "left")
     status = (F.when(F.col("not_modified"), "not_modified").when(F.col("body_error").isNotNull(), "error")
@@ -97,6 +95,7 @@ def batch_checks(raw: DataFrame, parsed: DataFrame, events: DataFrame) -> DataFr
     return r.select("feed_id", "seq", status.alias("status"), error.alias("error"),
                     F.when(keep_validators, F.col("etag")).alias("etag"),
                     F.when(keep_validators, F.col("last_modified")).alias("last_modified"),
+                    F.when(status == "partial", F.col("n_item_errors")).otherwise(F.lit(0)).alias("item_errors"),
                     F.current_timestamp().alias("checked_at"))
 
 

@@ -16,7 +16,7 @@ values are aggregates joined back by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.functions.articles import KNOWN, status_rank
@@ -24,6 +24,11 @@ from litfeed.operators.feedstate import DEFAULT_CHUNK, carry_last
 from litfeed.operators.merge import MERGED_FIELDS
 
 
+def _digest(c: Column) -> Column:
+    """128 bits that stand for a value (null: null)."""
+    return F.when(c.isNotNull(), F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b")))
+
+
 def _final(v, known, enr, key):
     """Final value of a lifetime: last enriched, else last known, else first."""
     best_e = F.max_by(F.when(enr, F.struct(v.alias("v"))), F.when(enr, key))
@@ -33,26 +38,33 @@ def _final(v, known, enr, key):
 
 
 def outcomes(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enriched",
-             chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """(seq, entity, lifetime, outcome) for every item of ``identity.resolve`` output."""
-    enr_all = F.coalesce(F.col(enriched_col), F.lit(False))
-    r = resolved.withColumn("lifetime", F.concat_ws("|", "entity", F.when(F.col("phase") == 0, F.lit("own"))
-                                                    .otherwise(F.col("url"))))
-    r = r.withColumn("rank", status_rank(F.col("metadata_status")))
+             chunk: int = DEFAULT_CHUNK, latest: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, entity, lifetime, outcome) for every item of ``identity.resolve`` output. ``latest``: further columns that each item
+    sets anew."""
+    cols = set(resolved.columns)
+    if "is_alias" in cols:
+        resolved = resolved.where(~F.coalesce("is_alias", F.lit(False)))
+    resolved = resolved.withColumns({f"_k_{f}": KNOWN[f](F.col(f)) for f in fields})
+    values = []
     for f in fields:
-        r = r.withColumn(f"_k_{f}", KNOWN[f](F.col(f))).withColumn(f"_e_{f}", enr_all & F.col(f"_k_{f}"))
+        enr = F.coalesce(F.col(f"{f}_enr") if f"{f}_enr" in cols else F.col(enriched_col), F.lit(False))
+        values += [f"_k_{f}", (enr & F.col(f"_k_{f}")).alias(f"_e_{f}"), _digest(F.col(f)).alias(f)]
+    r = resolved.select(
+        "seq", "entity", "phase", "url", "f_url", "doi", "journal_id", "link_seq", "url_first_seq",
+        status_rank(F.col("metadata_status")).alias("rank"), *[_digest(F.col(c)).alias(c) for c in latest], *values,
+        F.concat_ws("|", "entity", F.when(F.col("phase") == 0, F.lit("own")).otherwise(F.col("url"))).alias("lifetime"))
 
     # absorbed lifetimes: final values, then per entity the first (by link time) enriched / known one
     ab = r.where(F.col("phase") < 0)
     aggs = [F.max(-F.col("phase")).alias("link"), F.max("rank").alias("rank")]
     for f in fields:
         aggs += [_final(F.col(f), F.col(f"_k_{f}"), F.col(f"_e_{f}"), F.col("seq")).alias(f"fin_{f}"),
-                 F.bool_or(F.col(f"_e_{f}")).alias(f"fenr_{f}")]
+                 F.bool_or(F.col(f"_e_{f}")).alias(f"fenr_{f}"), F.bool_or(F.col(f"_k_{f}")).alias(f"fknown_{f}")]
     fin = ab.groupBy("entity", "lifetime").agg(*aggs)
     ent_aggs = [F.min(F.when(F.col("rank") >= 2, F.col("link"))).alias("a_r2"),
                 F.min(F.when(F.col("rank") >= 1, F.col("link"))).alias("a_r1")]
     for f in fields:
-        kf = KNOWN[f](F.col(f"fin_{f}"))
+        kf = F.col(f"fknown_{f}")
         ent_aggs += [F.min_by(F.struct(F.col("link").alias("t"), F.col(f"fin_{f}").alias("v")),
                               F.when(F.col(f"fenr_{f}"), F.col("link"))).alias(f"a_e_{f}"),
                      F.min_by(F.struct(F.col("link").alias("t"), F.col(f"fin_{f}").alias("v")),
@@ -74,7 +86,7 @@ def outcomes(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enr
 
     own = F.col("phase") == 0
     vis = lambda c: own & F.col(c).isNotNull() & (F.col(c) <= F.col("seq"))
-    state = [F.col("c_doi").alias("doi"), F.col("journal_id"), F.col("url"),
+    state = [F.col("c_doi").alias("doi"), F.col("journal_id"), F.col("url"), *latest,
              F.when(F.col("c_r2").isNotNull() | vis("a_r2"), 2).when(F.col("c_r1").isNotNull() | vis("a_r1"), 1)
              .otherwise(0).alias("rank")]
     for f in fields:
@@ -93,3 +105,16 @@ def outcomes(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enr
                .when(F.col("state").eqNullSafe(F.col("prev")), "skipped")
                .otherwise("updated"))
     return s.select("seq", "entity", "lifetime", outcome.alias("outcome"))
+
+
+def change_times(found: DataFrame, at: DataFrame) -> DataFrame:
+    """(entity, first_seen_at, last_updated_at) of ``outcomes`` and the times ``at(seq, at)`` of the items."""
+    own = F.col("lifetime") == F.concat_ws("|", "entity", F.lit("own"))
+    return found.join(at, "seq").groupBy("entity").agg(
+        F.min("at").alias("first_seen_at"),
+        F.max_by("at", F.when(own & (F.col("outcome") != "skipped"), F.col("seq"))).alias("last_updated_at"))
+
+
+def counted(found: DataFrame, *by: str) -> DataFrame:
+    """(by, inserted, updated, skipped): outcomes per run."""
+    return found.groupBy(*by).agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "skipped")])

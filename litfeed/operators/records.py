@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
 from litfeed.functions import articles as AF
+from litfeed.operators.outcomes import counted
 
 
 def decode_stored(stored: DataFrame) -> DataFrame:
@@ -46,10 +47,10 @@ def backfill_provenance(records: DataFrame) -> DataFrame:
                               .otherwise(F.col("enriched_fields")))
 
 
-def run_ledger(runs: DataFrame, checks: DataFrame) -> DataFrame:
-    """A-13: one terminal row per run id (a replayed run keeps one row)."""
+def run_ledger(runs: DataFrame, checks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """A-13: one terminal row per run id (a replayed run keeps one row). ``outcomes``: (run_id, outcome) of the items of each run."""
     times = checks.groupBy("run_id").agg(F.min("checked_at").alias("started_at"), F.max("checked_at").alias("finished_at"))
-    return runs.join(times, "run_id").dropDuplicates(["run_id"]).select(
-        F.col("run_id").alias("id"), "started_at", "finished_at", "status",
-        F.lit(0).cast("bigint").alias("inserted_count"), F.lit(0).cast("bigint").alias("updated_count"),
-        F.lit(0).cast("bigint").alias("skipped_count"), F.col("failed").cast("bigint").alias("failed_count"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(f"{c}_count")
+    return runs.join(times, "run_id").dropDuplicates(["run_id"]).join(counted(outcomes, "run_id"), "run_id", "left").select(
+        F.col("run_id").alias("id"), "started_at", "finished_at", "status", n("inserted"), n("updated"), n("skipped"),
+        F.col("failed").cast("bigint").alias("failed_count"))

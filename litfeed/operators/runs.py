@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from litfeed.constants import MAX_IDENTIFIER_LENGTH, MAX_ITEM_ERRORS, MAX_NOTE_FEEDS
+from litfeed.operators.util import single_row
 
 
 def feed_outcome(checks: DataFrame) -> DataFrame:
@@ -36,14 +37,17 @@ def run_summary(checks: DataFrame) -> DataFrame:
     ``failed`` counts failed items and failed feeds together; a feed with item
     errors is successful (partial) for the run.
     """
-    o = feed_outcome(checks)
-    s = o.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("feeds_checked"),
-        F.count_if(F.col("outcome") != "error").alias("successful_feeds"),
-        F.count_if(F.col("outcome") == "error").alias("failed_feeds"),
-        F.sum(F.when(F.col("outcome") != "error", F.col("item_errors")).otherwise(0)).alias("item_failures"),
-    )
-    s = s.withColumn("failed", F.col("item_failures") + F.col("failed_feeds"))
+    return _with_status(feed_outcome(checks).groupBy("run_id").agg(*_sums()))
+
+
+def _sums() -> list:
+    error = F.col("outcome") == "error"
+    return [F.count(F.lit(1)).alias("feeds_checked"), F.count_if(~error).alias("successful_feeds"), F.count_if(error).alias("failed_feeds"),
+            F.coalesce(F.sum(F.when(~error, F.col("item_errors")).otherwise(0)), F.lit(0)).alias("item_failures")]
+
+
+def _with_status(sums: DataFrame) -> DataFrame:
+    s = sums.withColumn("failed", F.col("item_failures") + F.col("failed_feeds"))
     status = (F.when(F.col("feeds_checked") == 0, "error")
               .when(F.col("successful_feeds") == 0, "error")
               .when(F.col("failed") > 0, "partial")
@@ -51,6 +55,14 @@ def run_summary(checks: DataFrame) -> DataFrame:
     return s.withColumn("status", status)
 
 
+def run_row(run_id: int, checks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """E-4 + E-5 for one run, always one row: without any feed that is switched on the run ends with status error. ``outcomes``:
+    (outcome) of the items that the run applied."""
+    s = _with_status(feed_outcome(checks).agg(*_sums())).withColumn("run_id", F.lit(run_id).cast("bigint"))
+    n = outcomes.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "skipped")])
+    return single_row(s, n)
+
+
 def item_errors(checks: DataFrame) -> DataFrame:
     """F-5: one row per failed item with its index inside the feed body."""
     o = feed_outcome(checks).where(F.col("item_errors") > 0)

@@ -1,5 +1,12 @@
 """Snapshots: immutable directories plus a pointer (A-14, A-15, A-16, G-P, Q-10, Q-11).
 
+Replacement of state (G-P). A small table is written whole. A large one is a list of layers in the snapshot's manifest: the
+oldest is the base, each newer one holds the rows that a run wrote and the keys whose older rows they replace. A run writes its
+changes only, wherever their keys lie (hash buckets of a table would all be touched by one percent of random keys); readers
+take a row if no newer layer replaces its key, and a manifest never changes, so they see one version. A new layer takes up older
+ones that are not ``GROWTH`` times as large: sizes grow geometrically, their number and the rewriting of a row with
+the logarithm of the table.
+
 A run writes ``<root>/snapshot=<run_id>/<table>`` (Parquet), the quality gate
 reads the *written* data back, and only then the ``CURRENT`` pointer is
 replaced (a file renamed over it). Readers resolve the pointer, so a failed
@@ -11,15 +18,28 @@ builds on it.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from litfeed.constants import ACCEPTED_PREVIOUS_VERSIONS, SCHEMA_VERSION
 from litfeed.operators import gate as G
 from litfeed.schemas import SNAPSHOT
 
 POINTER, WORKING = "CURRENT", "WORKING"
+#: A layer stays as it is if it has more than so many times the rows of all newer ones.
+GROWTH = 2
+
+
+@dataclass(frozen=True)
+class Change:
+    """What a run changes in a layered table: ``rows`` that it writes, and ``gone`` (one column, values of ``key``): keys whose
+    earlier rows are no longer valid. Without ``gone`` rows are only added."""
+    rows: DataFrame
+    key: str | None = None
+    gone: DataFrame | None = None
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,36 +73,81 @@ def snapshot_path(root: str, run_id: int) -> str:
     return f"{root.rstrip('/')}/snapshot={run_id}"
 
 
-def write_snapshot(tables: dict[str, DataFrame], root: str, run_id: int, parent: str | None = None) -> str:
-    """Write the tables of one run. Articles are clustered by uid within ``published_month`` partitions, so date filters prune
-    files; a month is cut into files by a hash of the uid, as many as Spark sees fit.
-    Tables not given are inherited from ``parent``: ``_TABLES`` records where each table of the snapshot lies."""
+def _write(df: DataFrame, name: str, path: str) -> None:
+    """Articles are clustered by uid within ``published_month`` partitions, so date filters prune files; a month is cut into
+    files by a hash of the uid, as many as Spark sees fit."""
+    if name == "articles":
+        df = (df.withColumn("published_month", F.date_format("published_at", "yyyy-MM"))
+              .repartition("published_month", F.pmod(F.xxhash64("uid"), F.lit(16))).sortWithinPartitions("uid"))
+        df.write.mode("overwrite").partitionBy("published_month").parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+def _layer_rows(spark: SparkSession, layers: list[dict], schema: str) -> DataFrame:
+    """The valid rows of consecutive layers (oldest first)."""
+    out, gone = None, None
+    for layer in reversed(layers):
+        rows = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(layer["path"])
+        if gone is not None:
+            rows = rows.join(gone, gone.columns, "left_anti").select(*rows.columns)
+        out = rows if out is None else out.unionByName(rows)
+        if layer["gone"] is not None:
+            more = spark.read.parquet(layer["gone"])
+            gone = more if gone is None else gone.unionByName(more).distinct()
+    return out
+
+
+def _write_layer(change: Change, name: str, base: str, table: dict | None) -> dict:
+    """The table's manifest entry with the run's changes as its newest layer."""
+    spark = change.rows.sparkSession
+    layers, rows = list(table["layers"]) if table else [], change.rows
+    gone = change.gone.select(F.col(change.gone.columns[0]).alias(change.key)) if change.gone is not None else None
+    size = rows.count() + (gone.count() if gone is not None else 0)
+    if layers and size == 0:
+        return table
+    taken: list[dict] = []
+    while layers and layers[-1]["rows"] <= GROWTH * size:
+        taken.insert(0, layers.pop())
+        size += taken[0]["rows"]
+    if taken:
+        older = _layer_rows(spark, taken, table["schema"]).drop("published_month")
+        rows = (older if gone is None else older.join(gone, gone.columns, "left_anti").select(*older.columns)).unionByName(rows)
+        for layer in taken:
+            if layer["gone"] is not None:
+                replaced = spark.read.parquet(layer["gone"])
+                gone = replaced if gone is None else gone.unionByName(replaced).distinct()
+    path, gone_path = f"{base}/{name}", None
+    _write(rows, name, path)
+    if layers and gone is not None:  # nothing is older than the base
+        gone_path = f"{base}/_gone/{name}"
+        gone.write.mode("overwrite").parquet(gone_path)
+    schema = StructType(list(rows.schema.fields))
+    if name == "articles":
+        schema = schema.add("published_month", "string")
+    return {"layers": [*layers, {"path": path, "gone": gone_path, "rows": size}], "schema": schema.json()}
+
+
+def write_snapshot(tables: dict[str, DataFrame | Change], root: str, run_id: int, parent: str | None = None) -> str:
+    """Write the tables of one run: DataFrames whole, a ``Change`` as the newest layer over the ``parent``'s table. Tables not given are
+    inherited from ``parent``: the manifest ``_TABLES`` records where each table of the snapshot lies."""
     base = snapshot_path(root, run_id)
-    spark = next(iter(tables.values())).sparkSession
+    first = next(iter(tables.values()))
+    spark = (first.rows if isinstance(first, Change) else first).sparkSession
     places = table_places(spark, parent) if parent is not None else {}
     for name, df in tables.items():
-        w = df
-        if name == "articles":
-            w = (df.withColumn("published_month", F.date_format("published_at", "yyyy-MM"))
-                 .repartition("published_month", F.pmod(F.xxhash64("uid"), F.lit(16))).sortWithinPartitions("uid"))
-            w.write.mode("overwrite").partitionBy("published_month").parquet(f"{base}/{name}")
-        else:
-            w.write.mode("overwrite").parquet(f"{base}/{name}")
-        places[name] = f"{base}/{name}"
+        change = df if isinstance(df, Change) else Change(df)
+        places[name] = _write_layer(change, name, base, places.get(name) if isinstance(df, Change) else None)
     _write_text(spark, f"{base}/_VERSION", str(SCHEMA_VERSION))
     _write_text(spark, f"{base}/_TABLES", json.dumps(places))
     return base
 
 
-def table_places(spark: SparkSession, base: str) -> dict[str, str]:
-    """Where the tables of a snapshot lie (its own folder, or that of an earlier one)."""
+def table_places(spark: SparkSession, base: str) -> dict[str, dict]:
+    """Manifest of a snapshot: for each table its layers, oldest first (in its own folder, or that of an earlier one), and its schema."""
     return json.loads(_read_text(spark, f"{base}/_TABLES") or "{}")
 
 
-def _resolve(spark: SparkSession, base: str, name: str) -> str:
-    return table_places(spark, base).get(name, f"{base}/{name}")
-
-
 def note_catalogue(spark: SparkSession, base: str, value: str) -> None:
     _write_text(spark, f"{base}/_CATALOGUE", value)
 
@@ -100,7 +165,10 @@ def fingerprint(*tables: DataFrame) -> str:
 
 
 def read_table(spark: SparkSession, base: str, name: str, keep_partition: bool = False) -> DataFrame:
-    df = spark.read.parquet(_resolve(spark, base, name))
+    table = table_places(spark, base).get(name)
+    if table is None:
+        raise FileNotFoundError(f"snapshot {base} has no table {name}")
+    df = _layer_rows(spark, table["layers"], table["schema"])
     return df.drop("published_month") if "published_month" in df.columns and not keep_partition else df
 
 

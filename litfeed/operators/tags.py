@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litfeed.operators.util import bounded_broadcast
+
 
 def active_tags(tags: DataFrame, article_tags: DataFrame) -> DataFrame:
     """D-6: tags that still have a link (semi join)."""
@@ -20,7 +22,7 @@ def migrate_labels(old_tags: DataFrame, old_links: DataFrame, new_tags: DataFram
     """H-6: when a label moves to a new id, its links follow; result is distinct."""
     moved = old_tags.alias("o").join(new_tags.alias("n"), F.col("o.label") == F.col("n.label")) \
         .where(F.col("o.id") != F.col("n.id")).select(F.col("o.id").alias("tag_id"), F.col("n.id").alias("new_id"))
-    links = old_links.join(F.broadcast(moved), "tag_id", "left")
+    links = old_links.join(bounded_broadcast(moved), "tag_id", "left")
     return links.select("article_uid", F.coalesce("new_id", "tag_id").alias("tag_id")).distinct()
 
 

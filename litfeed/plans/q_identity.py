@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litfeed.functions.articles import short_sha256
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
+from litfeed.operators import outcomes as O
+from litfeed.operators import records as RC
+from litfeed.operators import runs as R
+from litfeed.operators import tags as T
 from litfeed.plans.common import Ctx, sql_casefold, sql_ts, ts_text
 from litfeed.plans.oracle_views import with_views
 from litfeed.plans.registry import query
@@ -116,7 +121,8 @@ def conflict_keys(spark, sf_dir):
     return I.conflict_keys(Ctx(spark, sf_dir).items(conflict=True))
 
 
-def _outcome_sql():
+def _outcome_sql(select: str | None = None, *views: str, more: dict[str, str] | None = None):
+    """``select``: a query over ``q_out`` (seq, entity, lifetime, outcome), the outcomes themselves by default."""
     fields = M.MERGED_FIELDS
     kn = {f: _known_sql(f) for f in fields}
     val = {f: (sql_ts(f) if f == "published_at" else f) for f in fields}
@@ -167,15 +173,73 @@ SELECT seq, entity, lifetime, CASE WHEN seq = first_seq THEN 'inserted'
   WHEN state IS NOT DISTINCT FROM lag(state) OVER (PARTITION BY lifetime ORDER BY seq) THEN 'skipped'
   ELSE 'updated' END AS outcome
 FROM q_s"""
-    return with_views(body, "v_items", extra=extra)
+    if select is None:
+        return with_views(body, "v_items", extra=extra)
+    return with_views(select, "v_items", *views, extra={**extra, "q_out": body, **(more or {})})
+
+
+def _outcomes(c: Ctx):
+    r = I.resolve(c.items())
+    return O.outcomes(r.withColumn("published_at", ts_text("published_at")), chunk=256)
 
 
 @query("upsert_outcomes", "F-1, H-5", _outcome_sql())
 def upsert_outcomes(spark, sf_dir):
-    from litfeed.operators.outcomes import outcomes
+    return _outcomes(Ctx(spark, sf_dir))
+
+
+#: The time at which an item is seen, here a minute each, in order.
+SEEN_EPOCH = 1_760_000_000
+
+
+@query("article_change_times", "E-11", _outcome_sql(f"""
+SELECT entity, {sql_ts("min(seen)")} AS first_seen_at,
+  {sql_ts("arg_max(seen, seq) FILTER (WHERE lifetime = entity || '|own' AND outcome <> 'skipped')")} AS last_updated_at
+FROM (SELECT *, TIMESTAMP '1970-01-01' + to_seconds({SEEN_EPOCH} + seq * 60) AS seen FROM q_out) GROUP BY entity"""))
+def article_change_times(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    at = c.items().select("seq", F.timestamp_seconds(F.lit(SEEN_EPOCH) + F.col("seq") * 60).alias("at"))
+    t = O.change_times(_outcomes(c), at)
+    return t.select("entity", *[ts_text(x).alias(x) for x in ("first_seen_at", "last_updated_at")])
+
+
+_RUN_SQL = {"q_runs": """
+SELECT run_id, CASE WHEN ok = 0 THEN 'error' WHEN failed > 0 THEN 'partial' ELSE 'ok' END AS status, failed, started_at, finished_at
+FROM (SELECT run_id, count(*) FILTER (status <> 'error') AS ok, min(checked_at) AS started_at, max(checked_at) AS finished_at,
+        CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE item_errors END) AS BIGINT) AS failed FROM v_fetches GROUP BY run_id)""",
+            "q_of_run": "SELECT outcome, 1 + seq % (SELECT max(run_id) FROM v_fetches) AS run_id FROM q_out"}
+
+
+@query("run_ledger", "A-13, E-4", _outcome_sql(f"""
+SELECT r.run_id AS id, {sql_ts('started_at')} AS started_at, {sql_ts('finished_at')} AS finished_at, status,
+  count(*) FILTER (outcome = 'inserted') AS inserted_count, count(*) FILTER (outcome = 'updated') AS updated_count,
+  count(*) FILTER (outcome = 'skipped') AS skipped_count, failed AS failed_count
+FROM q_runs r LEFT JOIN q_of_run o ON o.run_id = r.run_id GROUP BY r.run_id, started_at, finished_at, status, failed""", "v_fetches", more=_RUN_SQL))
+def run_ledger(spark, sf_dir):
+    """Items are dealt to the runs in turn."""
+    c = Ctx(spark, sf_dir)
+    f = c.fetches()
+    runs = R.run_summary(f)
+    last = f.agg(F.max("run_id")).first()[0]
+    found = _outcomes(c).select("outcome", (F.col("seq") % last + 1).alias("run_id"))
+    led = RC.run_ledger(runs.unionByName(runs), f, found)  # a replayed run id is kept once
+    return led.withColumn("started_at", ts_text("started_at")).withColumn("finished_at", ts_text("finished_at"))
+
+
+@query("merged_links", "H-3", with_views(f"""
+SELECT DISTINCT s.uid AS article_uid, 'src-' || l.journal_id AS tag_id
+FROM (SELECT CASE WHEN phase < 0 OR doi IS NULL THEN 'url:' || left(sha256(url), 24) ELSE 'doi:' || doi END AS row_uid, entity, journal_id FROM q_ph) l
+JOIN q_surv s ON s.entity = l.entity""", "v_items", extra=_PH))
+def merged_links(spark, sf_dir):
+    """Each row that ever stood for an item is linked to its journal's tag; links of merged rows are united under the survivor."""
     r = I.resolve(Ctx(spark, sf_dir).items())
-    r = r.withColumn("published_at", ts_text("published_at"))
-    return outcomes(r, chunk=256)
+    own = F.when((F.col("phase") < 0) | F.col("doi").isNull(), F.concat(F.lit("url:"), short_sha256(F.col("url")))).otherwise(
+        F.concat(F.lit("doi:"), "doi"))
+    rows = r.select(own.alias("article_uid"), F.concat(F.lit("src-"), "journal_id").alias("tag_id"), F.col("uid").alias("survivor_uid"))
+    survivors = rows.select(F.col("article_uid").alias("uid"), "survivor_uid").distinct()
+    return T.rekey_links(rows.select("article_uid", "tag_id"), survivors)
+
+
 
 
 def _conflict_sql() -> str:

@@ -122,18 +122,6 @@ def replace_article_tags(spark, sf_dir):
     return T.replace_one(c.article_tags(), target, new)
 
 
-@query("run_ledger", "A-13", with_views(f"""
-SELECT r.run_id AS id, {sql_ts('t.started_at')} AS started_at, {sql_ts('t.finished_at')} AS finished_at, r.status,
-  CAST(0 AS BIGINT) AS inserted_count, CAST(0 AS BIGINT) AS updated_count, CAST(0 AS BIGINT) AS skipped_count, r.failed AS failed_count
-FROM q_runs r JOIN (SELECT run_id, min(checked_at) AS started_at, max(checked_at) AS finished_at FROM v_fetches GROUP BY run_id) t USING (run_id)""",
-    "v_fetches", extra={**_O, "q_runs": _RUNS_SQL}))
-def run_ledger(spark, sf_dir):
-    f = Ctx(spark, sf_dir).fetches()
-    runs = R.run_summary(f)
-    led = RC.run_ledger(runs.unionByName(runs), f)  # a replayed run id is kept once
-    return led.withColumn("started_at", ts_text("started_at")).withColumn("finished_at", ts_text("finished_at"))
-
-
 @query("catalog_checks", "A-5, A-6, Q-7, Q-8", with_views("""
 SELECT 'feed_duplicate_id' AS "check", count(*) AS violations FROM (SELECT id FROM q_feeds GROUP BY id HAVING count(*) > 1)
 UNION ALL SELECT 'feed_duplicate_url', count(*) FROM (SELECT lower(feed_url) FROM q_feeds GROUP BY lower(feed_url) HAVING count(*) > 1)

@@ -12,7 +12,7 @@ ARTICLES = StructType([
     StructField("abstract", S), StructField("authors", ArrayType(S)), StructField("published_at", T),
     StructField("article_type", S), StructField("article_url", S), StructField("normalized_url", S),
     StructField("oa_status", S), StructField("source_feed_url", S), StructField("metadata_status", S),
-    StructField("enriched_fields", ArrayType(S)),
+    StructField("enriched_fields", ArrayType(S)), StructField("first_seen_at", T), StructField("last_updated_at", T),
 ])
 ARTICLE_TAGS = StructType([StructField("article_uid", S), StructField("tag_id", S)])
 TAGS = StructType([StructField("id", S), StructField("label", S)])
@@ -26,7 +26,7 @@ FEED_STATE = StructType([StructField("feed_id", S), StructField("etag", S), Stru
                          StructField("last_status", S), StructField("last_error", S)])
 RUNS = StructType([StructField("run_id", L), StructField("feeds_checked", L), StructField("successful_feeds", L),
                    StructField("failed_feeds", L), StructField("failed", L), StructField("status", S),
-                   StructField("items_applied", L)])
+                   StructField("items_applied", L), StructField("inserted", L), StructField("updated", L), StructField("skipped", L)])
 
 QUARANTINE = StructType([StructField("journal_id", S), StructField("seq", L), StructField("item_index", IntegerType()),
                          StructField("error_class", S), StructField("run_id", L)])

@@ -23,9 +23,9 @@ from litfeed.functions import articles as AF
 from litfeed.functions.binding import let
 from litfeed.functions.dates import normalize_date
 from litfeed.functions.doi import extract_doi
-from litfeed.functions.text import clean_text, visible_text
+from litfeed.functions.text import clean_text
 from litfeed.functions.url import normalize_url
-from litfeed.operators.util import ensure_parallel
+from litfeed.operators.util import bounded_broadcast, ensure_parallel
 
 RAW_FEEDS_SCHEMA = ("feed_id string, feed_url string, effective_url string, content binary, etag string, "
                     "last_modified string, not_modified boolean, seq bigint")
@@ -71,7 +71,7 @@ def _entry_fields(entry, fmt: str) -> dict:
                     summary=_first(entry, f"{a}summary", f"{a}content"), authors=authors,
                     entry_id=_t(entry.find(f"{a}id")), guid=None,
                     prism_doi=_t(entry.find(f"{{{NS_PRISM}}}doi")), dc_identifier=_t(entry.find(f"{{{NS_DC}}}identifier")),
-                    raw_type=_first(entry, f"{{{NS_PRISM}}}section", f"{a}category"))
+                    raw_type=_first(entry, f"{{{NS_PRISM}}}section", f"{a}type", "type"))
     p = f"{{{NS_RSS1}}}" if fmt == "rss1" else ""
     authors = [n for n in (_t(x) for x in entry.findall(f"{{{NS_DC}}}creator")) if n]
     if not authors:
@@ -82,7 +82,7 @@ def _entry_fields(entry, fmt: str) -> dict:
                 summary=_first(entry, f"{p}description"), authors=authors,
                 entry_id=entry.get(f"{{{NS_RDF}}}about") if fmt == "rss1" else None, guid=_t(entry.find("guid")),
                 prism_doi=_t(entry.find(f"{{{NS_PRISM}}}doi")), dc_identifier=_t(entry.find(f"{{{NS_DC}}}identifier")),
-                raw_type=_first(entry, f"{{{NS_PRISM}}}section", "category"))
+                raw_type=_first(entry, f"{{{NS_PRISM}}}section", f"{p}type", "type"))
 
 
 #: A reference by name that XML does not define itself.
@@ -181,7 +181,7 @@ def read_body_files(spark, path: str, catalogue: DataFrame) -> DataFrame:
         F.regexp_extract(F.element_at(parts, -1), r"^([0-9]+)", 1).cast("bigint").alias("seq"),
         F.col("content"))
     cat = catalogue.select(F.col("id").alias("feed_id"), "feed_url")
-    return shaped.join(F.broadcast(cat), "feed_id", "left").select(
+    return shaped.join(bounded_broadcast(cat), "feed_id", "left").select(
         "feed_id", "feed_url", F.lit(None).cast("string").alias("effective_url"), "content",
         F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
         F.lit(False).alias("not_modified"), "seq")
@@ -211,19 +211,22 @@ def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
     """B-15: raw items -> article events; unusable URL or feed mismatch -> ``error_class``."""
     ok_items = items.where(F.col("error_class").isNull())
     j = journals.select(F.col("id").alias("feed_id"), F.col("feed_url").alias("catalog_feed_url"))
-    x = ok_items.join(F.broadcast(j), "feed_id", "left")
-    title = F.coalesce(clean_text(F.col("title")), F.lit("Untitled"))
+    x = ok_items.join(bounded_broadcast(j), "feed_id", "left")
+    # all texts of an item in one array: the cleaning expression is large and planned once
+    x = x.withColumn("texts", F.transform(F.concat(F.array("title", "summary", "raw_type"), F.coalesce("authors", F.array().cast("array<string>"))),
+                                          clean_text))
+    title = F.coalesce(F.get("texts", 0), F.lit("Untitled"))
     url = normalize_url(F.col("link"))
     doi = extract_doi(F.col("prism_doi"), F.col("dc_identifier"), F.col("entry_id"), F.col("guid"),
                       F.col("summary"), F.col("link"))
     doi = F.translate(doi, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     published = normalize_date(F.col("published"))
-    authors = AF.distinct_authors(F.transform("authors", lambda a: visible_text(a)))
+    authors = AF.distinct_authors(F.slice("texts", F.lit(4), F.greatest(F.size("texts"), F.lit(1))))
     events = x.select(
         "seq", "item_index", "feed_id", "feed_url", "catalog_feed_url",
-        doi.alias("doi"), title.alias("title"), clean_text(F.col("summary")).alias("abstract"),
+        doi.alias("doi"), title.alias("title"), F.get("texts", 1).alias("abstract"),
         authors.alias("authors"), published.alias("published_at"),
-        let(visible_text(F.col("raw_type")), AF.article_type).alias("article_type"),
+        let(F.get("texts", 2), AF.article_type).alias("article_type"),
         F.trim("link").alias("article_url"), url.alias("normalized_url"),
         F.lit("unknown").alias("oa_status"), F.lit("rss_only").alias("metadata_status"),
         F.array().cast("array<string>").alias("enriched_fields"))

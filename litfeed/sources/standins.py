@@ -260,7 +260,7 @@ def raw_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rss2 = F.concat(F.lit("<item>"), F.when(no_title, F.lit("")).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"))),
                     F.lit("<link>"), link, F.lit("</link><guid>g"), d.cast("string"), F.lit("</guid><pubDate>"), date_rfc,
                     F.lit(" GMT</pubDate><description>"), summary, F.lit("</description><author>A. Writer</author>"),
-                    doi_el, F.lit("<category>Research Article</category></item>"))
+                    doi_el, F.lit("<type>Research Article</type></item>"))
     rss1 = F.concat(F.lit('<item rdf:about="https://ex.org/a/'), d.cast("string"), F.lit('">'),
                     F.when(no_title, F.lit("")).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"))),
                     F.lit("<link>"), link, F.lit("</link><dc:date>"), date_iso, F.lit("</dc:date><dc:creator>B. One</dc:creator>"),

@@ -22,6 +22,9 @@ snapshot as one batch (``tests/test_stream.py``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import UTC, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +37,9 @@ from litfeed.operators import feedstate as FS
 from litfeed.operators import runs as R
 from litfeed.operators import identity as I
 from litfeed.operators import merge as M
+from litfeed.operators import outcomes as O
 from litfeed.operators import snapshot as SN
+from litfeed.operators import tags as T
 from litfeed.operators.util import bounded_broadcast
 from litfeed.session import checkpoint_dir
 from litfeed.sources import feeds as FD
@@ -42,7 +47,10 @@ from litfeed.sources import feeds as FD
 ITEM_KEY = ("journal_id", "seq", "item_index")
 FIELDS = ENRICHABLE_FIELD_ORDER
 ARTICLE_COLUMNS = ("uid", "doi", "journal_id", "title", "abstract", "authors", "published_at", "article_type",
-                   "article_url", "normalized_url", "oa_status", "source_feed_url", "metadata_status", "enriched_fields")
+                   "article_url", "normalized_url", "oa_status", "source_feed_url", "metadata_status", "enriched_fields",
+                   "first_seen_at", "last_updated_at")
+#: Columns that each item sets anew.
+LATEST = ("article_url", "source_feed_url")
 #: Items are ordered by batch, body and place in the body, in one decimal: 20 bits for the place (a body of the allowed
 #: size holds fewer items), 64 for the body.
 WIDE = "decimal(38,0)"
@@ -60,7 +68,8 @@ def _batch_items(events: DataFrame, batch_id: int) -> DataFrame:
         order_key(batch_id).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
         *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
         "metadata_status", "article_url", "source_feed_url",
-        F.lit(False).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"))
+        F.lit(False).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"),
+        F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("last_updated_at"))
 
 
 def _state_items(articles: DataFrame, aliases: DataFrame, base: Decimal) -> DataFrame:
@@ -69,89 +78,130 @@ def _state_items(articles: DataFrame, aliases: DataFrame, base: Decimal) -> Data
         F.lit(base - 2).cast(WIDE).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
         *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
         "metadata_status", "article_url", "source_feed_url",
-        F.lit(False).alias("is_alias"), F.col("uid").alias("stored_uid"))
+        F.lit(False).alias("is_alias"), F.col("uid").alias("stored_uid"), "first_seen_at", "last_updated_at")
     al = aliases.join(articles.select(F.col("uid").alias("article_uid"), "doi"), "article_uid").select(
         F.lit(base - 1).cast(WIDE).alias("seq"), F.col("normalized_url").alias("url"), "doi",
         F.lit(None).cast("string").alias("journal_id"), *[F.lit(None).cast(articles.schema[f].dataType).alias(f) for f in FIELDS],
         *[F.lit(False).alias(f"{f}_enr") for f in FIELDS], F.lit(None).cast("string").alias("metadata_status"),
         F.lit(None).cast("string").alias("article_url"), F.lit(None).cast("string").alias("source_feed_url"),
-        F.lit(True).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"))
+        F.lit(True).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"),
+        F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("last_updated_at"))
     return st.unionByName(al)
 
 
-def fold_entities(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """State + batch items of the touched entities -> (articles, url_aliases)."""
+def resolved_items(items: DataFrame) -> DataFrame:
+    """State + batch items of the touched entities with entity, phase and the uid that survives."""
     resolved = I.resolve(items)
     keep = resolved.groupBy("entity").agg(
         F.max(F.when(F.col("stored_uid").isNotNull() & F.col("doi").isNotNull(), F.col("stored_uid"))).alias("su_doi"),
         F.max(F.when(F.col("stored_uid").isNotNull() & (F.col("url") == F.col("f_url")), F.col("stored_uid"))).alias("su_f"),
         F.max("stored_uid").alias("su_any"), F.max("doi").alias("e_doi"))
-    resolved = resolved.join(keep, "entity").withColumn(
-        "uid", F.coalesce("su_doi", "su_f", F.when(F.col("e_doi").isNull(), F.col("su_any")), F.col("uid")))
+    return resolved.join(keep, "entity").withColumn(
+        "uid", F.coalesce("su_doi", "su_f", F.when(F.col("e_doi").isNull(), F.col("su_any")), F.col("uid"))).drop(
+        "su_doi", "su_f", "su_any", "e_doi")
+
+
+def fold_entities(resolved: DataFrame, found: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
+    """``resolved_items`` and the batch's outcomes -> (articles, url_aliases). ``at``: the time of the batch's items."""
+    now = F.lit(at).cast("timestamp")
     merged = M.merge(resolved, fields=FIELDS)
     real = ~F.col("is_alias")
+    changed = found.groupBy("entity").agg(F.bool_or(F.col("outcome") != "skipped").alias("changed"))
     extra = resolved.groupBy("entity").agg(
-        F.max_by("article_url", F.when(real, F.col("seq"))).alias("article_url"),
-        F.max_by("source_feed_url", F.when(real, F.col("seq"))).alias("source_feed_url"))
-    articles = merged.join(extra, "entity").select(*ARTICLE_COLUMNS)
+        *[F.max_by(c, F.when(real, F.col("seq"))).alias(c) for c in LATEST],
+        F.min(F.when(real, F.coalesce("first_seen_at", now))).alias("first_seen_at"),
+        F.max(F.when(real & (F.col("phase") == 0), F.col("last_updated_at"))).alias("kept_at"))
+    last = F.when(F.coalesce("changed", F.lit(False)) | F.col("kept_at").isNull(), now).otherwise(F.col("kept_at"))
+    articles = merged.join(extra, "entity").join(changed, "entity", "left").withColumn("last_updated_at", last).select(*ARTICLE_COLUMNS)
     aliases = resolved.select(F.col("url").alias("normalized_url"), F.col("uid").alias("article_uid")).distinct()
     return articles, aliases
 
 
-def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int):
+@dataclass(frozen=True)
+class Upserted:
+    """What a batch makes of the stored records. ``folded`` and ``aliases``: the entities it touched, as they are now; ``touched``: (uid) the
+    stored articles that these replace; ``survivors``: (uid, survivor_uid) of the touched ones; ``rejected``: (seq) of
+    items that contradict a record; ``outcomes``: (seq, entity, lifetime, outcome) of all others."""
+    folded: DataFrame
+    aliases: DataFrame
+    touched: DataFrame
+    survivors: DataFrame
+    rejected: DataFrame
+    outcomes: DataFrame
+
+    def articles(self, old: DataFrame | None) -> DataFrame:
+        """The whole new article table."""
+        if old is None:
+            return self.folded
+        return old.join(self.touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(self.folded)
+
+    def url_aliases(self, old: DataFrame | None) -> DataFrame:
+        if old is None:
+            return self.aliases
+        touched = self.touched.withColumnRenamed("uid", "article_uid")
+        return old.join(touched, "article_uid", "left_anti").select("normalized_url", "article_uid").unionByName(self.aliases)
+
+    def links(self, old: DataFrame | None) -> DataFrame:
+        """H-3: the tag links of the touched articles, those of merged rows united under the survivor."""
+        return T.rekey_links(old.join(self.touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi"), self.survivors)
+
+
+def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int, at: datetime) -> Upserted:
     """H-5 for one batch of items (``_batch_items`` shape) against stored articles/aliases.
 
     Items that contradict a stored record or an earlier item of the batch are rejected (H-9).
-    Returns (articles, url_aliases, folded, touched, rejected): the new full tables, the
-    re-merged entities, the stored uids they replaced, and the order keys of rejected items.
     """
+    base = Decimal(batch_id) * BATCH_SPAN
     if old_arts is None:
         rejected = K.contradictions(new_items).checkpoint(eager=True)
-        folded, f_alias = fold_entities(new_items.join(rejected, "seq", "left_anti"))
-        return folded, f_alias, folded, folded.select("uid").where("false"), rejected
-    b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
-    b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
-    touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
-               .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
-    t_arts = old_arts.join(touched, "uid", "left_semi")
-    t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
-    stored = t_alias.join(t_arts.select(F.col("uid").alias("article_uid"), "doi", "journal_id"), "article_uid").select(
-        F.col("normalized_url").alias("url"), "doi", "journal_id")
-    fixed = K.claims(stored.withColumn("seq", F.lit(0))).drop("seq")
-    rejected = K.contradictions(new_items, fixed).checkpoint(eager=True)
-    accepted = new_items.join(rejected, "seq", "left_anti")
-    items = _state_items(t_arts, t_alias, Decimal(batch_id) * BATCH_SPAN).unionByName(accepted)
-    folded, f_alias = fold_entities(items)
-    folded = folded.checkpoint(eager=True)
-    articles = old_arts.join(touched, "uid", "left_anti").select(*ARTICLE_COLUMNS).unionByName(folded)
-    aliases = (old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
-               .select("normalized_url", "article_uid").unionByName(f_alias))
-    return articles, aliases, folded, touched, rejected
-
-
-def _quarantine(spark: SparkSession, previous: str | None, refused: DataFrame, batch_id: int) -> DataFrame:
-    """What was refused so far: bodies (no item_index), unusable items, and items that contradict a record."""
-    new = refused.select(*ITEM_KEY, "error_class", F.lit(batch_id + 1).cast("bigint").alias("run_id"))
-    return new if previous is None else SN.read_table(spark, previous, "quarantine").unionByName(new)
+        items = new_items.join(rejected, "seq", "left_anti")
+        touched = new_items.select(F.col("stored_uid").alias("uid")).where("false")
+    else:
+        b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
+        b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
+        touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
+                   .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
+        t_arts = old_arts.join(touched, "uid", "left_semi")
+        t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
+        stored = t_alias.join(t_arts.select(F.col("uid").alias("article_uid"), "doi", "journal_id"), "article_uid").select(
+            F.col("normalized_url").alias("url"), "doi", "journal_id")
+        fixed = K.claims(stored.withColumn("seq", F.lit(0))).drop("seq")
+        rejected = K.contradictions(new_items, fixed).checkpoint(eager=True)
+        items = _state_items(t_arts, t_alias, base).unionByName(new_items.join(rejected, "seq", "left_anti"))
+    resolved = resolved_items(items).checkpoint(eager=True)
+    found = O.outcomes(resolved, FIELDS, chunk=1 << 20, latest=LATEST).where(F.col("seq") >= F.lit(base).cast(WIDE)).checkpoint(eager=True)
+    folded, aliases = fold_entities(resolved, found, at)
+    survivors = resolved.where(F.col("stored_uid").isNotNull()).select(F.col("stored_uid").alias("uid"), F.col("uid").alias("survivor_uid"))
+    return Upserted(folded.checkpoint(eager=True), aliases, touched, survivors, rejected, found)
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
-                rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None) -> dict:
+                rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None, at: datetime | None = None) -> dict:
     """One micro-batch. ``enricher`` (K-2) is any ``DataFrame -> DataFrame`` applied
-    to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``."""
+    to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``. ``at``: the time of the run (default: now)."""
     base_prev, published = SN.working(spark, root), SN.current(spark, root)
-    target = SN.snapshot_path(root, batch_id + 1)
+    target, run_id = SN.snapshot_path(root, batch_id + 1), batch_id + 1
     if base_prev == target:  # this micro-batch was already applied (re-executed batch id)
         return {"batch_id": batch_id, "skipped": True}
     checkpoint_dir(spark)
+    at = at or datetime.now(UTC)
     # C-7: feeds that are switched off are not taken in
     batch = batch.join(journals.where(~F.col("enabled")).select(F.col("id").alias("feed_id")), "feed_id", "left_anti").select(*batch.columns)
     batch = batch.checkpoint(eager=True)  # read by the parser and the feed checks; re-reading costs more than this
+    catalogue = SN.fingerprint(rules, topics, gates, journals)
+
+    def stored(name: str) -> DataFrame | None:
+        return SN.read_table(spark, base_prev, name) if base_prev is not None else None
 
-    def finish(tables: dict, parent: str | None, **more) -> dict:
+    def finish(tables: dict, checks: DataFrame, refused: DataFrame, found: DataFrame | None, n_items: int, **more) -> dict:
         """Writes, makes the snapshot the working one, and publishes it if the gate lets it pass. A refused snapshot keeps its items:
         the next batch builds on it."""
-        SN.write_snapshot(tables, root, batch_id + 1, parent=parent)
+        run = R.run_row(run_id, checks, found if found is not None else spark.createDataFrame([], "outcome string")).withColumn(
+            "items_applied", F.lit(n_items).cast("bigint"))
+        # what was refused: bodies (no item_index), unusable items, and items that contradict a record
+        refused = refused.select(*ITEM_KEY, "error_class", F.lit(run_id).cast("bigint").alias("run_id"))
+        tables |= {"feed_state": FS.fold_state(stored("feed_state"), checks), "runs": SN.Change(run), "quarantine": SN.Change(refused)}
+        SN.write_snapshot(tables, root, run_id, parent=base_prev)
         SN.note_catalogue(spark, target, catalogue)
         SN.keep_working(spark, root, target)
         report = SN.gate(spark, target, published)
@@ -164,72 +214,59 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     if enricher is not None:
         events = events.transform(enricher)
     events = events.checkpoint(eager=True)
-    # J-2 / F-2: feed validator state, folded batch over batch
-    checks = FS.batch_checks(batch, parsed, events).checkpoint(eager=True)
-    prev_state = SN.read_table(spark, base_prev, "feed_state") if base_prev is not None else None
-    feed_state = FS.fold_state(prev_state, checks)
     good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY))
     if base_prev is not None:
-        applied = SN.read_table(spark, base_prev, "applied_items")
-        good = good.join(applied, list(ITEM_KEY), "left_anti")
+        good = good.join(stored("applied_items"), list(ITEM_KEY), "left_anti")
     good = good.checkpoint(eager=True)  # Arrow-heavy canonical events: computed once
-    run = R.run_summary(checks.withColumn("run_id", F.lit(batch_id + 1).cast("bigint"))
-                        .withColumn("item_errors", F.when(F.col("status") == "partial",
-                                                          F.regexp_extract("error", r"^([0-9]+)", 1).cast("bigint"))
-                                    .otherwise(F.lit(0).cast("bigint"))))
-    run = run.withColumn("items_applied", F.lit(good.count()).cast("bigint"))
-    refused = (parsed.where(F.col("error_class").isNotNull()).select(F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
-               .unionByName(events.where(F.col("error_class").isNotNull()).select("journal_id", "seq", "item_index", "error_class")))
-    catalogue = SN.fingerprint(rules, topics, gates, journals)
+    n_items = good.count()
+    unusable = events.where(F.col("error_class").isNotNull()).select(*ITEM_KEY, "error_class")
+    bodies = parsed.where(F.col("error_class").isNotNull()).select(F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
     same_catalogue = base_prev is not None and SN.catalogue(spark, base_prev) == catalogue
-    if same_catalogue and good.isEmpty():
+    if same_catalogue and n_items == 0:
         # no new items (e.g. replayed bodies): articles, aliases and links are inherited from the
         # previous snapshot; only the feed state, the run ledger and the quarantine advance
-        runs = SN.read_table(spark, base_prev, "runs").unionByName(run)
-        tables = {"feed_state": feed_state, "runs": runs, "quarantine": _quarantine(spark, base_prev, refused, batch_id)}
-        return finish(tables, base_prev, no_change=True)
-    new_items = _batch_items(good, batch_id)
-    keys = good.select(*ITEM_KEY)
+        checks = FS.batch_checks(batch, parsed, unusable).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
+        return finish({}, checks, bodies.unionByName(unusable), None, 0, no_change=True)
 
-    if base_prev is not None:
-        old_arts = SN.read_table(spark, base_prev, "articles")
-        old_alias = SN.read_table(spark, base_prev, "url_aliases")
-        old_links = SN.read_table(spark, base_prev, "article_tags")
-        articles, aliases, folded, touched, rejected = upsert(old_arts, old_alias, new_items, batch_id)
-        if same_catalogue:
-            links = (old_links.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_anti")
-                     .select("article_uid", "tag_id").unionByName(C.classify(folded, rules, topics, gates)))
-        else:  # another catalogue: every article is tagged anew
-            links = C.classify(articles, rules, topics, gates)
-        applied = applied.unionByName(keys)
-    else:
-        articles, aliases, _, _, rejected = upsert(None, None, new_items, batch_id)
-        articles = articles.checkpoint(eager=True)
-        links = C.classify(articles, rules, topics, gates)
-        applied = keys
-    links = links.checkpoint(eager=True)
-    tags = topics.select(F.col("topic_id").alias("id"), "label").join(
-        links.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
-    runs = run if base_prev is None else SN.read_table(spark, base_prev, "runs").unionByName(run)
-    clashes = good.withColumn("_order", order_key(batch_id)).join(rejected.withColumnRenamed("seq", "_order"), "_order", "left_semi").select(
+    old_arts = stored("articles")
+    done = upsert(old_arts, stored("url_aliases"), _batch_items(good, batch_id), batch_id, at)
+    clashes = good.withColumn("_order", order_key(batch_id)).join(done.rejected.withColumnRenamed("seq", "_order"), "_order", "left_semi").select(
         *ITEM_KEY, F.lit(K.CONFLICT).alias("error_class"))
-    return finish({"articles": articles, "article_tags": links, "tags": tags, "url_aliases": aliases, "applied_items": applied,
-                   "journals": journals, "feed_state": feed_state, "runs": runs,
-                   "quarantine": _quarantine(spark, base_prev, refused.unionByName(clashes), batch_id)}, None)
+    failed = unusable.unionByName(clashes).checkpoint(eager=True)
+    # J-2 / F-2: feed validator state, folded batch over batch
+    checks = FS.batch_checks(batch, parsed, failed).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
+    of_uid = done.touched.withColumnRenamed("uid", "article_uid")
+    if same_catalogue:
+        # a touched entity's links become what the rules say of its merged row (H-7); the others stay
+        moved = done.links(stored("article_tags"))
+        fresh = T.replace_one(moved, done.folded.select("uid"), C.classify(done.folded, rules, topics, gates)).checkpoint(eager=True)
+        links = SN.Change(fresh, "article_uid", of_uid)
+        every = stored("article_tags").join(of_uid, "article_uid", "left_anti").select("tag_id").unionByName(fresh.select("tag_id"))
+    else:  # another catalogue: every article is tagged anew
+        links = C.classify(done.articles(old_arts), rules, topics, gates).checkpoint(eager=True)
+        every = links.select("tag_id")
+    tags = topics.select(F.col("topic_id").alias("id"), "label").join(every.select(F.col("tag_id").alias("id")).distinct(), "id", "left_semi")
+    tables = {"articles": SN.Change(done.folded, "uid", done.touched), "article_tags": links, "tags": tags,
+              "url_aliases": SN.Change(done.aliases.checkpoint(eager=True), "article_uid", of_uid),
+              "applied_items": SN.Change(good.select(*ITEM_KEY)), "journals": journals}
+    return finish(tables, checks, bodies.unionByName(failed), done.outcomes, n_items)
 
 
 def run_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, journals: DataFrame,
-               rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None, source=None) -> list[dict]:
+               rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None, source=None,
+               clock: Callable[[], datetime] | None = None) -> list[dict]:
     """J-1: process everything landed so far, each body once, then stop.
 
     ``source`` (K-1) replaces the landing-folder stream with any streaming
-    DataFrame of the ``raw_feeds`` shape.
+    DataFrame of the ``raw_feeds`` shape. ``clock`` gives the time of each run
+    (default: now).
     """
     reports: list[dict] = []
     stream = source if source is not None else spark.readStream.schema(FD.RAW_FEEDS_SCHEMA).parquet(landing)
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
-        reports.append(apply_batch(spark, batch_df, batch_id, root, journals, rules, topics, gates, enricher))
+        reports.append(apply_batch(spark, batch_df, batch_id, root, journals, rules, topics, gates, enricher,
+                                   clock() if clock is not None else None))
 
     q = (stream.writeStream.foreachBatch(each).trigger(availableNow=True)
          .option("checkpointLocation", checkpoint).start())

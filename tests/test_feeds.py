@@ -52,3 +52,11 @@ def test_binary_file_source(spark, tmp_path):
     raw = FD.read_body_files(spark, str(tmp_path), journals)
     items = FD.parse_feeds(raw).collect()
     assert sorted(r.title for r in items) == ["First & best", "Second"] and all(r.seq == 7 for r in items)
+
+
+def test_raw_type_comes_from_the_section_or_the_type_never_from_a_category():
+    from litfeed.sources.feeds import _entry_fields
+    import xml.etree.ElementTree as ET
+    item = lambda x: ET.fromstring(f"<item xmlns:prism='http://prismstandard.org/namespaces/basic/2.0/'>{x}</item>")
+    assert _entry_fields(item("<category>Review</category>"), "rss2")["raw_type"] is None
+    assert _entry_fields(item("<category>x</category><type>Review</type>"), "rss2")["raw_type"] == "Review"

@@ -32,7 +32,8 @@ def test_top_errors_limit_before_shuffle(spark):
 def test_snapshot_date_filter_prunes_months(spark, tmp_path):
     arts = (standins.articles(spark, SF_SMALL).withColumn("authors", F.array().cast("array<string>"))
             .withColumn("normalized_url", F.col("article_url")).withColumn("source_feed_url", F.lit("f"))
-            .withColumn("metadata_status", F.lit("rss_only")).withColumn("enriched_fields", F.array().cast("array<string>")))
+            .withColumn("metadata_status", F.lit("rss_only")).withColumn("enriched_fields", F.array().cast("array<string>"))
+            .withColumn("first_seen_at", F.col("published_at")).withColumn("last_updated_at", F.col("published_at")))
     root = str(tmp_path)
     base = SN.write_snapshot({"articles": arts}, root, 1)
     SN.publish(spark, root, base)
