@@ -3,7 +3,9 @@
 Each line of a text is judged by punctuation, navigation and boilerplate rules; failing lines are removed;
 a document that loses too much of its text, or fails the base rules, is rejected. Punctuation is judged over lines that
 belong together: a line that does not end a sentence goes on in the next one, up to a blank line, if that one does not start
-with a capital letter or the line is short enough to be wrapped; so hard-wrapped prose is judged like prose in one line.
+with a capital letter or the line is short enough to be wrapped (at most ``WRAPPED`` characters); so hard-wrapped prose is judged like
+prose in one line. A sentence has ended if a terminal stands at the line's end, before up to four closing marks and eight
+blanks; a line of more than 80 blanks does not end one by itself (a line after it that is blank does).
 
 Edge cases: null text counts as empty (no words, rejected by the base rules); a blank line is neither good nor
 bad; rows are independent, so repeated rows get equal results; an empty table gives an empty result.
@@ -139,12 +141,11 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         lost.cast("long").alias("lost_chars"),
         chars(c["lines"]).cast("long").alias("line_chars"),
         F.when(any_bad, F.array_join(kept_lines(False), "\n")).otherwise(c["text"]).alias("clean_text"))
-    d = d.select(*[F.col(f"`{k}`") for k in keep], m.alias(out))
-    q = F.col(f"`{out}`")
-    base = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
-    d = d.withColumn(out, q.withField("base_failed", base)
-                     .withField("kept", ~base & (q["lost_chars"] <= MAX_LOST * q["line_chars"])))
-    return d, out
+    base = lambda q: (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEATED_PERCENT * q["n_words"])
+    judged = let(m, lambda q: q.withField("base_failed", base(q)).withField(
+        "kept", ~base(q) & (q["lost_chars"] <= MAX_LOST * q["line_chars"])))
+    # a generator of one row: filters on its result cannot be pushed into it, so nothing is measured twice
+    return d.select(*[F.col(f"`{k}`") for k in keep], F.explode(F.array(judged)).alias(out)), out
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,16 @@
 """DuckDB twins of the registered queries of this subpackage."""
 
+from litfeed.llm.quality import SENTENCE_MARK, TERMINAL, WRAPPED
+
 ORACLES: dict[str, str] = {}
 
 _SP = r"[\x20\x09-\x0D]+"
 
-_SENTENCE = r"[.!?:;…。！？；：؟।]"
+# a line goes on in the next one unless it ends a sentence, one of them is blank, or it is long and the next one starts with a capital
+_END = rf"[{TERMINAL}…][\p{{Pe}}\p{{Pf}}\"''*_]{{0,4}}[\x20\t\r]{{0,8}}$"
+_CAPITAL = r"^[^\p{L}\p{N}]{0,8}[\p{Lu}\p{Lt}]"
+_BLANK = r"^[\x20\x09-\x0D]*$"
+_SHORT_BLANK = r"^[\x20\x09\x0B-\x0D]{0,80}$"
 _MARKS = r"[#*$%&|<>{}\[\]=+~^_\\@]"
 _FURNITURE = (r"(?i)\b(accept (all )?cookies|we use cookies|this (web)?site uses cookies|cookie (policy|settings)"
               r"|enable javascript|privacy policy|terms (of use|of service|and conditions)|skip to (main )?content"
@@ -24,10 +30,16 @@ wins AS (SELECT r, i, list_aggregate(ws[i:i+7], 'string_agg', ' ') AS win
 twice AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt
           FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM wins) WHERE c > 1),
 rep AS (SELECT r, sum(least(8, coalesce(nxt - i, 8))) AS n FROM twice GROUP BY r),
-lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w),
+split AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM w),
+cuts AS (SELECT *, coalesce(lag(regexp_matches(line, '{_END}') OR regexp_matches(line, '{_SHORT_BLANK}')) OVER o
+    OR regexp_matches(line, '{_BLANK}')
+    OR (lag(length(line)) OVER o > {WRAPPED} AND regexp_matches(line, '{_CAPITAL}')), true) AS cut
+  FROM split WINDOW o AS (PARTITION BY r ORDER BY i)),
+blocks AS (SELECT *, sum(cut::INT) OVER (PARTITION BY r ORDER BY i) AS block FROM cuts),
+lines AS (SELECT *, bool_or(regexp_matches(line, '{SENTENCE_MARK}')) OVER (PARTITION BY r, block) AS marked FROM blocks),
 judged AS (
   SELECT r, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS full_line,
-    (n >= 12 AND NOT regexp_matches(line, '{_SENTENCE}')) OR {_n(_MARKS)} > 0.15 * length(line)
+    (n >= 12 AND NOT marked) OR {_n(_MARKS)} > 0.15 * length(line)
     OR (n >= 3 AND up > 0.7 * (up + lo) AND 2 * {_n('!')} >= n)
     OR (sep >= 3 AND n <= 4 * sep) OR (n <= 20 AND regexp_matches(line, '{_FURNITURE}')) AS bad
   FROM (SELECT *, len(list_filter(string_split_regex(line, '{_SP}'), lambda x: x <> '')) AS n,
@@ -51,21 +63,22 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingled(source: str, ident: str) -> str:
+def _worded(source: str, ident: str) -> str:
     return rf"""
-  SELECT DISTINCT r, {ident}, CASE WHEN len(ws) < 5 THEN list_aggregate(ws, 'string_agg', ' ')
-                              ELSE list_aggregate(ws[i:i+4], 'string_agg', ' ') END AS s
-  FROM (SELECT r, {ident}, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i
-        FROM (SELECT {ident}, row_number() OVER () AS r,
-                list_filter(string_split_regex({_LOWER}, '{_GAP}'), lambda x: x <> '') AS ws FROM {source})
-        WHERE len(ws) > 0)"""
+SELECT {ident}, row_number() OVER () AS r, list_filter(string_split_regex({_LOWER}, '{_GAP}'), lambda x: x <> '') AS ws FROM {source}"""
 
 
+# items of fewer than five words: among the documents' shingles of their own length
 ORACLES["op9_decontamination"] = f"""
-WITH ds AS ({_shingled('documents', 'doc_id')}), qs AS ({_shingled('benchmark', 'item_id')}),
+WITH dw AS ({_worded('documents', 'doc_id')}), qw AS (SELECT *, least(len(ws), 5) AS k FROM ({_worded('benchmark', 'item_id')}) WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM qw),
+ds AS (SELECT DISTINCT r, doc_id, k, list_aggregate(ws[i:i+k-1], 'string_agg', ' ') AS s
+       FROM (SELECT r, doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM dw CROSS JOIN ks WHERE len(ws) >= k)),
+qs AS (SELECT DISTINCT r, item_id, k, list_aggregate(ws[i:i+k-1], 'string_agg', ' ') AS s
+       FROM (SELECT r, item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM qw)),
 n AS (SELECT r, count(*) AS n_item FROM qs GROUP BY r)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
-FROM ds JOIN qs USING (s) JOIN n ON n.r = qs.r
+FROM ds JOIN qs USING (k, s) JOIN n ON n.r = qs.r
 GROUP BY ds.r, doc_id, qs.r, item_id
 HAVING count(*) >= 0.8 * any_value(n_item)"""
 

@@ -27,6 +27,38 @@ def test_sql_twin(spark):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
 
 
+def test_sql_twin_states_the_rule_for_wrapped_text(spark, tmp_path):
+    """Wrapped prose, blank lines of any width, closing marks, capitals after long and short lines."""
+    import random
+    import textwrap
+
+    import duckdb
+    rnd, ends = random.Random(3), ['.', '."', ".')", "…", "", "", "", "", " ", "!  ", "۔", ":"]
+    texts = []
+    for i in range(120):
+        lines = []
+        for _ in range(rnd.randint(1, 8)):
+            words = " ".join(rnd.choice(("word", "Haus", "über", "It", "42")) + str(rnd.randint(0, 999)) for _ in range(rnd.randint(1, 60)))
+            lines += textwrap.wrap(words, rnd.choice((30, 72, 80, 131, 134, 400))) if rnd.random() < 0.7 else [words]
+            lines[-1] += rnd.choice(ends)
+            lines += rnd.choice(([], [], [""], [" " * 40], [" " * 90], ["\t"]))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality.report(df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = con.sql(ORACLES["op6_quality_rules"])
+    rows_ = [tuple(r) for r in got.collect()]
+    assert rows_of(got.columns, rows_) == rows_of(want.columns, want.fetchall())
+    assert len({r[got.columns.index("n_bad_lines")] for r in rows_}) > 3
+
+
+def test_the_measures_are_computed_once(spark):
+    plan = quality.cleaned(rows(spark, [PROSE]))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if x.strip(" :+-").startswith("Filter")]
+    assert filters and all("xxhash64" not in x and "rlike" not in x.lower() for x in filters)
+
+
 def test_repeated_words_against_brute_force(spark):
     import random
     rnd = random.Random(1)
