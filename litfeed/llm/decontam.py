@@ -1,9 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment
 (native: DataFrame functions only).
 
-Find short test items inside long documents. A text is its set of distinct five-word shingles (a shorter text:
-its whole word sequence; no words: the empty set, never found). Item Q is contained in document D if
-``|S(Q) & S(D)| >= 0.8 * |S(Q)|``.
+Find short test items inside long documents. A text is its set of distinct five-word shingles. An item of one to four words is
+its whole word sequence, looked for among the documents' shingles of the item's own length (an item without words is never
+found). Item Q is contained in document D if ``|S(Q) & S(D)| >= 0.8 * |S(Q)|``.
 
 Search. Items are partitioned by size (powers of two of their shingle count). Every partition has its sketch
 length, ``k = floor((1 - t) * largest size) + 1``, and an item's sketch is its k smallest shingle hashes (bottom-k
@@ -12,6 +12,9 @@ its k sketch hashes is in the document: the search loses nothing, at any documen
 tuned. A document's hashes above the largest sketch hash are dropped before the shuffle. An item's sketch hash that
 is also in many documents costs rows as often as it occurs, never pairs of documents.
 
+Both passes are scans: the candidates' ids are written, and their documents are found by a broadcast of the ids up to ``FEW`` of them,
+which the written table proves; only beyond that do texts travel by id.
+
 Verification. Shingle texts (not hashes) of the candidate documents are joined with those of the items, counted per
 (document, item), map-side first. Documents are only grouped by themselves, so copies or a hot source do not
 meet in one task.
@@ -26,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litfeed.llm.common import ascii_lower, fresh, let, written
+from litfeed.operators.util import bounded_broadcast
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Candidate ids (numbers of 64 bits) that are broadcast at most.
+FEW = 1_000_000
 #: Words here: runs of ASCII letters, digits and anything beyond ASCII, so punctuation and case do not hide a leak.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,20 +44,19 @@ def _words(text):
 
 
 def _starts(w, size: int):
-    """Start positions (from 1) of the shingles of a word array."""
-    return F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1)).when(
-        F.size(w) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    """Start positions (from 0) of the shingles of a word array."""
+    return F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
 
 
 def _hashed(df: DataFrame, size: int) -> DataFrame:
     """``_w``: words; ``_h``: distinct shingle hashes (64 bit, so 2^63 in signed order is as good as random)."""
     return df.withColumn("_h", let(F.transform("_w", lambda x: F.xxhash64(x)), lambda wh: F.array_distinct(
-        F.transform(_starts(wh, size), lambda i: F.xxhash64(F.slice(wh, i, size))))))
+        F.transform(_starts(wh, size), lambda i: F.xxhash64(*[F.get(wh, i + k) for k in range(size)])))))
 
 
 def _shingles(w, size: int):
     return let(w, lambda ws: F.array_distinct(F.transform(
-        _starts(ws, size), lambda i: F.array_join(F.slice(ws, i, size), " "))))
+        _starts(ws, size), lambda i: F.concat_ws(" ", *[F.get(ws, i + k) for k in range(size)]))))
 
 
 def sketches(items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,20 +78,31 @@ def contained(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold:
     """
     ident = row or "doc_id"
     # items: small against the documents, but of no fixed size; all that follows uses plain joins
-    items = written(items.select("item_id", "text").withColumn("item_row", F.monotonically_increasing_id()), "items")
+    items = written(items.select("item_id", "text", F.least(F.size(_words(F.col("text"))), F.lit(size)).alias("_n")).withColumn(
+        "item_row", F.monotonically_increasing_id()), "items")
+    out = None
+    # five words, and each shorter length that an item has
+    for n in sorted(r["_n"] for r in items.select("_n").distinct().collect() if r["_n"]):
+        found = _contained(docs, items.filter(F.col("_n") == n), n, threshold, ident, row is None)
+        out = found if out is None else out.unionByName(found)
+    if out is not None:
+        return out
+    empty = docs.sparkSession.createDataFrame([], "n_shared long, n_item long, containment double")
+    ids = docs.select(F.col(ident)).limit(0).crossJoin(items.select("item_id").limit(0))
+    return ids.crossJoin(empty)
+
+
+def _contained(docs: DataFrame, items: DataFrame, size: int, threshold: float, ident: str, nulls: bool) -> DataFrame:
+    """The pairs with items of one shingle length."""
     sketch = written(sketches(items, size, threshold), "sketches")
     top = sketch.agg(F.max("hash")).first()[0]
-    if top is None:
-        empty = docs.sparkSession.createDataFrame([], "n_shared long, n_item long, containment double")
-        ids = docs.select(F.col(ident)).limit(0).crossJoin(items.select("item_id").limit(0))
-        return ids.crossJoin(empty)
-    d = docs.select(F.col(ident).alias("_id"), "text").filter(F.col("_id").isNotNull() | F.lit(row is None))
+    d = docs.select(F.col(ident).alias("_id"), "text").filter(F.col("_id").isNotNull() | F.lit(nulls))
     hashed = _hashed(d.select("_id", _words(F.col("text")).alias("_w")), size)
     low = hashed.select("_id", F.filter("_h", lambda x: x <= top).alias("_h")).select(
         "_id", F.explode("_h").alias("hash"))
-    hit = low.join(sketch.select("hash").distinct(), "hash", "left_semi").select("_id").distinct()
+    hit = written(low.join(sketch.select("hash").distinct(), "hash", "left_semi").select(F.col("_id").alias("_c")).distinct(), "hits")
     # candidate documents only: exact shingles
-    cand = d.join(hit.withColumnRenamed("_id", "_c"), F.col("_id").eqNullSafe(F.col("_c")), "left_semi")
+    cand = d.join(bounded_broadcast(hit, FEW), F.col("_id").eqNullSafe(F.col("_c")), "left_semi")
     ds = cand.withColumn("_r", F.monotonically_increasing_id()).select("_r", "_id", _words(F.col("text")).alias("_w"))
     ds = ds.select("_r", "_id", F.explode(_shingles(F.col("_w"), size)).alias("shingle"))
     qs = items.select("item_row", "item_id", _words(F.col("text")).alias("_w"))

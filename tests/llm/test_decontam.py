@@ -11,19 +11,25 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-def shingles(text):
-    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def shingles(text, k=None):
+    """Shingles of k words; of an item: of five, or of all its words if these are fewer."""
+    w = words(text)
+    k = k or min(5, len(w))
+    return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
 def brute(docs, items):
     out = []
     for d, t in docs:
-        have = shingles(t)
+        have = {k: shingles(t, k) for k in range(1, 6)}
         for i, q in items:
             want = shingles(q)
-            if want and len(want & have) >= 0.8 * len(want) - 1e-9:
-                out.append((d, i, len(want & have), len(want)))
+            if want and len(want & have[min(5, len(words(q)))]) >= 0.8 * len(want) - 1e-9:
+                out.append((d, i, len(want & have[min(5, len(words(q)))]), len(want)))
     return sorted(out, key=repr)
 
 
@@ -75,6 +81,23 @@ def test_sketch_sizes_follow_the_partition(spark):
         assert r["count"] > n - -(-n * 8 // 10)  # more values than shingles that may be missing
 
 
+def test_items_of_fewer_than_five_words_are_found_in_longer_documents(spark):
+    docs = [(1, "we read: Alpha beta, gamma delta and more words here"), (2, "alpha beta"), (3, "beta alpha gamma delta epsilon zeta"),
+            (4, "alpha"), (5, None), (6, "gamma, DELTA!")]
+    items = [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha"), (4, "one two three four"), (5, "alpha beta gamma delta"), (6, "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_item"]) for r in D.contained(d, i).collect())
+    assert got == [(x, y, 1, 1) for x, y in sorted([(1, 1), (2, 1), (1, 2), (3, 2), (6, 2), (1, 3), (2, 3), (3, 3), (4, 3), (1, 5)])]
+
+
+def test_texts_are_not_shuffled_to_their_candidates(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+    plan = D.contained(docs, docs.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    monkeypatch.setattr(D, "FEW", 0)
+    assert D.contained(docs, docs.withColumnRenamed("doc_id", "item_id")).count() == 1
+
+
 def test_clean_keeps_other_documents_and_columns(spark):
     docs, items = planted(3)
     bad = {d for d, *_ in brute(docs, items)}
