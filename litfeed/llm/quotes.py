@@ -3,8 +3,9 @@
 A message's lines are parsed into quote levels (``>`` markers, also ``> >`` and ``>>``). Its passages are the lines and the
 paragraphs (lines up to a blank one or another level, so a quote may be wrapped anew) of one level; they are normalised (lower
 case, letters and digits, single spaces), hashed, and joined to the messages of the same conversation that say them without
-quoting, earlier. A first-level passage links a message to the latest earlier message that says it; deeper levels are quotes
-of what the linked message quotes in turn. The message's parent is the linked message with most passages, the latest of equals. Threads: a message without a parent starts one; replies stand below their thread's first message, in turn order,
+quoting, earlier. A passage of any level links a message to the latest earlier message that says it. The message's parent is found at
+the shallowest level that links at all: the linked message with most passages of that level, the latest of equals; deeper
+levels are quotes of what that message quotes in turn, so they decide only where no shallower one links. Threads: a message without a parent starts one; replies stand below their thread's first message, in turn order,
 so each message comes after the one it answers.
 
 Scale: passages travel as hashes; only those that someone quotes are joined. The latest earlier turn is found by running maxima within
@@ -28,7 +29,7 @@ CHUNK = 4096
 #: A quote marker at the start of a line: levels are its ``>`` characters.
 MARKER = r"^[\x20\t]*((?:>[\x20\t]?)+)"
 #: The line that announces a quote ("On ... X wrote:"); it goes with the quote below it.
-INTRODUCTION = r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
+INTRODUCTION = r"(?i)^.*\b(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$"
 
 
 def normalised(line):
@@ -36,13 +37,19 @@ def normalised(line):
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _passages(lines, level: int):
-    """Distinct hashes of the lines and paragraphs of one level."""
+def _passages(lines, level):
+    """Distinct hashes of the lines and paragraphs of one level (a number or a column)."""
     text = F.array_join(F.transform(lines, lambda x: F.when(x["level"] == level, x["text"]).otherwise("")), "\n")
     parts = F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\t]*\n"))
     return F.transform(F.array_distinct(F.filter(F.transform(parts, normalised), lambda x: x != "")), lambda x: F.xxhash64(x))
 
 
+def _asked(lines):
+    """(level, hash) of the passages of every quote level."""
+    levels = F.array_distinct(F.filter(F.transform(lines, lambda x: x["level"]), lambda v: v > 0))
+    return F.flatten(F.transform(levels, lambda v: F.transform(_passages(lines, v), lambda h: F.struct(v.alias("level"), h.alias("hash")))))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """``messages`` with the hashes it says and asks for, its numbers of quoted passages and lines, and its text without quotes."""
     level = lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKER, 1), r"[^>]", ""))
@@ -59,7 +66,7 @@ def parsed(messages: DataFrame) -> DataFrame:
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
     quoted = F.exists("lines", lambda x: x["level"] != 0)
     own = F.when(quoted, F.regexp_replace(own, r"^\s+|\s+$", "")).otherwise(F.coalesce(F.col("text"), F.lit("")))
-    return d.select(*messages.columns, _passages(F.col("lines"), 0).alias("says"), _passages(F.col("lines"), 1).alias("asks"),
+    return d.select(*messages.columns, _passages(F.col("lines"), 0).alias("says"), _asked(F.col("lines")).alias("asks"),
                     starts.cast("long").alias("n_passages"),
                     F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long").alias("n_quoted"), own.alias("own"))
 
@@ -83,15 +90,15 @@ def linked(messages: DataFrame) -> DataFrame:
     """(row, conv, turn, n_passages, n_quoted, n_linked, parent_turn, own) per message of ``messages(row, conv, turn, text)``."""
     p = written(parsed(messages), "parsed")
     of = lambda name: p.filter(F.col("turn").isNotNull()).select("row", "conv", "turn", F.explode(name).alias("hash"))
-    quotes = of("asks").withColumn("asks", F.lit(True))
+    quotes = of("asks").select("row", "conv", "turn", "hash.level", "hash.hash", F.lit(True).alias("asks"))
     wanted = quotes.select("conv", "hash").distinct()
     own = of("says").groupBy("conv", "turn", "hash").agg(F.min("row").alias("row"))
     a, w = own.alias("a"), wanted.alias("w")
     own = a.join(w, F.col("a.conv").eqNullSafe(F.col("w.conv")) & (F.col("a.hash") == F.col("w.hash")), "left_semi").select(
-        "row", "conv", "turn", "hash", F.lit(False).alias("asks"))
+        "row", "conv", "turn", F.lit(0).alias("level"), "hash", F.lit(False).alias("asks"))
     found = latest_earlier(quotes.unionByName(own)).filter(F.col("asks") & F.col("found").isNotNull())
-    votes = found.groupBy("row", "found").agg(F.count("*").alias("n"))
-    parents = votes.groupBy("row").agg(F.max(F.struct("n", "found"))["found"].alias("parent_turn"),
+    votes = found.groupBy("row", "level", "found").agg(F.count("*").alias("n"))
+    parents = votes.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("shallow"), "n", "found"))["found"].alias("parent_turn"),
                                        F.sum("n").alias("n_linked"))
     return p.join(parents, "row", "left").select(
         "row", "conv", "turn", "n_passages", "n_quoted", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),

@@ -23,12 +23,13 @@ def plain(messages):
             return {norm(u) for u in t.split("\n") + re.split(r"\n[ \t]*\n", t)} - {""}
 
         votes, linked = {}, 0
-        for u in units(1):
-            at = max((s for s in says.get((conv, u), ()) if s < turn), default=None)
-            if at is not None:
-                votes[at] = votes.get(at, 0) + 1
-                linked += 1
-        parent = max(((n, t) for t, n in votes.items()), default=(0, None))[1]
+        for level in sorted({lv for lv, _ in lines if lv > 0}):
+            for u in units(level):
+                at = max((s for s in says.get((conv, u), ()) if s < turn), default=None)
+                if at is not None:
+                    votes[level, at] = votes.get((level, at), 0) + 1
+                    linked += 1
+        parent = max(((-lv, n, t) for (lv, t), n in votes.items()), default=(0, 0, None))[2]
         out[conv, turn] = (parent, linked)
         for u in units(0):
             says.setdefault((conv, u), set()).add(turn)
@@ -50,7 +51,7 @@ def made(seed, n=200, convs=3):
         for _ in range(rnd.randint(0, 2)):
             if old:
                 q = rnd.choice(old).split("\n")
-                text += ["> " + x for x in q[:rnd.randint(1, len(q))]]
+                text += [rnd.choice(("> ", "> ", ">> ", "> > > ")) + x for x in q[:rnd.randint(1, len(q))]]
         own = [f"Line {rnd.randint(0, 40)} of someone, here." for _ in range(rnd.randint(0, 3))]
         text += own
         old.append("\n".join(text) or "nothing")
@@ -85,6 +86,16 @@ def test_nested_levels_introductions_and_wrapped_quotes(spark):
     assert [got[i]["n_passages"] for i in range(4)] == [0, 1, 2, 1] and [got[i]["thread_turn"] for i in range(4)] == [0, 0, 0, 3]
 
 
+def test_a_quote_of_the_second_level_only_links(spark):
+    rows = [(1, 0, "the passage that is quoted"), (1, 1, "something else"), (1, 2, "> X wrote:\n>> the passage that is quoted\nyes"),
+            (1, 3, ">>> yes\n> something else\nno"), (1, 4, "y" * 500 + " wrote:\n> no\nwell")]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in Q.conversations(df).collect()}
+    assert [got[t]["parent_turn"] for t in range(5)] == [None, None, 0, 1, 3]
+    assert [got[t]["n_linked"] for t in range(5)] == [0, 0, 1, 2, 1] and [got[t]["thread_turn"] for t in range(5)] == [0, 1, 0, 1, 1]
+    assert got[4]["text"] == "well"
+
+
 def test_table_without_quotes(spark):
     table = spark.read.parquet(f"{SF}/conversations.parquet")
     got = Q.conversations(table)
