@@ -95,3 +95,83 @@ t AS (SELECT *, first_value(page_id) OVER w AS top, row_number() OVER w AS k FRO
 SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
 FROM t"""
+
+
+def _told(col: str) -> str:
+    return f"coalesce(strlen({col}::VARCHAR)::VARCHAR || ':' || {col}::VARCHAR, '-')"
+
+
+_SHIFTS = ", ".join(["-1"] * 8)
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text up to U+07FF: each byte is mixed in, then eight shifts (-1)."""
+    steps = (f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT, {_SHIFTS}] "
+             f"ELSE [192 + (ord(c) >> 6)::BIGINT, {_SHIFTS}, 128 + (ord(c) & 63)::BIGINT, {_SHIFTS}] END))")
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) "
+            f"ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT)")
+
+
+def _levels(leaves: str) -> str:
+    """All nodes of trees of three over ``leaves(g, pos, n, dg)``."""
+    return f"""
+SELECT 0 AS lvl, g, pos, n, dg FROM {leaves}
+UNION ALL SELECT lvl + 1, g, pos // 3, (n + 2) // 3, sha256(string_agg(dg, '' ORDER BY pos)) FROM (SELECT * FROM {{self}}) t WHERE n > 1
+GROUP BY lvl, g, pos // 3, (n + 2) // 3"""
+
+
+def _steps(leaves: str, nodes: str, first: int) -> str:
+    """(g, pos of the leaf, order, before, after): the siblings on the way from each leaf to its top."""
+    return f"""
+SELECT l.g, l.pos, {first} + s.lvl AS k, coalesce(string_agg(s.dg, '' ORDER BY s.pos) FILTER (s.pos < l.pos // (3 ** s.lvl)::BIGINT), '') AS before,
+  coalesce(string_agg(s.dg, '' ORDER BY s.pos) FILTER (s.pos > l.pos // (3 ** s.lvl)::BIGINT), '') AS after
+FROM {leaves} l JOIN {nodes} s ON s.g = l.g AND s.n > 1 AND s.pos // 3 = l.pos // (3 ** (s.lvl + 1))::BIGINT
+GROUP BY l.g, l.pos, s.lvl"""
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars")
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE h AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, sha256({' || '.join(map(_told, (*_FIELDS, 'text')))}) AS leaf,
+    CASE WHEN {_crc32('doc_id::VARCHAR')} % 2 = 0 THEN sha256({' || '.join(map(_told, _FIELDS))} || {_told("replace(text, chr(10), '')")})
+      ELSE sha256({' || '.join(map(_told, (*_FIELDS, 'text')))}) END AS found FROM documents),
+leaves AS (SELECT *, leaf AS dg, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM h),
+nodes AS ({_levels('leaves').replace('{self}', 'nodes')}),
+subroots AS (SELECT g AS of, dg, '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+crown AS ({_levels('subroots').replace('{self}', 'crown')}),
+own AS ({_steps('leaves', 'nodes', 0)}), top AS ({_steps('subroots', 'crown', 100)}),
+steps AS (SELECT * FROM own UNION ALL
+  SELECT l.g, l.pos, t.k, t.before, t.after FROM leaves l JOIN subroots s ON s.of = l.g JOIN top t ON t.pos = s.pos),
+paths AS (SELECT g, pos, string_agg(before || after, '' ORDER BY k) AS proof, list(before || '|' || after ORDER BY k) AS way FROM steps GROUP BY g, pos),
+folded AS (
+  SELECT l.doc_id, l.leaf, s.dg AS subroot, (SELECT dg FROM crown WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(l.found, coalesce(p.way, []::VARCHAR[])),
+                lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM leaves l JOIN subroots s ON s.of = l.g LEFT JOIN paths p ON p.g = l.g AND p.pos = l.pos)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+  SELECT d, run, count(*) AS k FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d,
+      translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) WHERE length(run) >= 6 GROUP BY d, run),
+hashed AS (SELECT *, {_crc32("d || ':' || run")} AS h FROM runs),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT x.word AS w, y.word AS v FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, y.word FROM cut x JOIN words y ON x.a || x.b = y.word
+  UNION SELECT y.word, x.word FROM cut x JOIN words y ON x.a || x.b = y.word),
+near AS (SELECT w, count(*) AS n_near, arg_min({{'word': v, 'n': n}}, {{'a': -n, 'b': v}}) AS best FROM pairs JOIN words ON words.word = v GROUP BY w),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * n THEN best.word END AS form, CASE WHEN best.n >= 5 * n THEN best.n END AS form_n
+  FROM words LEFT JOIN near ON w = word),
+walk AS (
+  SELECT word, word AS here, form AS nxt FROM forms
+  UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN forms f ON f.word = walk.nxt)
+SELECT forms.*, here AS root FROM forms JOIN walk ON walk.word = forms.word AND walk.nxt IS NULL"""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from litfeed.llm import catalogue
 from litfeed.llm import merkle as M
+from litfeed.llm.sql import ORACLES
+from litfeed.plans.verify import duck
 
 SCHEMA = "doc_id long, source string, lang string, n_chars int, text string"
 
@@ -93,6 +95,15 @@ def test_many_groups_have_a_tree_of_their_own(spark, monkeypatch):
     assert query(spark.createDataFrame(rows, SCHEMA)) == model(rows)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sql_twin_states_the_model(sf):
+    con = duck(f"/root/testdata/{sf}")
+    rows = con.sql(f"SELECT {', '.join(M.FIELDS)} FROM documents").fetchall()
+    want = con.sql(ORACLES["op11_merkle_manifest"])
+    assert want.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    assert sorted(want.fetchall(), key=repr) == model(rows)
+
+
 def test_any_change_of_any_field_is_found(spark):
     rows = [(i, "a", "x", i, f"t{i}") for i in range(12)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -9,6 +9,8 @@ import pyarrow as pa
 import pytest
 
 from litfeed.llm import variants as V
+from litfeed.llm.sql import ORACLES
+from litfeed.plans.verify import duck
 
 UP = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -71,6 +73,12 @@ def test_documents(spark):
     assert sum(r[2] > 0 for r in want) > 100 and any(r[3] for r in want)
 
 
+def test_sql_twin_states_the_model():
+    con = duck("/root/testdata/sf0.01")
+    want = con.sql(ORACLES["op13_spelling_variants"]).select("word, n, n_near, form, form_n, root").fetchall()
+    assert sorted(want) == model(plain_words(con.sql("SELECT doc_id, text FROM documents").fetchall()))
+
+
 @pytest.mark.parametrize("tile", [1, 40, 300, 4096])
 def test_tiles_of_any_size(spark, tile):
     rng = np.random.default_rng(tile)
