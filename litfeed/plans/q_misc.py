@@ -24,16 +24,24 @@ def catalog_by_publisher(spark, sf_dir):
 
 
 @query("catalog_by_group", "E-13", with_views("""
-SELECT g.id AS group_id, g.label, g.ord, count(t.topic_id) AS n_topics, string_agg(t.topic_id, ',' ORDER BY t.topic_id) AS topic_ids
-FROM v_groups g LEFT JOIN v_topics t ON t.group_id = g.id GROUP BY g.id, g.label, g.ord""", "v_groups", "v_topics"))
+SELECT g.id AS group_id, g.label, g.ord, count(DISTINCT t.topic_id) AS n_topics,
+  string_agg(DISTINCT t.topic_id, ',' ORDER BY t.topic_id) AS topic_ids, count(DISTINCT l.article_uid) AS n_articles, count(l.article_uid) AS n_links
+FROM v_groups g LEFT JOIN v_topics t ON t.group_id = g.id LEFT JOIN q_article_tags l ON l.tag_id = t.topic_id
+GROUP BY g.id, g.label, g.ord""", *CLASSIFY_VIEWS, "v_groups", extra=SQL_CLASSIFY))
 def catalog_by_group(spark, sf_dir):
+    """The catalogue's groups with their topics, and the articles that carry one of these."""
     c = Ctx(spark, sf_dir)
-    t = c.topics()
-    g = c.groups()
-    j = g.join(t, t.group_id == g.id, "left").groupBy(g.id.alias("group_id"), g.label, g.ord).agg(
-        F.count("topic_id").alias("n_topics"),
+    t, g, links = c.topics(), c.groups(), c.article_tags()
+    # links are counted by topic and article-group before they meet the (small) catalogue
+    n_links = links.groupBy(F.col("tag_id").alias("topic_id")).agg(F.count(F.lit(1)).alias("links"))
+    n_articles = links.join(t.select(F.col("topic_id").alias("tag_id"), "group_id"), "tag_id").groupBy("group_id").agg(
+        F.count_distinct("article_uid").alias("n_articles"))
+    j = g.join(t.join(n_links, "topic_id", "left"), t.group_id == g.id, "left").groupBy(g.id.alias("group_id"), g.label, g.ord).agg(
+        F.count("topic_id").alias("n_topics"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
         F.array_join(F.array_sort(F.collect_list("topic_id")), ",").alias("topic_ids"))
-    return j.select("group_id", "label", "ord", "n_topics", F.when(F.col("n_topics") > 0, F.col("topic_ids")).alias("topic_ids"))
+    return j.join(n_articles, "group_id", "left").select(
+        "group_id", "label", "ord", "n_topics", F.when(F.col("n_topics") > 0, F.col("topic_ids")).alias("topic_ids"),
+        F.coalesce("n_articles", F.lit(0)).alias("n_articles"), "n_links")
 
 
 _OLD_TAGS = "SELECT CASE WHEN id IN ('t03', 't04') THEN 'old-' || id ELSE id END AS id, label FROM v_tags"
@@ -42,13 +50,15 @@ _OLD_TAGS = "SELECT CASE WHEN id IN ('t03', 't04') THEN 'old-' || id ELSE id END
 @query("label_conflicts", "E-14", with_views(f"""
 SELECT 'id_with_labels' AS kind, id AS key, count(DISTINCT label) AS n FROM q_all GROUP BY id HAVING count(DISTINCT label) > 1
 UNION ALL SELECT 'label_with_ids', label, count(DISTINCT id) FROM q_all GROUP BY label HAVING count(DISTINCT id) > 1""",
-    "v_tags", extra={"q_all": f"SELECT id, label FROM v_tags UNION ALL {_OLD_TAGS} UNION ALL SELECT id, label || ' (renamed)' FROM v_tags WHERE id = 't01'"}))
+    "v_tags", extra={"q_all": f"SELECT id, label FROM v_tags UNION ALL {_OLD_TAGS} UNION ALL SELECT id, label || ' (renamed)' FROM v_tags WHERE id = 't01' UNION ALL SELECT source, lang FROM documents"}))
 def label_conflicts(spark, sf_dir):
+    """The catalogue with moved and renamed tags, and the documents' own labels: languages under their sources."""
     c = Ctx(spark, sf_dir)
     t = c.tags()
     moved = t.withColumn("id", F.when(F.col("id").isin("t03", "t04"), F.concat(F.lit("old-"), "id")).otherwise(F.col("id")))
     renamed = t.where(F.col("id") == "t01").withColumn("label", F.concat("label", F.lit(" (renamed)")))
-    allt = t.unionByName(moved).unionByName(renamed).select(F.col("id").alias("topic_id"), "label")
+    given = c.table("documents").select(F.col("source").alias("id"), F.col("lang").alias("label"))
+    allt = t.unionByName(moved).unionByName(renamed).unionByName(given).select(F.col("id").alias("topic_id"), "label")
     return C.label_conflicts(allt).select("kind", "key", "n")
 
 
