@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from litfeed.operators import classify as C
 from litfeed.operators import search as S
+from litfeed.operators import trigrams as G
 from litfeed.plans.common import CLASSIFY_VIEWS, SQL_CLASSIFY, Ctx, sql_ts, ts_text
 from litfeed.plans.oracle_views import with_views
 from litfeed.plans.registry import query
+from litfeed.session import checkpoint_dir
 
 A_COLS = ["uid", "doi", "journal_id", "title", "article_type", "oa_status", "journal_name", "publisher"]
 SQL_A_COLS = "a.uid, a.doi, a.journal_id, a.title, a.article_type, a.oa_status, j.name AS journal_name, j.publisher"
@@ -36,6 +40,16 @@ def search_text_ascii(spark, sf_dir):
     return _listing(S.filtered(c.articles(), c.journals(), None, REQ_TEXT))
 
 
+@query("search_text_indexed", "C-1", _sql_listing(f"contains(translate({_SEARCH_TEXT}, {_ASCII}), translate('Eaux', {_ASCII}))"))
+def search_text_indexed(spark, sf_dir):
+    """The same rows by a written trigram index."""
+    c = Ctx(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/litfeed-trigrams-{uuid.uuid4().hex}"
+    G.build(c.articles(), path)
+    hits = G.search(spark, path, REQ_TEXT.query)
+    return _listing(S.filtered(c.articles().join(hits, "uid", "left_semi"), c.journals(), None, S.SearchRequest()))
+
+
 REQ_DATES = S.SearchRequest(date_from="2024-01-05", date_to="2024-01-10")
 
 
