@@ -45,6 +45,9 @@ FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense b
                       "social related recommended recommendations widget pagination pager login signup signin search skip "
                       "copyright disclaimer".split())
 ARTICLE = frozenset("article post entry content body main story text".split())
+#: Words that may stand beside these in the name of a part inside an article.
+LAYOUT = frozenset("area bar block bottom box btn button buttons col column container footer group header holder icon icons inline inner item "
+                   "items left link links list mobile outer panel placeholder right row section slot small top unit wrap wrapper".split())
 KEPT = frozenset("html body main article".split())
 #: Blocks that hold text of the page whatever their density.
 TEXT = frozenset("h1 h2 h3 h4 h5 h6 p ul ol dl pre table blockquote figure figcaption details".split())
@@ -56,9 +59,11 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
         "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("thead", "tbody"), "body": ("head",)}
 SCOPE = frozenset("table ul ol dl select div article section body html main".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>?|</?[A-Za-z][^<]*\Z""", re.S)
-#: One attribute after the other: name and value; a quoted text without a name is passed over.
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+#: Attributes as browsers read them: quotes have a meaning at the start of a value only.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/=]++|[^\s/>=<]++(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'<][^\s><]*+))?+)*+)>"""
+                   r"""|<[!?][^>]*>?|</?[A-Za-z][^<]*\Z""", re.S)
+#: One attribute after the other: name and value.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -75,9 +80,11 @@ def is_noise(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             for word in value.split():
-                parts = set(PART.split(word))
+                parts = {x for x in PART.split(word) if x and not x.isdigit()}
                 if parts & COMMENTS or parts & FURNITURE and not parts & ARTICLE:
-                    return True
+                    # an article's own section may speak of such things ("related-work"): there the whole name must
+                    if not inside_article or parts <= COMMENTS | FURNITURE | LAYOUT:
+                        return True
     return False
 
 
@@ -92,8 +99,12 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, link, block, at, article = [(0, "#root")], 0, 0, 0, 0
-        seen: set[str] = set()  # tags that were opened at all
+        # open elements; where each name is open, and the scopes: no end tag costs more than what it closes
+        self.stack: list[tuple[int, str]] = [(0, "#root")]
+        self.open: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.link = self.article = 0
+        stack, block, at = self.stack, 0, 0
         while at < len(source):
             m = TOKEN.search(source, at)
             text = source[at:m.start()] if m else source[at:]
@@ -101,7 +112,7 @@ class Page:
                 node = stack[-1][0]
                 if not self.noise[node]:
                     text = entities.unescape(text) if "&" in text else text
-                    self.runs.append((node, block, text, len("".join(text.split())) if link else 0))
+                    self.runs.append((node, block, text, len("".join(text.split())) if self.link else 0))
             if not m:
                 break
             at = m.end()
@@ -109,13 +120,10 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] == tag), 0) if tag in seen else 0
-                if k and not (tag in INLINE and any(t in SCOPE for _, t in stack[k:])):
-                    for _, t in stack[k:]:
-                        link -= t == "a"
-                        article -= t in ("article", "main")
+                k = self._innermost((tag,), tag in INLINE)
+                if k:
+                    self._close(k)
                     block += tag not in INLINE
-                    del stack[k:]
                 elif tag == "p":
                     block += 1
                 continue
@@ -124,20 +132,20 @@ class Page:
                     self.runs.append((stack[-1][0], block, " ", 0))
                 continue
             if tag in BLOCK:  # ends an open paragraph
-                link, article = self._end(stack, ("p",), link, article)
+                self._close(self._innermost(("p",)))
             if tag in ENDS:
-                link, article = self._end(stack, ENDS[tag], link, article)
-            if tag == "a" and link:
-                link, article = self._end(stack, ("a",), link, article)
+                self._close(self._innermost(ENDS[tag]))
+            if tag == "a" and self.link:
+                self._close(self._innermost(("a",)))
             node = stack[-1][0]
             if tag in INLINE:
-                noise = self.noise[node] or is_noise(tag, m[3], article > 0)
+                noise = self.noise[node] or is_noise(tag, m[3], self.article > 0)
                 if noise and not self.noise[node]:
                     node = self._add(tag, node, True)
                 self.links[node] += tag == "a"
             else:
                 block += 1
-                noise = self.noise[node] or is_noise(tag, m[3], article > 0)
+                noise = self.noise[node] or is_noise(tag, m[3], self.article > 0)
                 node = self._add(tag, node, noise)
             if tag in VOID or m[3].endswith("/") and tag not in BLOCK | RAW | INLINE:
                 continue
@@ -145,10 +153,27 @@ class Page:
                 close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(source, at)
                 at = close.end() if close else len(source)
                 continue
+            self.open.setdefault(tag, []).append(len(stack))
+            if tag in SCOPE:
+                self.scopes.append(len(stack))
             stack.append((node, tag))
-            seen.add(tag)
-            link += tag == "a"
-            article += tag in ("article", "main")
+            self.link += tag == "a"
+            self.article += tag in ("article", "main")
+
+    def _innermost(self, tags: tuple, in_scope: bool = True) -> int:
+        """The place of the innermost open element of ``tags`` (0: none); ``in_scope``: unless another scope lies between."""
+        k = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        return 0 if in_scope and self.scopes and self.scopes[-1] > k else k
+
+    def _close(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside of it."""
+        while k and len(self.stack) > k:
+            _, t = self.stack.pop()
+            self.open[t].pop()
+            if t in SCOPE:
+                self.scopes.pop()
+            self.link -= t == "a"
+            self.article -= t in ("article", "main")
 
     def _add(self, tag: str, parent: int, noise: bool) -> int:
         self.tag.append(tag)
@@ -157,20 +182,6 @@ class Page:
         self.links.append(0)
         return len(self.tag) - 1
 
-    def _end(self, stack: list, tags: tuple, link: int, article: int) -> tuple[int, int]:
-        """Ends the innermost open element of ``tags``, unless another scope lies between."""
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i][1]
-            if t in tags:
-                for _, x in stack[i:]:
-                    link -= x == "a"
-                    article -= x in ("article", "main")
-                del stack[i:]
-                break
-            if t in SCOPE:
-                break
-        return link, article
-
     def chosen(self) -> list[bool]:
         """For each node whether its own text belongs to the main text."""
         n = len(self.tag)
@@ -214,6 +225,7 @@ class Page:
         while path[-1] not in (body, 0):
             path.append(self.parent[path[-1]])
         threshold = min(dense[i] for i in path)
+        self.dense, self.total, self.best, self.threshold = dense, total, best, threshold
         # the article is whole: its references, tables and short sections are no menus
         root = next((i for i in path if self.tag[i] in ("article", "main")), best)
         on_path, take, beside = set(path[path.index(root) + 1:]), [False] * n, [False] * n

@@ -1,6 +1,9 @@
 """HTML main text: pages of the tables, hand-made pages, edge cases."""
 
 import html
+import itertools
+import math
+import random
 import re
 import time
 
@@ -66,6 +69,91 @@ def test_broken_or_long_pages_take_linear_time(source):
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("source", ["<i>" * 20_000 + "</b>" * 20_000, "<b><div>" + "<i>" * 20_000 + "</b>" * 20_000,
+                                    "<i>" * 20_000 + "<hr>" * 20_000, "<i>" * 20_000 + "</section>" * 20_000, '<a x="' * 30_001,
+                                    "<p title=it's " * 20_000, "<p ='" * 20_000])
+def test_unmatched_end_tags_and_quotes_take_linear_time(source):
+    began = time.time()
+    main_text("<body><p>" + LONG + "</p>" + source)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<p title=it's>Hello", "Hello"), ("<p title=it's class=a>Hello <b x='>'>you</b>", "Hello you"), ('<p a"b>Hello', "Hello"),
+    ("<a href=/x?a='b'&c>link</a> text", "link text"), ('<p title="a>b" data-x=\'>\'>Hello', "Hello"), ("<p =x>Hello", "Hello")])
+def test_quotes_inside_of_unquoted_values_are_no_quotes(source, want):
+    assert main_text(source) == want
+
+
+@pytest.mark.parametrize("name", ["related-work", "social-history", "notice-of-copyright", "comments-on-the-text", "search-strategy", "ad-hoc-methods"])
+def test_parts_of_an_article_may_speak_of_furniture(name):
+    part = f"<section class='{name}'><p>{LONG}</p></section>"
+    assert main_text(f"<body><article><p>{LONG}</p>{part}</article></body>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["related", "share-buttons", "ad-slot", "newsletter-box", "comments", "cookie-notice", "sidebar-left", "ad-12"])
+def test_furniture_inside_an_article_goes(name):
+    assert main_text(f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article></body>") == LONG
+
+
+def plain_densities(page):
+    """Composite text density of every node by its definition, each from the whole list of texts; and the sums of the children's."""
+    n = len(page.tag)
+
+    def inside(i, top):  # below or at ``top``, with no noise on the way
+        while i != top:
+            if i <= 0 or page.noise[i]:
+                return False
+            i = page.parent[i]
+        return True
+
+    def values(top):
+        mine = [i for i in range(n) if inside(i, top)]
+        runs = [r for r in page.runs if r[0] in mine]
+        return (sum(len("".join(t.split())) for _, _, t, _ in runs), sum(x for *_, x in runs), len(mine) - 1, sum(page.links[i] for i in mine))
+
+    body = page.tag.index("body") if "body" in page.tag else 0
+    c_body, l_body, _, _ = values(body)
+
+    def density(c, lc, t, lt):
+        if not c:
+            return 0
+        t += lt
+        base = math.log(math.log(c / max(1, c - lc) * lc + l_body / max(1, c_body) * c + math.e))
+        return c / max(1, t) * math.log(max(1, c / max(1, lc) * max(1, t) / max(1, lt))) / max(base, 0.1)
+
+    dense = [0 if page.noise[i] else density(*values(i)) for i in range(n)]
+    total = [sum(dense[j] for j in range(1, n) if page.parent[j] == i) for i in range(n)]
+    for (node, _), group in itertools.groupby(page.runs, lambda r: r[:2]):
+        group = list(group)
+        lc = sum(x for *_, x in group)
+        total[node] += density(sum(len("".join(t.split())) for _, _, t, _ in group), lc, 0, 1 if lc else 0)
+    return dense, total
+
+
+def test_densities_sums_and_threshold_against_the_definition():
+    rnd = random.Random(6)
+
+    def made(depth):
+        out = []
+        for _ in range(rnd.randint(1, 4)):
+            words = " ".join(["word"] * rnd.randint(0, 30))
+            kind = rnd.choice(["p", "div", "a", "b", "nav", "ul", "section", "text"])
+            inner = made(depth - 1) if depth and kind in ("div", "section", "nav") else words
+            out.append(inner + " " if kind == "text" else f"<{kind}>{inner}</{kind}>")
+        return "".join(out)
+    for _ in range(60):
+        page = Page(f"<html><body>{made(3)}</body></html>")
+        page.chosen()
+        dense, total = plain_densities(page)
+        assert page.dense == pytest.approx(dense) and page.total == pytest.approx(total)
+        assert total[page.best] == pytest.approx(max(total))
+        path = [page.best]
+        while page.tag[path[-1]] not in ("body", "#root"):
+            path.append(page.parent[path[-1]])
+        assert page.threshold == pytest.approx(min(dense[i] for i in path))
+
+
 def test_density_prefers_text_over_links():
     page = Page("<body><div><a href=1>a long link text here</a><a>another long link text</a></div><div><p>" + LONG + "</p></div></body>")
     assert page.text() == LONG
