@@ -6,6 +6,11 @@ forms. A text is searched for the keywords first; a rule runs only where its key
 by priority, then length, then place; one whose interval lies within that of a detection already taken is suppressed
 (``all rights reserved`` within a BSD notice, ``gnu general public license`` within its versioned form).
 
+Rules read ``licence`` as ``license`` and keep a ``+`` behind a version (``GPL v3+``), which then means "or later"; the words of the
+base are not changed by that. An SPDX expression is read to its end: each identifier joined by ``or`` or ``and`` gives its label.
+GNU licenses have labels for ``-only`` and ``-or-later``. A copyright notice and ``all rights reserved`` are one detection if a
+holder of up to ``HOLDER_WORDS`` words stands between them, and two detections beyond, so neither is lost.
+
 Base phrases (``cc by``, ``general public license``, ``all rights reserved``) are counted at every place, overlapping or not,
 and their labels always stay. Score: ``1 - prod(1 - confidence)`` over detections taken (0: none).
 
@@ -50,8 +55,9 @@ FAMILIES = (
     Family("bsd", r"bsd(?: style)? license", ("bsd",)),
     Family("0bsd", r"(?:zero clause bsd|bsd zero clause)(?: license)?", ("bsd",), (), r"0bsd"),
     Family("gpl", r"(?:gnu )?general public license|gnu gpl|gpl", ("general public license", " gpl "), ("1.0", "2.0", "3.0"), r"gpl"),
-    Family("lgpl", r"(?:gnu )?(?:lesser|library) general public license|gnu lgpl|lgpl", ("lesser general public", "library general public", " lgpl "), ("2.0", "2.1", "3.0"), r"lgpl"),
-    Family("agpl", r"(?:gnu )?affero general public license|gnu agpl|agpl", ("affero general public", " agpl "), ("1.0", "3.0"), r"agpl"),
+    Family("lgpl", r"(?:gnu )?(?:lesser|library) (?:general public license|gpl)|gnu lgpl|lgpl",
+           ("lesser general public", "library general public", "lesser gpl", "library gpl", " lgpl "), ("2.0", "2.1", "3.0"), r"lgpl"),
+    Family("agpl", r"(?:gnu )?affero (?:general public license|gpl)|gnu agpl|agpl", ("affero general public", "affero gpl", " agpl "), ("1.0", "3.0"), r"agpl"),
     Family("gfdl", r"(?:gnu )?free documentation license|gfdl", ("free documentation license", " gfdl "), ("1.1", "1.2", "1.3"), r"gfdl"),
     Family("mpl", r"mozilla public license|mpl", ("mozilla public license", " mpl "), ("1.0", "1.1", "2.0"), r"mpl"),
     Family("epl", r"eclipse public license|epl", ("eclipse public license", " epl "), ("1.0", "2.0"), r"epl"),
@@ -96,6 +102,11 @@ FORMS = (
     (r"{name}", 40, 0.6),
 )
 
+#: Families whose versions come as "only" and "or later".
+GNU = ("gpl", "lgpl", "agpl", "gfdl")
+#: The most words of a holder's name between a copyright year and "all rights reserved" in one detection.
+HOLDER_WORDS = 6
+
 #: Other notices: label, pattern, keywords (one of them is in every match), priority, confidence.
 NOTICES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", ("hereby granted",), 95, 1.0),
@@ -103,11 +114,25 @@ NOTICES = (
     ("bsd", r"redistribution and use in source and binary forms with or without modification", ("redistribution and use",), 95, 1.0),
     ("zlib", r"this software is provided as is without any express or implied warranty in no event", ("implied warranty",), 95, 0.9),
     ("gpl", r"this program is free software you can redistribute it and or modify it", ("free software",), 95, 0.95),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it", ("free software",), 95, 0.95),
+    ("bsd-3-clause", r"contributors may be used to endorse or promote products derived from this software", ("used to endorse",), 95, 0.9),
+    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy", ("hereby granted",), 95, 1.0),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", ("unencumbered software",), 95, 1.0),
+    ("wtfpl", r"you just do what the fuck you want to", ("do what the fuck",), 95, 1.0),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee",
+     ("permission to use",), 95, 0.95),
+    ("apache", r"you may not use this file except in compliance with the license", ("compliance with the license",), 95, 0.8),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public license", ("mozilla public license",), 60, 0.95),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license",
+     ("eclipse public license",), 60, 0.95),
+    ("openssl", r"this product includes software developed by the openssl project", ("openssl project",), 95, 0.95),
+    ("ofl", r"this font software is licensed under the sil open font license", ("open font",), 60, 0.95),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", ("with this deed",), 95, 1.0),
     ("public-domain", r"(?:released|dedicated|placed)? ?(?:in|in ?to|to)? ?the public domain", ("public domain",), 60, 0.7),
     ("proprietary", r"confidential and proprietary|proprietary and confidential|trade secrets? of", ("proprietary", "trade secret"), 60, 0.8),
     ("proprietary", r"no part of this (?:publication|work|document) may be reproduced", ("no part of this",), 75, 0.9),
-    ("copyright", r"(?:copyright|©)(?: c)? (?:(?:19|20)[0-9][0-9] ?)+(?:[^ ]+ ){0,6}?all rights reserved", ("rights reserved",), 65, 0.9),
-    ("copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9]", ("copyright",), 50, 0.6),
+    ("copyright", rf"(?:copyright|©)(?: c)? (?:(?:19|20)[0-9][0-9]\+? ?)+(?:[^ ]+ ){{0,{HOLDER_WORDS}}}?all rights reserved", ("rights reserved",), 65, 0.9),
+    ("copyright", r"copyright(?: c)? (?:19|20)[0-9][0-9]\+?", ("copyright",), 50, 0.6),
     ("reserved", r"all rights reserved", ("rights reserved",), 30, 0.5),
 )
 
@@ -121,14 +146,33 @@ class Rule(NamedTuple):
     confidence: float
 
 
-def _version(v: str) -> str:
+def _number(v: str) -> str:
     major, minor = v.split(".")
-    return rf"(?: only| license| international| unported)?(?: version| v|,)? ?v?{major}" + (rf"(?: {minor})?" if minor == "0" else f" {minor}")
+    return major + (rf"(?: {minor})?" if minor == "0" else f" {minor}")
+
+
+_LATER = (r"(?:\+| of the license| or later)*(?:\+| or later| or newer|(?: or)?(?: at your option)? any later)"
+          r"(?: versions?)?")
+
+
+def _versions(f: Family) -> Iterator[tuple[str, str, int]]:
+    """What may follow a name: label's end, pattern, how much it adds to the priority (the fuller statement wins)."""
+    before = (r"(?: only| license| international| unported)?(?: as published by the free software foundation)?(?: either)?"
+              r"(?: version| v|,)? ?v?")
+    for v in f.versions:
+        yield f"-{v}", before + _number(v) + r"\+?", 5
+        if f.label in GNU:
+            yield f"-{v}-only", before + _number(v) + "(?: of the license)? only", 6
+            yield f"-{v}-or-later", before + _number(v) + _LATER, 6
+
+
+def _rule(order: int, label: str, pattern: str, keys: tuple[str, ...], priority: int, confidence: float) -> Rule:
+    return Rule(order, label, re.compile((r"(?<= )(?:" + pattern + r")(?= )").encode()), keys, priority, confidence)
 
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, in their order (compiled once a process)."""
+    """All rules over the words, in their order (compiled once a process)."""
     found = list(NOTICES)
     for f in FAMILIES:
         for form, priority, confidence in FORMS:
@@ -136,16 +180,39 @@ def rules() -> tuple[Rule, ...]:
                 continue
             core, keys = form.format(ident=f"(?:{f.ident})", name=f"(?:{f.name})"), f.keywords
             if "{ident}" in form:
-                keys = ("spdx license identifier",)
+                keys = (SPDX,)
             elif form == "{name}" and f.label == "mit":  # the bare word is no statement
                 core = r"mit(?: x11)? license|expat license"
             elif form == "{name}" and f.label == "apache":
                 core = r"apache(?: software)? license"
             found.append((f.label, core, keys, priority, confidence))
-            for v in f.versions:  # a version makes a statement more certain, and its rule comes first
-                found.append((f"{f.label}-{v}", f"(?:{core})" + _version(v), keys, priority + 5, min(1.0, confidence + 0.05)))
-    return tuple(Rule(i, label, re.compile((r"(?<= )(?:" + pattern + r")(?= )").encode()), keys, priority, confidence)
-                 for i, (label, pattern, keys, priority, confidence) in enumerate(found))
+            for end, follows, more in _versions(f):  # a version makes a statement more certain, and its rule comes first
+                found.append((f.label + end, f"(?:{core})" + follows, keys, priority + more, min(1.0, confidence + 0.05)))
+    return tuple(_rule(i, *r) for i, r in enumerate(found))
+
+
+#: What opens an SPDX expression, in words.
+SPDX = "spdx license identifier"
+
+
+@lru_cache(maxsize=1)
+def expression() -> tuple[re.Pattern, tuple[Rule, ...]]:
+    """An SPDX expression of known identifiers joined by ``or`` and ``and``, and the rules that hold inside one."""
+    found = []
+    for f in FAMILIES:
+        if f.ident:
+            found.append((f.label, f.ident, (SPDX,), 89, 1.0))
+            for v in f.versions:
+                exact = f"(?:{f.ident}) {_number(v)}"
+                found.append((f"{f.label}-{v}", exact + r"\+?", (SPDX,), 94, 1.0))
+                if f.label in GNU:
+                    found.append((f"{f.label}-{v}-only", exact + " only", (SPDX,), 95, 1.0))
+                    found.append((f"{f.label}-{v}-or-later", exact + r"(?:\+| or later)", (SPDX,), 95, 1.0))
+    start = len(rules())
+    one = "(?:" + "|".join(f"(?:{f.ident})" for f in sorted(FAMILIES, key=lambda f: -len(f.ident)) if f.ident)
+    one += r")(?: [0-9]+)*\+?(?: only| or later)?(?= )"
+    whole = re.compile(f"(?<= ){SPDX} {one}(?: (?:or|and) {one})*".encode())
+    return whole, tuple(_rule(start + i, *r) for i, r in enumerate(found))
 
 
 @lru_cache(maxsize=1)
@@ -164,6 +231,9 @@ def prefilter():
 
 
 _WORD_BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+_RULE_BYTES = bytes(43 if c == 43 else _WORD_BYTES[c] for c in range(256))
+#: A plus that is no part of a version.
+_OTHER_PLUS = re.compile(rb"(?<![0-9])\+|\+(?=[0-9A-Za-z\x80-\xff])")
 
 
 class Detection(NamedTuple):
@@ -180,6 +250,13 @@ def stream(text: bytes) -> tuple[bytes, int]:
     return b" " + b" ".join(words) + b" ", len(words)
 
 
+def rule_stream(text: bytes) -> bytes:
+    """The stream that rules read, of as many words: British spelling as American, a plus kept behind a version."""
+    if b"+" in text:
+        text = _OTHER_PLUS.sub(b" ", text)
+    return (b" " + b" ".join(text.translate(_RULE_BYTES).split()) + b" ").replace(b" licence", b" license")
+
+
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word positions at which a phrase stands (places may overlap)."""
     found, at, words, seen = [], joined.find(phrase), 0, 0
@@ -191,17 +268,30 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return found
 
 
-def detect(joined: bytes) -> list[Detection]:
-    """Detections taken in the stream of a text, in order of place."""
+def matches(joined: bytes) -> list[tuple]:
+    """All matches of the opened rules: priority and length (negative), start, rule, end, detection."""
     opened = {k: orders for _, (k, orders) in prefilter().iter(joined.decode(errors="replace"))}
+    whole, inside = expression()
+    everywhere = [(0, len(joined))]
+    work = [(rules()[order], everywhere) for order in {x for orders in opened.values() for x in orders}]
+    if SPDX in opened:
+        spans = [(m.start(), m.end() + 1) for m in whole.finditer(joined)]
+        work += [(r, spans) for r in inside]
     found = []
-    for order in {x for orders in opened.values() for x in orders}:
-        r, first, seen = rules()[order], -1, 0
-        for m in r.pattern.finditer(joined):
-            first += joined.count(b" ", seen, m.start())
-            seen = m.start()
-            found.append((-r.priority, -(m.end() - m.start()), m.start(), r.order, m.end(),
-                          Detection(first, first + m[0].count(b" "), r.label, r.priority, r.confidence)))
+    for r, spans in work:
+        first, seen = -1, 0
+        for lo, hi in spans:
+            for m in r.pattern.finditer(joined, lo, hi):
+                first += joined.count(b" ", seen, m.start())
+                seen = m.start()
+                found.append((-r.priority, -(m.end() - m.start()), m.start(), r.order, m.end(),
+                              Detection(first, first + m[0].count(b" "), r.label, r.priority, r.confidence)))
+    return found
+
+
+def detect(joined: bytes) -> list[Detection]:
+    """Detections taken in the rule stream of a text, in order of place."""
+    found = matches(joined)
     # by priority; the furthest end of a taken detection that starts no later, from a tree of prefix maxima
     place = {a: i + 1 for i, a in enumerate(sorted({x[2] for x in found}))}
     furthest, taken = [0] * (len(place) + 1), []
@@ -222,7 +312,7 @@ def scan_text(text: bytes) -> dict:
     joined, n = stream(text)
     base = {p: _places(joined, f" {p} ".encode()) for p in PHRASES}
     places = [x for found in base.values() for x in found]
-    detections = detect(joined)
+    detections = detect(rule_stream(text))
     miss = 1.0
     for d in detections:
         miss *= 1 - d.confidence

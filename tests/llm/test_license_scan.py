@@ -2,6 +2,7 @@
 
 import random
 import re
+from math import prod
 
 import pytest
 
@@ -113,6 +114,58 @@ def test_short_names_are_found():
     assert L.scan_text(b"licensed under CC Attribution 4.0 now")["labels"] == "cc-by-4.0"
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+    ("// SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR CC0-1.0", {"gpl-2.0-or-later", "bsd-3-clause", "cc0-1.0"}),
+    ("SPDX-License-Identifier: GPL-2.0-only\nmit der Zeit", {"gpl-2.0-only"}), ("GPL-2.0-or-later", {"gpl-2.0-or-later"}),
+    ("Affero GPL v3+", {"agpl-3.0-or-later"}), ("GNU General Public Licence version 3", {"gpl-3.0"}), ("MIT licence", {"mit"}),
+    ("under the terms of the GNU Lesser GPL, version 2.1 only", {"lgpl-2.1-only"}), ("GNU GPL v2.", {"gpl-2.0"}),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+     {"gpl", "gpl-3.0-or-later"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl", "mpl-2.0"}),
+    ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ("Copyright 2020 A B C D E F G H I. All rights reserved", {"copyright", "reserved"}), ("C++ 3+4 gpl+", {"gpl"})])
+def test_statements_as_they_are_written(text, labels):
+    assert set(filter(None, L.scan_text(text.encode())["labels"].split(","))) == labels
+
+
+def test_rule_stream_has_the_words_of_the_base():
+    rnd = random.Random(8)
+    for _ in range(2000):
+        text = "".join(rnd.choice(["+", "3", "a", " ", "licence", "é", ".", "-"]) for _ in range(rnd.randint(0, 12))).encode()
+        assert len(L.rule_stream(text).split()) == L.stream(text)[1], text
+
+
+def test_suppression_against_a_plain_model():
+    """Every rule is run without the keyword gate, and every detection taken is compared with every other."""
+    rnd = random.Random(5)
+    pieces = ["SPDX-License-Identifier:", "MIT", "OR", "Apache-2.0", "GPL-2.0-or-later", "under the terms of the", "GNU", "Lesser",
+              "General Public License", "version 2.1", "v3+", "only", "licensed under", "CC BY-SA 4.0", "Copyright 2021 Ann",
+              "All rights reserved", "public domain", "word", "mit"]
+    whole, inside = L.expression()
+    taken_any = 0
+    for _ in range(300):
+        joined = L.rule_stream(" ".join(rnd.choices(pieces, k=rnd.randint(1, 14))).encode())
+        spans = [m.span() for m in whole.finditer(joined)]
+        found = [(r, m) for r in L.rules() for m in r.pattern.finditer(joined)]
+        found += [(r, m) for r in inside for a, b in spans for m in r.pattern.finditer(joined, a, b + 1)]
+        found.sort(key=lambda x: (-x[0].priority, x[1].start() - x[1].end(), x[1].start(), x[0].order))
+        taken = []
+        for r, m in found:
+            if not any(a <= m.start() and m.end() <= b for _, a, b in taken):
+                taken.append((r, m.start(), m.end()))
+        want = sorted((joined[:a].count(b" ") - 1, joined[:b].count(b" ") - 1, r.label) for r, a, b in taken)
+        got = L.detect(joined)
+        assert sorted((d.first, d.last, d.label) for d in got) == want
+        miss = 1.0
+        for r, _, _ in taken:
+            miss *= 1 - r.confidence
+        assert abs((1 - miss) - (1 - prod(1 - d.confidence for d in got))) < 1e-12
+        taken_any += len(taken)
+    assert taken_any > 300
+
+
 def test_many_detections_in_one_text_are_fast():
     got = L.scan_text(b"cc by " * 50_000)
     assert got["n_base"] == 50_000 and len(got["detections"]) == 50_000 and got["last_word"] == 99_998
