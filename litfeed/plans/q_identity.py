@@ -14,6 +14,7 @@ from litfeed.operators import tags as T
 from litfeed.plans.common import Ctx, sql_casefold, sql_ts, ts_text
 from litfeed.plans.oracle_views import with_views
 from litfeed.plans.registry import query
+from litfeed.sources.standins import read
 
 SQL_ID = {
     "q_url": """
@@ -272,3 +273,43 @@ def conflict_resolution(spark, sf_dir):
     a = arts.withColumn("published_at", ts_text("published_at")).select(
         F.lit("article").alias("kind"), F.lit(None).cast("long").alias("seq"), *fields, F.lit(None).cast("string").alias("error_class"))
     return a.unionByName(q)
+
+
+@query("identity_lookup", "D-1 on stored rows: DOI, then alias or own URL, then UID", with_views("""
+SELECT seq, uid, array_to_string(list_filter(rest, lambda x: x IS NOT NULL AND x <> uid), ',') AS merges, repairs, conflict
+FROM (SELECT i.seq, coalesce(d.uid, a.uid, o.uid, n.uid) AS uid,
+    CASE WHEN n.uid = coalesce(a.uid, o.uid) THEN [coalesce(a.uid, o.uid)] ELSE [coalesce(a.uid, o.uid), n.uid] END AS rest,
+    a.uid IS NULL AND o.uid IS NOT NULL AS repairs,
+    (SELECT count(DISTINCT x) > 1 FROM (SELECT unnest([i.doi, d.doi, coalesce(a.row, o.row).doi, n.doi]) AS x))
+      OR coalesce(d.journal_id <> i.journal_id, false) OR coalesce(coalesce(a.row, o.row).journal_id <> i.journal_id, false)
+      OR coalesce(n.journal_id <> i.journal_id, false) AS conflict
+  FROM q_named i LEFT JOIN v_articles d ON d.doi = i.doi
+  LEFT JOIN (SELECT t.normalized_url, v.uid, {'doi': v.doi, 'journal_id': v.journal_id} AS row
+             FROM q_alias t JOIN v_articles v ON v.uid = t.article_uid) a ON a.normalized_url = i.url
+  LEFT JOIN (SELECT article_url, uid, {'doi': doi, 'journal_id': journal_id} AS row FROM v_articles) o ON o.article_url = i.url
+  LEFT JOIN v_articles n ON n.uid = i.named_uid)""", "v_articles", extra={
+    "q_alias": """
+SELECT article_url AS normalized_url, uid AS article_uid FROM v_articles WHERE CAST(substring(uid, 5) AS BIGINT) % 5 <> 0
+UNION ALL SELECT replace(article_url, '/a/', '/old/'), uid FROM v_articles WHERE CAST(substring(uid, 5) AS BIGINT) % 3 = 0""",
+    "q_named": """
+SELECT doc_id AS seq, CASE WHEN doc_id % 3 = 0 THEN '10.5555/d' || doc_id END AS doi,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://ex.org/a/' || (doc_id + 1) ELSE 'https://ex.org/old/' || doc_id END AS url,
+  CASE doc_id % 7 WHEN 0 THEN 'doc:' || (doc_id + 2) WHEN 1 THEN 'doc:' || doc_id END AS named_uid, source AS journal_id
+FROM documents"""}))
+def identity_lookup(spark, sf_dir):
+    """Every document as an incoming item that names stored articles by DOI, by a neighbour's or an older URL, and by UID; the aliases
+    of every fifth article are lost."""
+    ctx = Ctx(spark, sf_dir)
+    articles = ctx.articles().withColumnRenamed("article_url", "normalized_url").select("uid", "doi", "journal_id", "normalized_url")
+    n = F.substring("uid", 5, 20).cast("long")
+    alias = articles.where(n % 5 != 0).select("normalized_url", F.col("uid").alias("article_uid")).unionByName(
+        articles.where(n % 3 == 0).select(F.replace("normalized_url", F.lit("/a/"), F.lit("/old/")).alias("normalized_url"),
+                                          F.col("uid").alias("article_uid")))
+    d = F.col("doc_id")
+    uid = lambda x: F.concat(F.lit("doc:"), x.cast("string"))
+    items = read(spark, sf_dir, "documents").select(
+        d.alias("seq"), F.when(d % 3 == 0, F.concat(F.lit("10.5555/d"), d.cast("string"))).alias("doi"),
+        F.when(d % 2 == 0, F.concat(F.lit("https://ex.org/a/"), (d + 1).cast("string"))).otherwise(
+            F.concat(F.lit("https://ex.org/old/"), d.cast("string"))).alias("url"),
+        F.when(d % 7 == 0, uid(d + 2)).when(d % 7 == 1, uid(d)).alias("named_uid"), F.col("source").alias("journal_id"))
+    return I.lookup(items, articles, alias).select("seq", "uid", F.array_join("merges", ",").alias("merges"), "repairs", "conflict")

@@ -6,7 +6,8 @@
 1. parses and canonicalises the new bodies (quarantining bad ones), drops
    items already applied (key: feed, body seq, item index; J-4);
 2. finds the stored articles the batch touches: same DOI, or a URL alias of a
-   batch URL (one hop is enough: identities are stars);
+   batch URL (one hop is enough: identities are stars), a row whose own URL or
+   UID a batch item names (an alias that was lost is written again);
 3. folds the batch into just those entities: each touched article enters as
    one state item carrying its values and provenance flags, its aliases as
    link-only items, all ordered before the batch, then ``identity.resolve`` +
@@ -65,7 +66,7 @@ def order_key(batch_id: int):
 def _batch_items(events: DataFrame, batch_id: int) -> DataFrame:
     ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
     return events.select(
-        order_key(batch_id).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", *FIELDS,
+        order_key(batch_id).alias("seq"), F.col("normalized_url").alias("url"), "doi", "journal_id", F.col("uid").alias("named_uid"), *FIELDS,
         *[F.array_contains(ef, f).alias(f"{f}_enr") for f in FIELDS],
         "metadata_status", "article_url", "source_feed_url",
         F.lit(False).alias("is_alias"), F.lit(None).cast("string").alias("stored_uid"),
@@ -89,21 +90,69 @@ def _state_items(articles: DataFrame, aliases: DataFrame, base: Decimal) -> Data
     return st.unionByName(al)
 
 
-def resolved_items(items: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Named:
+    """What UIDs say about a batch beyond DOIs and URLs. ``rows``: (uid, root, since) of stored rows that are one; ``urls``: (url, root),
+    the URLs that stand for a stored row; ``anchors``: (root, anchor), one URL for all of a row's; ``merging``: (seq) of items that unite rows."""
+    rows: DataFrame
+    urls: DataFrame
+    anchors: DataFrame
+    merging: DataFrame
+
+
+def named_rows(look: DataFrame, items: DataFrame, arts: DataFrame, aliases: DataFrame) -> Named | None:
+    """The rows that the items of ``look`` (``identity.lookup``) name by UID, and those without a DOI that have several URLs; None: there are
+    none, DOIs and URLs tell all."""
+    by_uid = look.where(F.col("uid_uid").isNotNull() & ~F.col("conflict"))
+    merging = by_uid.where(F.array_contains("merges", F.col("uid_uid")))
+    lost = by_uid.where(F.col("uid") == F.col("uid_uid")).join(items.select("seq", "url"), "seq").select("url", "uid").join(
+        aliases.select(F.col("normalized_url").alias("url")), "url", "left_anti").join(
+        arts.select(F.col("normalized_url").alias("url")), "url", "left_anti").distinct()
+    owned = aliases.select(F.col("normalized_url").alias("url"), F.col("article_uid").alias("uid")).unionByName(
+        arts.select(F.col("normalized_url").alias("url"), "uid").join(
+            aliases.select(F.col("normalized_url").alias("url")), "url", "left_anti")).unionByName(lost).distinct().checkpoint(eager=True)
+    plain = arts.where(F.col("doi").isNull()).select("uid")
+    if merging.isEmpty() and owned.join(plain, "uid").groupBy("uid").count().where("count > 1").isEmpty() and lost.isEmpty():
+        return None
+    rows = I.united(merging.select(F.col("uid_uid").alias("loser"), F.col("uid").alias("survivor"), "seq")).checkpoint(eager=True)
+    # rows named by one root, rows without a DOI, and rows that a UID alone names keep their URLs together
+    every = arts.select("uid").join(rows, "uid", "left").select("uid", F.coalesce("root", "uid").alias("root"))
+    urls = owned.join(every, "uid").select("url", "root")
+    anchors = arts.select(F.col("uid").alias("root"), F.col("normalized_url").alias("anchor"))
+    return Named(rows, urls.checkpoint(eager=True), anchors, merging.select("seq"))
+
+
+def anchored(items: DataFrame, named: Named | None) -> DataFrame:
+    """Items whose ``url`` is the one URL of their row (``own_url``: as given)."""
+    items = items.withColumn("own_url", F.col("url"))
+    if named is None:
+        return items
+    one = named.urls.join(named.anchors, "root").groupBy("url").agg(F.min("anchor").alias("anchor"))
+    return items.join(one, "url", "left").withColumn("url", F.coalesce("anchor", "url")).drop("anchor")
+
+
+def resolved_items(items: DataFrame, named: Named | None = None) -> DataFrame:
     """State + batch items of the touched entities with entity, phase and the uid that survives."""
-    resolved = I.resolve(items)
+    resolved = I.resolve(anchored(items, named))
+    if named is not None:  # a row that another one takes in ranks below it, from the item on that names both
+        losers = named.rows.where(F.col("uid") != F.col("root")).select(F.col("uid").alias("stored_uid"), F.col("root").alias("su_root"), "since")
+        resolved = resolved.join(losers, "stored_uid", "left").withColumn(
+            "phase", F.when(F.col("since").isNotNull(), -F.col("since")).otherwise(F.col("phase"))).drop("since")
+    else:
+        resolved = resolved.withColumn("su_root", F.lit(None).cast("string"))
     keep = resolved.groupBy("entity").agg(
         F.max(F.when(F.col("stored_uid").isNotNull() & F.col("doi").isNotNull(), F.col("stored_uid"))).alias("su_doi"),
         F.max(F.when(F.col("stored_uid").isNotNull() & (F.col("url") == F.col("f_url")), F.col("stored_uid"))).alias("su_f"),
-        F.max("stored_uid").alias("su_any"), F.max("doi").alias("e_doi"))
-    return resolved.join(keep, "entity").withColumn(
-        "uid", F.coalesce("su_doi", "su_f", F.when(F.col("e_doi").isNull(), F.col("su_any")), F.col("uid"))).drop(
-        "su_doi", "su_f", "su_any", "e_doi")
+        F.max("stored_uid").alias("su_any"), F.max("doi").alias("e_doi"), F.max("su_root").alias("su_root"))
+    return resolved.drop("su_root").join(keep, "entity").withColumn(
+        "uid", F.coalesce("su_root", "su_doi", "su_f", F.when(F.col("e_doi").isNull(), F.col("su_any")), F.col("uid"))).drop(
+        "su_root", "su_doi", "su_f", "su_any", "e_doi")
 
 
 def fold_entities(resolved: DataFrame, found: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
     """``resolved_items`` and the batch's outcomes -> (articles, url_aliases). ``at``: the time of the batch's items."""
     now = F.lit(at).cast("timestamp")
+    resolved = resolved.withColumn("url", F.col("own_url"))
     merged = M.merge(resolved, fields=FIELDS)
     real = ~F.col("is_alias")
     changed = found.groupBy("entity").agg(F.bool_or(F.col("outcome") != "skipped").alias("changed"))
@@ -154,22 +203,34 @@ def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: D
     base = Decimal(batch_id) * BATCH_SPAN
     if old_arts is None:
         rejected = K.contradictions(new_items).checkpoint(eager=True)
-        items = new_items.join(rejected, "seq", "left_anti")
+        items, named = new_items.drop("named_uid").join(rejected, "seq", "left_anti"), None
         touched = new_items.select(F.col("stored_uid").alias("uid")).where("false")
     else:
         b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
         b_dois = bounded_broadcast(new_items.where(F.col("doi").isNotNull()).select("doi").distinct())
+        b_uids = bounded_broadcast(new_items.where(F.col("named_uid").isNotNull()).select(F.col("named_uid").alias("uid")).distinct())
         touched = (old_alias.join(b_urls, "normalized_url", "left_semi").select(F.col("article_uid").alias("uid"))
-                   .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
+                   .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid"))
+                   .unionByName(old_arts.join(b_urls, "normalized_url", "left_semi").select("uid"))
+                   .unionByName(old_arts.join(b_uids, "uid", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
         t_arts = old_arts.join(touched, "uid", "left_semi")
         t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
         stored = t_alias.join(t_arts.select(F.col("uid").alias("article_uid"), "doi", "journal_id"), "article_uid").select(
             F.col("normalized_url").alias("url"), "doi", "journal_id")
         fixed = K.claims(stored.withColumn("seq", F.lit(0))).drop("seq")
-        rejected = K.contradictions(new_items, fixed).checkpoint(eager=True)
-        items = _state_items(t_arts, t_alias, base).unionByName(new_items.join(rejected, "seq", "left_anti"))
-    resolved = resolved_items(items).checkpoint(eager=True)
-    found = O.outcomes(resolved, FIELDS, chunk=1 << 20, latest=LATEST).where(F.col("seq") >= F.lit(base).cast(WIDE)).checkpoint(eager=True)
+        look = I.lookup(new_items, t_arts, t_alias).checkpoint(eager=True)
+        against = look.where(F.col("conflict") & F.col("uid_uid").isNotNull()).select("seq")
+        rejected = K.contradictions(new_items.join(against, "seq", "left_anti"), fixed).unionByName(against).checkpoint(eager=True)
+        kept = new_items.join(rejected, "seq", "left_anti")
+        named = named_rows(look.join(rejected, "seq", "left_anti"), kept, t_arts, t_alias)
+        items = _state_items(t_arts, t_alias, base).unionByName(kept.drop("named_uid"))
+    resolved = resolved_items(items, named).checkpoint(eager=True)
+    latest = LATEST if named is None else (*LATEST, "own_url")
+    found = O.outcomes(resolved, FIELDS, chunk=1 << 20, latest=latest).where(F.col("seq") >= F.lit(base).cast(WIDE))
+    if named is not None:
+        found = found.join(named.merging.withColumn("unites", F.lit(True)), "seq", "left").withColumn(
+            "outcome", F.when(F.col("unites"), "updated").otherwise(F.col("outcome"))).drop("unites")
+    found = found.checkpoint(eager=True)
     folded, aliases = fold_entities(resolved, found, at)
     survivors = resolved.where(F.col("stored_uid").isNotNull()).select(F.col("stored_uid").alias("uid"), F.col("uid").alias("survivor_uid"))
     return Upserted(folded.checkpoint(eager=True), aliases, touched, survivors, rejected, found)
