@@ -17,7 +17,9 @@ Three physical strategies give the same rows:
   boundary regex). No shuffle of the corpus at all.
 * ``tokens``: every field is cut into distinct tokens, joined on the rule's
   anchor token (equi-join, works for catalogues of any size), and only the
-  candidate (field, rule) pairs are re-checked with the boundary regex.
+  candidate (field, rule) pairs are re-checked with the boundary regex. The
+  anchor is the keyword's rarest token in the corpus, so "of the laser" is
+  tried where "laser" stands, not in every text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window
 
 from litfeed.functions.text import TOKEN_CLASS, clean_text, visible_text, match_normalize, match_normalize_exact
 from litfeed.operators.util import bounded_broadcast, ensure_parallel, single_row
+from litfeed.session import checkpoint_dir
 
 # Up to this many rules the catalogue is embedded in the plan as literals.
 MAX_LITERAL_RULES = 512
@@ -66,6 +69,16 @@ def compile_rules(rules: DataFrame, exact: bool = False) -> DataFrame:
     return out.withColumn("pattern", pattern).withColumn("anchor", F.when(anchor != "", anchor))
 
 
+def rarest_anchors(compiled: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``compiled`` with the anchor that the fewest of ``tokens`` (uid, field, token: those of the corpus that stand in a keyword) name;
+    ties: the smallest. A hit has no token character beside the keyword, so each token of the keyword is a token of the text."""
+    seen = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    of_rule = compiled.select("kw", F.explode(F.array_distinct(F.regexp_extract_all("kw", F.lit(f"[{TOKEN_CLASS}]+"), 0))).alias("token")).distinct()
+    best = of_rule.join(seen, "token", "left").groupBy("kw").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("anchor"))
+    return compiled.drop("anchor").join(best, "kw")
+
+
 def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "tokens", exact: bool = False) -> DataFrame:
     """Distinct (uid, topic_id) pairs whose keyword hits title or abstract."""
     compiled = compile_rules(rules, exact).select("topic_id", "kw", "pattern", "anchor")
@@ -75,10 +88,15 @@ def keyword_hits(fields: DataFrame, rules: DataFrame, method: str = "tokens", ex
         cond = F.expr("contains(text, kw) AND text RLIKE pattern")
         pairs = fields.join(F.broadcast(compiled), cond, "inner")
     elif method == "tokens":
+        checkpoint_dir(fields.sparkSession)
+        tokened = compiled.where(F.col("anchor").isNotNull())
+        of_rules = tokened.select(F.explode(F.regexp_extract_all("kw", F.lit(f"[{TOKEN_CLASS}]+"), 0)).alias("token")).distinct()
         toks = fields.select(
             "uid", "field",
             F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"[{TOKEN_CLASS}]+"), 0))).alias("token"))
-        anchored = bounded_broadcast(compiled.where(F.col("anchor").isNotNull()))
+        # narrow rows, read twice: to count the tokens and to find the candidates
+        toks = toks.join(bounded_broadcast(of_rules), "token", "left_semi").checkpoint(eager=True)
+        anchored = bounded_broadcast(rarest_anchors(tokened, toks))
         cands = toks.join(anchored, toks.token == anchored.anchor).select("uid", "field", "topic_id", "kw", "pattern")
         # one row per (uid, field) with its candidate rules, so the text is joined once, not once per candidate
         per_field = cands.groupBy("uid", "field").agg(

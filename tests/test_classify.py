@@ -84,3 +84,21 @@ def test_gated_topics_do_not_open_each_other(spark, method):
     needs = {"laser": ("magnetism",), "spin": ("optics",)}
     keys = {k: KEYWORDS[k] for k in ("laser", "spin", "greek")}
     assert run(spark, [("laser and magnon", None), ("ωμέγα laser", None)], method, keywords=keys, needs=needs) == [set(), {"greek"}]
+
+
+def test_rare_tokens_are_the_anchors_of_a_large_catalogue(spark):
+    """20,000 rules that all begin with words of every text: candidates follow the hits, and hits equal a plain search."""
+    rnd = random.Random(11)
+    texts = [" of the ".join(f"w{rnd.randrange(40_000)}" for _ in range(12)) + " of the" for _ in range(200)]
+    arts = spark.createDataFrame([(f"a{i}", t, None) for i, t in enumerate(texts)], "uid string, title string, abstract string")
+    rules = spark.createDataFrame([(f"t{i}", f"of the w{i}") for i in range(20_000)], "topic_id string, keyword string")
+    want = {(f"a{i}", f"t{w}") for i, t in enumerate(texts) for w in map(int, re.findall(r"(?<=of the w)\d+", t)) if w < 20_000}
+    fields = C.match_fields(arts)
+    assert {tuple(r) for r in C.keyword_hits(fields, rules, "tokens").collect()} == want
+    compiled = C.compile_rules(rules)
+    tokens = fields.where("text IS NOT NULL").selectExpr("uid", "field", "explode(array_distinct(split(text, ' '))) AS token")
+    anchored = C.rarest_anchors(compiled, tokens).select("topic_id", "anchor").checkpoint()
+    assert anchored.count() == 20_000 and anchored.where("anchor IN ('of', 'the')").count() == 0
+    candidates = tokens.join(anchored, tokens.token == anchored.anchor).count()
+    by_first = tokens.join(compiled.select("anchor"), tokens.token == compiled.anchor).count()
+    assert len(want) <= candidates <= 2 * len(want) and by_first == 20_000 * 200
