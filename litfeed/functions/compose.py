@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from litfeed.functions.binding import let
 
 _PLANE = range(0x80, 0x10000)
-_START = "\x01"
+START = "\x01"
 
 
 @lru_cache(maxsize=1)
@@ -27,13 +27,13 @@ def _tables() -> tuple[str, str, str, str]:
                 pairs[apart] = c
             elif len(whole) == 1 and whole != c:
                 single[c] = whole
-    classes = "".join(f"{_START}{c}{unicodedata.combining(c):03d}" for c in map(chr, _PLANE) if unicodedata.combining(c))
-    return "".join(_START + k + v for k, v in pairs.items()), classes, "".join(single), "".join(single.values())
+    classes = "".join(f"{START}{c}{unicodedata.combining(c):03d}" for c in map(chr, _PLANE) if unicodedata.combining(c))
+    return "".join(START + k + v for k, v in pairs.items()), classes, "".join(single), "".join(single.values())
 
 
-def _entry(table: str, key: Column, size: int) -> Column:
+def entry(table: str, key: Column, size: int) -> Column:
     """The ``size`` characters that follow a key of known length in a table."""
-    at = F.instr(F.lit(table), F.concat(F.lit(_START), key))
+    at = F.instr(F.lit(table), F.concat(F.lit(START), key))
     return F.when(at > 0, F.substr(F.lit(table), at + F.length(key) + 1, F.lit(size)))
 
 
@@ -41,7 +41,7 @@ def _cluster(text: Column) -> Column:
     """A character with its marks: marks in the order of their classes, then joined to the character while they can be."""
     pairs, classes, _, _ = _tables()
     marks = F.sort_array(F.transform(F.split(F.substr(text, F.lit(2)), ""), lambda m, i: F.struct(
-        F.coalesce(_entry(classes, m, 3).cast("int"), F.lit(0)).alias("c"), i.alias("i"), m.alias("m"))))
+        F.coalesce(entry(classes, m, 3).cast("int"), F.lit(0)).alias("c"), i.alias("i"), m.alias("m"))))
 
     def step(s: Column, m: Column) -> Column:
         def joined(whole: Column) -> Column:
@@ -49,7 +49,7 @@ def _cluster(text: Column) -> Column:
             return F.struct(F.when(free, whole).otherwise(s["base"]).alias("base"),
                             F.when(free, s["rest"]).otherwise(F.concat(s["rest"], m["m"])).alias("rest"),
                             F.when(free, s["last"]).otherwise(m["c"]).alias("last"))
-        return let(_entry(pairs, F.concat(s["base"], m["m"]), 1), joined)
+        return let(entry(pairs, F.concat(s["base"], m["m"]), 1), joined)
 
     start = F.struct(F.substring(text, 1, 1).alias("base"), F.lit("").alias("rest"), F.lit(-1).alias("last"))
     return F.aggregate(marks, start, step, lambda s: F.concat(s["base"], s["rest"]))

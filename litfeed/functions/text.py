@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litfeed.constants import HIDDEN_TAGS, SEPARATOR_TAGS
 from litfeed.functions.binding import let
-from litfeed.functions.compose import nfc
+from litfeed.functions.compose import START, entry, nfc
 from litfeed.functions.entities import unescape
 
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,22 +36,47 @@ CASEFOLD_EXTRA = (("ß", "ss"), ("ẞ", "ss"), ("ς", "σ"), ("ſ", "s"), ("ﬀ"
                   ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, str, str]:
+    """From the standard library: characters beyond ASCII that fold to one other character, and these; those that fold to several (but
+    for the common ones above) as a character class, and as a table of character and three characters of folding."""
+    folds = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c}
+    single = {c: f for c, f in folds.items() if len(f) == 1}
+    several = {c: f for c, f in folds.items() if len(f) > 1 and c not in dict(CASEFOLD_EXTRA)}
+    ranges: list[list[str]] = []
+    for c in sorted(several):
+        if ranges and ord(c) == ord(ranges[-1][1]) + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return ("".join(single), "".join(single.values()), "".join(f"{a}-{b}" for a, b in ranges),
+            "".join(START + c + f.ljust(3, "\0") for c, f in several.items()))
+
+
 def casefold(col: Column) -> Column:
-    """``lower`` plus the common full-folding pairs (sharp s, final sigma, ligatures).
+    """Full case folding, as ``str.casefold`` for every code point: ``lower``, the characters whose folding is not that, then those that
+    fold to several. Texts in ASCII are only lower-cased. Characters newer than the standard library's Unicode version (27 of Unicode 16
+    under Python 3.13) are lower-cased by Spark."""
+    given, meant, many, table = _foldings()
 
-    """
-    one_to_one = [(a, b) for a, b in CASEFOLD_EXTRA if len(b) == 1]
-    out = F.translate(F.lower(col), "".join(a for a, _ in one_to_one), "".join(b for _, b in one_to_one))
-    for a, b in CASEFOLD_EXTRA:
-        if len(b) > 1:
-            out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    def expanded(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"[{many}]|[^{many}]+"), 0)
+        return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.replace(entry(table, p, 3), F.lit("\0"), F.lit("")), p)), "")
+
+    def full(low: Column) -> Column:
+        out = F.translate(low, given, meant)
+        for a, b in CASEFOLD_EXTRA:
+            if len(b) > 1:
+                out = F.replace(out, F.lit(a), F.lit(b))
+        return let(out, lambda t: F.when(t.rlike(f"[{many}]"), expanded(t)).otherwise(t))
+
+    return let(F.lower(col), lambda low: F.when(low.rlike(r"[^\x00-\x7F]"), full(low)).otherwise(low))
 
 
 def match_normalize(col: Column) -> Column:
     """B-16: fold case, turn any dash or whitespace run into one space, trim.
 
-    ``casefold`` is ``lower`` and the common full-folding pairs.
+    ``casefold`` is full folding, as ``str.casefold``.
     """
     return F.trim(F.regexp_replace(casefold(col), rf"[{WS_CLASS}\p{{Pd}}]+", " "))
 
