@@ -2,7 +2,7 @@
 
 Landed bodies ``raw_feeds(feed_id, feed_url, effective_url, content BINARY,
 etag, last_modified, not_modified, seq)`` are parsed one body per row inside
-``mapInPandas`` (stdlib ElementTree), emitting one row per kept entry with its
+``mapInArrow`` (stdlib ElementTree), emitting one row per kept entry with its
 ``item_index``, or one ``error_class`` row for an unusable body. Everything
 after parsing is column expressions.
 """
@@ -14,7 +14,7 @@ import xml.etree.ElementTree as ET
 from html.entities import html5
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,26 +149,32 @@ def parse_body(content: bytes, base_url: str):
     return out, None
 
 
-_COLS = ["feed_id", "feed_url", "seq", "item_index", "title", "link", "published", "prism_doi", "dc_identifier",
-         "entry_id", "guid", "authors", "summary", "raw_type", "error_class"]
+_ITEMS = pa.schema([("feed_id", pa.string()), ("feed_url", pa.string()), ("seq", pa.int64()), ("item_index", pa.int32())]
+                   + [(c, pa.string()) for c in ("title", "link", "published", "prism_doi", "dc_identifier", "entry_id", "guid")]
+                   + [("authors", pa.list_(pa.string())), ("summary", pa.string()), ("raw_type", pa.string()), ("error_class", pa.string())])
+
+#: Items are handed on when the bodies they came from have so many bytes together, or when there are so many of them: what a
+#: worker holds beside the batch it reads does not grow with the batch.
+HELD_BYTES, HELD_ITEMS = 1 << 20, 2_000
 
 
 def _parse_batches(batches):
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            base = r.effective_url or r.feed_url
-            entries, err = parse_body(r.content, base)
+    for batch in batches:
+        columns = [batch.column(c) for c in ("feed_id", "feed_url", "effective_url", "seq", "content")]
+        rows, held = [], 0
+        for i in range(batch.num_rows):
+            feed_id, feed_url, effective_url, seq, content = (c[i].as_py() for c in columns)
+            entries, err = parse_body(content, effective_url or feed_url)
+            of = dict(feed_id=feed_id, feed_url=feed_url, seq=seq, error_class=err)
             if err is not None:
-                rows.append(dict(feed_id=r.feed_id, feed_url=r.feed_url, seq=r.seq, item_index=None, authors=[],
-                                 error_class=err))
-                continue
-            for i, f in enumerate(entries):
-                rows.append(dict(feed_id=r.feed_id, feed_url=r.feed_url, seq=r.seq, item_index=i, error_class=None, **f))
+                rows.append(of | dict(authors=[]))
+            rows += [of | dict(item_index=k) | f for k, f in enumerate(entries)]
+            held += len(content or b"")
+            if held >= HELD_BYTES or len(rows) >= HELD_ITEMS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ITEMS)
+                rows, held = [], 0
         if rows:
-            out = pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in _COLS})
-            out["seq"] = out["seq"].astype("int64")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, schema=_ITEMS)
 
 
 def read_body_files(spark, path: str, catalogue: DataFrame) -> DataFrame:
@@ -204,14 +210,29 @@ def parse_feeds(raw_feeds: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("authors"), F.lit(None).cast("string").alias("summary"),
         F.lit(None).cast("string").alias("raw_type"), F.lit("FeedTooLargeError").alias("error_class"))
     ok = bodies.where(~F.coalesce(oversize, F.lit(False)))
-    return ensure_parallel(ok, "feed_id", "seq").mapInPandas(_parse_batches, ITEM_SCHEMA).unionByName(too_big)
+    return ensure_parallel(ok, "feed_id", "seq").mapInArrow(_parse_batches, ITEM_SCHEMA).unionByName(too_big)
+
+
+def _with_catalogue(items: DataFrame, journals: DataFrame) -> DataFrame:
+    j = journals.select(F.col("id").alias("feed_id"), F.col("feed_url").alias("catalog_feed_url"))
+    return items.where(F.col("error_class").isNull()).join(bounded_broadcast(j), "feed_id", "left")
+
+
+def _item_error():
+    mismatch = F.col("catalog_feed_url").isNull() | (F.trim("feed_url") != F.trim("catalog_feed_url"))
+    return F.when(mismatch, F.lit("FeedMismatchError")).when(F.col("normalized_url").isNull(), F.lit("UnusableUrlError"))
+
+
+def item_errors(items: DataFrame, journals: DataFrame) -> DataFrame:
+    """(journal_id, seq, item_index, error_class) of the items that ``canonicalize`` finds unusable: feed and link tell, no text is read."""
+    x = _with_catalogue(items, journals).withColumn("normalized_url", normalize_url(F.col("link")))
+    return x.withColumn("error_class", _item_error()).where(F.col("error_class").isNotNull()).select(
+        F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
 
 
 def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
     """B-15: raw items -> article events; unusable URL or feed mismatch -> ``error_class``."""
-    ok_items = items.where(F.col("error_class").isNull())
-    j = journals.select(F.col("id").alias("feed_id"), F.col("feed_url").alias("catalog_feed_url"))
-    x = ok_items.join(bounded_broadcast(j), "feed_id", "left")
+    x = _with_catalogue(items, journals)
     # all texts of an item in one array: the cleaning expression is large and planned once
     x = x.withColumn("texts", F.transform(F.concat(F.array("title", "summary", "raw_type"), F.coalesce("authors", F.array().cast("array<string>"))),
                                           clean_text))
@@ -230,9 +251,7 @@ def canonicalize(items: DataFrame, journals: DataFrame) -> DataFrame:
         F.trim("link").alias("article_url"), url.alias("normalized_url"),
         F.lit("unknown").alias("oa_status"), F.lit("rss_only").alias("metadata_status"),
         F.array().cast("array<string>").alias("enriched_fields"))
-    mismatch = F.col("catalog_feed_url").isNull() | (F.trim("feed_url") != F.trim("catalog_feed_url"))
-    err = F.when(mismatch, F.lit("FeedMismatchError")).when(F.col("normalized_url").isNull(), F.lit("UnusableUrlError"))
-    events = events.withColumn("error_class", err).withColumn(
+    events = events.withColumn("error_class", _item_error()).withColumn(
         "uid", AF.candidate_uid(F.col("doi"), F.col("normalized_url"), F.col("feed_id"), F.col("title"),
                                 F.date_format("published_at", "yyyy-MM-dd")))
     return events.withColumnRenamed("feed_id", "journal_id").withColumnRenamed("catalog_feed_url", "source_feed_url")

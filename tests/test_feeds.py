@@ -60,3 +60,17 @@ def test_raw_type_comes_from_the_section_or_the_type_never_from_a_category():
     item = lambda x: ET.fromstring(f"<item xmlns:prism='http://prismstandard.org/namespaces/basic/2.0/'>{x}</item>")
     assert _entry_fields(item("<category>Review</category>"), "rss2")["raw_type"] is None
     assert _entry_fields(item("<category>x</category><type>Review</type>"), "rss2")["raw_type"] == "Review"
+
+
+def test_items_leave_the_parser_before_its_batch_ends():
+    import pyarrow as pa
+    big = RSS2.replace(b"Hello", b"H" * 300_000)
+    rows = [dict(feed_id="j", feed_url="https://j.example.org/feed", effective_url=None, content=c, not_modified=False, seq=i)
+            for i, c in enumerate([big] * 20 + [None, b"<html/>"])]
+    schema = pa.schema([("feed_id", pa.string()), ("feed_url", pa.string()), ("effective_url", pa.string()), ("content", pa.binary()),
+                        ("not_modified", pa.bool_()), ("seq", pa.int64())])
+    out = list(FD._parse_batches(iter([pa.RecordBatch.from_pylist(rows, schema=schema)])))
+    assert len(out) >= 5 and max(b.nbytes for b in out) < 2 * FD.HELD_BYTES
+    items = [r for b in out for r in b.to_pylist()]
+    assert [(r["seq"], r["item_index"]) for r in items] == [(i, k) for i in range(20) for k in (0, 1)] + [(20, None), (21, None)]
+    assert [r["error_class"] for r in items[-2:]] == ["FeedFetchError", "FeedParseError"]
