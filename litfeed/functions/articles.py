@@ -16,7 +16,7 @@ from litfeed.constants import (
     UID_FIELD_SEPARATOR,
 )
 from litfeed.functions.binding import let
-from litfeed.functions.text import casefold, placeholder_key
+from litfeed.functions.text import WS_CLASS, casefold, placeholder_key
 
 
 def article_type(cleaned: Column) -> Column:
@@ -66,8 +66,11 @@ def first_spellings(names: Column) -> Column:
 
 
 def _meaningful_text(col: Column, placeholders) -> Column:
+    # folding makes no text shorter: one that begins with more characters than the longest placeholder has (white space and punctuation
+    # aside) is none, and need not be folded whole
+    longer = rf"^(?:[{WS_CLASS}\p{{P}}]*+[^{WS_CLASS}\p{{P}}]){{{max(map(len, placeholders)) + 1}}}"
     key = placeholder_key(col)  # casefold + punctuation strip
-    return F.coalesce(col.isNotNull() & (key != "") & ~key.isin(*placeholders), F.lit(False))
+    return F.when(col.rlike(longer), F.lit(True)).otherwise(F.coalesce(col.isNotNull() & (key != "") & ~key.isin(*placeholders), F.lit(False)))
 
 
 def title_known(col: Column) -> Column:

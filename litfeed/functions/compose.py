@@ -64,4 +64,4 @@ def nfc(col: Column) -> Column:
         fixed = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\P{M}\p{M}"), _cluster(p)).otherwise(p)), "")
         return F.when(text.rlike(r"\p{M}"), fixed).otherwise(text)
 
-    return let(F.when(col.rlike(r"[̀-￿]"), F.translate(col, given, meant)).otherwise(col), composed)
+    return let(let(col, lambda c: F.when(c.rlike(r"[̀-￿]"), F.translate(c, given, meant)).otherwise(c)), composed)

@@ -53,9 +53,13 @@ def _foldings() -> tuple[str, str, str, str]:
             "".join(START + c + f.ljust(3, "\0") for c, f in several.items()))
 
 
+#: Texts of characters that are their own folding: ASCII, letters of Latin-1 and Cyrillic, dashes and quotes, Chinese characters.
+_PLAIN = r"^[\x00-\x7F\u00A0-\u00B4\u00B6-\u00BF\u00E0-\u00FF\u0430-\u045F\u2010-\u2027\u3040-\u30FF\u4E00-\u9FFF]*+\z"
+
+
 def casefold(col: Column) -> Column:
     """Full case folding, as ``str.casefold`` for every code point: ``lower``, the characters whose folding is not that, then those that
-    fold to several. Texts in ASCII are only lower-cased. Characters newer than the standard library's Unicode version (27 of Unicode 16
+    fold to several. Texts of plain characters are only lower-cased. Characters newer than the standard library's Unicode version (27 of Unicode 16
     under Python 3.13) are lower-cased by Spark."""
     given, meant, many, table = _foldings()
 
@@ -70,7 +74,7 @@ def casefold(col: Column) -> Column:
                 out = F.replace(out, F.lit(a), F.lit(b))
         return let(out, lambda t: F.when(t.rlike(f"[{many}]"), expanded(t)).otherwise(t))
 
-    return let(F.lower(col), lambda low: F.when(low.rlike(r"[^\x00-\x7F]"), full(low)).otherwise(low))
+    return let(F.lower(col), lambda low: F.when(low.rlike(_PLAIN), low).otherwise(full(low)))
 
 
 def match_normalize(col: Column) -> Column:

@@ -64,7 +64,9 @@ def compile_rules(rules: DataFrame, exact: bool = False) -> DataFrame:
     out = rules.withColumn("kw", kw).where(F.col("kw").isNotNull() & (F.col("kw") != ""))
     punct = F.regexp_replace(F.col("kw"), rf"[\s{TOKEN_CLASS}\p{{Pd}}]", "")
     fence = F.concat(F.lit("[" + TOKEN_CLASS), _escape(punct), F.lit("]"))
-    pattern = F.concat(F.lit("(?<!"), fence, F.lit(")"), _escape(F.col("kw")), F.lit("(?!"), fence, F.lit(")"))
+    # the keyword first: it is searched as a literal, and what stands beside it is looked at only where it occurs
+    word = _escape(F.col("kw"))
+    pattern = F.concat(word, F.lit("(?<!"), fence, word, F.lit(")(?!"), fence, F.lit(")"))
     anchor = F.regexp_extract(F.col("kw"), f"[{TOKEN_CLASS}]+", 0)
     return out.withColumn("pattern", pattern).withColumn("anchor", F.when(anchor != "", anchor))
 

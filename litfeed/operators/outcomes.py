@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from litfeed.functions.articles import KNOWN, status_rank
 from litfeed.operators.feedstate import DEFAULT_CHUNK, carry_last
 from litfeed.operators.merge import MERGED_FIELDS
+from litfeed.session import checkpoint_dir
 
 
 def _digest(c: Column) -> Column:
@@ -53,6 +54,9 @@ def outcomes(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enr
         "seq", "entity", "phase", "url", "f_url", "doi", "journal_id", "link_seq", "url_first_seq",
         status_rank(F.col("metadata_status")).alias("rank"), *[_digest(F.col(c)).alias(c) for c in latest], *values,
         F.concat_ws("|", "entity", F.when(F.col("phase") == 0, F.lit("own")).otherwise(F.col("url"))).alias("lifetime"))
+    # narrow rows from here on: the texts are read once, not by each aggregate and window below
+    checkpoint_dir(r.sparkSession)
+    r = r.checkpoint(eager=True)
 
     # absorbed lifetimes: final values, then per entity the first (by link time) enriched / known one
     ab = r.where(F.col("phase") < 0)

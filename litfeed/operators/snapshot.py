@@ -29,6 +29,8 @@ from litfeed.operators import gate as G
 from litfeed.schemas import SNAPSHOT
 
 POINTER, WORKING = "CURRENT", "WORKING"
+#: Rows of a file of articles, and the months (the largest ones) that are cut into several files.
+FILE_ROWS, MOST_MONTHS = 1 << 14, 2000
 #: A layer stays as it is if it has more than so many times the rows of all newer ones.
 GROWTH = 2
 
@@ -75,10 +77,14 @@ def snapshot_path(root: str, run_id: int) -> str:
 
 def _write(df: DataFrame, name: str, path: str) -> None:
     """Articles are clustered by uid within ``published_month`` partitions, so date filters prune files; a month is cut into
-    files by a hash of the uid, as many as Spark sees fit."""
+    files by a hash of the uid, one for each ``FILE_ROWS`` of its rows: many small months make no more files than there are months."""
     if name == "articles":
-        df = (df.withColumn("published_month", F.date_format("published_at", "yyyy-MM"))
-              .repartition("published_month", F.pmod(F.xxhash64("uid"), F.lit(16))).sortWithinPartitions("uid"))
+        df = df.withColumn("published_month", F.date_format("published_at", "yyyy-MM"))
+        months = df.groupBy("published_month").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files")).where("_files > 1")
+        cut = {r["published_month"]: r["_files"] for r in months.orderBy(F.desc("_files")).limit(MOST_MONTHS).collect()}
+        files = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for m in cut.items() for x in (m[0] or "", int(m[1]))]),
+                                        F.coalesce("published_month", F.lit(""))), F.lit(1)) if cut else F.lit(1)
+        df = df.repartition("published_month", F.pmod(F.xxhash64("uid"), files)).sortWithinPartitions("published_month", "uid")
         df.write.mode("overwrite").partitionBy("published_month").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)

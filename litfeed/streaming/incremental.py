@@ -201,6 +201,8 @@ def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: D
     Items that contradict a stored record or an earlier item of the batch are rejected (H-9).
     """
     base = Decimal(batch_id) * BATCH_SPAN
+    if "named_uid" not in new_items.columns:  # no item names a row by its UID
+        new_items = new_items.withColumn("named_uid", F.lit(None).cast("string"))
     if old_arts is None:
         rejected = K.contradictions(new_items).checkpoint(eager=True)
         items, named = new_items.drop("named_uid").join(rejected, "seq", "left_anti"), None
@@ -271,16 +273,20 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
         return {"batch_id": batch_id, "published": report["publishable"], **more, **report}
 
     parsed = FD.parse_feeds(batch).checkpoint(eager=True)
-    events = FD.canonicalize(parsed, journals)
+    fresh_items, unusable = parsed, None
+    if base_prev is not None:  # of items that were applied before only the errors count: their texts are not cleaned again
+        applied = stored("applied_items").withColumnRenamed("journal_id", "feed_id")
+        key = ["feed_id", "seq", "item_index"]
+        fresh_items = parsed.join(applied, key, "left_anti")
+        unusable = FD.item_errors(parsed.join(applied, key, "left_semi"), journals)
+    events = FD.canonicalize(fresh_items, journals)
     if enricher is not None:
         events = events.transform(enricher)
     events = events.checkpoint(eager=True)
-    good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY))
-    if base_prev is not None:
-        good = good.join(stored("applied_items"), list(ITEM_KEY), "left_anti")
-    good = good.checkpoint(eager=True)  # Arrow-heavy canonical events: computed once
+    good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY)).checkpoint(eager=True)
     n_items = good.count()
-    unusable = events.where(F.col("error_class").isNotNull()).select(*ITEM_KEY, "error_class")
+    bad = events.where(F.col("error_class").isNotNull()).select(*ITEM_KEY, "error_class")
+    unusable = (bad if unusable is None else bad.unionByName(unusable)).checkpoint(eager=True)
     bodies = parsed.where(F.col("error_class").isNotNull()).select(F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
     same_catalogue = base_prev is not None and SN.catalogue(spark, base_prev) == catalogue
     if same_catalogue and n_items == 0:
