@@ -10,8 +10,10 @@ encodes. With key = (phase, seq):
                   min_by(v, seq) FILTER phase = 0)
     enr* = bool_or(enr)
 
+The three terms are one ``max_by`` over (tier, key): an item stands in the
+highest tier it reaches, and the last term counts only if no item is known.
 Every term is a partial aggregate, so Spark combines map-side before the
-shuffle by entity.
+shuffle by entity, with one value a field.
 """
 
 from __future__ import annotations
@@ -29,12 +31,11 @@ def _field_aggs(f: str, enr: Column, real: Column) -> list[Column]:
     v = F.col(f)
     known = KNOWN[f](v) & real
     e = enr & known
-    key = F.struct("phase", "seq")
-    best_enr = F.max_by(F.when(e, F.struct(v.alias("v"))), F.when(e, key))
-    best_known = F.max_by(F.when(known, F.struct(v.alias("v"))), F.when(known, key))
-    own = (F.col("phase") == 0) & real
-    first_own = F.min_by(F.when(own, F.struct(v.alias("v"))), F.when(own, F.col("seq")))
-    return [F.coalesce(best_enr, best_known, first_own)["v"].alias(f), F.bool_or(e).alias(f"{f}_enriched")]
+    key = lambda tier, phase, seq: F.struct(F.lit(tier).alias("tier"), phase.alias("phase"), seq.alias("seq"))
+    phase, seq = F.col("phase"), F.col("seq")
+    own = (phase == 0) & real & seq.isNotNull()
+    rank = F.when(e, key(2, phase, seq)).when(known, key(1, phase, seq)).when(own, key(0, phase, -seq))
+    return [F.max_by(F.struct(v.alias("v")), rank)["v"].alias(f), F.bool_or(e).alias(f"{f}_enriched")]
 
 
 def merge(resolved: DataFrame, fields=MERGED_FIELDS, enriched_col: str = "enriched") -> DataFrame:

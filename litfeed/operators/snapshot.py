@@ -85,7 +85,7 @@ def _write(df: DataFrame, name: str, path: str) -> None:
         files = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for m in cut.items() for x in (m[0] or "", int(m[1]))]),
                                         F.coalesce("published_month", F.lit(""))), F.lit(1)) if cut else F.lit(1)
         df = df.repartition("published_month", F.pmod(F.xxhash64("uid"), files)).sortWithinPartitions("published_month", "uid")
-        df.write.mode("overwrite").partitionBy("published_month").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy("published_month").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from litfeed.operators import snapshot as SN
 from litfeed.plans.common import Ctx, ts_text
 from litfeed.plans.registry import query
-from litfeed.session import checkpoint_dir
+from litfeed.session import Scratch, delete, released_shuffles
 from litfeed.sources import standins
 from litfeed.streaming.incremental import run_stream
 
@@ -18,15 +16,17 @@ def replay_run(spark, sf_dir, split: bool = True):
     """Land bodies in two time-ordered batches plus a replay of the first; run the
     stream after each landing. Returns (root, reports)."""
     c = Ctx(spark, sf_dir)
-    work = f"{checkpoint_dir(spark).rstrip('/')}/litfeed-stream-{uuid.uuid4().hex}"
+    work = Scratch(spark, "litfeed-stream").path
     landing, root, ckpt = f"{work}/landing", f"{work}/snapshots", f"{work}/stream-checkpoint"
-    raw = standins.raw_feeds(spark, sf_dir).checkpoint(eager=True)  # landed once, reused for every part
-    cut = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first().m if split else None
-    parts = [raw.where(F.col("seq") <= cut), raw.where(F.col("seq") > cut), raw.where(F.col("seq") <= cut)] if split else [raw]
     reports = []
-    for i, part in enumerate(parts):
-        part.write.mode("overwrite").parquet(f"{landing}/landing_batch={i}")
-        reports += run_stream(spark, landing, root, ckpt, c.journals(), c.rules(), c.topics(), c.gates())
+    with Scratch(spark, "litfeed-bodies") as scratch, released_shuffles(spark):
+        raw = scratch.keep(standins.raw_feeds(spark, sf_dir), "raw")  # made once, reused for every part
+        cut = raw.agg(F.percentile_approx("seq", 0.5).alias("m")).first().m if split else None
+        parts = [raw.where(F.col("seq") <= cut), raw.where(F.col("seq") > cut), raw.where(F.col("seq") <= cut)] if split else [raw]
+        for i, part in enumerate(parts):
+            part.write.mode("overwrite").option("compression", "zstd").parquet(f"{landing}/landing_batch={i}")
+            reports += run_stream(spark, landing, root, ckpt, c.journals(), c.rules(), c.topics(), c.gates())
+            delete(spark, f"{landing}/landing_batch={i}")  # taken in: the stream's log knows its files
     return root, reports
 
 

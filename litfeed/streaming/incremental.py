@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litfeed.constants import ENRICHABLE_FIELD_ORDER
@@ -42,7 +42,7 @@ from litfeed.operators import outcomes as O
 from litfeed.operators import snapshot as SN
 from litfeed.operators import tags as T
 from litfeed.operators.util import bounded_broadcast
-from litfeed.session import checkpoint_dir
+from litfeed.session import Scratch, checkpoint_dir, released_shuffles
 from litfeed.sources import feeds as FD
 
 ITEM_KEY = ("journal_id", "seq", "item_index")
@@ -73,6 +73,14 @@ def _batch_items(events: DataFrame, batch_id: int) -> DataFrame:
         F.lit(None).cast("timestamp").alias("first_seen_at"), F.lit(None).cast("timestamp").alias("last_updated_at"))
 
 
+def unrepeated(events: DataFrame) -> DataFrame:
+    """The usable ones of ``events`` (with ``_row``, a number of each row), each item once. Only keys are compared; texts stay where they are."""
+    good = events.where(F.col("error_class").isNull())
+    nth = F.row_number().over(Window.partitionBy(*ITEM_KEY).orderBy("_row"))
+    again = good.select(*ITEM_KEY, "_row", nth.alias("nth")).where("nth > 1").select("_row").checkpoint(eager=True)
+    return (good if again.isEmpty() else good.join(bounded_broadcast(again), "_row", "left_anti")).drop("_row")
+
+
 def _state_items(articles: DataFrame, aliases: DataFrame, base: Decimal) -> DataFrame:
     ef = F.coalesce("enriched_fields", F.array().cast("array<string>"))
     st = articles.select(
@@ -149,8 +157,8 @@ def resolved_items(items: DataFrame, named: Named | None = None) -> DataFrame:
         "su_root", "su_doi", "su_f", "su_any", "e_doi")
 
 
-def fold_entities(resolved: DataFrame, found: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
-    """``resolved_items`` and the batch's outcomes -> (articles, url_aliases). ``at``: the time of the batch's items."""
+def fold_entities(resolved: DataFrame, found: DataFrame, at: datetime) -> DataFrame:
+    """``resolved_items`` and the batch's outcomes -> articles. ``at``: the time of the batch's items."""
     now = F.lit(at).cast("timestamp")
     resolved = resolved.withColumn("url", F.col("own_url"))
     merged = M.merge(resolved, fields=FIELDS)
@@ -161,9 +169,7 @@ def fold_entities(resolved: DataFrame, found: DataFrame, at: datetime) -> tuple[
         F.min(F.when(real, F.coalesce("first_seen_at", now))).alias("first_seen_at"),
         F.max(F.when(real & (F.col("phase") == 0), F.col("last_updated_at"))).alias("kept_at"))
     last = F.when(F.coalesce("changed", F.lit(False)) | F.col("kept_at").isNull(), now).otherwise(F.col("kept_at"))
-    articles = merged.join(extra, "entity").join(changed, "entity", "left").withColumn("last_updated_at", last).select(*ARTICLE_COLUMNS)
-    aliases = resolved.select(F.col("url").alias("normalized_url"), F.col("uid").alias("article_uid")).distinct()
-    return articles, aliases
+    return merged.join(extra, "entity").join(changed, "entity", "left").withColumn("last_updated_at", last).select(*ARTICLE_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -195,17 +201,22 @@ class Upserted:
         return T.rekey_links(old.join(self.touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi"), self.survivors)
 
 
-def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int, at: datetime) -> Upserted:
+def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: DataFrame, batch_id: int, at: datetime,
+           scratch: Scratch | None = None) -> Upserted:
     """H-5 for one batch of items (``_batch_items`` shape) against stored articles/aliases.
 
-    Items that contradict a stored record or an earlier item of the batch are rejected (H-9).
+    Items that contradict a stored record or an earlier item of the batch are rejected (H-9). Identities are resolved on keys; texts
+    move to their entity once. ``scratch``: where texts lie meanwhile (default: checkpoints); what is returned is valid as long as it is.
     """
+    keep = scratch.keep if scratch is not None else lambda df, name: df.checkpoint(eager=True)
+    drop = scratch.drop if scratch is not None else lambda *names: None
+    checkpoint_dir(new_items.sparkSession)
     base = Decimal(batch_id) * BATCH_SPAN
     if "named_uid" not in new_items.columns:  # no item names a row by its UID
         new_items = new_items.withColumn("named_uid", F.lit(None).cast("string"))
     if old_arts is None:
         rejected = K.contradictions(new_items).checkpoint(eager=True)
-        items, named = new_items.drop("named_uid").join(rejected, "seq", "left_anti"), None
+        items, named = new_items.drop("named_uid").join(bounded_broadcast(rejected), "seq", "left_anti"), None
         touched = new_items.select(F.col("stored_uid").alias("uid")).where("false")
     else:
         b_urls = bounded_broadcast(new_items.select(F.col("url").alias("normalized_url")).distinct())
@@ -215,7 +226,7 @@ def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: D
                    .unionByName(old_arts.join(b_dois, "doi", "left_semi").select("uid"))
                    .unionByName(old_arts.join(b_urls, "normalized_url", "left_semi").select("uid"))
                    .unionByName(old_arts.join(b_uids, "uid", "left_semi").select("uid")).distinct()).checkpoint(eager=True)
-        t_arts = old_arts.join(touched, "uid", "left_semi")
+        t_arts = old_arts.join(bounded_broadcast(touched), "uid", "left_semi")
         t_alias = old_alias.join(touched.withColumnRenamed("uid", "article_uid"), "article_uid", "left_semi")
         stored = t_alias.join(t_arts.select(F.col("uid").alias("article_uid"), "doi", "journal_id"), "article_uid").select(
             F.col("normalized_url").alias("url"), "doi", "journal_id")
@@ -223,25 +234,37 @@ def upsert(old_arts: DataFrame | None, old_alias: DataFrame | None, new_items: D
         look = I.lookup(new_items, t_arts, t_alias).checkpoint(eager=True)
         against = look.where(F.col("conflict") & F.col("uid_uid").isNotNull()).select("seq")
         rejected = K.contradictions(new_items.join(against, "seq", "left_anti"), fixed).unionByName(against).checkpoint(eager=True)
-        kept = new_items.join(rejected, "seq", "left_anti")
+        kept = new_items.join(bounded_broadcast(rejected), "seq", "left_anti")
         named = named_rows(look.join(rejected, "seq", "left_anti"), kept, t_arts, t_alias)
         items = _state_items(t_arts, t_alias, base).unionByName(kept.drop("named_uid"))
-    resolved = resolved_items(items, named).checkpoint(eager=True)
+    items = keep(items.withColumn("_row", F.monotonically_increasing_id()), "items")
+    narrow = ("seq", "url", "doi", "stored_uid")
+    keys = resolved_items(items.select("_row", *narrow), named).checkpoint(eager=True)
+    resolved = keep(items.drop(*narrow).join(keys, "_row").drop("_row"), "resolved")
+    drop("items")
     latest = LATEST if named is None else (*LATEST, "own_url")
     found = O.outcomes(resolved, FIELDS, chunk=1 << 20, latest=latest).where(F.col("seq") >= F.lit(base).cast(WIDE))
     if named is not None:
         found = found.join(named.merging.withColumn("unites", F.lit(True)), "seq", "left").withColumn(
             "outcome", F.when(F.col("unites"), "updated").otherwise(F.col("outcome"))).drop("unites")
     found = found.checkpoint(eager=True)
-    folded, aliases = fold_entities(resolved, found, at)
-    survivors = resolved.where(F.col("stored_uid").isNotNull()).select(F.col("stored_uid").alias("uid"), F.col("uid").alias("survivor_uid"))
-    return Upserted(folded.checkpoint(eager=True), aliases, touched, survivors, rejected, found)
+    folded = keep(fold_entities(resolved, found, at), "folded")
+    drop("resolved")
+    aliases = keys.select(F.col("own_url").alias("normalized_url"), F.col("uid").alias("article_uid")).distinct()
+    survivors = keys.where(F.col("stored_uid").isNotNull()).select(F.col("stored_uid").alias("uid"), F.col("uid").alias("survivor_uid"))
+    return Upserted(folded, aliases, touched, survivors, rejected, found)
 
 
 def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame,
                 rules: DataFrame, topics: DataFrame, gates: DataFrame, enricher=None, at: datetime | None = None) -> dict:
     """One micro-batch. ``enricher`` (K-2) is any ``DataFrame -> DataFrame`` applied
     to the canonical events, e.g. ``lambda ev: enrich(ev, crossref, unpaywall)``. ``at``: the time of the run (default: now)."""
+    with Scratch(spark, "litfeed-batch") as scratch:
+        return _apply_batch(spark, batch, batch_id, root, journals, rules, topics, gates, enricher, at, scratch)
+
+
+def _apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str, journals: DataFrame, rules: DataFrame,
+                 topics: DataFrame, gates: DataFrame, enricher, at: datetime | None, scratch: Scratch) -> dict:
     base_prev, published = SN.working(spark, root), SN.current(spark, root)
     target, run_id = SN.snapshot_path(root, batch_id + 1), batch_id + 1
     if base_prev == target:  # this micro-batch was already applied (re-executed batch id)
@@ -249,8 +272,10 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
     checkpoint_dir(spark)
     at = at or datetime.now(UTC)
     # C-7: feeds that are switched off are not taken in
-    batch = batch.join(journals.where(~F.col("enabled")).select(F.col("id").alias("feed_id")), "feed_id", "left_anti").select(*batch.columns)
-    batch = batch.checkpoint(eager=True)  # read by the parser and the feed checks; re-reading costs more than this
+    off = journals.where(~F.col("enabled")).select(F.col("id").alias("feed_id")).checkpoint(eager=True)
+    batch = batch.join(bounded_broadcast(off), "feed_id", "left_anti").select(*batch.columns)
+    # the bodies are not written again, only what the feed checks need
+    landed = batch.select("feed_id", "seq", "etag", "last_modified", "not_modified").checkpoint(eager=True)
     catalogue = SN.fingerprint(rules, topics, gates, journals)
 
     def stored(name: str) -> DataFrame | None:
@@ -272,36 +297,43 @@ def apply_batch(spark: SparkSession, batch: DataFrame, batch_id: int, root: str,
             SN.publish(spark, root, target)
         return {"batch_id": batch_id, "published": report["publishable"], **more, **report}
 
-    parsed = FD.parse_feeds(batch).checkpoint(eager=True)
+    parsed = scratch.keep(FD.parse_feeds(batch).withColumn("_row", F.monotonically_increasing_id()), "parsed")
+    unreadable = parsed.where(F.col("error_class").isNotNull()).select("feed_id", "seq", "item_index", "error_class").checkpoint(eager=True)
     fresh_items, unusable = parsed, None
     if base_prev is not None:  # of items that were applied before only the errors count: their texts are not cleaned again
         applied = stored("applied_items").withColumnRenamed("journal_id", "feed_id")
         key = ["feed_id", "seq", "item_index"]
-        fresh_items = parsed.join(applied, key, "left_anti")
-        unusable = FD.item_errors(parsed.join(applied, key, "left_semi"), journals)
-    events = FD.canonicalize(fresh_items, journals)
+        seen = parsed.select(*key, "feed_url", "link", "error_class", "_row").join(applied, key, "left_semi").checkpoint(eager=True)
+        n_seen = seen.count()
+        if n_seen == parsed.where(F.col("error_class").isNull()).count():
+            fresh_items = parsed.where("false")
+        elif n_seen:
+            fresh_items = parsed.join(bounded_broadcast(seen.select("_row")), "_row", "left_anti")
+        unusable = FD.item_errors(seen, journals)
+    events = FD.canonicalize(fresh_items.drop("_row"), journals)
     if enricher is not None:
         events = events.transform(enricher)
-    events = events.checkpoint(eager=True)
-    good = events.where(F.col("error_class").isNull()).dropDuplicates(list(ITEM_KEY)).checkpoint(eager=True)
+    events = scratch.keep(events.withColumn("_row", F.monotonically_increasing_id()), "events")
+    scratch.drop("parsed")
+    good = unrepeated(events)
     n_items = good.count()
     bad = events.where(F.col("error_class").isNotNull()).select(*ITEM_KEY, "error_class")
     unusable = (bad if unusable is None else bad.unionByName(unusable)).checkpoint(eager=True)
-    bodies = parsed.where(F.col("error_class").isNotNull()).select(F.col("feed_id").alias("journal_id"), "seq", "item_index", "error_class")
+    bodies = unreadable.withColumnRenamed("feed_id", "journal_id")
     same_catalogue = base_prev is not None and SN.catalogue(spark, base_prev) == catalogue
     if same_catalogue and n_items == 0:
         # no new items (e.g. replayed bodies): articles, aliases and links are inherited from the
         # previous snapshot; only the feed state, the run ledger and the quarantine advance
-        checks = FS.batch_checks(batch, parsed, unusable).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
+        checks = FS.batch_checks(landed, unreadable, unusable).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
         return finish({}, checks, bodies.unionByName(unusable), None, 0, no_change=True)
 
     old_arts = stored("articles")
-    done = upsert(old_arts, stored("url_aliases"), _batch_items(good, batch_id), batch_id, at)
+    done = upsert(old_arts, stored("url_aliases"), _batch_items(good, batch_id), batch_id, at, scratch)
     clashes = good.withColumn("_order", order_key(batch_id)).join(done.rejected.withColumnRenamed("seq", "_order"), "_order", "left_semi").select(
         *ITEM_KEY, F.lit(K.CONFLICT).alias("error_class"))
     failed = unusable.unionByName(clashes).checkpoint(eager=True)
     # J-2 / F-2: feed validator state, folded batch over batch
-    checks = FS.batch_checks(batch, parsed, failed).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
+    checks = FS.batch_checks(landed, unreadable, failed).withColumn("run_id", F.lit(run_id)).checkpoint(eager=True)
     of_uid = done.touched.withColumnRenamed("uid", "article_uid")
     if same_catalogue:
         # a touched entity's links become what the rules say of its merged row (H-7); the others stay
@@ -335,7 +367,8 @@ def run_stream(spark: SparkSession, landing: str, root: str, checkpoint: str, jo
         reports.append(apply_batch(spark, batch_df, batch_id, root, journals, rules, topics, gates, enricher,
                                    clock() if clock is not None else None))
 
-    q = (stream.writeStream.foreachBatch(each).trigger(availableNow=True)
-         .option("checkpointLocation", checkpoint).start())
-    q.awaitTermination()
+    with released_shuffles(spark):  # the stream runs in a copy of the session, made when it starts
+        q = (stream.writeStream.foreachBatch(each).trigger(availableNow=True)
+             .option("checkpointLocation", checkpoint).start())
+        q.awaitTermination()
     return reports
