@@ -128,7 +128,7 @@ def compared(a: Tile, b: Tile, same: bool) -> tuple[np.ndarray, np.ndarray]:
     # padding is equal beyond the end of both words
     short = np.minimum(a.size[:, None], b.size[None, :])
     front, back = np.minimum(front, short), np.minimum(back, short)
-    near = meet & (front + back >= longer - 1) & (a.prefix[:, None] | (front < longer // 2))
+    near = meet & (longer - short < 2) & (front + back >= longer - 1) & (a.prefix[:, None] | (front < longer // 2))
     return np.nonzero(near)
 
 
